@@ -67,10 +67,6 @@ flow AS (
   FROM (SELECT *, ((event_id * 7 + CAST(label AS BIGINT)) % 11 - 5) / 16.0 AS nx,
                ((event_id * 3 + CAST(label AS BIGINT)) % 11 - 5) / 16.0 AS ny FROM pred)
   WINDOW w AS (PARTITION BY video, label ORDER BY frame)),
-nlab AS (SELECT video, count(DISTINCT label) AS n_labels FROM pred GROUP BY video),
-seeded AS (
-  SELECT video, frame FROM pred WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY video, frame
-  HAVING count(*) = (SELECT n_labels FROM nlab WHERE nlab.video = pred.video)),
 lk AS (
   SELECT f.video, f.label, f.frame, p.x + f.dx_fwd AS x, p.y + f.dy_fwd AS y
   FROM flow f JOIN pred p ON p.video = f.video AND p.label = f.label AND p.frame = f.frame - 1
@@ -86,6 +82,41 @@ manual AS (
 patch AS (SELECT video, 'patch' AS layer, label, frame, x + 1 AS x, y FROM pred WHERE frame % 7 = 0)
 """
 
+PREVIOUS = EVENTS + """,
+prev AS (SELECT video, label, frame, x + (event_id % 5) * 0.5 AS x, y, likelihood FROM pred)
+"""
+
+INTERVALS = """
+spans AS (
+  SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) AS video, '0' AS label,
+         user_id % 7 + 5 AS "start", user_id % 7 + 17 + user_id % 5 AS "end"
+  FROM events)
+"""
+
+BLIPS = FLOW + """,
+dis AS (SELECT p.*, sqrt((p.x - f.x) * (p.x - f.x) + (p.y - f.y) * (p.y - f.y)) AS d
+        FROM pred p LEFT JOIN lk f ON p.video = f.video AND p.label = f.label AND p.frame = f.frame),
+med AS (SELECT video, label, count(d) AS n, median(d) AS med, min(d) AS lo, max(d) AS hi
+        FROM dis GROUP BY video, label),
+mad AS (SELECT d.video, d.label, median(abs(d.d - m.med)) AS mad
+        FROM dis d JOIN med m ON d.video = m.video AND d.label = m.label GROUP BY d.video, d.label),
+thr AS (SELECT med.video, med.label, n, med, mad,
+          CASE WHEN mad >= 1e-6 THEN med + 5.0 * 1.4826 * mad
+               WHEN hi - lo < 1e-6 THEN CAST('inf' AS DOUBLE) ELSE 0.5 * (med + hi) END AS threshold
+        FROM med JOIN mad ON med.video = mad.video AND med.label = mad.label),
+hit AS (SELECT d.*, t.threshold, d.frame - lag(d.frame) OVER (PARTITION BY d.video, d.label ORDER BY d.frame) - 1 AS gap
+        FROM dis d JOIN thr t ON d.video = t.video AND d.label = t.label WHERE d.d > t.threshold),
+grp AS (SELECT *, sum(CASE WHEN gap <= 1 THEN 0 ELSE 1 END) OVER (PARTITION BY video, label ORDER BY frame) AS g FROM hit),
+brun AS (SELECT video, label, min(frame) AS "start", max(frame) AS "end", max(frame) - min(frame) + 1 AS length,
+           min(threshold) AS threshold FROM grp GROUP BY video, label, g),
+judged_blips AS (SELECT r.*, b.x AS ax0, b.y AS ay0, a.x AS ax1, a.y AS ay1,
+     CASE WHEN b.x IS NULL OR a.x IS NULL THEN 'edge' END AS reason
+   FROM brun r
+   LEFT JOIN pred b ON b.video = r.video AND b.label = r.label AND b.frame = r."start" - 1
+   LEFT JOIN pred a ON a.video = r.video AND a.label = r.label AND a.frame = r."end" + 1),
+blips AS (SELECT * FROM judged_blips WHERE reason IS NULL)
+"""
+
 LINES = """
 lines AS (
   SELECT 's' || CAST(l_suppkey AS VARCHAR) AS video, '0' AS label,

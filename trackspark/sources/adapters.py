@@ -150,3 +150,21 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), "embedding", F.col("label").alias("grp")
     )
+
+
+def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One interval of frames per user video."""
+    user = F.col("user_id")
+    return table(spark, sf_dir, "events").select("user_id").distinct().select(
+        F.concat(F.lit("u"), user.cast("string")).alias("video"),
+        F.lit("0").alias("label"),
+        (user % 7 + 5).alias("start"),
+        (user % 7 + 17 + user % 5).alias("end"),
+    )
+
+
+def declared_pair(points: DataFrame, labels: tuple[str, ...] = ("0", "1")) -> DataFrame:
+    """The given labels declared in every layer that has points."""
+    pairs = F.array(*[F.struct(F.lit(v).alias("label"), F.lit(i).alias("pos")) for i, v in enumerate(labels)])
+    layers = points.select("video", "layer").distinct().withColumn("_l", F.explode(pairs))
+    return layers.select("video", "layer", "_l.label", "_l.pos")
