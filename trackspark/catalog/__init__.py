@@ -6,7 +6,7 @@ import importlib
 
 from trackspark.catalog.base import ORACLES, QUERIES
 
-AREAS = ["detection"]
+AREAS = ["detection", "layering", "auditing", "lookups"]
 
 
 def _load() -> None:

@@ -10,8 +10,8 @@ RUNS = """
 conf AS (SELECT *, coalesce(likelihood >= 0.9, false) AS ok,
            row_number() OVER (PARTITION BY video, label ORDER BY frame) - 1 AS pos FROM {t}),
 ctx AS (SELECT *, lag(x) OVER w AS bx, lag(y) OVER w AS by_, lead(x) OVER w AS nx_, lead(y) OVER w AS ny_,
-           coalesce(sum(CAST(ok AS INT)) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS ok_b,
-           coalesce(sum(CAST(ok AS INT)) OVER (w ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), 0) AS ok_a,
+           coalesce(sum(CAST(ok AS INT)) OVER (w ROWS BETWEEN {bracket} PRECEDING AND 1 PRECEDING), 0) AS ok_b,
+           coalesce(sum(CAST(ok AS INT)) OVER (w ROWS BETWEEN 1 FOLLOWING AND {bracket} FOLLOWING), 0) AS ok_a,
            count(*) OVER (PARTITION BY video, label) AS n
          FROM conf WINDOW w AS (PARTITION BY video, label ORDER BY pos)),
 isl AS (SELECT *, pos - row_number() OVER (PARTITION BY video, label ORDER BY pos) AS g FROM ctx WHERE NOT ok),
@@ -22,10 +22,10 @@ urun AS (SELECT video, label, min(frame) AS "start", max(frame) AS "end", count(
          FROM isl GROUP BY video, label, g),
 judged AS (SELECT *, CASE WHEN min_likelihood > 0.6 THEN 'not_severe'
              WHEN length > {max_gap} THEN 'too_long'
-             WHEN s - 5 < 0 OR e + 5 >= n THEN 'at_video_edge'
-             WHEN ok_b < 5 OR ok_a < 5 THEN 'bracket_too_short' END AS reason FROM urun)
+             WHEN s - {bracket} < 0 OR e + {bracket} >= n THEN 'at_video_edge'
+             WHEN ok_b < {bracket} OR ok_a < {bracket} THEN 'bracket_too_short' END AS reason FROM urun)
 """
-GAPS = EVENTS + "," + RUNS.format(t="pred", max_gap=2)
+GAPS = EVENTS + "," + RUNS.format(t="pred", max_gap=2, bracket=5)
 GAP_COLUMNS = """video, label, "start", "end", length, round(ax0, 6) AS ax0, round(ay0, 6) AS ay0,
     round(ax1, 6) AS ax1, round(ay1, 6) AS ay1"""
 
@@ -38,11 +38,11 @@ def find_gaps(spark, d):
 
 
 @query(
-    f"""WITH {LINES}, {RUNS.format(t="lines", max_gap=45)}
+    f"""WITH {LINES}, {RUNS.format(t="lines", max_gap=12, bracket=1)}
     SELECT {GAP_COLUMNS}, round(min_likelihood, 6) AS min_likelihood FROM judged WHERE reason IS NULL"""
 )
 def find_gaps_long_tracks(spark, d):
-    return detect.find_gaps(src.line_tracks(spark, d))
+    return detect.find_gaps(src.line_tracks(spark, d), bracket=1, max_gap=12)
 
 
 @query(f"""WITH {GAPS} SELECT video, label, "start", "end", length, reason FROM judged WHERE reason IS NOT NULL""")
@@ -89,7 +89,7 @@ def runs_with_gap(spark, d):
     round(threshold, 6) AS threshold FROM thr"""
 )
 def robust_threshold(spark, d):
-    return runs.robust_threshold(_disagreement(spark, d), "d")
+    return runs.robust_threshold(_disagreement(spark, d), "d", sized_by=src.predictions(spark, d))
 
 
 def _disagreement(spark, d):
@@ -120,7 +120,7 @@ def disagreement_blips(spark, d):
     FROM thr LEFT JOIN c ON thr.video = c.video AND thr.label = c.label"""
 )
 def blip_label_stats(spark, d):
-    thresholds = runs.robust_threshold(_disagreement(spark, d), "d")
+    thresholds = runs.robust_threshold(_disagreement(spark, d), "d", sized_by=src.predictions(spark, d))
     return detect.blip_label_stats(_blip_runs(spark, d), thresholds)
 
 

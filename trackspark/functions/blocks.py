@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 16
-HOT_ROWS = 1 << 22
+HOT_ROWS = 1 << 20
 BLK = "_blk"
 OWN = "_own"
 
@@ -153,6 +153,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> list:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).collect()
 
 
+def key_table(df: DataFrame, keys: Sequence[str], hot: list) -> DataFrame:
+    """Hot keys as a broadcast table; `hot_keys` bounds its length."""
+    rows = [tuple(r[k] for k in keys) for r in hot]
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.select(*keys).schema))
+
+
 def ordinal(
     df: DataFrame,
     keys: Sequence[str],
@@ -161,26 +167,25 @@ def ordinal(
     split: Column,
     name: str = "pos",
     limit: int = HOT_ROWS,
+    hot: list | None = None,
 ) -> DataFrame:
     """Zero-based rank by ``order`` inside each key, for rows without frames.
 
     Keys above ``limit`` rows are cut into blocks at approximate quantiles of
     ``split``, a number that never decreases along ``order``; ranks stay exact
-    because every block starts at the number of rows before it.
+    because every block starts at the number of rows before it. ``hot`` passes
+    the result of `hot_keys` where it is known already.
     """
     keys = list(keys)
     plain = Window.partitionBy(*keys).orderBy(*order)
-    hot = hot_keys(df, keys, limit)
+    if hot is None:
+        hot = hot_keys(df, keys, limit)
     if not hot:
         return df.withColumn(name, F.row_number().over(plain).cast("long") - 1)
-    spark = df.sparkSession
     n_blocks = max(2, min(1000, -(-2 * max(r["_n"] for r in hot) // limit)))
-    hot_df = spark.createDataFrame(
-        [tuple(r[k] for k in keys) for r in hot], df.select(*keys).schema
-    )
     base = df.withColumn("_s", split)
     cuts = (
-        base.join(F.broadcast(hot_df), keys, "left_semi")
+        base.join(key_table(df, keys, hot), keys, "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx("_s", [i / n_blocks for i in range(1, n_blocks)], 10 * n_blocks).alias("_cuts"))
     )
@@ -230,7 +235,13 @@ def top_per_group(
 
 
 def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *, limit: int = HOT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    *,
+    limit: int = HOT_ROWS,
+    hot: list | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key, plus count, min and max.
 
@@ -240,17 +251,15 @@ def exact_percentiles(
     """
     keys = list(keys)
     rows = df.where(F.col(value).isNotNull())
-    hot = hot_keys(rows, keys, limit)
+    if hot is None:
+        hot = hot_keys(rows, keys, limit)
     extremes = [
         F.count(F.lit(1)).alias("n"), F.min(value).alias("v_min"), F.max(value).alias("v_max")
     ]
     exact = [F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()]
     if not hot:
         return rows.groupBy(*keys).agg(*extremes, *exact)
-    spark = df.sparkSession
-    hot_df = F.broadcast(
-        spark.createDataFrame([tuple(r[k] for k in keys) for r in hot], df.select(*keys).schema)
-    )
+    hot_df = key_table(df, keys, hot)
     cold = rows.join(hot_df, keys, "left_anti").groupBy(*keys).agg(*extremes, *exact)
     big = rows.join(hot_df, keys, "left_semi")
     out = big.groupBy(*keys).agg(*extremes)

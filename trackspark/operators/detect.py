@@ -157,7 +157,8 @@ def disagreement_runs(
     ``edge`` without a point on both sides.
     """
     seen = disagreement(positions, flow_positions)
-    limits = robust_threshold(seen, "d", factor=threshold_factor, limit=limit).select(*TRACE, "threshold")
+    limits = robust_threshold(seen, "d", factor=threshold_factor, limit=limit, sized_by=positions)
+    limits = limits.select(*TRACE, "threshold")
     rows = with_halo(seen, before=1, after=1, block=block)
     w = halo_window(TRACE)
     # An anchor must sit on the very next frame and be complete.

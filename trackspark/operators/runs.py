@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackspark.functions.blocks import BLK, BLOCK, HOT_ROWS, block_of, exact_percentiles
+from trackspark.functions.blocks import (
+    BLK, BLOCK, HOT_ROWS, block_of, exact_percentiles, hot_keys, key_table,
+)
 from trackspark.schema import TRACE
 
 # The flat-signal limit and the factor from MAD to sigma.
@@ -101,20 +103,56 @@ def robust_threshold(
     keys: Sequence[str] = TRACE,
     factor: float = 5.0,
     limit: int = HOT_ROWS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Median, MAD and outlier threshold of a value per trace.
 
     Normal signals get ``median + factor * 1.4826 * MAD``. A flat signal with
     spikes gets the midpoint of median and maximum, a constant one infinity.
+
+    Traces of up to ``limit`` rows are summarised in one pass over their sorted
+    values. Longer ones take two rounds of bracketed percentiles. ``sized_by``
+    is a cheaper table with at least as many rows per trace to count instead.
     """
     keys = list(keys)
-    stats = exact_percentiles(values, keys, value, {"med": 0.5}, limit=limit)
-    # One row per trace; the optimizer picks the join from its actual size.
-    spread = values.join(stats.select(*keys, "med"), keys).withColumn("_dev", F.abs(F.col(value) - F.col("med")))
-    mad = exact_percentiles(spread, keys, "_dev", {"mad": 0.5}, limit=limit).select(*keys, "mad")
+    rows = values.where(F.col(value).isNotNull()).select(*keys, value)
+    hot = hot_keys(rows if sized_by is None else sized_by, keys, limit)
+    if not hot:
+        stats = _one_pass_spread(rows, value, keys)
+    else:
+        hot_df = key_table(rows, keys, hot)
+        cold = _one_pass_spread(rows.join(hot_df, keys, "left_anti"), value, keys)
+        big = rows.join(hot_df, keys, "left_semi")
+        shape = exact_percentiles(big, keys, value, {"med": 0.5}, limit=limit, hot=hot)
+        # One row per hot trace.
+        far = big.join(F.broadcast(shape.select(*keys, "med")), keys)
+        far = far.withColumn("_dev", F.abs(F.col(value) - F.col("med")))
+        mad = exact_percentiles(far, keys, "_dev", {"mad": 0.5}, limit=limit, hot=hot).select(*keys, "mad")
+        stats = cold.unionByName(shape.join(mad, keys).select(cold.columns))
     threshold = (
         F.when(F.col("mad") >= MAD_ZERO, F.col("med") + factor * MAD_TO_SIGMA * F.col("mad"))
         .when(F.col("v_max") - F.col("v_min") < MAD_ZERO, F.lit(float("inf")))
         .otherwise(0.5 * (F.col("med") + F.col("v_max")))
     )
-    return stats.join(mad, keys).select(*keys, "n", "med", "mad", threshold.alias("threshold"))
+    return stats.select(*keys, "n", "med", "mad", threshold.alias("threshold"))
+
+
+def _one_pass_spread(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    sorted_values = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_v"))
+    n = F.size("_v")
+
+    def middle(values: Column) -> Column:
+        lo = F.element_at(values, F.floor((n + 1) / 2).cast("int"))
+        hi = F.element_at(values, F.floor((n + 2) / 2).cast("int"))
+        return lo + (hi - lo) * F.lit(0.5)
+
+    centred = sorted_values.withColumn("med", middle(F.col("_v")))
+    deviations = F.sort_array(F.transform("_v", lambda v: F.abs(v - F.col("med"))))
+    return centred.withColumn("_d", deviations).select(
+        *keys,
+        n.cast("long").alias("n"),
+        F.element_at("_v", 1).alias("v_min"),
+        F.element_at("_v", -1).alias("v_max"),
+        "med",
+        middle(F.col("_d")).alias("mad"),
+    )
