@@ -6,7 +6,7 @@ import importlib
 
 from trackspark.catalog.base import ORACLES, QUERIES
 
-AREAS = ["detection", "layering", "auditing", "lookups"]
+AREAS = ["detection", "layering", "auditing", "lookups", "repairing"]
 
 
 def _load() -> None:
