@@ -6,7 +6,9 @@ import importlib
 
 from trackspark.catalog.base import ORACLES, QUERIES
 
-AREAS = ["detection", "layering", "auditing", "lookups", "repairing"]
+AREAS = [
+    "detection", "layering", "auditing", "lookups", "repairing", "selecting", "curating", "naming", "filing", "modelling",
+]
 
 
 def _load() -> None:

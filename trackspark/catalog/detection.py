@@ -34,7 +34,7 @@ GAP_COLUMNS = """video, label, "start", "end", length, round(ax0, 6) AS ax0, rou
     f"WITH {GAPS} SELECT {GAP_COLUMNS}, round(min_likelihood, 6) AS min_likelihood FROM judged WHERE reason IS NULL"
 )
 def find_gaps(spark, d):
-    return detect.find_gaps(src.predictions(spark, d), max_gap=2, dense=True)
+    return detect.find_gaps(src.predictions(spark, d), max_gap=2, dense=True, block=src.event_block(spark, d))
 
 
 @query(
@@ -42,12 +42,12 @@ def find_gaps(spark, d):
     SELECT {GAP_COLUMNS}, round(min_likelihood, 6) AS min_likelihood FROM judged WHERE reason IS NULL"""
 )
 def find_gaps_long_tracks(spark, d):
-    return detect.find_gaps(src.line_tracks(spark, d), bracket=1, max_gap=12)
+    return detect.find_gaps(src.line_tracks(spark, d), bracket=1, max_gap=12, block=src.line_block(spark, d))
 
 
 @query(f"""WITH {GAPS} SELECT video, label, "start", "end", length, reason FROM judged WHERE reason IS NOT NULL""")
 def rejected_runs(spark, d):
-    return detect.rejected_runs(src.predictions(spark, d), max_gap=2, dense=True)
+    return detect.rejected_runs(src.predictions(spark, d), max_gap=2, dense=True, block=src.event_block(spark, d))
 
 
 @query(
@@ -55,7 +55,7 @@ def rejected_runs(spark, d):
     FROM judged WHERE reason IS NOT NULL GROUP BY video, reason"""
 )
 def rejected_summary(spark, d):
-    return detect.rejected_summary(detect.uncertain_runs(src.predictions(spark, d), max_gap=2, dense=True))
+    return detect.rejected_summary(detect.uncertain_runs(src.predictions(spark, d), max_gap=2, dense=True, block=src.event_block(spark, d)))
 
 
 @query(
@@ -70,7 +70,7 @@ def rejected_summary(spark, d):
     FROM a LEFT JOIN b ON a.video = b.video AND a.label = b.label"""
 )
 def gap_label_stats(spark, d):
-    return detect.gap_label_stats(src.predictions(spark, d), max_gap=2, dense=True)
+    return detect.gap_label_stats(src.predictions(spark, d), max_gap=2, dense=True, block=src.event_block(spark, d))
 
 
 @query(
@@ -81,7 +81,7 @@ def gap_label_stats(spark, d):
       count(*) AS n_hits FROM g GROUP BY video, label, g"""
 )
 def runs_with_gap(spark, d):
-    return runs.runs(src.predictions(spark, d).where(F.col("likelihood") < 0.9), max_gap=2)
+    return runs.runs(src.predictions(spark, d).where(F.col("likelihood") < 0.9), max_gap=2, block=src.event_block(spark, d))
 
 
 @query(
@@ -99,7 +99,7 @@ def _disagreement(spark, d):
 
 def _blip_runs(spark, d):
     pred = src.predictions(spark, d)
-    return detect.disagreement_runs(pred, flow.flow_layer(pred, src.flow(spark, d)))
+    return detect.disagreement_runs(pred, flow.flow_layer(pred, src.flow(spark, d)), block=src.event_block(spark, d))
 
 
 def _blips(spark, d):
@@ -182,7 +182,7 @@ def low_confidence_frames(spark, d):
     FROM c"""
 )
 def nearest_confident(spark, d):
-    return detect.nearest_confident(src.predictions(spark, d)).select(
+    return detect.nearest_confident(src.predictions(spark, d), block=src.event_block(spark, d)).select(
         "video", "label", "frame", F.col("before.frame").alias("before_frame"), F.col("after.frame").alias("after_frame")
     )
 
@@ -209,13 +209,13 @@ RESIDUAL_COLUMNS = """video, label, frame, round(residual, 6) AS residual, round
 
 @query(f"WITH {RESIDUAL} SELECT {RESIDUAL_COLUMNS} FROM resid")
 def flow_residual(spark, d):
-    return flow.flow_residual(src.predictions(spark, d), src.flow(spark, d))
+    return flow.flow_residual(src.predictions(spark, d), src.flow(spark, d), block=src.event_block(spark, d))
 
 
 @query(f"WITH {RESIDUAL} SELECT {RESIDUAL_COLUMNS} FROM resid WHERE frame % 9 = 4")
 def flow_residual_at_frames(spark, d):
     pred = src.predictions(spark, d)
-    return flow.flow_residual(pred, src.flow(spark, d), frames=pred.where(F.col("frame") % 9 == 4))
+    return flow.flow_residual(pred, src.flow(spark, d), frames=pred.where(F.col("frame") % 9 == 4), block=src.event_block(spark, d))
 
 
 @query(f"WITH {FLOW} SELECT video, label, frame, round(x, 6) AS x, round(y, 6) AS y FROM lk")

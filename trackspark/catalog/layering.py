@@ -100,7 +100,7 @@ def keep_complete_frames(spark, d):
 def keep_complete_runs(spark, d):
     rows = src.predictions(spark, d, with_event=True).where((F.col("label") == "0") | (F.col("k") >= 60))
     rows = rows.select("video", F.lit("iteration-0").alias("layer"), "label", "frame", "x", "y")
-    return layers.keep_complete_runs(rows, src.declared_pair(rows))
+    return layers.keep_complete_runs(rows, src.declared_pair(rows), block=src.event_block(spark, d))
 
 
 @query(

@@ -23,7 +23,7 @@ near AS (SELECT *, CASE WHEN here THEN frame WHEN a - frame <= frame - b THEN a
 )
 def neighbour_frames_of_label(spark, d):
     probes = src.predictions(spark, d).where(F.col("frame") % 3 == 1)
-    return asof.neighbour_frames(src.manual_layer(spark, d), probes)
+    return asof.neighbour_frames(src.manual_layer(spark, d), probes, block=src.event_block(spark, d))
 
 
 @query(
@@ -32,7 +32,7 @@ def neighbour_frames_of_label(spark, d):
 )
 def neighbour_frames_any_label(spark, d):
     probes = src.predictions(spark, d).where(F.col("frame") % 3 == 1)
-    return asof.neighbour_frames(src.manual_layer(spark, d), probes, keys=("video",))
+    return asof.neighbour_frames(src.manual_layer(spark, d), probes, keys=("video",), block=src.event_block(spark, d))
 
 
 @query(
@@ -45,7 +45,7 @@ def neighbour_frames_any_label(spark, d):
 def common_nearest_frame(spark, d):
     two = src.manual_layer(spark, d).where(F.col("label").isin("0", "1"))
     probes = src.event_frames(spark, d).where(F.col("frame") % 3 == 1).select("video", "frame")
-    return asof.common_nearest_frame(two, probes)
+    return asof.common_nearest_frame(two, probes, block=src.event_block(spark, d))
 
 
 @query(

@@ -41,7 +41,7 @@ repaired AS (SELECT b.video, b.label, b."start" + 1 AS "start", b."end" - 1 AS "
 
 
 def severe_runs(spark, d):
-    found = detect.uncertain_runs(src.predictions(spark, d), dense=True)
+    found = detect.uncertain_runs(src.predictions(spark, d), dense=True, block=src.event_block(spark, d))
     anchored = F.col("ax0").isNotNull() & F.col("ax1").isNotNull()
     return found.where((F.coalesce("reason", F.lit("")) != "not_severe") & anchored)
 
@@ -50,7 +50,7 @@ def severe_runs(spark, d):
     f"""WITH {SEVERE} SELECT video, label, "start", "end", frame, {XY}, round(disagreement, 6) AS disagreement FROM repaired"""
 )
 def repair_gaps(spark, d):
-    return repair.repair_gaps(severe_runs(spark, d), src.flow(spark, d))
+    return repair.repair_gaps(severe_runs(spark, d), src.flow(spark, d), block=src.event_block(spark, d))
 
 
 @query(
@@ -58,7 +58,7 @@ def repair_gaps(spark, d):
     CASE WHEN worst > 5.0 THEN 'untrusted' END AS reason FROM verdict"""
 )
 def gap_verdicts(spark, d):
-    return repair.gap_verdicts(severe_runs(spark, d), src.flow(spark, d))
+    return repair.gap_verdicts(severe_runs(spark, d), src.flow(spark, d), block=src.event_block(spark, d))
 
 
 @query(
@@ -70,7 +70,7 @@ def gap_verdicts(spark, d):
     count(*) FILTER (disagreement <= 2) AS n_trusted FROM repaired GROUP BY video"""
 )
 def repair_report(spark, d):
-    return repair.repair_report(repair.repair_gaps(severe_runs(spark, d), src.flow(spark, d)))
+    return repair.repair_report(repair.repair_gaps(severe_runs(spark, d), src.flow(spark, d), block=src.event_block(spark, d)))
 
 
 SPAN_RUNS = FLOW + "," + INTERVALS + """,
@@ -95,7 +95,7 @@ def _span_runs(spark, d):
     round(rev_x, 6) AS rev_x, round(rev_y, 6) AS rev_y, round(disagreement, 6) AS disagreement FROM blended"""
 )
 def rstc_blend(spark, d):
-    return repair.rstc_blend(_span_runs(spark, d), src.flow(spark, d), return_paths=True)
+    return repair.rstc_blend(_span_runs(spark, d), src.flow(spark, d), return_paths=True, block=src.event_block(spark, d))
 
 
 @query(
@@ -103,7 +103,7 @@ def rstc_blend(spark, d):
 )
 def rstc_blend_one_frame(spark, d):
     spans = _span_runs(spark, d).withColumn("target", F.col("start") + 3)
-    return repair.rstc_blend(spans, src.flow(spark, d), target_frame="target")
+    return repair.rstc_blend(spans, src.flow(spark, d), target_frame="target", block=src.event_block(spark, d))
 
 
 @query(
@@ -112,7 +112,7 @@ def rstc_blend_one_frame(spark, d):
 def blend_tracker_paths(spark, d):
     """The same blend from paths an external tracker stored per run."""
     spans = _span_runs(spark, d).withColumn("run_id", F.concat_ws("/", "video", "label", "start"))
-    paths = repair.tracked_paths(spans, src.flow(spark, d)).withColumn("run_id", F.concat_ws("/", "video", "label", "start"))
+    paths = repair.tracked_paths(spans, src.flow(spark, d), block=src.event_block(spark, d)).withColumn("run_id", F.concat_ws("/", "video", "label", "start"))
     tracks = paths.select("run_id", "video", "label", "frame", "fwd_x", "fwd_y", "rev_x", "rev_y")
     return repair.blend_tracks(spans, tracks).select("video", "label", "start", "end", "frame", "x", "y", "disagreement")
 
@@ -127,7 +127,7 @@ def blend_tracker_paths(spark, d):
 )
 def interpolate_interval(spark, d):
     return repair.interpolate_intervals(
-        src.manual_layer(spark, d), src.dense_layer(spark, d), src.intervals(spark, d), src.flow(spark, d)
+        src.manual_layer(spark, d), src.dense_layer(spark, d), src.intervals(spark, d), src.flow(spark, d), block=src.event_block(spark, d)
     )
 
 
@@ -146,7 +146,7 @@ def propagate(spark, d):
     anchors = src.predictions(spark, d, with_event=True).where("frame = 20").withColumn(
         "to", F.when(F.col("k") % 2 == 0, F.col("frame") + 6).otherwise(F.col("frame") - 6)
     )
-    return repair.propagate(anchors, src.flow(spark, d))
+    return repair.propagate(anchors, src.flow(spark, d), block=src.event_block(spark, d))
 
 
 @query(
@@ -159,7 +159,7 @@ def propagate(spark, d):
 )
 def interpolate_between_labels(spark, d):
     sparse = src.predictions(spark, d).where(F.col("frame") % 6 == 0)
-    return repair.interpolate_between_labels(sparse, src.flow(spark, d))
+    return repair.interpolate_between_labels(sparse, src.flow(spark, d), block=src.event_block(spark, d))
 
 
 @query(
@@ -174,7 +174,7 @@ def interpolate_between_labels(spark, d):
 )
 def interpolate_near_frame(spark, d):
     sparse = src.predictions(spark, d).where(F.col("frame") % 6 == 0)
-    return repair.interpolate_between_labels(sparse, src.flow(spark, d), mode="minimal", label="1", frame=20)
+    return repair.interpolate_between_labels(sparse, src.flow(spark, d), mode="minimal", label="1", frame=20, block=src.event_block(spark, d))
 
 
 FIXED_BLIPS = BLIPS + """,
@@ -187,7 +187,7 @@ fixed AS (SELECT video, label, frame, x, y FROM blended WHERE frame > "start" AN
 def _deblip(spark, d, part):
     layers, steps = src.dense_layer(spark, d), src.flow(spark, d)
     landed = flow.flow_layer(src.predictions(spark, d), steps)
-    return workflows.deblip(layers, "dlc_iteration-0_100", landed, steps)[part]
+    return workflows.deblip(layers, "dlc_iteration-0_100", landed, steps, block=src.event_block(spark, d))[part]
 
 
 @query(f"WITH {FIXED_BLIPS} SELECT video, label, frame, {XY} FROM fixed")
@@ -217,12 +217,12 @@ full_ AS (SELECT w.video, w.label, w.frame, g.x AS gx, g.y AS gy, a.x AS px, a.y
 need AS (SELECT DISTINCT f.video, f.label, bf AS "start", af AS "end", b.x AS ax0, b.y AS ay0, a.x AS ax1, a.y AS ay1 FROM full_ f
   JOIN pred b ON b.video = f.video AND b.label = f.label AND b.frame = f.bf
   JOIN pred a ON a.video = f.video AND a.label = f.label AND a.frame = f.af
-  WHERE gx IS NULL AND NOT likelihood >= 0.9 AND af - bf <= 45),
+  WHERE gx IS NULL AND NOT f.likelihood >= 0.9 AND f.af - f.bf <= 45),
 """ + BLEND.format(runs="need", steep=STEEP) + """,
 cand AS (SELECT f.video, f.label, f.frame,
-    CASE WHEN gx IS NOT NULL THEN 'given' WHEN likelihood >= 0.9 THEN 'prediction' ELSE 'flow' END AS source,
-    CASE WHEN gx IS NOT NULL THEN gx WHEN likelihood >= 0.9 THEN px ELSE b.x END AS x,
-    CASE WHEN gx IS NOT NULL THEN gy WHEN likelihood >= 0.9 THEN py ELSE b.y END AS y
+    CASE WHEN f.gx IS NOT NULL THEN 'given' WHEN f.likelihood >= 0.9 THEN 'prediction' ELSE 'flow' END AS source,
+    CASE WHEN f.gx IS NOT NULL THEN f.gx WHEN f.likelihood >= 0.9 THEN f.px ELSE b.x END AS x,
+    CASE WHEN f.gx IS NOT NULL THEN f.gy WHEN f.likelihood >= 0.9 THEN f.py ELSE b.y END AS y
   FROM full_ f LEFT JOIN blended b ON b.video = f.video AND b.label = f.label AND b.frame = f.frame AND b."start" = f.bf AND b.disagreement <= 5.0),
 completed AS (SELECT * FROM cand c WHERE NOT EXISTS (SELECT 1 FROM cand o WHERE o.video = c.video AND o.frame = c.frame AND o.x IS NULL))
 """
@@ -234,7 +234,7 @@ def _selected(spark, d):
 
 
 def _completed(spark, d):
-    return repair.complete_frames(_selected(spark, d), src.predictions(spark, d), src.flow(spark, d))
+    return repair.complete_frames(_selected(spark, d), src.predictions(spark, d), src.flow(spark, d), block=src.event_block(spark, d))
 
 
 @query(f"WITH {COMPLETED} SELECT video, label, frame, {XY}, source FROM completed")
@@ -273,14 +273,14 @@ pieces AS (SELECT video, label, frame, window_start, w * ux + (1 - w) * vx AS x,
 @query(f"WITH {WINDOWS} SELECT video, label, frame, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM pieces GROUP BY video, label, frame")
 def smooth_moving_average(spark, d):
     return smooth.smooth_moving_average(
-        src.predictions(spark, d), src.flow(spark, d), src.event_videos(spark, d), n_window=smooth.window_frames(0.3, 30)
+        src.predictions(spark, d), src.flow(spark, d), src.event_videos(spark, d), n_window=smooth.window_frames(0.3, 30), block=src.event_block(spark, d)
     )
 
 
 @query(f"WITH {WINDOWS} SELECT video, label, frame, window_start, {XY} FROM pieces")
 def moving_average_windows(spark, d):
     return smooth.moving_average_windows(
-        src.predictions(spark, d), src.flow(spark, d), src.event_videos(spark, d), n_window=9
+        src.predictions(spark, d), src.flow(spark, d), src.event_videos(spark, d), n_window=9, block=src.event_block(spark, d)
     )
 
 
@@ -310,7 +310,7 @@ def smoothing_coverage(spark, d):
 def decimate_interval(spark, d):
     rows = src.predictions(spark, d, with_event=True).where((F.col("label") == "0") | (F.col("k") >= 20))
     rows = rows.select("video", F.lit("iteration-0").alias("layer"), "label", "frame", "x", "y")
-    return smooth.decimate_intervals(rows, src.intervals(spark, d).drop("label"))
+    return smooth.decimate_intervals(rows, src.intervals(spark, d).drop("label"), block=src.event_block(spark, d))
 
 
 # Low-pass with period 5 between frames start .. end of label 0, every third point missing.
@@ -348,7 +348,7 @@ def _holed(spark, d):
     FROM holed h LEFT JOIN lp ON lp.video = h.video AND lp.label = h.label AND lp.frame = h.frame"""
 )
 def lowpass_interval(spark, d):
-    return smooth.lowpass_intervals(_holed(spark, d), src.intervals(spark, d), period=5)
+    return smooth.lowpass_intervals(_holed(spark, d), src.intervals(spark, d), period=5, block=src.event_block(spark, d))
 
 
 @query(

@@ -12,6 +12,10 @@ of one trace:
   blocks and completed by one small summary row per block (`scan`).
 
 Frames are unique per key, so a block holds at most ``block`` rows per key.
+
+A caller who has checked that every trace fits one block (`one_block`) passes
+``block=None``: the same results then come from one plain window per trace,
+without summary rows and without joining them back.
 """
 
 from __future__ import annotations
@@ -27,19 +31,33 @@ BLK = "_blk"
 OWN = "_own"
 
 
-def block_of(order: str | Column, block: int = BLOCK) -> Column:
+def block_of(order: str | Column, block: int | None = BLOCK) -> Column:
+    if block is None:
+        return F.lit(0).cast("long")
     col = F.col(order) if isinstance(order, str) else order
     return F.floor(col / F.lit(block)).cast("long")
 
 
+def one_block(df: DataFrame, order: str = "frame", block: int = BLOCK) -> int | None:
+    """None if all rows lie in the first block, else the block size.
+
+    Reads one column; meant for stored tables, where that is cheap.
+    """
+    top = df.agg(F.max(order)).first()[0]
+    low = df.agg(F.min(order)).first()[0] if top is not None and top < block else 0
+    return block if top is not None and (top >= block or low < 0) else None
+
+
 def with_halo(
-    df: DataFrame, *, before: int, after: int, order: str = "frame", block: int = BLOCK
+    df: DataFrame, *, before: int, after: int, order: str = "frame", block: int | None = BLOCK
 ) -> DataFrame:
     """Send each row to every block that may look at it.
 
     A row of frame f is context for frames f-after .. f+before. Adds the block
     number and whether the row belongs to that block or is only context.
     """
+    if block is None:
+        return df.withColumns({BLK: F.lit(0).cast("long"), OWN: F.lit(True)})
     f = F.col(order)
     low = block_of(f - F.lit(after), block)
     high = block_of(f + F.lit(before), block)
@@ -53,8 +71,18 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col(OWN)).drop(BLK, OWN)
 
 
-def halo_window(keys: Sequence[str], order: str = "frame"):
-    return Window.partitionBy(*keys, BLK).orderBy(order)
+def halo_window(keys: Sequence[str], order: str = "frame", block: int | None = BLOCK):
+    return Window.partitionBy(*keys, *([] if block is None else [BLK])).orderBy(order)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Spread a small table before its rows grow.
+
+    The number of partitions is given, so the adaptive planner does not merge
+    them for being small.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *columns)
 
 
 FORWARD = {"sum", "last", "prev"}
@@ -67,7 +95,7 @@ def scan(
     specs: dict[str, tuple[str, Column]],
     *,
     order: str = "frame",
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Add running values along each trace.
 
@@ -83,6 +111,21 @@ def scan(
         BLK, block_of(order, block)
     )
 
+    up = Window.partitionBy(*keys, *([] if block is None else [BLK])).orderBy(order)
+    down = Window.partitionBy(*keys, *([] if block is None else [BLK])).orderBy(F.desc(order))
+    start = Window.unboundedPreceding
+    local = {}
+    for v, (_, kind, _) in values.items():
+        w = up if kind in FORWARD else down
+        if kind in ("sum", "rsum"):
+            local[f"{v}l"] = F.sum(v).over(w.rowsBetween(start, 0))
+        else:
+            stop = 0 if kind in ("last", "first") else -1
+            local[f"{v}l"] = F.last(v, ignorenulls=True).over(w.rowsBetween(start, stop))
+    if block is None:
+        names = {name: F.col(f"{v}l") for v, (name, _, _) in values.items()}
+        return base.withColumns(local).withColumns(names).drop(BLK, *values, *local)
+
     totals = []
     for v, (_, kind, _) in values.items():
         if kind in ("sum", "rsum"):
@@ -102,17 +145,6 @@ def scan(
         carried.append(fold.over(w).alias(f"{v}c"))
     carry = summary.select(*keys, BLK, *carried)
 
-    up = Window.partitionBy(*keys, BLK).orderBy(order)
-    down = Window.partitionBy(*keys, BLK).orderBy(F.desc(order))
-    start = Window.unboundedPreceding
-    local = {}
-    for v, (_, kind, _) in values.items():
-        w = up if kind in FORWARD else down
-        if kind in ("sum", "rsum"):
-            local[f"{v}l"] = F.sum(v).over(w.rowsBetween(start, 0))
-        else:
-            stop = 0 if kind in ("last", "first") else -1
-            local[f"{v}l"] = F.last(v, ignorenulls=True).over(w.rowsBetween(start, stop))
     joined = base.withColumns(local).join(_null_safe(carry, keys), [*keys, BLK], "left")
 
     done = {}
@@ -136,7 +168,12 @@ def _null_safe(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def position(
-    df: DataFrame, keys: Sequence[str], *, order: str = "frame", name: str = "pos", block: int = BLOCK
+    df: DataFrame,
+    keys: Sequence[str],
+    *,
+    order: str = "frame",
+    name: str = "pos",
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Zero-based row position inside each trace."""
     return scan(df, keys, {name: ("sum", F.lit(1).cast("long"))}, order=order, block=block).withColumn(

@@ -7,15 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.functions.blocks import BLOCK, scan
+from trackspark.functions.blocks import BLOCK, scan, spread
 from trackspark.functions.geometry import distance
 from trackspark.functions.names import label_from_bodypart
-from trackspark.operators.repair import spread
 from trackspark.schema import TRACE
 
 
 def neighbour_frames(
-    frames: DataFrame, probes: DataFrame, *, keys: Sequence[str] = TRACE, block: int = BLOCK
+    frames: DataFrame, probes: DataFrame, *, keys: Sequence[str] = TRACE, block: int | None = BLOCK
 ) -> DataFrame:
     """Nearest, previous and next annotated frame of each probe frame.
 

@@ -32,7 +32,7 @@ def uncertain_runs(
     max_gap: int = MAX_GAP,
     labels: Sequence[str] | None = None,
     dense: bool = False,
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Every stretch of unconfident rows with the verdict on it.
 
@@ -46,7 +46,7 @@ def uncertain_runs(
     rows = predictions.select("video", "label", "frame", "x", "y", "likelihood")
     rows = rows.withColumn("pos", F.col("frame")) if dense else position(rows, TRACE, block=block)
     rows = with_halo(rows.withColumn("ok", confident(high)), before=bracket, after=bracket, order="pos", block=block)
-    w = halo_window(TRACE, "pos")
+    w = halo_window(TRACE, "pos", block)
     ahead, behind = w.rowsBetween(-bracket, -1), w.rowsBetween(1, bracket)
     n_ok = F.sum(F.col("ok").cast("int"))
     seen = rows.select(
@@ -149,7 +149,7 @@ def disagreement_runs(
     max_gap: int = 1,
     max_blip_length: int | None = None,
     limit: int = HOT_ROWS,
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Runs where the model and the flow disagree beyond a robust threshold.
 
@@ -160,7 +160,7 @@ def disagreement_runs(
     limits = robust_threshold(seen, "d", factor=threshold_factor, limit=limit, sized_by=positions)
     limits = limits.select(*TRACE, "threshold")
     rows = with_halo(seen, before=1, after=1, block=block)
-    w = halo_window(TRACE)
+    w = halo_window(TRACE, block=block)
     # An anchor must sit on the very next frame and be complete.
     complete = F.col("x").isNotNull() & F.col("y").isNotNull()
     here = F.when(complete, F.struct("frame", "x", "y"))
@@ -294,7 +294,7 @@ def low_confidence_frames(
     )
 
 
-def nearest_confident(predictions: DataFrame, *, high: float = HIGH, block: int = BLOCK) -> DataFrame:
+def nearest_confident(predictions: DataFrame, *, high: float = HIGH, block: int | None = BLOCK) -> DataFrame:
     """The closest confident frames strictly before and after each row."""
     at = F.when(confident(high), F.struct("frame", "x", "y"))
     return scan(predictions, TRACE, {"before": ("prev", at), "after": ("next", at)}, block=block)

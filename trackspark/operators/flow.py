@@ -46,7 +46,7 @@ def flow_layer(positions: DataFrame, flow: DataFrame) -> DataFrame:
 
 
 def flow_residual(
-    positions: DataFrame, flow: DataFrame, *, frames: DataFrame | None = None, block: int = BLOCK
+    positions: DataFrame, flow: DataFrame, *, frames: DataFrame | None = None, block: int | None = BLOCK
 ) -> DataFrame:
     """How far each point is from what the flow says on both sides.
 
@@ -60,7 +60,7 @@ def flow_residual(
         rows = rows.join(near.distinct(), ["video", "frame"], "left_semi").select(*STEP, "x", "y")
     rows = rows.join(flow, STEP, "left")
     rows = with_halo(rows, before=1, after=1, block=block)
-    w = halo_window(TRACE)
+    w = halo_window(TRACE, block=block)
     here = F.struct("frame", "x", "y")
     rows = own_rows(rows.withColumns({"_b": F.lag(here).over(w), "_a": F.lead(here).over(w)}))
     adjacent = (F.col("_b.frame") == F.col("frame") - 1) & (F.col("_a.frame") == F.col("frame") + 1)

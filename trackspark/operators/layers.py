@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackspark.functions.blocks import BLOCK, halo_window, own_rows, with_halo
+from trackspark.functions.blocks import BLOCK, halo_window, own_rows, spread, with_halo
 from trackspark.schema import LAYER, LAYER_TRACE
 
 POINT = [*LAYER_TRACE, "frame"]
@@ -124,10 +124,10 @@ def keep_complete_frames(points: DataFrame, declared: DataFrame) -> DataFrame:
     return _keep_frames(points, _complete_frames(points, declared))
 
 
-def keep_complete_runs(points: DataFrame, declared: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def keep_complete_runs(points: DataFrame, declared: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
     """Keep complete frames that have a complete direct neighbour."""
     rows = with_halo(_complete_frames(points, declared), before=1, after=1, block=block)
-    w = halo_window(LAYER)
+    w = halo_window(LAYER, block=block)
     beside = (F.lag("frame").over(w) == F.col("frame") - 1) | (F.lead("frame").over(w) == F.col("frame") + 1)
     rows = rows.withColumn("_near", F.coalesce(beside, F.lit(False)))
     # `beside` is NULL-or-true logic: one missing side must not hide the other.
@@ -151,7 +151,7 @@ def densify(
     spans = declared.select(*LAYER_TRACE).join(videos, "video").where(F.col("n_frames") > 0)
     # The first frames of the blocks are spread out before they grow into rows.
     starts = spans.withColumn("_from", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1, F.lit(block))))
-    starts = starts.repartition(*LAYER_TRACE, "_from")
+    starts = spread(starts, *LAYER_TRACE, "_from")
     stop = F.least(F.col("_from") + block - 1, F.col("n_frames") - 1)
     spine = starts.withColumn("frame", F.explode(F.sequence(F.col("_from"), stop)))
     joined = spine.join(points.select(*POINT, "x", "y"), POINT, "left")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackspark.functions.blocks import BLOCK, BLK, block_of, exact_percentiles, scan, top_per_group
+from trackspark.functions.blocks import (
+    BLK, BLOCK, block_of, exact_percentiles, scan, spread, top_per_group,
+)
 from trackspark.functions.geometry import blend, distance, forward_weight
 from trackspark.operators.detect import HIGH, MAX_GAP, confident, nearest_confident
 from trackspark.operators.layers import patch_layer
@@ -18,18 +20,10 @@ ANCHORS = ["ax0", "ay0", "ax1", "ay1"]
 MAX_DISAGREEMENT = 5.0
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Spread a small table before its rows grow.
-
-    The number of partitions is given, so the adaptive planner does not merge
-    them for being small.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *columns)
-
-
-def run_frames(runs: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def run_frames(runs: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
     """All frames ``start .. end`` of each run; long runs grow block by block."""
+    if block is None:
+        return spread(runs, *RUN).withColumn("frame", F.explode(F.sequence("start", "end")))
     cut = runs.withColumn(
         BLK, F.explode(F.sequence(block_of("start", block), block_of("end", block)))
     )
@@ -38,15 +32,22 @@ def run_frames(runs: DataFrame, *, block: int = BLOCK) -> DataFrame:
     return spread(cut, *RUN, BLK).withColumn("frame", F.explode(F.sequence(lo, hi))).drop(BLK)
 
 
-def with_verdict(frames: DataFrame, verdict: DataFrame, *, block: int = BLOCK) -> DataFrame:
-    """Join one row per run to the frames of the run, block by block."""
-    per_block = verdict.withColumn(
+def with_run_figures(frames: DataFrame, figures: dict[str, Column], *, block: int | None = BLOCK) -> DataFrame:
+    """Add aggregates over all frames of a run to each of its frames.
+
+    Runs longer than a block are aggregated apart and joined block by block.
+    """
+    if block is None:
+        whole = Window.partitionBy(*RUN)
+        return frames.withColumns({name: figure.over(whole) for name, figure in figures.items()})
+    totals = [figure.alias(name) for name, figure in figures.items()]
+    per_run = frames.groupBy(*RUN).agg(*totals).withColumn(
         BLK, F.explode(F.sequence(block_of("start", block), block_of("end", block)))
     )
-    return frames.withColumn(BLK, block_of("frame", block)).join(per_block, [*RUN, BLK]).drop(BLK)
+    return frames.withColumn(BLK, block_of("frame", block)).join(per_run, [*RUN, BLK]).drop(BLK)
 
 
-def tracked_paths(runs: DataFrame, flow: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def tracked_paths(runs: DataFrame, flow: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
     """Forward path from the first anchor and reverse path from the last one.
 
     ``runs`` are anchored at ``start`` and ``end`` themselves. ``n_missing``
@@ -113,7 +114,7 @@ def rstc_blend(
     *,
     target_frame: str | None = None,
     return_paths: bool = False,
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Blended path of every anchored run, ends included.
 
@@ -121,8 +122,8 @@ def rstc_blend(
     names a column of ``runs`` with the one frame to return.
     """
     paths = blend_paths(tracked_paths(runs.where(F.col("end") > F.col("start")), flow, block=block))
-    holes = paths.groupBy(*RUN).agg(F.sum("n_missing").alias("_holes"))
-    paths = with_verdict(paths, holes, block=block).where(F.col("_holes") == 0).drop("_holes", "n_missing")
+    paths = with_run_figures(paths, {"_holes": F.sum("n_missing")}, block=block)
+    paths = paths.where(F.col("_holes") == 0).drop("_holes", "n_missing")
     if target_frame is not None:
         targets = runs.select(*RUN, F.col(target_frame).alias("frame")).distinct()
         paths = paths.join(targets, [*RUN, "frame"], "left_semi")
@@ -142,40 +143,40 @@ def _interior(paths: DataFrame) -> DataFrame:
     return inside.withColumns({"start": F.col("start") + 1, "end": F.col("end") - 1})
 
 
-def interpolate_runs(blips: DataFrame, flow: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def interpolate_runs(blips: DataFrame, flow: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
     """Replacement points for the frames of each blip."""
     return _interior(rstc_blend(_anchored(blips), flow, block=block)).select(*STEP, "x", "y")
 
 
-def judged_gaps(
-    gaps: DataFrame, flow: DataFrame, *, max_disagreement: float = MAX_DISAGREEMENT, block: int = BLOCK
-) -> tuple[DataFrame, DataFrame]:
-    """Frames of the repaired gaps, and per gap its worst disagreement and verdict.
-
-    The verdict is NULL for a trusted gap, else ``flow_missing`` or ``untrusted``.
-    """
+def _judged(gaps: DataFrame, flow: DataFrame, max_disagreement: float, block: int | None) -> DataFrame:
     paths = blend_paths(tracked_paths(_anchored(gaps), flow, block=block))
     inside = (F.col("frame") > F.col("start")) & (F.col("frame") < F.col("end"))
-    verdict = paths.groupBy(*RUN).agg(
-        F.sum("n_missing").alias("_holes"),
-        F.coalesce(F.max(F.when(inside, F.col("disagreement"))), F.lit(0.0)).alias("worst"),
-    )
-    verdict = verdict.withColumn(
-        "reason",
-        F.when(F.col("_holes") > 0, "flow_missing").when(F.col("worst") > max_disagreement, "untrusted"),
-    ).drop("_holes")
-    frames = _interior(with_verdict(paths, verdict.where(F.col("reason").isNull()), block=block))
-    report = verdict.withColumns({"start": F.col("start") + 1, "end": F.col("end") - 1})
-    return frames.select(*RUN, "frame", "x", "y", "disagreement"), report
+    # Every gap has at least one frame inside.
+    worst = F.max(F.when(inside, F.col("disagreement")))
+    rows = with_run_figures(paths, {"_holes": F.sum("n_missing"), "worst": worst}, block=block)
+    reason = F.when(F.col("_holes") > 0, "flow_missing").when(F.col("worst") > max_disagreement, "untrusted")
+    return rows.withColumn("reason", reason).drop("_holes")
 
 
-def repair_gaps(gaps: DataFrame, flow: DataFrame, **params) -> DataFrame:
-    """All frames of the gaps whose tracks agree, with their disagreement."""
-    return judged_gaps(gaps, flow, **params)[0]
+def repair_gaps(
+    gaps: DataFrame, flow: DataFrame, *, max_disagreement: float = MAX_DISAGREEMENT, block: int | None = BLOCK
+) -> DataFrame:
+    """All frames of the gaps whose tracks agree everywhere, with their disagreement."""
+    rows = _judged(gaps, flow, max_disagreement, block).where(F.col("reason").isNull())
+    return _interior(rows).select(*RUN, "frame", "x", "y", "disagreement")
+
 
+def gap_verdicts(
+    gaps: DataFrame, flow: DataFrame, *, max_disagreement: float = MAX_DISAGREEMENT, block: int | None = BLOCK
+) -> DataFrame:
+    """The worst disagreement of each gap, and why it is not repaired.
 
-def gap_verdicts(gaps: DataFrame, flow: DataFrame, **params) -> DataFrame:
-    return judged_gaps(gaps, flow, **params)[1]
+    ``reason`` is NULL for a trusted gap, else ``flow_missing`` or ``untrusted``.
+    """
+    rows = _judged(gaps, flow, max_disagreement, block).where(F.col("frame") == F.col("start"))
+    return rows.select(
+        *TRACE, (F.col("start") + 1).alias("start"), (F.col("end") - 1).alias("end"), "worst", "reason"
+    )
 
 
 def repair_report(frames: DataFrame, keys: tuple[str, ...] = ("video",), *, trusted_at: float = 2.0) -> DataFrame:
@@ -193,7 +194,13 @@ def repair_report(frames: DataFrame, keys: tuple[str, ...] = ("video",), *, trus
 
 
 def interpolate_intervals(
-    current: DataFrame, overlay: DataFrame, intervals: DataFrame, flow: DataFrame, name: str = "iteration-0"
+    current: DataFrame,
+    overlay: DataFrame,
+    intervals: DataFrame,
+    flow: DataFrame,
+    name: str = "iteration-0",
+    *,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Blend between the overlay points at both ends of each interval, over the current layer.
 
@@ -208,14 +215,14 @@ def interpolate_intervals(
         .join(at("end", "ax1", "ay1"), [*TRACE, "end"])
     )
     # Intervals of one label may overlap; the one that starts last wins.
-    new = rstc_blend(runs, flow).groupBy(*STEP).agg(
+    new = rstc_blend(runs, flow, block=block).groupBy(*STEP).agg(
         F.max_by(F.struct("x", "y"), F.struct("start", "end")).alias("_xy")
     )
     return patch_layer(current, new.select(*STEP, "_xy.x", "_xy.y"), name)
 
 
 def propagate(
-    anchors: DataFrame, flow: DataFrame, *, mode: str = "full", block: int = BLOCK
+    anchors: DataFrame, flow: DataFrame, *, mode: str = "full", block: int | None = BLOCK
 ) -> DataFrame:
     """Follow the flow from one anchor per row: ``(video, label, frame, to, x, y)``.
 
@@ -271,7 +278,7 @@ def interpolate_between_labels(
     label: str | None = None,
     frame: int | None = None,
     name: str = "buffer",
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Blend between every two neighbouring labelled frames.
 
@@ -310,7 +317,7 @@ def complete_frames(
     high: float = HIGH,
     max_gap: int = MAX_GAP,
     max_disagreement: float = MAX_DISAGREEMENT,
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Give every selected frame all labels of its video, or drop the frame.
 

@@ -27,7 +27,7 @@ def runs(
     first: dict[str, Column | str] | None = None,
     last: dict[str, Column | str] | None = None,
     sums: dict[str, Column | str] | None = None,
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Merge rows into inclusive runs ``start .. end``.
 
@@ -49,7 +49,7 @@ def runs(
 
     rows = hits.select(*keys, F.col(order).alias("_o"), *[c.alias(n) for n, c in source.items()])
     rows = rows.withColumn(BLK, block_of("_o", block))
-    w = Window.partitionBy(*keys, BLK).orderBy("_o")
+    w = Window.partitionBy(*keys, *([] if block is None else [BLK])).orderBy("_o")
     gap = F.col("_o") - F.lag("_o").over(w) - 1
     rows = rows.withColumn("_new", F.when(gap <= max_gap, 0).otherwise(1))
     rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -63,6 +63,11 @@ def runs(
         *[F.sum(f"_s_{n}").alias(n) for n in sums],
     )
 
+    outputs = ["n_hits", *mins, *first, *last, *sums]
+    length = (F.col("end") - F.col("start") + 1).alias("length")
+    if block is None:
+        return local.select(*keys, "start", "end", length, *outputs)
+
     in_block = Window.partitionBy(*keys, BLK)
     edge = (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(in_block))
     # Inner runs keep their block as group, edge runs of a trace share group -1.
@@ -81,14 +86,8 @@ def runs(
         *[F.max_by(n, "start").alias(n) for n in last],
         *[F.sum(n).alias(n) for n in sums],
     )
-    return merged.select(
-        *keys,
-        F.col("_start").alias("start"),
-        "end",
-        (F.col("end") - F.col("_start") + 1).alias("length"),
-        "n_hits",
-        *mins, *first, *last, *sums,
-    )
+    merged = merged.withColumnRenamed("_start", "start")
+    return merged.select(*keys, "start", "end", length, *outputs)
 
 
 def expand_runs(run_table: DataFrame, *, start: str = "start", end: str = "end") -> DataFrame:

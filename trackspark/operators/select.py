@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trackspark.functions.blocks import BLK, BLOCK, block_of, scan, top_per_group
 from trackspark.operators.detect import HIGH, LOW, disagreement_blips, low_confidence_frames
@@ -15,6 +16,7 @@ from trackspark.operators.flow import flow_layer
 from trackspark.operators.layers import _complete_frames
 from trackspark.operators.runs import expand_runs
 from trackspark.schema import LAYER, TRACE
+from trackspark.session import settle
 
 STEP = [*TRACE, "frame"]
 
@@ -43,7 +45,7 @@ def _ranked(df: DataFrame, keys: list[str], order: str, block: int) -> DataFrame
     return out.withColumns({"_pos": F.col("_up") - 1, "_n": F.col("_up") + F.col("_down") - 1}).drop("_up", "_down")
 
 
-def sample_gaps(gaps: DataFrame, max_gaps: int, *, block: int = BLOCK) -> DataFrame:
+def sample_gaps(gaps: DataFrame, max_gaps: int, *, block: int | None = BLOCK) -> DataFrame:
     """At most about ``max_gaps`` gaps per video, spread evenly over each label."""
     per_label = gaps.groupBy(*TRACE).agg(F.count(F.lit(1)).alias("_c"))
     totals = per_label.groupBy("video").agg(
@@ -66,19 +68,31 @@ def _fold(frames: np.ndarray, spacing: int, last: float) -> tuple[np.ndarray, fl
     return keep, last
 
 
-def spaced_frames(df: DataFrame, spacing: int, *, keys: tuple[str, ...] = TRACE, block: int = BLOCK) -> DataFrame:
+def spaced_frames(
+    df: DataFrame, spacing: int, *, keys: tuple[str, ...] = TRACE, block: int | None = BLOCK
+) -> DataFrame:
     """Walk along each trace and keep a row if it is ``spacing`` frames after the last kept one.
 
     A block can only be influenced by how far before its start the last kept
     frame lies, which is one of ``spacing`` cases. Blocks are folded for every
     case in parallel, the cases are chained over the blocks of a trace, and
-    each block is folded once more with its true start.
+    each block is folded once more with its true start. Frames are unique per
+    trace.
     """
     keys = list(keys)
-    rows = df.select(*keys, "frame").distinct().withColumn(BLK, block_of("frame", block))
-    schema = rows.schema
-    key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema if f.name in keys)
+    spacing = max(1, spacing)
     far = float("-inf")
+    key_fields = [f for f in df.schema if f.name in keys]
+    columns = df.columns
+
+    def final(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        last = pdf["_last"].iloc[0] if "_last" in pdf else None
+        keep, _ = _fold(pdf["frame"].to_numpy(), spacing, far if pd.isna(last) else float(last))
+        return pdf.loc[keep, columns]
+
+    if block is None:
+        return df.groupBy(*keys).applyInPandas(final, df.schema)
 
     def cases(pdf: pd.DataFrame) -> pd.DataFrame:
         frames = np.sort(pdf["frame"].to_numpy())
@@ -86,37 +100,28 @@ def spaced_frames(df: DataFrame, spacing: int, *, keys: tuple[str, ...] = TRACE,
         ends = [_fold(frames, spacing, far if d == spacing else start - d)[1] for d in range(1, spacing + 1)]
         out = pdf[keys + [BLK]].iloc[:1].copy()
         # A case that keeps nothing leaves the earlier frame standing.
-        out["ends"] = [[None if e < start else int(e) for e in ends]]
+        out["_ends"] = [[None if e < start else int(e) for e in ends]]
         return out
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(BLK)
         last, seen = None, []
-        for blk, ends in zip(pdf[BLK], pdf["ends"]):
+        for blk, ends in zip(pdf[BLK], pdf["_ends"]):
             seen.append(last)
             gap = spacing if last is None else min(spacing, int(blk) * block - last)
             end = ends[gap - 1]
-            if end is not None and not math.isnan(end):
+            if not pd.isna(end):
                 last = int(end)
         out = pdf[keys + [BLK]].copy()
-        out["last"] = pd.array(seen, dtype="Int64")
+        out["_last"] = pd.array(seen, dtype="Int64")
         return out
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        last = pdf["last"].iloc[0]
-        keep, _ = _fold(pdf["frame"].to_numpy(), spacing, far if pd.isna(last) else float(last))
-        return pdf.loc[keep, keys + ["frame"]]
-
-    spacing = max(1, spacing)
-    folded = rows.groupBy(*keys, BLK).applyInPandas(cases, f"{key_ddl}, {BLK} long, ends array<long>")
-    starts = folded.groupBy(*keys).applyInPandas(chain, f"{key_ddl}, {BLK} long, last long")
-    kept = (
-        rows.join(starts, [*keys, BLK])
-        .groupBy(*keys, BLK)
-        .applyInPandas(final, f"{key_ddl}, frame long")
-    )
-    return df.join(kept, [*keys, "frame"], "left_semi")
+    blk, last = T.StructField(BLK, T.LongType()), T.StructField("_last", T.LongType())
+    ends = T.StructField("_ends", T.ArrayType(T.LongType()))
+    rows = df.withColumn(BLK, block_of("frame", block))
+    folded = rows.select(*keys, BLK, "frame").groupBy(*keys, BLK).applyInPandas(cases, T.StructType([*key_fields, blk, ends]))
+    starts = folded.groupBy(*keys).applyInPandas(chain, T.StructType([*key_fields, blk, last]))
+    return rows.join(starts, [*keys, BLK]).groupBy(*keys, BLK).applyInPandas(final, df.schema)
 
 
 def select_training_frames(
@@ -126,7 +131,7 @@ def select_training_frames(
     per_gap: int = 2,
     max_frames: int | None = 150,
     min_spacing: int = 10,
-    block: int = BLOCK,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Trusted repaired frames: a few per gap, spaced apart, capped per video.
 
@@ -135,9 +140,11 @@ def select_training_frames(
     trusted = repaired.where(F.col("disagreement") <= max_disagreement)
     in_gap = _ranked(trusted, [*TRACE, "start", "end"], "frame", block)
     picks = in_gap.where(is_even_pick("_pos", "_n", F.lit(per_gap).cast("long"))).drop("_pos", "_n")
-    kept = spaced_frames(picks, min_spacing, block=block).select(*STEP, "x", "y", "disagreement")
+    kept = spaced_frames(picks.select(*STEP, "x", "y", "disagreement"), min_spacing, block=block)
     if max_frames is None:
         return kept
+    # A few frames per gap, read for the totals and for the ranks.
+    kept = settle(kept)
     ranked = _ranked(kept, list(TRACE), "frame", block)
     totals = kept.groupBy("video").agg(F.count(F.lit(1)).alias("_total"))
     ranked = ranked.join(totals, "video")
@@ -189,12 +196,14 @@ def _select_ranked(
 
     front = top_per_group(shaped, ["video"], order, cap * reach, salt_on=STEP, name="_rank")
     capped = front.withColumn("_kept", F.lit(False)).groupBy("video").applyInPandas(walk(cap), schema)
-    first = capped.orderBy(*order).limit(n)
+    # At most n rows, read for the answer and as the start of the second walk.
+    first = settle(capped.orderBy(*order).limit(n))
     # Whatever room is left goes to the best remaining rows of any video.
     best = shaped.orderBy(*order).limit(n * reach).join(first.select(*STEP), STEP, "left_anti")
     bounded = first.withColumn("_kept", F.lit(True)).unionByName(best.withColumn("_kept", F.lit(False)))
-    ranked = bounded.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    second = ranked.groupBy(F.lit(0)).applyInPandas(walk(n), schema)
+    bounded = bounded.withColumn("_one", F.lit(0))
+    ranked = bounded.withColumn("_rank", F.row_number().over(Window.partitionBy("_one").orderBy(*order)))
+    second = ranked.groupBy("_one").applyInPandas(walk(n), schema)
     return first.unionByName(second)
 
 

@@ -60,7 +60,7 @@ def _windowed(
     rows = rows.join(good, list(TRACE))
     k = n_window - 1
     rows = with_halo(rows, before=k, after=k, block=block)
-    w = halo_window(TRACE)
+    w = halo_window(TRACE, block=block)
     # Only differences of the sums inside one window matter, so they may start
     # anywhere in the block. The reverse step into a frame belongs to the pair
     # (frame, frame + 1); summed from the left it is counted up to frame - 1.
@@ -109,7 +109,7 @@ def _per_window(axis: str) -> Column:
 
 
 def smooth_moving_average(
-    points: DataFrame, flow: DataFrame, videos: DataFrame, *, n_window: int, block: int = BLOCK
+    points: DataFrame, flow: DataFrame, videos: DataFrame, *, n_window: int, block: int | None = BLOCK
 ) -> DataFrame:
     """Average of the blended paths of all windows that cover a frame.
 
@@ -122,7 +122,7 @@ def smooth_moving_average(
 
 
 def moving_average_windows(
-    points: DataFrame, flow: DataFrame, videos: DataFrame, *, n_window: int, block: int = BLOCK
+    points: DataFrame, flow: DataFrame, videos: DataFrame, *, n_window: int, block: int | None = BLOCK
 ) -> DataFrame:
     """The blended path of every single window, before averaging."""
     rows = _windowed(points, flow, videos, n_window, block)
@@ -132,7 +132,7 @@ def moving_average_windows(
     )
 
 
-def decimate_intervals(points: DataFrame, intervals: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def decimate_intervals(points: DataFrame, intervals: DataFrame, *, block: int | None = BLOCK) -> DataFrame:
     """Inside the intervals, drop incomplete frames, then every second frame left.
 
     ``intervals``: (video, start, end), not overlapping. All labels go together.
@@ -195,7 +195,7 @@ def _lowpassed(points: DataFrame, intervals: DataFrame, period: int, block: int)
     )
     filled = near.where(enough).select(*RUN, "frame", "x", "y", bridge("x").alias("_bx"), bridge("y").alias("_by"))
     rows = with_halo(filled, before=period, after=period, block=block)
-    w = halo_window(RUN).rowsBetween(-period, period)
+    w = halo_window(RUN, block=block).rowsBetween(-period, period)
     taps = F.array(*[F.lit(t) for t in lowpass_taps(period)])
     folded = lambda c: F.aggregate(
         F.zip_with(F.col(c), taps, lambda v, t: v * t), F.lit(0.0), lambda acc, v: acc + v
@@ -219,7 +219,7 @@ def _overwrite(points: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def lowpass_intervals(
-    points: DataFrame, intervals: DataFrame, *, period: int, block: int = BLOCK
+    points: DataFrame, intervals: DataFrame, *, period: int, block: int | None = BLOCK
 ) -> DataFrame:
     """Low-pass the points inside each interval, faded in and out at its ends.
 
@@ -231,7 +231,7 @@ def lowpass_intervals(
 
 
 def lowpass_level(
-    points: DataFrame, intervals: DataFrame, *, level: int, block: int = BLOCK
+    points: DataFrame, intervals: DataFrame, *, level: int, block: int | None = BLOCK
 ) -> DataFrame:
     """Low-pass at a level of the ladder; short intervals get the highest one they allow.
 

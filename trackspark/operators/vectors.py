@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from trackspark.functions.blocks import top_per_group
 from trackspark.functions.geometry import l2_normalize as unit
-from trackspark.session import checkpoint_root
+from trackspark.session import settle
 
 # The driver keeps this many candidate vectors while it picks greedily.
 CANDIDATES = 2048
@@ -338,15 +338,16 @@ def hierarchy_cut(
         return out
 
     schema = f"{kind}id long, cluster int"
-    by = F.col(group) if group else F.lit(0)
-    over = features.groupBy(by.alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    rows = rows.withColumn("_k", F.col(group) if group else F.lit(0))
+    over = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
     # At most rows / limit groups are that large.
     large = [r["_k"] for r in over.collect()]
-    small = rows.where(~by.isin(large)) if large else rows
-    done = small.withColumn("weight", F.lit(1.0)).groupBy(by).applyInPandas(cut, schema)
+    small = rows.where(~F.col("_k").isin(large)) if large else rows
+    done = small.withColumn("weight", F.lit(1.0)).groupBy("_k").applyInPandas(cut, schema)
     for g in large:
-        part = rows.where(by == F.lit(g))
-        micro = cluster(part, limit, normalize=normalize, seed=seed, n_init=1)
+        part = rows.where(F.col("_k") == F.lit(g))
+        # Read for the centres and for the way back to the rows.
+        micro = settle(cluster(part, limit, normalize=normalize, seed=seed, n_init=1))
         placed = _with_vector(part, normalize).join(micro, "id")
         centres = placed.groupBy("cluster").agg(
             vector_to_array(Summarizer.mean(F.col("_vec"))).alias("embedding"), F.count(F.lit(1)).alias("weight")
@@ -355,7 +356,7 @@ def hierarchy_cut(
             *([F.lit(g).cast(features.schema[group].dataType).alias(group)] if group else []),
             F.col("cluster").cast("long").alias("id"), "embedding", F.col("weight").cast("double").alias("weight"),
         )
-        tree = centres.groupBy(F.lit(0)).applyInPandas(cut, schema).select(
+        tree = centres.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(cut, schema).select(
             *keys, F.col("id").cast("int").alias("_micro"), F.col("cluster").alias("_cluster")
         )
         back = micro.join(tree, micro["cluster"] == tree["_micro"]).select(
@@ -476,8 +477,7 @@ def _cluster_balanced_ids(
     k = n_clusters or max(2, min(m, 8))
     k = min(k, features.select("id").limit(k).count())
     # The clusters are read in several passes, so they are fixed once.
-    checkpoint_root(features.sparkSession)
-    labels = cluster(features, k, normalize=normalize, seed=seed, n_init=n_init).checkpoint()
+    labels = settle(cluster(features, k, normalize=normalize, seed=seed, n_init=n_init))
     free = features.join(labels, "id")
     if exclude:
         free = free.where(~F.col("id").isin([int(i) for i in exclude]))

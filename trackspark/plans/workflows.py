@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackspark.functions.blocks import BLOCK
 from trackspark.functions.names import is_dense
 from trackspark.operators.detect import attach_min_likelihood, disagreement_blips, find_gaps, points_in_runs
 from trackspark.operators.layers import patch_layer
-from trackspark.operators.repair import complete_frames, interpolate_runs, judged_gaps
+from trackspark.operators.repair import complete_frames, interpolate_runs, repair_gaps
 from trackspark.operators.select import error_frames, sample_gaps, select_across_videos, union_sources
 from trackspark.operators.vectors import review_selection
 from trackspark.schema import TRACE
+from trackspark.session import settle
 
 STEP = [*TRACE, "frame"]
 
@@ -23,7 +25,13 @@ def deblip_source(layers: DataFrame, layer: str) -> DataFrame:
 
 
 def deblip(
-    layers: DataFrame, layer: str, flow_positions: DataFrame, flow: DataFrame, **blip_params
+    layers: DataFrame,
+    layer: str,
+    flow_positions: DataFrame,
+    flow: DataFrame,
+    *,
+    block: int | None = BLOCK,
+    **blip_params,
 ) -> dict[str, DataFrame]:
     """Find blips of a dense layer, interpolate them, and give both result layers.
 
@@ -31,8 +39,10 @@ def deblip(
     the model said there; ``deblip_layer``: the corrected trace.
     """
     source = deblip_source(layers, layer)
-    blips = disagreement_blips(source.select(*STEP, "x", "y"), flow_positions, **blip_params)
-    corrections = interpolate_runs(blips, flow)
+    found = disagreement_blips(source.select(*STEP, "x", "y"), flow_positions, block=block, **blip_params)
+    # Few runs, read by every result.
+    blips = settle(found)
+    corrections = interpolate_runs(blips, flow, block=block)
     return {
         "blips": blips,
         "corrections": corrections,
@@ -50,38 +60,44 @@ def refine_cohort(
     n: int = 20,
     n_videos: int | None = None,
     max_gap: int = 45,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Find, repair, choose and complete training frames over all videos."""
-    gaps = find_gaps(predictions, max_gap=max_gap).select(*TRACE, "start", "end", "ax0", "ay0", "ax1", "ay1")
+    gaps = find_gaps(predictions, max_gap=max_gap, block=block).select(*TRACE, "start", "end", "ax0", "ay0", "ax1", "ay1")
     if flow_positions is not None:
-        blips = attach_min_likelihood(disagreement_blips(predictions, flow_positions), predictions)
+        blips = attach_min_likelihood(disagreement_blips(predictions, flow_positions, block=block), predictions)
         gaps = gaps.unionByName(blips.where(F.col("reason").isNull()).select(*gaps.columns))
     if gaps_per_video is not None:
-        gaps = sample_gaps(gaps, gaps_per_video)
-    repaired, _ = judged_gaps(gaps, flow)
-    chosen = select_across_videos(
-        repaired.groupBy(*STEP).agg(F.min_by(F.struct("x", "y", "disagreement"), "disagreement").alias("_r")).select(*STEP, "_r.*"),
-        n=n,
-        n_videos=n_videos,
-    )
-    return complete_frames(chosen.select(*STEP, "x", "y"), predictions, flow, max_gap=max_gap)
+        gaps = sample_gaps(settle(gaps), gaps_per_video, block=block)
+    # A frame may lie in a gap and in a blip; the better repair counts.
+    best = F.min_by(F.struct("x", "y", "disagreement"), "disagreement").alias("_r")
+    repaired = repair_gaps(gaps, flow, block=block).groupBy(*STEP).agg(best).select(*STEP, "_r.*")
+    chosen = select_across_videos(settle(repaired), n=n, n_videos=n_videos)
+    return complete_frames(chosen.select(*STEP, "x", "y"), predictions, flow, max_gap=max_gap, block=block)
 
 
 def curate_frames(
-    labeled: DataFrame, predictions: DataFrame, flow: DataFrame, features: DataFrame, *, threshold: float = 0.6
+    labeled: DataFrame,
+    predictions: DataFrame,
+    flow: DataFrame,
+    features: DataFrame,
+    *,
+    threshold: float = 0.6,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Diverse frames out of labelled and erroneous ones.
 
     ``labeled(video, image)``; ``features(video, frame, image, id, embedding)``
     give one embedding per candidate. Fewer than eight candidates give nothing.
     """
-    errors = error_frames(predictions, flow, threshold=threshold).select("video", "frame").distinct()
+    errors = error_frames(predictions, flow, threshold=threshold, block=block).select("video", "frame").distinct()
     errors = errors.select("video", F.lit(None).cast("string").alias("image"), "frame")
     known = labeled.select("video", "image", F.lit(None).cast("long").alias("frame"))
-    pool = union_sources(known, errors)
+    pool = settle(union_sources(known, errors))
     by_frame = pool.where(F.col("frame").isNotNull()).select("video", "frame")
     by_image = pool.where(F.col("frame").isNull()).select("video", "image")
     have = features.join(by_frame, ["video", "frame"], "left_semi").unionByName(
         features.join(by_image, ["video", "image"], "left_semi")
     ).dropDuplicates(["id"])
+    have = settle(have)
     return have.join(review_selection(have.select("id", "embedding")), "id", "left_semi").select("video", "image", "frame", "id")

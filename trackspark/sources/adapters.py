@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackspark.functions.blocks import HOT_ROWS, halo_window, hot_keys, ordinal, own_rows, with_halo
+from trackspark.functions.blocks import (
+    BLOCK, HOT_ROWS, halo_window, hot_keys, ordinal, own_rows, with_halo,
+)
 
 # Hot keys of tables already counted; the test tables never change.
 _COUNTED: dict[tuple, list] = {}
@@ -26,6 +28,17 @@ def _hot(df: DataFrame, name: str, sf_dir: str, limit: int) -> list:
     return _COUNTED[key]
 
 
+def event_block(spark: SparkSession, sf_dir: str) -> int | None:
+    """None where no user has more events than one block holds, else the block size."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"))
+    return BLOCK if _hot(users, "events", sf_dir, BLOCK) else None
+
+
+def line_block(spark: SparkSession, sf_dir: str) -> int | None:
+    suppliers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("video"))
+    return BLOCK if _hot(suppliers, "lineitem", sf_dir, BLOCK) else None
+
+
 def event_frames(spark: SparkSession, sf_dir: str, *, limit: int = HOT_ROWS) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         "event_id",
@@ -61,8 +74,9 @@ def predictions(spark: SparkSession, sf_dir: str, *, with_event: bool = False, l
 
 def flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-step displacements with a small bounded error and a few jumps."""
-    rows = with_halo(predictions(spark, sf_dir, with_event=True), before=1, after=1)
-    w = halo_window(["video", "label"])
+    block = event_block(spark, sf_dir)
+    rows = with_halo(predictions(spark, sf_dir, with_event=True), before=1, after=1, block=block)
+    w = halo_window(["video", "label"], block=block)
     label = F.col("label").cast("long")
     noise = lambda m: (F.pmod(F.col("event_id") * m + label, F.lit(11)) - 5) / 16.0
     jump = F.when(F.col("event_id") % 37 == 0, 20.0).otherwise(0.0)

@@ -123,20 +123,25 @@ def _header(spark: SparkSession, path: str, rows: int) -> list[list[str]]:
 
 
 def read_predictions_csv(
-    spark: SparkSession, path: str, *, keep_empty: bool = False, label_mode: str = "trace"
+    spark: SparkSession,
+    path: str,
+    *,
+    keep_empty: bool = False,
+    label_mode: str = "trace",
+    file_glob: str = "*.csv",
 ) -> DataFrame:
     """Wide prediction traces as rows ``(video, path, label, frame, x, y, likelihood)``.
 
     Files have the header rows scorer, bodyparts and coords, and must share one
     header. A row without x and without y is dropped unless ``keep_empty``.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", file_glob).load(path).select("path")
     sample = files.limit(1).collect()
     if not sample:
         raise ValueError(f"no trace files at {path}")
     _, parts, coords = _header(spark, sample[0]["path"], 3)
     columns = [f"c{i}" for i in range(len(parts))]
-    raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("pathGlobFilter", "*.csv").csv(path)
+    raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("pathGlobFilter", file_glob).csv(path)
     raw = raw.withColumn("path", _path()).where(~F.col("c0").isin("scorer", "bodyparts", "coords"))
     cells = {}
     for i in range(1, len(parts)):
@@ -198,7 +203,12 @@ def _write_blocks(rows: DataFrame, path: str) -> None:
 # --- labelled training data --------------------------------------------------------
 
 def read_training_csv(
-    spark: SparkSession, path: str, *, images: DataFrame | None = None, require: str = "both"
+    spark: SparkSession,
+    path: str,
+    *,
+    images: DataFrame | None = None,
+    require: str = "both",
+    file_glob: str = "*.csv",
 ) -> DataFrame:
     """Labelled-data tables as ``(video, image, frame, label, x, y)``.
 
@@ -208,12 +218,12 @@ def read_training_csv(
     if require not in ("both", "any"):
         raise ValueError(f"unknown require {require!r}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.csv").load(path).select("path").limit(1).collect()
+        "pathGlobFilter", file_glob).load(path).select("path").limit(1).collect()
     if not files:
         raise ValueError(f"no training files at {path}")
     _, parts, coords = _header(spark, files[0]["path"], 3)
     raw = spark.read.schema(", ".join(f"c{i} string" for i in range(len(parts)))).option(
-        "recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(path)
+        "recursiveFileLookup", "true").option("pathGlobFilter", file_glob).csv(path)
     raw = raw.where(~F.col("c0").isin("scorer", "bodyparts", "coords"))
     cells = {}
     for i in range(3, len(parts)):
@@ -326,7 +336,7 @@ def classify_files(files: DataFrame, *, training_only: bool = False) -> DataFram
     """Kind, video and layer of listed files ``(path)``; other files are left out."""
     name = names.file_name("path")
     annotation = F.contains(name, F.lit("_annotations")) & F.endswith(name, F.lit(".json"))
-    trace = F.contains(names.stem("path"), F.lit("DLC")) & name.rlike(r"\\.(csv|h5|json)$")
+    trace = F.contains(names.stem("path"), F.lit("DLC")) & name.rlike(r"\.(csv|h5|json)$")
     kind = F.when(annotation, "annotation").when(trace, "trace")
     video = F.when(annotation, names.video_name("path")).otherwise(
         F.regexp_extract(names.stem("path"), "^(.*?)DLC", 1)
