@@ -12,9 +12,9 @@ from trackspark.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "tests",
-        master="local[4]",
+        master="local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "3",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.log.level": "ERROR",

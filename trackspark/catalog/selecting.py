@@ -59,26 +59,26 @@ two AS (SELECT * FROM a UNION ALL SELECT * FROM b)
 @query(
     f"""WITH {SEVERE}, pool AS (SELECT video, label, frame, x, y, disagreement AS score FROM repaired WHERE disagreement <= 4.0),
     {SHARED.format(by="score, video, label, frame", by_p="p.score, p.video, p.label, p.frame")}
-    SELECT video, label, frame, {XY}, round(score, 6) AS disagreement FROM two ORDER BY score, video, label, frame LIMIT 150"""
+    SELECT video, label, frame, {XY}, round(score, 6) AS disagreement FROM two ORDER BY score, video, label, frame LIMIT 20"""
 )
 def select_across_videos(spark, d):
     """Two picks per video at most; enough candidates exist for the budget."""
     repaired = repair.repair_gaps(severe_runs(spark, d), src.flow(spark, d), block=src.event_block(spark, d))
-    return select.select_across_videos(repaired, n=150, per_video_cap=2)
+    return select.select_across_videos(repaired, n=20, per_video_cap=2)
 
 
 @query(
     f"""WITH {RESIDUAL}, pool AS (SELECT r.video, r.label, r.frame, p.x, p.y, r.residual AS score FROM resid r
       JOIN pred p ON p.video = r.video AND p.label = r.label AND p.frame = r.frame WHERE residual >= 1.0),
     {SHARED.format(by="score DESC, video DESC, label DESC, frame DESC", by_p="p.score DESC, p.video DESC, p.label DESC, p.frame DESC")}
-    SELECT video, label, frame, {XY}, round(score, 6) AS residual FROM two ORDER BY score DESC, video DESC, label DESC, frame DESC LIMIT 150"""
+    SELECT video, label, frame, {XY}, round(score, 6) AS residual FROM two ORDER BY score DESC, video DESC, label DESC, frame DESC LIMIT 20"""
 )
 def select_flow_blips(spark, d):
     pred = src.predictions(spark, d)
     residual = flow.flow_residual(pred, src.flow(spark, d), block=src.event_block(spark, d)).join(
         pred.select("video", "label", "frame", "x", "y"), ["video", "label", "frame"]
     )
-    return select.select_flow_blips(residual, n=150, min_residual=1.0, per_video_cap=2)
+    return select.select_flow_blips(residual, n=20, min_residual=1.0, per_video_cap=2)
 
 
 ERRORS = BLIPS + """,

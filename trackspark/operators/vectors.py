@@ -85,6 +85,8 @@ def _candidates(
                 order = np.lexsort((rows[0], -rows[1]))[:width]
                 best[g] = tuple(a[order] for a in rows)
         for g, (i, d, v) in best.items():
+            if not len(i):
+                continue
             yield pd.DataFrame({"_g": [g] * len(i), "id": i, "dist": d, "vec": list(v)})
 
     kind = features.schema[group].dataType if group else T.IntegerType()

@@ -172,6 +172,31 @@ def line_tracks(spark: SparkSession, sf_dir: str, *, limit: int = HOT_ROWS) -> D
     )
 
 
+def line_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact per-step displacements of the supplier tracks."""
+    block = line_block(spark, sf_dir)
+    rows = with_halo(line_tracks(spark, sf_dir), before=1, after=1, block=block)
+    w = halo_window(["video", "label"], block=block)
+    step = lambda c, f: (F.col(c) - f(c).over(w))
+    return own_rows(
+        rows.select(
+            "video", "label", "frame",
+            step("x", F.lag).alias("dx_fwd"), step("y", F.lag).alias("dy_fwd"),
+            step("x", F.lead).alias("dx_rev"), step("y", F.lead).alias("dy_rev"),
+            "_blk", "_own",
+        )
+    )
+
+
+def line_videos(spark: SparkSession, sf_dir: str, fps: float = 73.94) -> DataFrame:
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("video"))
+        .agg(F.count(F.lit(1)).alias("n_frames"))
+        .withColumn("fps", F.lit(fps))
+    )
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), "embedding", F.col("label").alias("grp")
