@@ -20,10 +20,12 @@ without summary rows and without joining them back.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 1 << 16
 HOT_ROWS = 1 << 20
@@ -85,6 +87,18 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, *columns)
 
 
+def apply_groups(
+    df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table], pa.Table], schema: T.StructType | str
+) -> DataFrame:
+    """Run a small function over each group, in Arrow and on all partitions.
+
+    Only for groups of a bounded size: blocks of a trace, or a bounded number
+    of candidates. Cheap rows with costly functions must not be merged into few
+    tasks, hence the explicit spread.
+    """
+    return spread(df, *keys).groupBy(*keys).applyInArrow(fn, schema)
+
+
 FORWARD = {"sum", "last", "prev"}
 BACKWARD = {"rsum", "first", "next"}
 

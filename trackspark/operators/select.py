@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackspark.functions.blocks import BLK, BLOCK, block_of, scan, top_per_group
+from trackspark.functions.blocks import (
+    BLK, BLOCK, apply_groups, block_of, scan, top_per_group,
+)
 from trackspark.operators.detect import HIGH, LOW, disagreement_blips, low_confidence_frames
 from trackspark.operators.flow import flow_layer
 from trackspark.operators.layers import _complete_frames
@@ -59,11 +60,12 @@ def sample_gaps(gaps: DataFrame, max_gaps: int, *, block: int | None = BLOCK) ->
 
 # --- greedy spacing along frames ------------------------------------------------
 
-def _fold(frames: np.ndarray, spacing: int, last: float) -> tuple[np.ndarray, float]:
-    keep = np.zeros(len(frames), dtype=bool)
+def _fold(frames: list[int], spacing: int, last: float) -> tuple[list[int], float]:
+    """Positions kept by the walk, and the last kept frame."""
+    keep = []
     for i, f in enumerate(frames):
         if f - last >= spacing:
-            keep[i] = True
+            keep.append(i)
             last = f
     return keep, last
 
@@ -85,43 +87,39 @@ def spaced_frames(
     key_fields = [f for f in df.schema if f.name in keys]
     columns = df.columns
 
-    def final(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        last = pdf["_last"].iloc[0] if "_last" in pdf else None
-        keep, _ = _fold(pdf["frame"].to_numpy(), spacing, far if pd.isna(last) else float(last))
-        return pdf.loc[keep, columns]
+    def final(rows_: pa.Table) -> pa.Table:
+        rows_ = rows_.sort_by("frame")
+        last = rows_.column("_last")[0].as_py() if "_last" in rows_.column_names else None
+        keep, _ = _fold(rows_.column("frame").to_pylist(), spacing, far if last is None else last)
+        return rows_.select(columns).take(pa.array(keep, pa.int64()))
 
     if block is None:
-        return df.groupBy(*keys).applyInPandas(final, df.schema)
+        return apply_groups(df, keys, final, df.schema)
 
-    def cases(pdf: pd.DataFrame) -> pd.DataFrame:
-        frames = np.sort(pdf["frame"].to_numpy())
-        start = int(pdf[BLK].iloc[0]) * block
+    def cases(rows_: pa.Table) -> pa.Table:
+        frames = sorted(rows_.column("frame").to_pylist())
+        start = rows_.column(BLK)[0].as_py() * block
         ends = [_fold(frames, spacing, far if d == spacing else start - d)[1] for d in range(1, spacing + 1)]
-        out = pdf[keys + [BLK]].iloc[:1].copy()
         # A case that keeps nothing leaves the earlier frame standing.
-        out["_ends"] = [[None if e < start else int(e) for e in ends]]
-        return out
+        ends = [None if e < start else int(e) for e in ends]
+        return rows_.select([*keys, BLK]).slice(0, 1).append_column("_ends", pa.array([ends], pa.list_(pa.int64())))
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLK)
+    def chain(rows_: pa.Table) -> pa.Table:
+        rows_ = rows_.sort_by(BLK)
         last, seen = None, []
-        for blk, ends in zip(pdf[BLK], pdf["_ends"]):
+        for blk, ends in zip(rows_.column(BLK).to_pylist(), rows_.column("_ends").to_pylist()):
             seen.append(last)
-            gap = spacing if last is None else min(spacing, int(blk) * block - last)
-            end = ends[gap - 1]
-            if not pd.isna(end):
-                last = int(end)
-        out = pdf[keys + [BLK]].copy()
-        out["_last"] = pd.array(seen, dtype="Int64")
-        return out
+            gap = spacing if last is None else min(spacing, blk * block - last)
+            last = last if ends[gap - 1] is None else ends[gap - 1]
+        return rows_.select([*keys, BLK]).append_column("_last", pa.array(seen, pa.int64()))
 
     blk, last = T.StructField(BLK, T.LongType()), T.StructField("_last", T.LongType())
     ends = T.StructField("_ends", T.ArrayType(T.LongType()))
     rows = df.withColumn(BLK, block_of("frame", block))
-    folded = rows.select(*keys, BLK, "frame").groupBy(*keys, BLK).applyInPandas(cases, T.StructType([*key_fields, blk, ends]))
-    starts = folded.groupBy(*keys).applyInPandas(chain, T.StructType([*key_fields, blk, last]))
-    return rows.join(starts, [*keys, BLK]).groupBy(*keys, BLK).applyInPandas(final, df.schema)
+    folded = apply_groups(rows.select(*keys, BLK, "frame"), [*keys, BLK], cases, T.StructType([*key_fields, blk, ends]))
+    # One row per block of a trace.
+    starts = apply_groups(folded, keys, chain, T.StructType([*key_fields, blk, last]))
+    return apply_groups(rows.join(starts, [*keys, BLK]), [*keys, BLK], final, df.schema)
 
 
 def select_training_frames(
@@ -155,24 +153,23 @@ def select_training_frames(
 
 # --- greedy choice across videos --------------------------------------------------
 
-def _greedy(pdf: pd.DataFrame, spacing: int, cap: int) -> pd.DataFrame:
+def _greedy(rows_: pa.Table, spacing: int, cap: int) -> pa.Table:
     """Walk rows in rank order; rows flagged ``_kept`` count as chosen beforehand."""
     taken: dict[tuple, list[int]] = {}
-    done = 0
-    for row in pdf[pdf["_kept"]].itertuples():
-        taken.setdefault((row.video, row.label), []).append(row.frame)
+    done, picks = 0, []
+    rows_ = rows_.sort_by([("_kept", "descending"), ("_rank", "ascending")])
+    columns = (rows_.column(c).to_pylist() for c in (*STEP, "_kept"))
+    for i, (video, label, frame, kept) in enumerate(zip(*columns)):
+        near = taken.setdefault((video, label), [])
+        if not kept:
+            if done >= cap:
+                break
+            if any(abs(frame - f) < spacing for f in near):
+                continue
+            picks.append(i)
+        near.append(frame)
         done += 1
-    picks = []
-    for row in pdf[~pdf["_kept"]].sort_values("_rank").itertuples():
-        if done >= cap:
-            break
-        near = taken.setdefault((row.video, row.label), [])
-        if any(abs(row.frame - f) < spacing for f in near):
-            continue
-        near.append(row.frame)
-        done += 1
-        picks.append(row.Index)
-    return pdf.loc[picks]
+    return rows_.take(pa.array(picks, pa.int64()))
 
 
 def _select_ranked(
@@ -186,16 +183,13 @@ def _select_ranked(
     # greedy walk to k picks never looks beyond k times that many rows.
     reach = 2 * spacing - 1
     shaped = pool.select(*STEP, "x", "y", F.col(score).cast("double").alias(score))
-    schema = f"video string, label string, frame long, x double, y double, {score} double"
+    columns = [*STEP, "x", "y", score]
 
     def walk(limit: int):
-        def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-            return _greedy(pdf, spacing, limit)[[*STEP, "x", "y", score]]
-
-        return apply
+        return lambda rows_: _greedy(rows_, spacing, limit).select(columns)
 
     front = top_per_group(shaped, ["video"], order, cap * reach, salt_on=STEP, name="_rank")
-    capped = front.withColumn("_kept", F.lit(False)).groupBy("video").applyInPandas(walk(cap), schema)
+    capped = apply_groups(front.withColumn("_kept", F.lit(False)), ["video"], walk(cap), shaped.schema)
     # At most n rows, read for the answer and as the start of the second walk.
     first = settle(capped.orderBy(*order).limit(n))
     # Whatever room is left goes to the best remaining rows of any video.
@@ -203,7 +197,7 @@ def _select_ranked(
     bounded = first.withColumn("_kept", F.lit(True)).unionByName(best.withColumn("_kept", F.lit(False)))
     bounded = bounded.withColumn("_one", F.lit(0))
     ranked = bounded.withColumn("_rank", F.row_number().over(Window.partitionBy("_one").orderBy(*order)))
-    second = ranked.groupBy("_one").applyInPandas(walk(n), schema)
+    second = ranked.groupBy("_one").applyInArrow(walk(n), shaped.schema)
     return first.unionByName(second)
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackspark.functions.blocks import BLOCK, halo_window, own_rows, scan, with_halo
+from trackspark.functions.blocks import (
+    BLK, BLOCK, OWN, apply_groups, halo_window, own_rows, scan, with_halo,
+)
 from trackspark.functions.geometry import EPSILON, polygon_area
 from trackspark.operators.layers import _interval_join, in_intervals
 from trackspark.operators.quality import incomplete_frames
@@ -19,6 +23,8 @@ from trackspark.schema import LAYER, TRACE
 LADDER = [5, 8, 13, 21, 34, 55, 89, 144]
 MIN_CONTEXT_POINTS = 8
 
+POINT_SCHEMA = "video string, label string, frame long, x double, y double"
+
 
 def window_frames(seconds: float, fps: float) -> int:
     """Frames of a smoothing window; halves round to even."""
@@ -49,28 +55,37 @@ def smoothing_coverage(points: DataFrame, flow: DataFrame, videos: DataFrame) ->
     return joined.select(*TRACE, "n_points", "n_frames", reason.alias("reason"))
 
 
-def _windowed(
-    points: DataFrame, flow: DataFrame, videos: DataFrame, n_window: int, block: int
+def _joined_steps(
+    points: DataFrame, flow: DataFrame, videos: DataFrame, n_window: int, block: int | None
 ) -> DataFrame:
+    """Points with their flow steps, in blocks with a window of context on each side."""
     if n_window < 2:
         raise ValueError("a smoothing window needs at least two frames")
     good = smoothing_coverage(points, flow, videos).where(F.col("reason").isNull())
     good = good.where(F.col("n_frames") >= n_window).select(*TRACE, "n_frames")
-    rows = points.select(*STEP, "x", "y").join(flow.select(*STEP, "dx_fwd", "dy_fwd", "dx_rev", "dy_rev"), STEP, "left")
-    rows = rows.join(good, list(TRACE))
+    steps = flow.select(
+        *STEP, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dx_fwd", "dy_fwd", "dx_rev", "dy_rev")]
+    )
+    rows = points.select(*STEP, "x", "y").join(steps, STEP).join(good, list(TRACE))
+    return with_halo(rows, before=n_window - 1, after=n_window - 1, block=block)
+
+
+def _windowed(
+    points: DataFrame, flow: DataFrame, videos: DataFrame, n_window: int, block: int | None
+) -> DataFrame:
     k = n_window - 1
-    rows = with_halo(rows, before=k, after=k, block=block)
+    rows = _joined_steps(points, flow, videos, n_window, block)
     w = halo_window(TRACE, block=block)
     # Only differences of the sums inside one window matter, so they may start
     # anywhere in the block. The reverse step into a frame belongs to the pair
     # (frame, frame + 1); summed from the left it is counted up to frame - 1.
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c, frame: F.coalesce(F.sum(F.coalesce(c, F.lit(0.0))).over(frame), F.lit(0.0))
     rows = rows.withColumns(
         {
-            "_Fx": total(F.col("dx_fwd"), run), "_Fy": total(F.col("dy_fwd"), run),
-            "_Rx": -total(F.col("dx_rev"), before), "_Ry": -total(F.col("dy_rev"), before),
+            "_Fx": F.sum("dx_fwd").over(run), "_Fy": F.sum("dy_fwd").over(run),
+            "_Rx": -F.coalesce(F.sum("dx_rev").over(before), F.lit(0.0)),
+            "_Ry": -F.coalesce(F.sum("dy_rev").over(before), F.lit(0.0)),
         }
     )
     from_start = F.struct((F.col("x") - F.col("_Fx")).alias("x"), (F.col("y") - F.col("_Fy")).alias("y"))
@@ -116,9 +131,29 @@ def smooth_moving_average(
     Every window of ``n_window`` frames is anchored at its first and last
     point. Labels with holes are left out; `smoothing_coverage` names them.
     """
-    rows = _windowed(points, flow, videos, n_window, block)
-    mean = lambda a: F.aggregate(_per_window(a), F.lit(0.0), lambda s, v: s + v) / F.size("_u")
-    return rows.select(*STEP, mean("x").alias("x"), mean("y").alias("y"))
+    rows = _joined_steps(points, flow, videos, n_window, block)
+    ahead = np.array(_blend_weights(n_window))
+
+    def average(block_rows: pa.Table) -> pa.Table:
+        rows_ = block_rows.sort_by("frame")
+        if len(rows_) < n_window:
+            # Past the end of a trace a block holds context only.
+            return rows_.select([*STEP, "x", "y"]).slice(0, 0)
+        col = lambda c: rows_.column(c).to_numpy()
+        ones = np.ones(len(rows_) - n_window + 1)
+        share, rest = np.convolve(ones, ahead), np.convolve(ones, 1.0 - ahead)
+        out = rows_.select(STEP)
+        for c in ("x", "y"):
+            # Sums of steps up to each frame; only their differences count.
+            fwd = np.cumsum(col(f"d{c}_fwd"))
+            rev = col(f"d{c}_rev")
+            rev = rev - np.cumsum(rev)
+            from_start, from_end = (col(c) - fwd)[: len(ones)], (col(c) - rev)[n_window - 1 :]
+            total = np.convolve(from_start, ahead) + np.convolve(from_end, 1.0 - ahead)
+            out = out.append_column(c, pa.array((total + fwd * share + rev * rest) / (share + rest)))
+        return out.filter(rows_.column(OWN))
+
+    return apply_groups(rows, [*TRACE, BLK], average, POINT_SCHEMA)
 
 
 def moving_average_windows(
@@ -195,12 +230,18 @@ def _lowpassed(points: DataFrame, intervals: DataFrame, period: int, block: int)
     )
     filled = near.where(enough).select(*RUN, "frame", "x", "y", bridge("x").alias("_bx"), bridge("y").alias("_by"))
     rows = with_halo(filled, before=period, after=period, block=block)
-    w = halo_window(RUN, block=block).rowsBetween(-period, period)
-    taps = F.array(*[F.lit(t) for t in lowpass_taps(period)])
-    folded = lambda c: F.aggregate(
-        F.zip_with(F.col(c), taps, lambda v, t: v * t), F.lit(0.0), lambda acc, v: acc + v
-    )
-    rows = own_rows(rows.withColumns({"_lx": F.collect_list("_bx").over(w), "_ly": F.collect_list("_by").over(w)}))
+    taps = np.array(lowpass_taps(period))
+    schema = filled.select(*RUN, "frame", "x", "y").schema.add("_lx", "double").add("_ly", "double")
+
+    def smoothed(block_rows: pa.Table) -> pa.Table:
+        rows_ = block_rows.sort_by("frame")
+        out = rows_.select([*RUN, "frame", "x", "y"])
+        for c in ("x", "y"):
+            line = np.convolve(rows_.column(f"_b{c}").to_numpy(), taps)[period : period + len(rows_)]
+            out = out.append_column(f"_l{c}", pa.array(line))
+        return out.filter(rows_.column(OWN))
+
+    rows = apply_groups(rows, [*RUN, BLK], smoothed, schema)
     start, end = F.col("start") + period, F.col("end") - period
     rows = rows.where(F.col("frame").between(start, end) & F.col("x").isNotNull())
     n = end - start + 1
@@ -209,7 +250,7 @@ def _lowpassed(points: DataFrame, intervals: DataFrame, period: int, block: int)
     rise = lambda i: F.lit(0.5) * (F.lit(1.0) - F.cos(F.lit(math.pi) * (i + 1) / (ramp + 1)))
     # The rear ramp is written last, so it wins should both ramps meet.
     weight = F.when(j >= n - ramp, rise(n - 1 - j)).when(j < ramp, rise(j)).otherwise(1.0)
-    mixed = lambda c, l: F.col(c) + weight * (folded(l) - F.col(c))
+    mixed = lambda c, l: F.col(c) + weight * (F.col(l) - F.col(c))
     return rows.select(*STEP, mixed("x", "_lx").alias("_x"), mixed("y", "_ly").alias("_y"))
 
 
