@@ -39,7 +39,7 @@ ranked AS (SELECT DISTINCT rank, picked AS id, radius FROM walk)
 """
 
 
-@query(f"WITH RECURSIVE {SPREAD.format(n=12)} SELECT rank, id, CASE WHEN isinf(radius) THEN 99 ELSE round(radius, 6) END AS radius FROM ranked")
+@query(f"WITH RECURSIVE {SPREAD.format(n=12)} SELECT CAST(rank AS BIGINT) AS rank, id, CASE WHEN isinf(radius) THEN 99 ELSE round(radius, 6) END AS radius FROM ranked")
 def farthest_point_sample(spark, d):
     order = vectors.farthest_point_sample(src.embeddings(spark, d), 12, return_radii=True)
     return order.withColumn("radius", F.when(F.col("rank") == 0, 99.0).otherwise(F.col("radius")))
@@ -55,7 +55,7 @@ def select_within_radius(spark, d):
     f"""WITH {UNIT}, dims AS (SELECT id, grp, unnest(e) AS v, generate_subscripts(e, 1) AS i FROM vec),
     mean AS (SELECT grp, i, avg(v) AS m FROM dims GROUP BY grp, i),
     dist AS (SELECT d.grp, d.id, sqrt(sum((v - m) * (v - m))) AS distance FROM dims d JOIN mean ON mean.grp = d.grp AND mean.i = d.i GROUP BY d.grp, d.id)
-    SELECT grp AS cluster, arg_min(id, distance) AS id, round(min(distance), 6) AS distance FROM dist GROUP BY grp"""
+    SELECT CAST(grp AS BIGINT) AS cluster, arg_min(id, distance) AS id, round(min(distance), 6) AS distance FROM dist GROUP BY grp"""
 )
 def cluster_medoids(spark, d):
     features = src.embeddings(spark, d)
@@ -121,7 +121,19 @@ def select_diverse_floor(spark, d):
     return vectors.select_diverse(features, 20, group="grp", min_per_group=2)
 
 
-@query()
+# The first vector of every group, then the farthest from all chosen so far.
+CONTINUED = UNIT + """,
+base AS (SELECT id, e, row_number() OVER (ORDER BY grp) - 1 AS rank FROM (SELECT * FROM vec WHERE id IN (SELECT min(id) FROM vec GROUP BY grp))),
+walk AS (
+  SELECT (SELECT count(*) FROM base) - 1 AS rank, v.id, v.e, min(list_distance(v.e, b.e)) AS d, CAST(-1 AS BIGINT) AS picked
+  FROM vec v, base b GROUP BY v.id, v.e
+  UNION ALL
+  SELECT w.rank + 1, w.id, w.e, least(w.d, list_distance(w.e, p.e)), p.id FROM walk w,
+    (SELECT id, e, d FROM walk ORDER BY d DESC, id LIMIT 1) p WHERE w.rank < 39)
+SELECT rank, id FROM base UNION ALL SELECT DISTINCT rank, picked FROM walk WHERE picked >= 0"""
+
+
+@query(f"WITH RECURSIVE {CONTINUED}")
 def select_diverse(spark, d):
     return vectors.select_diverse(src.embeddings(spark, d), 40, group="grp", min_per_group=1)
 

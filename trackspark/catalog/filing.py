@@ -37,7 +37,7 @@ def layer_file_labels(spark, d):
 
 @query(
     f"""WITH {MANUAL}, r AS (SELECT DISTINCT video, l.layer FROM manual CROSS JOIN (VALUES ('iteration-0'), ('iteration-1')) l(layer))
-    SELECT r.video, r.layer, n.label, n.pos FROM r CROSS JOIN (VALUES ('0', 0), ('1', 1), ('2', 2)) n(label, pos)
+    SELECT r.video, r.layer, n.label, CAST(n.pos AS BIGINT) AS pos FROM r CROSS JOIN (VALUES ('0', 0), ('1', 1), ('2', 2)) n(label, pos)
     WHERE NOT EXISTS (SELECT 1 FROM manual m WHERE m.video = r.video AND m.layer = r.layer)"""
 )
 def default_labels(spark, d):

@@ -118,7 +118,7 @@ def densify(spark, d):
 # Label 1 only where a video has a frame with k >= 97; label 4 is declared empty.
 SPARSE = EVENTS + """,
 sparse AS (SELECT video, 'iteration-0' AS layer, label, frame FROM pred WHERE frame % 5 = 0 AND (label = '0' OR k >= 97)),
-decl AS (SELECT DISTINCT video, layer, l.label, l.pos FROM sparse CROSS JOIN (VALUES ('0', 0), ('1', 1), ('4', 2)) l(label, pos)),
+decl AS (SELECT DISTINCT video, layer, l.label, l.pos FROM sparse CROSS JOIN (VALUES ('0', 0::BIGINT), ('1', 1::BIGINT), ('4', 2::BIGINT)) l(label, pos)),
 filled AS (SELECT DISTINCT video, layer, label FROM sparse)
 """
 
@@ -166,7 +166,7 @@ def union_labels_across_layers(spark, d):
 
 @query(
     f"""WITH {MANUAL}, v AS (SELECT DISTINCT video FROM manual)
-    SELECT DISTINCT video, layer, label, CASE label WHEN '0' THEN 0 WHEN '1' THEN 1 ELSE 2 END AS pos FROM manual
+    SELECT DISTINCT video, layer, label, CAST(CASE label WHEN '0' THEN 0 WHEN '1' THEN 1 ELSE 2 END AS BIGINT) AS pos FROM manual
     UNION ALL SELECT video, 'iteration-1', l.label, l.pos FROM v CROSS JOIN (VALUES ('2', 0), ('10', 1)) l(label, pos)"""
 )
 def reset_empty_layer_labels(spark, d):

@@ -156,7 +156,7 @@ def image_name(spark, d):
 @query(
     """WITH l AS (SELECT o_orderkey AS k, CASE o_orderkey % 7 WHEN 0 THEN 'buffer' WHEN 1 THEN 'labeled_data' WHEN 2 THEN 'dlccorr_lkmovavg_0.5'
       WHEN 3 THEN 'dlc_iteration-0_100' WHEN 4 THEN 'iteration-1_manual_corrections' WHEN 5 THEN 'iteration-' || o_custkey ELSE '' END AS layer FROM orders)
-    SELECT k, layer, CASE k % 7 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 1 ELSE 0 END AS grp FROM l"""
+    SELECT k, layer, CAST(CASE k % 7 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 1 ELSE 0 END AS BIGINT) AS grp FROM l"""
 )
 def layer_group(spark, d):
     k = F.col("o_orderkey")
