@@ -134,13 +134,14 @@ def test_mask_fixture(spark):
     assert spans(1) == [(1, 4), (7, 9)]
 
 
-@pytest.mark.parametrize("limit", [20, 10**6])
+@pytest.mark.parametrize("limit", [20, 10**6, None])
 def test_robust_threshold_regimes(spark, limit):
     rng = np.random.default_rng(0)
     normal = rng.gamma(2.0, size=301)
     data = {"n": normal, "spiky": np.r_[np.zeros(30), 8.0], "flat": np.full(31, 2.0)}
     df = spark.createDataFrame([("v", k, float(x)) for k, s in data.items() for x in s], "video string, label string, d double")
-    got = {r.label: r for r in R.robust_threshold(df, "d", limit=limit).collect()}
+    out = R.with_threshold(df, "d") if limit is None else R.robust_threshold(df, "d", limit=limit)
+    got = {r.label: r for r in out.collect()}
     med = np.median(normal)
     mad = np.median(np.abs(normal - med))
     assert got["n"].threshold == pytest.approx(med + 5 * 1.4826 * mad)

@@ -68,9 +68,12 @@ def with_halo(
     )
 
 
-def own_rows(df: DataFrame) -> DataFrame:
-    """Drop the context rows and helper columns added by `with_halo`."""
-    return df.where(F.col(OWN)).drop(BLK, OWN)
+def own_rows(df: DataFrame, *, keep_block: bool = False) -> DataFrame:
+    """Drop the context rows and helper columns added by `with_halo`.
+
+    With ``keep_block`` the block number stays, for a next step on the same blocks.
+    """
+    return df.where(F.col(OWN)).drop(OWN, *([] if keep_block else [BLK]))
 
 
 def halo_window(keys: Sequence[str], order: str = "frame", block: int | None = BLOCK):

@@ -11,7 +11,7 @@ from trackspark.functions.blocks import (
     BLOCK, HOT_ROWS, halo_window, own_rows, position, scan, top_per_group, with_halo,
 )
 from trackspark.functions.geometry import distance
-from trackspark.operators.runs import expand_runs, robust_threshold, runs
+from trackspark.operators.runs import expand_runs, robust_threshold, runs, with_threshold
 from trackspark.schema import TRACE
 
 # Fixed default values.
@@ -60,7 +60,7 @@ def uncertain_runs(
     )
     missing = F.col("likelihood").isNull().cast("int")
     found = runs(
-        own_rows(seen).where(~F.col("ok")),
+        own_rows(seen, keep_block=True).where(~F.col("ok")),
         order="pos",
         mins={"min_likelihood": "likelihood"},
         sums={"n_missing": missing},
@@ -157,8 +157,6 @@ def disagreement_runs(
     ``edge`` without a point on both sides.
     """
     seen = disagreement(positions, flow_positions)
-    limits = robust_threshold(seen, "d", factor=threshold_factor, limit=limit, sized_by=positions)
-    limits = limits.select(*TRACE, "threshold")
     rows = with_halo(seen, before=1, after=1, block=block)
     w = halo_window(TRACE, block=block)
     # An anchor must sit on the very next frame and be complete.
@@ -173,7 +171,13 @@ def disagreement_runs(
             "after": F.when(F.col("after.frame") == F.col("frame") + 1, F.col("after")),
         }
     )
-    hits = own_rows(rows).join(limits, list(TRACE)).where(F.col("d") > F.col("threshold"))
+    rows = own_rows(rows, keep_block=True)
+    if block is None:
+        rows = with_threshold(rows, "d", factor=threshold_factor)
+    else:
+        limits = robust_threshold(seen, "d", factor=threshold_factor, limit=limit, sized_by=positions)
+        rows = rows.join(limits.select(*TRACE, "threshold"), list(TRACE))
+    hits = rows.where(F.col("d") > F.col("threshold"))
     found = runs(
         hits,
         max_gap=max_gap,

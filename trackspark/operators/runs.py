@@ -47,8 +47,9 @@ def runs(
     source |= {f"_l_{n}": as_col(c) for n, c in last.items()}
     source |= {f"_s_{n}": as_col(c) for n, c in sums.items()}
 
-    rows = hits.select(*keys, F.col(order).alias("_o"), *[c.alias(n) for n, c in source.items()])
-    rows = rows.withColumn(BLK, block_of("_o", block))
+    # Rows that carry their block already are partitioned by it, too.
+    blk = F.col(BLK) if BLK in hits.columns else block_of(order, block)
+    rows = hits.select(*keys, blk.alias(BLK), F.col(order).alias("_o"), *[c.alias(n) for n, c in source.items()])
     w = Window.partitionBy(*keys, *([] if block is None else [BLK])).orderBy("_o")
     gap = F.col("_o") - F.lag("_o").over(w) - 1
     rows = rows.withColumn("_new", F.when(gap <= max_gap, 0).otherwise(1))
@@ -128,12 +129,36 @@ def robust_threshold(
         far = far.withColumn("_dev", F.abs(F.col(value) - F.col("med")))
         mad = exact_percentiles(far, keys, "_dev", {"mad": 0.5}, limit=limit, hot=hot).select(*keys, "mad")
         stats = cold.unionByName(shape.join(mad, keys).select(cold.columns))
-    threshold = (
+    return stats.select(*keys, "n", "med", "mad", _threshold(factor).alias("threshold"))
+
+
+def _threshold(factor: float) -> Column:
+    return (
         F.when(F.col("mad") >= MAD_ZERO, F.col("med") + factor * MAD_TO_SIGMA * F.col("mad"))
         .when(F.col("v_max") - F.col("v_min") < MAD_ZERO, F.lit(float("inf")))
         .otherwise(0.5 * (F.col("med") + F.col("v_max")))
     )
-    return stats.select(*keys, "n", "med", "mad", threshold.alias("threshold"))
+
+
+def with_threshold(
+    rows: DataFrame, value: str, *, keys: Sequence[str] = TRACE, factor: float = 5.0
+) -> DataFrame:
+    """Add the outlier threshold of the trace to each row.
+
+    For traces that fit one block: everything happens in the trace's own
+    window, so the values are neither computed nor shuffled a second time.
+    """
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumns(
+        {
+            "med": F.percentile(value, F.lit(0.5)).over(whole),
+            "v_min": F.min(value).over(whole),
+            "v_max": F.max(value).over(whole),
+        }
+    )
+    deviation = F.abs(F.col(value) - F.col("med"))
+    rows = rows.withColumn("_dev", deviation).withColumn("mad", F.percentile("_dev", F.lit(0.5)).over(whole))
+    return rows.withColumn("threshold", _threshold(factor)).drop("med", "v_min", "v_max", "_dev", "mad")
 
 
 def _one_pass_spread(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
