@@ -149,6 +149,26 @@ def propagate(spark, d):
     return repair.propagate(anchors, src.flow(spark, d), block=src.event_block(spark, d))
 
 
+@query(
+    f"""WITH {FLOW}, two AS (SELECT video, label, frame, x, y FROM pred WHERE frame % 5 = 0 AND (label = '0' OR k >= 20)),
+    near AS (SELECT p.video, p.label, p.frame, arg_min(m.frame, abs(m.frame - p.frame) * 1000000 - m.frame) AS nearest
+      FROM pred p JOIN two m ON m.video = p.video AND m.label = p.label WHERE p.frame % 9 = 4 GROUP BY p.video, p.label, p.frame),
+    both_ AS (SELECT video, frame, min(nearest) AS nearest FROM near GROUP BY video, frame HAVING min(nearest) = max(nearest)),
+    a AS (SELECT m.video, m.label, m.frame AS s, b.frame AS t, m.x, m.y FROM both_ b JOIN two m ON m.video = b.video AND m.frame = b.nearest)
+    SELECT a.video, a.label, t AS frame,
+      round(any_value(a.x) + sum(CASE WHEN f.frame = s THEN 0 WHEN t > s THEN f.dx_fwd ELSE f.dx_rev END), 6) AS x,
+      round(any_value(a.y) + sum(CASE WHEN f.frame = s THEN 0 WHEN t > s THEN f.dy_fwd ELSE f.dy_rev END), 6) AS y
+    FROM a JOIN flow f ON f.video = a.video AND f.label = a.label AND f.frame BETWEEN least(s, t) AND greatest(s, t) GROUP BY a.video, a.label, s, t"""
+)
+def predict_from_nearest(spark, d):
+    pred = src.predictions(spark, d, with_event=True)
+    labelled = pred.where((F.col("frame") % 5 == 0) & ((F.col("label") == "0") | (F.col("k") >= 20)))
+    probes = src.event_frames(spark, d).where(F.col("frame") % 9 == 4).select("video", "frame")
+    return workflows.predict_from_nearest(
+        labelled, probes, src.flow(spark, d), mode="direct", block=src.event_block(spark, d)
+    )
+
+
 @query(
     f"""WITH {FLOW}, sp AS (SELECT video, label, frame, x, y FROM pred WHERE frame % 6 = 0),
     nx AS (SELECT video, label, frame AS "start", lead(frame) OVER w AS "end", x AS ax0, y AS ay0,

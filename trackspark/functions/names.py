@@ -11,6 +11,7 @@ DENSE_PARTS = ["lkmovavg"]
 DERIVED_PREFIXES = ["dlc", "lk_", "blips", "deblip"]
 SPECIAL_NAMES = ["dlccorr", "buffer"]
 ANNOTATIONS = "_annotations"
+TRACE_MARK = "DLC"
 
 
 def _col(c: str | Column) -> Column:
@@ -46,6 +47,11 @@ def video_name(path: str | Column) -> Column:
     return F.element_at(F.split(stem(path), ANNOTATIONS), 1)
 
 
+def trace_video(path: str | Column) -> Column:
+    """The video part of a trace file name."""
+    return F.regexp_extract(stem(path), f"^(.*?){TRACE_MARK}", 1)
+
+
 def layer_name(path: str | Column) -> Column:
     """The layer a file holds, from its path."""
     s = stem(path)
@@ -54,7 +60,7 @@ def layer_name(path: str | Column) -> Column:
     return (
         F.when(F.contains(s, F.lit(ANNOTATIONS)), F.trim(tail, F.lit("_")))
         .when(
-            F.contains(s, F.lit("DLC")),
+            F.contains(s, F.lit(TRACE_MARK)),
             F.concat(F.lit("dlc_"), parent, F.lit("_"), F.element_at(F.split(s, "_"), -1)),
         )
         .otherwise(s)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.blocks import BLOCK
 from trackspark.functions.names import is_dense
+from trackspark.operators.asof import common_nearest_frame
 from trackspark.operators.detect import attach_min_likelihood, disagreement_blips, find_gaps, points_in_runs
 from trackspark.operators.layers import patch_layer
-from trackspark.operators.repair import complete_frames, interpolate_runs, repair_gaps
+from trackspark.operators.repair import complete_frames, interpolate_runs, propagate, repair_gaps
 from trackspark.operators.select import error_frames, sample_gaps, select_across_videos, union_sources
 from trackspark.operators.vectors import review_selection
 from trackspark.schema import TRACE
@@ -101,3 +102,18 @@ def curate_frames(
     ).dropDuplicates(["id"])
     have = settle(have)
     return have.join(review_selection(have.select("id", "embedding")), "id", "left_semi").select("video", "image", "frame", "id")
+
+
+def predict_from_nearest(
+    points: DataFrame, probes: DataFrame, flow: DataFrame, *, mode: str = "full", block: int | None = BLOCK
+) -> DataFrame:
+    """Follow the flow to each probe frame (video, frame) from the nearest labelled one.
+
+    Only where the nearest labelled frame is the same for all labels of the
+    video. ``full`` gives all frames on the way, ``direct`` the probe frame.
+    """
+    start = common_nearest_frame(points, probes, block=block)
+    anchors = points.select(*STEP, "x", "y").join(
+        start.select("video", F.col("nearest").alias("frame"), F.col("frame").alias("to")), ["video", "frame"]
+    )
+    return propagate(anchors, flow, mode=mode, block=block)

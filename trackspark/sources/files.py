@@ -166,7 +166,7 @@ def read_predictions_csv(
         label_of = {part: str(i) for i, part in enumerate(listed)}
     pairs = F.create_map(*[F.lit(v) for kv in label_of.items() for v in kv])
     out = tidy.select(
-        F.regexp_extract(names.stem("path"), "^(.*?)DLC", 1).alias("video"), "path",
+        names.trace_video("path").alias("video"), "path",
         pairs[F.col("bodypart")].alias("label"), "frame", "x", "y", "likelihood",
     )
     return out if keep_empty else out.where(F.col("x").isNotNull() | F.col("y").isNotNull())
@@ -336,10 +336,10 @@ def classify_files(files: DataFrame, *, training_only: bool = False) -> DataFram
     """Kind, video and layer of listed files ``(path)``; other files are left out."""
     name = names.file_name("path")
     annotation = F.contains(name, F.lit("_annotations")) & F.endswith(name, F.lit(".json"))
-    trace = F.contains(names.stem("path"), F.lit("DLC")) & name.rlike(r"\.(csv|h5|json)$")
+    trace = F.contains(names.stem("path"), F.lit(names.TRACE_MARK)) & name.rlike(r"\.(csv|h5|json)$")
     kind = F.when(annotation, "annotation").when(trace, "trace")
     video = F.when(annotation, names.video_name("path")).otherwise(
-        F.regexp_extract(names.stem("path"), "^(.*?)DLC", 1)
+        names.trace_video("path")
     )
     out = files.select("path", kind.alias("kind"), video.alias("video"), names.layer_name("path").alias("layer"))
     out = out.where(F.col("kind").isNotNull())
