@@ -45,8 +45,7 @@ def one_block(df: DataFrame, order: str = "frame", block: int = BLOCK) -> int |
 
     Reads one column; meant for stored tables, where that is cheap.
     """
-    top = df.agg(F.max(order)).first()[0]
-    low = df.agg(F.min(order)).first()[0] if top is not None and top < block else 0
+    low, top = df.agg(F.min(order), F.max(order)).first()
     return block if top is not None and (top >= block or low < 0) else None
 
 
