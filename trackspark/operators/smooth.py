@@ -124,13 +124,22 @@ def _per_window(axis: str) -> Column:
 
 
 def smooth_moving_average(
-    points: DataFrame, flow: DataFrame, videos: DataFrame, *, n_window: int, block: int | None = BLOCK
+    points: DataFrame,
+    flow: DataFrame,
+    videos: DataFrame,
+    *,
+    n_window: int,
+    strict: bool = False,
+    block: int | None = BLOCK,
 ) -> DataFrame:
     """Average of the blended paths of all windows that cover a frame.
 
     Every window of ``n_window`` frames is anchored at its first and last
     point. Labels with holes are left out; `smoothing_coverage` names them.
+    ``strict`` raises at once if no label at all is complete.
     """
+    if strict and not smoothing_coverage(points, flow, videos).where(F.col("reason").isNull()).head(1):
+        raise ValueError("no label covers all frames of its video")
     rows = _joined_steps(points, flow, videos, n_window, block)
     ahead = np.array(_blend_weights(n_window))
 
