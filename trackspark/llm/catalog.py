@@ -29,3 +29,15 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackspark.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_sharding")
+def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from trackspark.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
