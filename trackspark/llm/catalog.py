@@ -41,3 +41,16 @@ def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _decontamination_sql() -> str:
+    from trackspark.llm.decontamination import oracle
+
+    return oracle()
+
+
+@query("op4_decontamination", _decontamination_sql())
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackspark.llm.decontamination import find
+
+    return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
