@@ -54,3 +54,16 @@ def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackspark.llm.decontamination import find
 
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _license_sql() -> str:
+    from trackspark.llm.licenses import oracle
+
+    return oracle()
+
+
+@query("op8_licenses", _license_sql())
+def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackspark.llm.licenses import scan, templates
+
+    return scan(table(spark, sf_dir, "documents"), templates(spark))
