@@ -12,11 +12,13 @@ ignored. Texts are tokenized whole; only a document longer than a window is cut.
 from __future__ import annotations
 
 import bisect
+import json
+import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,27 +46,72 @@ SPLIT = re.compile(rf"'(?:[st]|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{L
 UNSPLIT = re.compile(rf"[^\x00-\x1b\x20-\x7f{LETTERS}¡-©«-±´¶·¸»¿×÷]|<\|")
 
 
+def _bytes_of_characters() -> dict[str, int]:
+    """The printable character that stands for each byte in a byte-level vocabulary, inverted."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+class _Pieces(dict):
+    """Ids of pieces of text, remembered up to a bound."""
+
+    def __init__(self, encode):
+        self._encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[piece] = self._encode(piece)
+        return ids
+
+
 class Tokens:
-    """Ids of texts under a byte-level vocabulary, as little-endian unsigned 32-bit integers."""
+    """Ids of texts under a byte-level vocabulary, as little-endian unsigned 32-bit integers.
+
+    Texts are split as the vocabulary's own splitter does, and each distinct piece is merged once. Where the merges of
+    the file are in the order of their ids, that is done by rank; the whole tokenizer encodes what remains.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        self._path, self._model = path, None
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, byte = model["vocab"], _bytes_of_characters()
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        by_rank = all(ids.get(m) == 256 + k for k, m in enumerate(merged))
+        if by_rank:
+            import tiktoken
+
+            ranks = {bytes(byte[c] for c in t): i for t, i in ids.items() if i < 256 + len(merged)}
+            merge = tiktoken.Encoding("pieces", pat_str=r"\s+|\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+            self._known = _Pieces(lambda piece: struct.pack(f"<{len(i := merge(piece.encode()))}I", *i))
+        else:
+            self._known = _Pieces(lambda piece: self._whole(piece))
+
+    def _whole(self, text: str) -> bytes:
+        if self._model is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+
+            self._model = Tokenizer.from_file(self._path)
+        ids = self._model.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __call__(self, text: str) -> bytes:
+        if "<|" in text or not text.isascii() and UNSPLIT.search(text):
+            return self._whole(text)
+        return b"".join(map(self._known.__getitem__, SPLIT.findall(text)))
+
 
-        self._model = Tokenizer.from_file(path)
-        self._known: dict[str, bytes] = {}
+_loaded: dict[str, Tokens] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if UNSPLIT.search(t) else SPLIT.findall(t) for t in texts]
-        new = [*set().union(*(s for s in split if s)).difference(self._known)]
-        if len(self._known) + len(new) > REMEMBERED:
-            self._known.clear()
-            new = [*set().union(*(s for s in split if s))]
-        self._known.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for t, s in zip(texts, split, strict=True) if s is None]))
-        return [next(whole) if s is None else b"".join(map(self._known.__getitem__, s)) for s in split]
+def tokens(path: str) -> Tokens:
+    """One :class:`Tokens` per file and process."""
+    if path not in _loaded:
+        _loaded[path] = Tokens(path)
+    return _loaded[path]
 
 
 class Windows:
@@ -101,12 +148,12 @@ class Windows:
 
 
 def _pack(path: str, window: int, most: int, end: int):
-    mark = np.array([end], "<u4").tobytes()
+    mark = struct.pack("<I", end)
     names = [x.split()[0] for x in PIECES.split(", ")]
     schema = pa.schema([(n, pa.int64()) for n in names] + [("open", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, windows = Tokens(path), Windows(window, most)
+        encode, windows = tokens(path), Windows(window, most)
         base = TaskContext.get().partitionId() << 33
         waiting: dict[int, list[tuple]] = {}  # pieces of open windows
 
@@ -116,22 +163,20 @@ def _pack(path: str, window: int, most: int, end: int):
 
         for batch in batches:
             ids, texts, done = batch.column(0), batch.column(1), []
-            for at in range(0, len(batch), 256):
-                part = [t or "" for t in texts.slice(at, 256).to_pylist()]
-                for doc, tokens in zip(ids.slice(at, 256).to_pylist(), encode(part), strict=True):
-                    tokens += mark
-                    total = len(tokens) // 4
-                    for start in range(0, total, window):
-                        piece = tokens[4 * start : 4 * (start + window)]
-                        length = len(piece) // 4
-                        crc = zlib.crc32(piece)
-                        if length == window:
-                            done.append((doc, start, length, crc, total, base + windows.number(), 0))
-                            continue
-                        number, offset, emitted = windows.place(length)
-                        waiting.setdefault(number, []).append((doc, start, length, crc, total, base + number, offset))
-                        if emitted is not None:
-                            done += waiting.pop(emitted)
+            for doc, text in zip(ids, texts, strict=True):
+                coded = encode(text.as_py() or "") + mark
+                doc, total = doc.as_py(), len(coded) // 4
+                for start in range(0, total, window):
+                    piece = coded[4 * start : 4 * (start + window)]
+                    length = len(piece) // 4
+                    crc = zlib.crc32(piece)
+                    if length == window:
+                        done.append((doc, start, length, crc, total, base + windows.number(), 0))
+                        continue
+                    number, offset, emitted = windows.place(length)
+                    waiting.setdefault(number, []).append((doc, start, length, crc, total, base + number, offset))
+                    if emitted is not None:
+                        done += waiting.pop(emitted)
             yield table(done, False)
         yield table([p for n in windows.open() for p in waiting[n]], True)
 
