@@ -67,3 +67,30 @@ def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackspark.llm.licenses import scan, templates
 
     return scan(table(spark, sf_dir, "documents"), templates(spark))
+
+
+@query("op3_toxicity")
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from trackspark.llm.labelled import fold
+    from trackspark.llm.toxicity import score, train
+
+    docs, folds = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5)
+    model = train(docs, table(spark, sf_dir, "labels"), folds != 0)
+    return score(docs, model).select(
+        "doc_id", (folds == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def _jaccard_sql() -> str:
+    from trackspark.llm.jaccard import oracle
+
+    return oracle()
+
+
+@query("op1_ngram_jaccard_join", _jaccard_sql())
+def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackspark.llm.jaccard import join
+
+    return join(table(spark, sf_dir, "documents"))

@@ -38,7 +38,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         inverse = pow(int(_BASE), -1, 1 << 64)
         _powers[:] = [
-            np.cumprod(np.concatenate(([1], np.full(max(n, SLICE) + 1, base, np.uint64))).astype(np.uint64))
+            np.cumprod(np.append(np.ones(1, np.uint64), np.full(max(n, SLICE) + 1, base, np.uint64)))
             for base in (int(_BASE), inverse)
         ]
     return _powers[0], _powers[1]
