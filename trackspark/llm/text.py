@@ -78,12 +78,18 @@ def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.nd
         i = j
 
 
-def words(raw: np.ndarray, at: np.ndarray, separates: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of lower-cased texts, and how many words came before each text."""
+def words(
+    raw: np.ndarray, at: np.ndarray, separates: np.ndarray = WHITE, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of lower-cased texts, and how many words came before each text.
+
+    With ``prefixes``, hashes have a column more for the first so many bytes of each longer word, 0 for other words.
+    """
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, np.zeros(len(at), np.int64)
+        hashes = np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)
+        return hashes, none, none, np.zeros(len(at), np.int64)
     inside = ~separates[raw]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -96,7 +102,11 @@ def words(raw: np.ndarray, at: np.ndarray, separates: np.ndarray = WHITE) -> tup
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(_VALUES[LOWER[raw]] * power[:n], out=sums[1:])
-    hashes = mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(np.uint64) * np.uint64(_STEP))
+    size, back = last - first, inverse[first]
+    hashes = mix((sums[last] - sums[first]) * back + size.astype(np.uint64) * np.uint64(_STEP))
+    if prefixes:
+        starts = [mix((sums[np.minimum(first + k, n)] - sums[first]) * back, k) * (size > k) for k in prefixes]
+        hashes = np.stack([hashes, *starts], 1)
     return hashes, first, last, np.searchsorted(first, at)
 
 
