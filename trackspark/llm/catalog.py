@@ -94,3 +94,17 @@ def _jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackspark.llm.jaccard import join
 
     return join(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality")
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from trackspark.llm.labelled import fold
+    from trackspark.llm.quality import score, train
+
+    docs, folds = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3)
+    model = train(docs, table(spark, sf_dir, "labels"), folds != 1)
+    return score(docs, model).select(
+        "doc_id", (folds == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
