@@ -108,3 +108,11 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select(
         "doc_id", (folds == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op9_pii")
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackspark.llm.pii import report, train
+
+    docs = table(spark, sf_dir, "documents")
+    return report(docs, train(docs))
