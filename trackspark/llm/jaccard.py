@@ -7,7 +7,7 @@ in the band) one differs by at most one shingle. So two partners share the subse
 other's with one shingle deleted. The scheme has some segments to spare; by cost each document leaves that many of its
 smallest subsets out of its own probes (small subsets agree by chance), though others may still probe them.
 
-Each document sends its segment subsets, 32 bits per shingle, to the task of scheme and segment; hashes of subsets and of
+Each document sends its segment subsets, three bytes per shingle, to the task of scheme and segment; hashes of subsets and of
 their one-deletion neighbourhoods are formed and matched only there. Candidates pass a parity sketch, which bounds the
 difference from below, and then an exact comparison of the whole sets, so the result has neither false nor missing links.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from trackspark.llm.components import components
 from trackspark.llm.tables import id_and_text
 from trackspark.llm.text import mix, shingles, slices, words
-from trackspark.session import settle
+from trackspark.session import scratch_dir, settle
 
 #: Shingles that one task matches at a time.
 GROUP = 1_500_000
@@ -41,6 +41,12 @@ GROUP = 1_500_000
 SKETCH = 8
 #: Subsets up to this size may be left out of the probes.
 SMALL = 2
+#: Bytes of a shingle's hash in the exact comparison.
+MEMBER = 6
+#: Sets that one task compares with a hub.
+SPOKES = 50_000
+#: Pairs whose keys are broadcast to find their texts again (under 50 bytes each); more meet the texts in a shuffled join.
+BROADCAST_PAIRS = 400_000
 #: Bytes of text per step of a task.
 STEP = 4 << 20
 
@@ -84,6 +90,17 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of unsigned integers."""
+    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _widened(raw: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return out.view(np.uint64).ravel()
+
+
 def _key(sets: list[np.ndarray]) -> np.ndarray:
     """One hash per set: equal for equal sets, 0 for the empty one."""
     at = np.cumsum([0, *map(len, sets)])
@@ -115,8 +132,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i, sets, key in _sets(batch):
             sketch = pa.FixedSizeListArray.from_arrays(pa.array(_sketches(sets).ravel()), SKETCH).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, len(sets)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), sketch],
-                ["doc_id", "key", "n", "sketch"],
+                [*(batch.column(c).slice(i, len(sets)) for c in (0, 2)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), sketch],
+                ["doc_id", "uid", "key", "n", "sketch"],
             )
 
 
@@ -132,7 +149,7 @@ def _subsets(groups: dict[int, int], group: int):
         owner = np.repeat(np.arange(docs), [len(s) for s in sets])
         hashed = mix(members, 16 + plan.number)
         cell = (hashed >> np.uint64(33)).astype(np.int64) % m * docs + owner
-        low = hashed.astype(np.uint32)
+        low = hashed.astype(np.uint32) & np.uint32(0xFFFFFF)
         order = np.lexsort((low, cell))
         low = low[order]
         length = np.bincount(cell, minlength=m * docs)
@@ -141,7 +158,8 @@ def _subsets(groups: dict[int, int], group: int):
         if plan.spare:
             smallest = np.argsort(grid, axis=0, kind="stable")[: plan.spare]
             np.put_along_axis(left_out, smallest, np.take_along_axis(grid, smallest, 0) <= SMALL, 0)
-        flagged = (length + np.where(left_out.ravel(), 1 << 15, 0)).astype(np.uint16)
+        narrow = np.uint8 if not len(length) or length.max() < 128 else np.uint32
+        flagged = (2 * length + left_out.ravel()).astype(narrow)
         segment, doc = np.divmod(np.arange(m * docs), docs)
         start = np.cumsum(length) - length
         tasks = groups[plan.number]
@@ -161,7 +179,7 @@ def _subsets(groups: dict[int, int], group: int):
                 take = np.repeat(start[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 yield (
                     (plan.number << 40) + int(task[own[0]]), keys.tobytes(), doc[own].astype(np.uint16).tobytes(),
-                    segment[own].astype(np.uint32).tobytes(), flagged[own].tobytes(), low[take].tobytes(),
+                    segment[own].astype(np.uint32).tobytes(), flagged[own].tobytes(), _narrow(low[take], 3),
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,12 +209,13 @@ def _match(key: tuple, table: pa.Table) -> pa.Table:
     for row in table.to_pylist():
         keys.append(np.frombuffer(row["keys"], np.uint64)[np.frombuffer(row["owner"], np.uint16)])
         segment.append(np.frombuffer(row["segment"], np.uint32))
-        length.append(np.frombuffer(row["length"], np.uint16))
-        low.append(np.frombuffer(row["shingles"], np.uint32))
+        wide = len(row["length"]) // max(1, len(segment[-1]))
+        length.append(np.frombuffer(row["length"], np.uint8 if wide == 1 else np.uint32).astype(np.int64))
+        low.append(_widened(row["shingles"], 3))
     keys, segment, length, low = map(np.concatenate, (keys, segment, length, low))
-    probes, length = length < 1 << 15, (length & ((1 << 15) - 1)).astype(np.int64)
+    probes, length = length & 1 == 0, length >> 1
     number = key[0].as_py()
-    values = mix(low.astype(np.uint64) | (np.repeat(segment, length).astype(np.uint64) << np.uint64(32)), 6)
+    values = mix(low | (np.repeat(segment, length).astype(np.uint64) << np.uint64(32)), 6)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
     ends = np.cumsum(length)
     whole = mix(segment.astype(np.uint64), 7 + (number >> 40)) + sums[ends] - sums[ends - length]
@@ -222,21 +241,34 @@ def _match(key: tuple, table: pa.Table) -> pa.Table:
     )
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each document, once for each hub that it is compared with."""
     for batch in batches:
-        for _, sets, key in _sets(batch):
-            yield pa.RecordBatch.from_arrays([_signed(key), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "members"])
+        for i, sets, key in _sets(batch):
+            rows = []
+            for k, members, row in zip(key.view(np.int64).tolist(), sets, batch.slice(i, len(sets)).select(["key", "sends"]).to_pylist(), strict=True):
+                if k == row["key"]:
+                    packed = _narrow(members, MEMBER)
+                    rows += [(s["hub"], s["salt"], k, s["hub"] != k, packed) for s in row["sends"]]
+            if rows:
+                columns = zip((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), zip(*rows, strict=True), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in columns], ["hub", "salt", "key", "spoke", "members"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted with each hub before its spokes, so a task holds one hub at a time."""
+    hub, centre = None, np.zeros(0, np.uint64)
     for batch in batches:
-        left, right = batch.column("left"), batch.column("right")
         good = []
-        for x, y in zip(left, right, strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(100 * common >= 75 * (len(x) + len(y) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for h, spoke, members in zip(batch.column("hub").to_pylist(), batch.column("spoke").to_pylist(), batch.column("members"), strict=True):
+            other = _widened(members.as_py(), MEMBER)
+            if not spoke:
+                hub, centre = h, other
+                good.append(False)
+                continue
+            common = len(np.intersect1d(centre, other, assume_unique=True)) if h == hub else 0
+            good.append(100 * common >= 75 * (len(centre) + len(other) - common))
+        yield batch.select(["hub", "key"]).filter(pa.array(good, pa.bool_())).rename_columns(["a", "b"])
 
 
 def _possible(a: str, b: str) -> str:
@@ -246,18 +278,25 @@ def _possible(a: str, b: str) -> str:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of class keys whose whole sets are similar enough."""
+    """The pairs ``hub, other`` of class keys whose whole sets are similar enough, as ``a, b``.
+
+    Sets travel once to each hub. A hub with very many others is split, and its own set goes to each part.
+    """
     pairs = settle(pairs)
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    ids = wanted.join(classes, "key").select(F.col("first").alias("doc_id")).distinct()
-    # a null id equals nothing in a join, so documents without id are all read again
-    texts = docs.join(ids, "doc_id", "leftsemi").unionByName(docs.where("doc_id is null"))
-    sets = texts.mapInArrow(_whole_sets, "key long, members binary").groupBy("key").agg(F.first("members").alias("members"))
-    sets = settle(sets.join(wanted, "key", "leftsemi"))
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("members").alias("left")), "a").join(
-        sets.select(F.col("key").alias("b"), F.col("members").alias("right")), "b"
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).alias("parts"))
+    to_hub = pairs.join(parts, "hub").select(
+        F.col("other").alias("key"), F.struct("hub", F.pmod(F.xxhash64("other"), F.col("parts")).alias("salt")).alias("send")
+    )
+    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+    sends = to_hub.unionByName(hubs.select(F.col("hub").alias("key"), F.struct("hub", "salt").alias("send")))
+    wanted = sends.groupBy("key").agg(F.collect_list("send").alias("sends")).join(classes.select("key", "uid"), "key")
+    if pairs.count() <= BROADCAST_PAIRS:
+        wanted = F.broadcast(wanted)
+    sets = docs.join(wanted, "uid").select("doc_id", "text", "key", "sends").mapInArrow(
+        _sent, "hub long, salt long, key long, spoke boolean, members binary"
     )
-    return settle(both.select("a", "b", "left", "right").mapInArrow(_compare, "a long, b long"))
+    sets = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "spoke")
+    return settle(sets.mapInArrow(_compare, "a long, b long").distinct())
 
 
 def _between_components(runs: DataFrame, sketched: DataFrame, roots: DataFrame) -> DataFrame:
@@ -277,7 +316,7 @@ def _between_components(runs: DataFrame, sketched: DataFrame, roots: DataFrame)
         F.expr("x.run = y.run AND x.root <> y.root AND (x.whole OR y.whole) AND (y.root = y.main OR x.key < y.key)")
         & F.expr(_possible("x", "y")),
     )
-    return pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    return pairs.select(F.least("x.key", "y.key").alias("hub"), F.greatest("x.key", "y.key").alias("other")).distinct()
 
 
 def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -286,9 +325,11 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
     ``component_id`` is the smallest id among the documents that links lead to, the document's own included.
     """
     docs = id_and_text(docs)
-    prints = settle(docs.mapInArrow(_fingerprints, "doc_id long, key long, n long, sketch array<long>"))
+    # rows without id are found again by their text; such numbers are negative and never shown
+    docs = docs.withColumn("uid", F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text") / 2).cast("long")))
+    prints = settle(docs.mapInArrow(_fingerprints, "doc_id long, uid long, key long, n long, sketch array<long>"))
     classes = settle(prints.where("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("first"), F.max("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("first"), F.min("uid").alias("uid"), F.max("n").alias("n"), F.first("sketch").alias("sketch")
     ))
     bounds = [int(h) for h in _HIGH]
     band = sum((F.col("n") > h).cast("int") for h in bounds[:60])  # the last of these bands is beyond any text
@@ -297,15 +338,15 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
     packed = docs.mapInArrow(
         _subsets(groups, group), "task long, keys binary, owner binary, segment binary, length binary, shingles binary"
     )
-    runs = settle(packed.groupBy("task").applyInArrow(_match, "run long, key long, whole boolean").distinct())
+    path = scratch_dir(docs.sparkSession, "runs")
+    packed.groupBy("task").applyInArrow(_match, "run long, key long, whole boolean").write.parquet(path)
+    runs = docs.sparkSession.read.parquet(path)
     sketched = classes.select("key", "n", "sketch")
-    centres = runs.where("whole").groupBy("run").agg(F.min("key").alias("centre"))
-    spokes = runs.join(centres, "run").where("key <> centre").select(
-        F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")
-    ).distinct()
-    spokes = spokes.join(sketched.withColumnRenamed("key", "a").alias("x"), "a").join(
-        sketched.withColumnRenamed("key", "b").alias("y"), "b"
-    ).where(_possible("x", "y")).select("a", "b")
+    centres = runs.where("whole").groupBy("run").agg(F.min("key").alias("hub"))
+    spokes = runs.join(centres, "run").where("key <> hub").select("hub", F.col("key").alias("other")).distinct()
+    spokes = spokes.join(sketched.withColumnRenamed("key", "hub").alias("x"), "hub").join(
+        sketched.withColumnRenamed("key", "other").alias("y"), "other"
+    ).where(_possible("x", "y")).select("hub", "other")
     links = _verified(spokes, docs, classes)
     roots = components(links)
     more = _verified(_between_components(runs, sketched, roots), docs, classes)
