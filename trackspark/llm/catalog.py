@@ -116,3 +116,18 @@ def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return report(docs, train(docs))
+
+
+def _neighbours_sql() -> str:
+    from trackspark.llm.neighbours import oracle
+
+    return oracle()
+
+
+@query("op2_nearest_neighbours", _neighbours_sql())
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from trackspark.llm.neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
