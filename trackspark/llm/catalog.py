@@ -131,3 +131,11 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackspark.llm.neighbours import search
 
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_pseudo_likelihood")
+def _pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackspark.llm.language_model import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs))
