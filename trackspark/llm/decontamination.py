@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackspark.llm.tables import small
+
 MASKS = ("110001011", "110100011")
 SPAN = 9
 WINDOW = 15
@@ -63,7 +65,7 @@ def find(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, wind
     """
     listed = items.select("item_id", words(F.col("text")).alias("iw")).where(F.size("iw") >= SPAN).distinct()
     total = listed.agg(F.sum(F.size("iw"))).first()[0] or 0
-    small = F.broadcast if total <= BROADCAST_WORDS else lambda df: df
+    sized = F.broadcast if total <= BROADCAST_WORDS else lambda df: df
     at = listed.select("item_id", "iw", F.explode(F.sequence(F.lit(0), F.size("iw") - SPAN)).alias("j"))
     seeds = at.select(
         "item_id", "j", F.posexplode(F.array(*(_key(F.col("iw"), F.col("j"), m) for m in masks))).alias("mask", "seed")
@@ -75,10 +77,10 @@ def find(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, wind
         "doc_id", "lo", "w", (F.col("s") - F.col("lo")).alias("first"),
         F.transform(core, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1))).alias("keys"),
     ).select("doc_id", "lo", "w", "first", F.posexplode("keys").alias("p", "pair"))
-    here = here.join(small(pairs), "pair", "leftsemi").select("doc_id", "lo", "w", (F.col("first") + F.col("p")).alias("i"))
+    here = here.join(sized(pairs), "pair", "leftsemi").select("doc_id", "lo", "w", (F.col("first") + F.col("p")).alias("i"))
     here = here.where(F.col("i") + SPAN <= F.size("w"))
     keyed = here.select("*", F.posexplode(F.array(*(_key(F.col("w"), F.col("i"), m) for m in masks))).alias("mask", "seed"))
-    hits = keyed.join(small(seeds), ["mask", "seed"]).join(small(listed), "item_id")
+    hits = keyed.join(sized(seeds), ["mask", "seed"]).join(sized(listed), "item_id")
     length = F.least(F.lit(window), F.size("iw"))
     before = F.greatest(SPAN - length, -F.col("j"), -F.col("i"))
     after = F.least(length - 1, F.size("iw") - 1 - F.col("j"), F.size("w") - 1 - F.col("i"))
@@ -109,7 +111,7 @@ def find(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, wind
 def decontaminate(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs`` that overlap with no item; rows without an id are kept."""
     hit = find(docs, items, **settings).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "leftanti").select(docs.columns)
+    return docs.join(small(hit), "doc_id", "leftanti").select(docs.columns)
 
 
 def oracle(masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE) -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.llm.components import components
-from trackspark.llm.tables import id_and_text
+from trackspark.llm.tables import id_and_text, small
 from trackspark.llm.text import mix, shingles, slices, words
 from trackspark.session import scratch_dir, settle
 
@@ -360,11 +360,16 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's, one row for each such id; rows without id are all kept."""
-    found = join(docs, **settings).where("doc_id = component_id").select("doc_id").distinct()
+    """One row of ``docs`` for each component, that of the component's id.
+
+    Rows that share an id are one document here, kept once if it is kept; rows without id are all kept.
+    """
+    kept = join(docs, **settings).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    found = docs.join(small(kept), "doc_id")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    once = docs.where("doc_id is not null").withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
-    return once.join(found, "doc_id", "leftsemi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    repeated = found.where("__rows > 1").withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    parts = found.where("__rows = 1"), repeated, docs.where("doc_id is null")
+    return parts[0].select(docs.columns).unionByName(parts[1].select(docs.columns)).unionByName(parts[2])
 
 
 def oracle() -> str:
