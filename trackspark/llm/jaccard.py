@@ -11,8 +11,8 @@ Each document sends its segment subsets, three bytes per shingle, to the task of
 their one-deletion neighbourhoods are formed and matched only there. Candidates pass a parity sketch, which bounds the
 difference from below, and then an exact comparison of the whole sets, so the result has neither false nor missing links.
 
-Equal sets are one class from the start. Candidates within a run of equal hashes are first compared with one member of the
-run only; what that connects needs no comparison any more, and only pairs between different components follow. Links
+Equal sets are one class from the start. Each class is first compared with one candidate only, the first member of one of
+its runs of equal hashes; what that connects needs no comparison any more, and only pairs between different components follow. Links
 inside a component are therefore not all enumerated; components are exact.
 
 Defined cases: null and empty texts have no shingles and are alone; fewer than five words are one shingle; rows with equal
@@ -37,8 +37,6 @@ from trackspark.session import scratch_dir, settle
 
 #: Shingles that one task matches at a time.
 GROUP = 1_500_000
-#: Longs of a parity sketch.
-SKETCH = 8
 #: Subsets up to this size may be left out of the probes.
 SMALL = 2
 #: Bytes of a shingle's hash in the exact comparison.
@@ -118,21 +116,25 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray], np.nda
         yield i, found, _key(found)
 
 
-def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity of the number of shingles in each of the sketch's bits."""
-    bits = 64 * SKETCH
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = (mix(np.concatenate([np.zeros(0, np.uint64), *sets]), 5) % np.uint64(bits)).astype(np.int64)
-    odd = np.bincount(owner * bits + at, minlength=len(sets) * bits).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
+def _sketches(sets: list[np.ndarray]) -> pa.Array:
+    """Parity of the number of shingles in each bit; between two and four bits per shingle, a power of two.
+
+    The halves of a sketch, combined by exclusive or, are the sketch of half the size.
+    """
+    out = []
+    for members in sets:
+        bits = max(64, 1 << int(2 * len(members) - 1).bit_length()) if len(members) else 64
+        at = (mix(members, 5) & np.uint64(bits - 1)).astype(np.int64)
+        odd = np.bincount(at, minlength=bits).astype(np.uint8) & 1
+        out.append(np.packbits(odd).view(np.int64))
+    return pa.array(out, pa.list_(pa.int64()))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, sets, key in _sets(batch):
-            sketch = pa.FixedSizeListArray.from_arrays(pa.array(_sketches(sets).ravel()), SKETCH).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(i, len(sets)) for c in (0, 2)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), sketch],
+                [*(batch.column(c).slice(i, len(sets)) for c in (0, 2)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), _sketches(sets)],
                 ["doc_id", "uid", "key", "n", "sketch"],
             )
 
@@ -227,17 +229,28 @@ def _match(key: tuple, table: pa.Table) -> pa.Table:
     again = signature[1:] == signature[:-1]
     keep = np.append(again, False) | np.append(False, again)
     signature, order = signature[keep], order[keep]
-    entry, is_whole = entry[order], order < len(whole)
-    run = np.cumsum(np.append(True, signature[1:] != signature[:-1])) - 1 if len(signature) else np.zeros(0, np.int64)
-    n = run[-1] + 1 if len(run) else 0
-    own = keys[entry]
-    least, most = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
-    np.minimum.at(least, run, own)
-    np.maximum.at(most, run, own)
-    good = (np.bincount(run, is_whole, n) > 0) & (np.bincount(run, probes[entry], n) > 0) & (least != most)
-    use = good[run]
+    own, is_whole = keys[entry[order]], order < len(whole)
+    by_member = np.lexsort((is_whole, own, signature))
+    own, is_whole, signature, order = own[by_member], is_whole[by_member], signature[by_member], order[by_member]
+    new_run = np.append(True, signature[1:] != signature[:-1])[: len(signature)]
+    # copies in other batches are the same member
+    new = np.append(True, (own[1:] != own[:-1]) | (is_whole[1:] != is_whole[:-1]))[: len(signature)] | new_run
+    own, is_whole, entry, start = own[new], is_whole[new], entry[order[new]], new_run[new]
+    run = np.cumsum(start) - 1
+    first = np.flatnonzero(start)
+    if len(own):
+        good = (np.bincount(run, is_whole) > 0) & (np.bincount(run, probes[entry]) > 0)
+        good &= np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+        # runs of the same members, from other segments of this task, say nothing new
+        members = np.add.reduceat(mix(own, 9) * (1 + 2 * is_whole.astype(np.uint64)), first)
+        kept = np.zeros(len(first), bool)
+        candidates = np.flatnonzero(good)
+        kept[candidates[np.unique(members[candidates], return_index=True)[1]]] = True
+        use = kept[run]
+    else:
+        use, members = np.zeros(0, bool), np.zeros(0, np.uint64)
     return pa.table(
-        {"run": _signed(mix(signature[use], 8)), "key": _signed(own[use]), "whole": pa.array(is_whole[use])}
+        {"run": _signed(mix(members[run[use]], 8)), "key": _signed(own[use]), "whole": pa.array(is_whole[use])}
     )
 
 
@@ -272,9 +285,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(a: str, b: str) -> str:
-    """Sizes and sketches do not exclude the pair."""
-    differ = " + ".join(f"bit_count({a}.sketch[{i}] ^ {b}.sketch[{i}])" for i in range(SKETCH))
-    return f"4 * least({a}.n, {b}.n) >= 3 * greatest({a}.n, {b}.n) AND 7 * ({differ}) <= {a}.n + {b}.n"
+    """Sizes and sketches, folded to the smaller of the two, do not exclude the pair."""
+    size = f"least(size({a}.sketch), size({b}.sketch))"
+    folded = " ^ ".join(f"{x}.sketch[i] ^ coalesce(get({x}.sketch, i + {size}), 0L)" for x in (a, b))
+    differ = f"aggregate(sequence(0, {size} - 1), 0, (s, i) -> s + bit_count({folded}))"
+    return f"4 * least({a}.n, {b}.n) >= 3 * greatest({a}.n, {b}.n) AND 7 * {differ} <= {a}.n + {b}.n"
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -346,7 +361,7 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
     spokes = runs.join(centres, "run").where("key <> hub").select("hub", F.col("key").alias("other")).distinct()
     spokes = spokes.join(sketched.withColumnRenamed("key", "hub").alias("x"), "hub").join(
         sketched.withColumnRenamed("key", "other").alias("y"), "other"
-    ).where(_possible("x", "y")).select("hub", "other")
+    ).where(_possible("x", "y")).groupBy("other").agg(F.min("hub").alias("hub"))
     links = _verified(spokes, docs, classes)
     roots = components(links)
     more = _verified(_between_components(runs, sketched, roots), docs, classes)
