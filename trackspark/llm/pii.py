@@ -33,6 +33,7 @@ SAMPLE = 2000
 SURE = 0.9
 #: Hashed features of a token, label 0 being none.
 FEATURES = 512
+FIGURES = 9  # features per token
 ROUNDS = 12
 EPOCHS, RATE = 120, 0.5
 
@@ -128,11 +129,12 @@ class Graph:
             self.tokens.append((number, start, end))
             self.features.append(_features(core, before))
             self.seen.append(label)
-            if previous >= 0 and place - place_before <= 2:
+            chained = previous >= 0 and place - place_before <= 2
+            if chained:
                 self.edges.append((previous, node, 0))
             digits = "".join(c for c in core if "0" <= c <= "9")
             for name in {core.lower(), "~" + digits[-7:] if len(digits) >= 7 else core.lower()}:
-                if name in last and last[name] != previous:
+                if name in last and not (chained and last[name] == previous):
                     self.edges.append((last[name], node, 1))
                 last[name] = node
             previous, place_before, before = node, place, word
@@ -140,7 +142,7 @@ class Graph:
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(self.tokens)
         return (
-            np.array(self.tokens, np.int64).reshape(n, 3), np.array(self.features, np.int64).reshape(n, -1),
+            np.array(self.tokens, np.int64).reshape(n, 3), np.array(self.features, np.int64).reshape(n, FIGURES),
             np.array(self.seen, np.int64), np.array(self.edges, np.int64).reshape(-1, 3),
         )
 
