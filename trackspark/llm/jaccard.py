@@ -39,6 +39,8 @@ from trackspark.session import scratch_dir, settle
 GROUP = 1_500_000
 #: Subsets up to this size may be left out of the probes.
 SMALL = 2
+#: Longs of the smallest parity sketch.
+QUICK = 8
 #: Bytes of a shingle's hash in the exact comparison.
 MEMBER = 6
 #: Sets that one task compares with a hub.
@@ -117,25 +119,31 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, list[np.ndarray], np.nda
 
 
 def _sketches(sets: list[np.ndarray]) -> pa.Array:
-    """Parity of the number of shingles in each bit; between two and four bits per shingle, a power of two.
+    """Parity of the number of shingles in each bit; between two and four bits per shingle, a power of two, 512 at least.
 
     The halves of a sketch, combined by exclusive or, are the sketch of half the size.
     """
     out = []
     for members in sets:
-        bits = max(64, 1 << int(2 * len(members) - 1).bit_length()) if len(members) else 64
+        bits = max(64 * QUICK, 1 << (2 * len(members)).bit_length())
         at = (mix(members, 5) & np.uint64(bits - 1)).astype(np.int64)
         odd = np.bincount(at, minlength=bits).astype(np.uint8) & 1
         out.append(np.packbits(odd).view(np.int64))
     return pa.array(out, pa.list_(pa.int64()))
 
 
+def _folded(sketches: pa.Array) -> pa.Array:
+    """The sketches of ``QUICK`` longs."""
+    return pa.array([np.bitwise_xor.reduce(s.values.to_numpy().reshape(-1, QUICK)) for s in sketches], pa.list_(pa.int64()))
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, sets, key in _sets(batch):
+            sketches = _sketches(sets)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(i, len(sets)) for c in (0, 2)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), _sketches(sets)],
-                ["doc_id", "uid", "key", "n", "sketch"],
+                [*(batch.column(c).slice(i, len(sets)) for c in (0, 2)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), sketches, _folded(sketches)],
+                ["doc_id", "uid", "key", "n", "sketch", "quick"],
             )
 
 
@@ -250,7 +258,7 @@ def _match(key: tuple, table: pa.Table) -> pa.Table:
     else:
         use, members = np.zeros(0, bool), np.zeros(0, np.uint64)
     return pa.table(
-        {"run": _signed(mix(members[run[use]], 8)), "key": _signed(own[use]), "whole": pa.array(is_whole[use])}
+        {"run": _signed(mix(members[run[use]] ^ mix(np.array([number], np.uint64), 8))), "key": _signed(own[use]), "whole": pa.array(is_whole[use])}
     )
 
 
@@ -292,6 +300,18 @@ def _possible(a: str, b: str) -> str:
     return f"4 * least({a}.n, {b}.n) >= 3 * greatest({a}.n, {b}.n) AND 7 * {differ} <= {a}.n + {b}.n"
 
 
+def _quickly_possible(a: str, b: str) -> str:
+    """The same with the folded sketches, cheap enough for every pair of a run."""
+    differ = " + ".join(f"bit_count({a}.quick[{i}] ^ {b}.quick[{i}])" for i in range(QUICK))
+    return f"4 * least({a}.n, {b}.n) >= 3 * greatest({a}.n, {b}.n) AND 7 * ({differ}) <= {a}.n + {b}.n"
+
+
+def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``hub, other`` that sizes and sketches do not exclude."""
+    x, y = (classes.select(F.col("key").alias(name), "n", "sketch").alias(a) for name, a in (("hub", "x"), ("other", "y")))
+    return pairs.join(x, "hub").join(y, "other").where(_possible("x", "y")).select("hub", "other")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs ``hub, other`` of class keys whose whole sets are similar enough, as ``a, b``.
 
@@ -314,24 +334,31 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     return settle(sets.mapInArrow(_compare, "a long, b long").distinct())
 
 
-def _between_components(runs: DataFrame, sketched: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs that share a run and lie in different components.
+def _between_components(runs: DataFrame, near: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs ``hub, other`` that share a run and lie in different components.
 
-    In each run, members outside of its most frequent component meet all others.
+    In each run of three or more, members outside of its most frequent component meet all others; pairs with the run's
+    first member are in ``near`` already, as far as they are possible.
     """
-    rooted = runs.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    main = rooted.groupBy("run", "root").agg(F.count("*").alias("size")).groupBy("run").agg(
-        F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots")
+    def rooted(rows: DataFrame, key: str, root: str) -> DataFrame:
+        found = rows.join(roots.select(F.col("key").alias(key), F.col("root").alias(root)), key, "left")
+        return found.withColumn(root, F.coalesce(root, key))
+
+    members = rooted(runs, "key", "root")
+    main = members.groupBy("run", "root").agg(F.count("*").alias("size")).groupBy("run").agg(
+        F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"), F.sum("size").alias("members")
     )
-    main = main.where("roots > 1").select("run", "main")
-    open_ = settle(rooted.join(main, "run").join(sketched, "key"))
+    main = main.where("roots > 1 AND members > 2").select("run", "main")
+    open_ = settle(members.join(main, "run").join(classes.select("key", "n", "quick"), "key"))
     x, y = open_.where("root <> main").alias("x"), open_.alias("y")
     pairs = x.join(
         y,
         F.expr("x.run = y.run AND x.root <> y.root AND (x.whole OR y.whole) AND (y.root = y.main OR x.key < y.key)")
-        & F.expr(_possible("x", "y")),
+        & F.expr(_quickly_possible("x", "y")),
     )
-    return pairs.select(F.least("x.key", "y.key").alias("hub"), F.greatest("x.key", "y.key").alias("other")).distinct()
+    pairs = pairs.select(F.least("x.key", "y.key").alias("hub"), F.greatest("x.key", "y.key").alias("other")).distinct()
+    left = rooted(rooted(near, "hub", "r"), "other", "q").where("r <> q").select("hub", "other")
+    return _sketched(pairs, classes).unionByName(left).distinct()
 
 
 def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
@@ -342,9 +369,10 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
     docs = id_and_text(docs)
     # rows without id are found again by their text; such numbers are negative and never shown
     docs = docs.withColumn("uid", F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text") / 2).cast("long")))
-    prints = settle(docs.mapInArrow(_fingerprints, "doc_id long, uid long, key long, n long, sketch array<long>"))
+    prints = settle(docs.mapInArrow(_fingerprints, "doc_id long, uid long, key long, n long, sketch array<long>, quick array<long>"))
     classes = settle(prints.where("n > 0").groupBy("key").agg(
-        F.min("doc_id").alias("first"), F.min("uid").alias("uid"), F.max("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("first"), F.min("uid").alias("uid"), F.max("n").alias("n"), F.first("sketch").alias("sketch"),
+        F.first("quick").alias("quick"),
     ))
     bounds = [int(h) for h in _HIGH]
     band = sum((F.col("n") > h).cast("int") for h in bounds[:60])  # the last of these bands is beyond any text
@@ -356,15 +384,12 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
     path = scratch_dir(docs.sparkSession, "runs")
     packed.groupBy("task").applyInArrow(_match, "run long, key long, whole boolean").write.parquet(path)
     runs = docs.sparkSession.read.parquet(path)
-    sketched = classes.select("key", "n", "sketch")
     centres = runs.where("whole").groupBy("run").agg(F.min("key").alias("hub"))
     spokes = runs.join(centres, "run").where("key <> hub").select("hub", F.col("key").alias("other")).distinct()
-    spokes = spokes.join(sketched.withColumnRenamed("key", "hub").alias("x"), "hub").join(
-        sketched.withColumnRenamed("key", "other").alias("y"), "other"
-    ).where(_possible("x", "y")).groupBy("other").agg(F.min("hub").alias("hub"))
-    links = _verified(spokes, docs, classes)
-    roots = components(links)
-    more = _verified(_between_components(runs, sketched, roots), docs, classes)
+    near = settle(_sketched(spokes, classes))
+    links = _verified(near.groupBy("other").agg(F.min("hub").alias("hub")), docs, classes)
+    roots = settle(components(links).withColumnRenamed("node", "key"))
+    more = _verified(_between_components(runs, near, classes, roots), docs, classes)
     roots = settle(components(links.unionByName(more)).withColumnRenamed("node", "key"))
     named = classes.select("key", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
