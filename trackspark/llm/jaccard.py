@@ -8,7 +8,8 @@ other's with one shingle deleted. The scheme has some segments to spare; by cost
 smallest subsets out of its own probes (small subsets agree by chance), though others may still probe them.
 
 Each document sends its segment subsets, three bytes per shingle, to the task of scheme and segment; hashes of subsets and of
-their one-deletion neighbourhoods are formed and matched only there. Candidates pass a parity sketch, which bounds the
+their one-deletion neighbourhoods are formed and matched only there. A pair must also agree in the
+share of segments that partners reach in at least one task. Candidates pass a parity sketch, which bounds the
 difference from below, and then an exact comparison of the whole sets, so the result has neither false nor missing links.
 
 Equal sets are one class from the start. Each class is first compared with one candidate only, the first member of one of
@@ -39,6 +40,8 @@ from trackspark.session import scratch_dir, settle
 GROUP = 1_500_000
 #: Subsets up to this size may be left out of the probes.
 SMALL = 2
+#: Pairs of members that a task holds at a time.
+PAIRS = 4_000_000
 #: Longs of the smallest parity sketch.
 QUICK = 8
 #: Bytes of a shingle's hash in the exact comparison.
@@ -101,6 +104,12 @@ def _widened(raw: bytes, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _lengths(ascending: np.ndarray) -> bytes:
+    """Each value of an ascending array, and how often it comes."""
+    values, often = np.unique(ascending, return_counts=True)
+    return np.stack((values, often)).astype(np.uint32).tobytes()
+
+
 def _key(sets: list[np.ndarray]) -> np.ndarray:
     """One hash per set: equal for equal sets, 0 for the empty one."""
     at = np.cumsum([0, *map(len, sets)])
@@ -150,7 +159,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _subsets(groups: dict[int, int], group: int):
     """Segment subsets of all sets, packed by the task that matches them."""
     schema = pa.schema(
-        [("task", pa.int64()), ("keys", pa.binary()), ("owner", pa.binary()), ("segment", pa.binary()), ("length", pa.binary()), ("shingles", pa.binary())]
+        [("task", pa.int64()), ("keys", pa.binary()), ("skipped", pa.binary()), ("owner", pa.binary()), ("segment", pa.binary()), ("length", pa.binary()), ("shingles", pa.binary())]
     )
 
     def pack(sets: list[np.ndarray], keys: np.ndarray, plan: Scheme) -> Iterator[tuple]:
@@ -172,6 +181,7 @@ def _subsets(groups: dict[int, int], group: int):
         flagged = (2 * length + left_out.ravel()).astype(narrow)
         segment, doc = np.divmod(np.arange(m * docs), docs)
         start = np.cumsum(length) - length
+        skipped = left_out.sum(0).astype(np.uint32).tobytes()
         tasks = groups[plan.number]
         if tasks <= m:
             where = [(segment * tasks // m, np.ones(len(length), bool))]
@@ -181,15 +191,15 @@ def _subsets(groups: dict[int, int], group: int):
             where = [(segment * parts + part[0], np.ones(len(length), bool)), (segment * parts + part[1], (part[0] != part[1]) & (length > 0))]
         for task, use in where:
             entries = np.flatnonzero(use)
-            entries = entries[np.argsort(task[entries], kind="stable")]
+            entries = entries[np.argsort(task[entries], kind="stable")]  # by task, then segment, then document
             cuts = np.flatnonzero(np.diff(task[entries], prepend=-1, append=-2))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 own = entries[a:b]
                 size = length[own]
                 take = np.repeat(start[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 yield (
-                    (plan.number << 40) + int(task[own[0]]), keys.tobytes(), doc[own].astype(np.uint16).tobytes(),
-                    segment[own].astype(np.uint32).tobytes(), flagged[own].tobytes(), _narrow(low[take], 3),
+                    (plan.number << 40) + int(task[own[0]]), keys.tobytes(), skipped, doc[own].astype(np.uint16).tobytes(),
+                    _lengths(segment[own]), flagged[own].tobytes(), _narrow(low[take], 3),
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,14 +225,16 @@ def _subsets(groups: dict[int, int], group: int):
 
 def _match(key: tuple, table: pa.Table) -> pa.Table:
     """Runs of equal hashes among the subsets of one task and their one-deletion neighbourhoods."""
-    keys, segment, length, low = [], [], [], []
+    keys, skipped, segment, length, low = [], [], [], [], []
     for row in table.to_pylist():
-        keys.append(np.frombuffer(row["keys"], np.uint64)[np.frombuffer(row["owner"], np.uint16)])
-        segment.append(np.frombuffer(row["segment"], np.uint32))
+        owner = np.frombuffer(row["owner"], np.uint16)
+        keys.append(np.frombuffer(row["keys"], np.uint64)[owner])
+        skipped.append(np.frombuffer(row["skipped"], np.uint32)[owner])
+        segment.append(np.repeat(*np.frombuffer(row["segment"], np.uint32).reshape(2, -1)))
         wide = len(row["length"]) // max(1, len(segment[-1]))
         length.append(np.frombuffer(row["length"], np.uint8 if wide == 1 else np.uint32).astype(np.int64))
         low.append(_widened(row["shingles"], 3))
-    keys, segment, length, low = map(np.concatenate, (keys, segment, length, low))
+    keys, skipped, segment, length, low = map(np.concatenate, (keys, skipped, segment, length, low))
     probes, length = length & 1 == 0, length >> 1
     number = key[0].as_py()
     values = mix(low | (np.repeat(segment, length).astype(np.uint64) << np.uint64(32)), 6)
@@ -246,20 +258,63 @@ def _match(key: tuple, table: pa.Table) -> pa.Table:
     own, is_whole, entry, start = own[new], is_whole[new], entry[order[new]], new_run[new]
     run = np.cumsum(start) - 1
     first = np.flatnonzero(start)
-    if len(own):
-        good = (np.bincount(run, is_whole) > 0) & (np.bincount(run, probes[entry]) > 0)
-        good &= np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-        # runs of the same members, from other segments of this task, say nothing new
-        members = np.add.reduceat(mix(own, 9) * (1 + 2 * is_whole.astype(np.uint64)), first)
-        kept = np.zeros(len(first), bool)
-        candidates = np.flatnonzero(good)
-        kept[candidates[np.unique(members[candidates], return_index=True)[1]]] = True
-        use = kept[run]
-    else:
-        use, members = np.zeros(0, bool), np.zeros(0, np.uint64)
-    return pa.table(
-        {"run": _signed(mix(members[run[use]] ^ mix(np.array([number], np.uint64), 8))), "key": _signed(own[use]), "whole": pa.array(is_whole[use])}
-    )
+    if not len(own):
+        return pa.table({"run": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "whole": pa.array([], pa.bool_())})
+    good = (np.bincount(run, is_whole) > 0) & (np.bincount(run, probes[entry]) > 0)
+    good &= np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
+    size = np.diff(np.append(first, len(own)))
+    # the smallest runs are taken apart into pairs, as many as the task can hold
+    order = np.argsort(np.where(good, size, 1 << 31), kind="stable")
+    cost = np.cumsum(np.where(good, size, 0)[order] ** 2)
+    apart = np.zeros(len(size), bool)
+    apart[order] = good[order] & (cost <= PAIRS)
+    left, right = _pairs(first, size, np.flatnonzero(apart))
+    use = (own[left] != own[right]) & (is_whole[left] | is_whole[right])
+    left, right = left[use], right[use]
+    swap = own[left] < own[right]
+    probe, other = np.where(swap, right, left), np.where(swap, left, right)
+    keep = probes[entry[probe]]
+    by = entry[probe[keep]]
+    pairs = _often_enough(own[probe[keep]], own[other[keep]], segment[by], skipped[by], (keys[probes], segment[probes]), scheme(number >> 40))
+    use = (good & ~apart)[run]
+    members = np.add.reduceat(mix(own, 9) * (1 + 2 * is_whole.astype(np.uint64)), first)
+    tag = mix(np.array([number], np.uint64), 8)
+    both = mix(mix(pairs[0], 9) + pairs[1], 8)
+    return pa.table({
+        "run": _signed(np.concatenate((mix(members[run[use]] ^ tag), both, both))),
+        "key": _signed(np.concatenate((own[use], pairs[0], pairs[1]))),
+        "whole": pa.array(np.concatenate((is_whole[use], np.ones(2 * len(both), bool)))),
+    })
+
+
+def _pairs(first: np.ndarray, size: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of members of the given runs."""
+    n = size[runs]
+    start = np.repeat(first[runs], n * n)
+    at = np.arange(len(start)) - np.repeat(np.cumsum(n * n) - n * n, n * n)
+    x, y = np.divmod(at, np.repeat(n, n * n))
+    return (start + x)[x < y], (start + y)[x < y]
+
+
+def _often_enough(
+    probe: np.ndarray, other: np.ndarray, at: np.ndarray, skipped: np.ndarray, probed: tuple[np.ndarray, np.ndarray], plan: Scheme
+) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that agree in so many of the task's segments as partners must in one task at least.
+
+    Of the m segments that the larger key probes, at most half the possible differences differ by two or more, so all but
+    these agree; in some task the share that agrees is no less than over all tasks.
+    """
+    once = np.unique(np.stack((probe, other, at.astype(np.uint64), skipped.astype(np.uint64))), axis=1)
+    new = np.append(True, (once[:2, 1:] != once[:2, :-1]).any(0))[: once.shape[1]]
+    place = np.flatnonzero(new)
+    agree = np.diff(np.append(place, once.shape[1]))
+    mine = np.unique(np.stack((probed[0], probed[1].astype(np.uint64))), axis=1)[0]
+    names, here = np.unique(mine, return_counts=True)
+    asked = here[np.searchsorted(names, once[0, place])]
+    all_probed = plan.segments - once[3, place].astype(np.int64)
+    least = all_probed - plan.high * 2 // 7 // 2
+    enough = agree * all_probed >= asked * least
+    return once[0, place][enough], once[1, place][enough]
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,8 +363,10 @@ def _quickly_possible(a: str, b: str) -> str:
 
 def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs ``hub, other`` that sizes and sketches do not exclude."""
-    x, y = (classes.select(F.col("key").alias(name), "n", "sketch").alias(a) for name, a in (("hub", "x"), ("other", "y")))
-    return pairs.join(x, "hub").join(y, "other").where(_possible("x", "y")).select("hub", "other")
+    for figure, possible in (("quick", _quickly_possible), ("sketch", _possible)):
+        x, y = (classes.select(F.col("key").alias(name), "n", figure).alias(a) for name, a in (("hub", "x"), ("other", "y")))
+        pairs = pairs.join(x, "hub").join(y, "other").where(possible("x", "y")).select("hub", "other")
+    return pairs
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -379,7 +436,7 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
     sizes = dict(classes.groupBy(band.alias("band")).agg(F.sum("n")).collect())  # one row per band of sizes
     groups = {k: max(1, -(-(sizes.get(k, 0) + sizes.get(k - 1, 0)) // group)) for k in sizes}
     packed = docs.mapInArrow(
-        _subsets(groups, group), "task long, keys binary, owner binary, segment binary, length binary, shingles binary"
+        _subsets(groups, group), "task long, keys binary, skipped binary, owner binary, segment binary, length binary, shingles binary"
     )
     path = scratch_dir(docs.sparkSession, "runs")
     packed.groupBy("task").applyInArrow(_match, "run long, key long, whole boolean").write.parquet(path)
