@@ -26,7 +26,7 @@ from trackspark.llm.labelled import sample
 from trackspark.llm.tables import id_and_text
 from trackspark.llm.text import PLAIN, slices, words
 
-SAMPLE = 2500
+SAMPLE = 1500
 LEAST_DOCS = 4
 PREFIXES = (6, 7, 8)
 WIDTHS = (1, 2, 3)
@@ -130,7 +130,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 0) -> Model | float:
     held = np.arange(len(y)) % 5 == 0
     rows = len(vocabulary) + 2
     table = rng.normal(0, 0.1, (rows, SIZE))
-    coded = [shape.tokens(d) for d in docs]
+    coded = [shape.tokens(d).astype(np.int32) for d in docs]
+    del docs, listed
     table[:, 0] = _leaning([np.unique(c) for c, h in zip(coded, held, strict=True) if not h], y[~held], rows)
     table[[0, -1]] = 0
     filters = [rng.normal(0, 0.2, (w, SIZE, FILTERS)) for w in WIDTHS]
