@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,30 +15,19 @@ def trace(spark, lik, label="0", frames=None):
     return spark.createDataFrame(rows, PRED)
 
 
-def brute_gaps(lik, low=0.6, high=0.9, bracket=5, max_gap=45):
-    conf = [p is not None and p >= high for p in lik]
-    out, i, n = [], 0, len(lik)
-    while i < n:
-        if conf[i]:
-            i += 1
-            continue
-        s = i
-        while i < n and not conf[i]:
-            i += 1
-        e = i - 1
-        run = lik[s : e + 1]
-        if None not in run and min(run) > low:
-            why = "not_severe"
-        elif e - s + 1 > max_gap:
-            why = "too_long"
-        elif s - bracket < 0 or e + bracket >= n:
-            why = "at_video_edge"
-        elif not (all(conf[s - bracket : s]) and all(conf[e + 1 : e + 1 + bracket])):
-            why = "bracket_too_short"
-        else:
-            why = None
-        out.append((s, e, why))
-    return out
+def expected_gaps(lik, low=0.6, high=0.9, bracket=5, max_gap=45):
+    """Runs of unsure frames as matches of a pattern over one letter per frame, each with the first predicate it fails."""
+    letters = "".join("?" if p is None else "c" if p >= high else "u" if p > low else "s" for p in lik)
+    predicates = {
+        "not_severe": lambda m: set(m[0]) == {"u"},
+        "too_long": lambda m: len(m[0]) > max_gap,
+        "at_video_edge": lambda m: min(m.start(), len(letters) - m.end()) < bracket,
+        "bracket_too_short": lambda m: (letters[: m.start()][-bracket:] + letters[m.end() :][:bracket]) != "c" * 2 * bracket,
+    }
+    return [
+        (m.start(), m.end() - 1, next((why for why, fails in predicates.items() if fails(m)), None))
+        for m in re.finditer("[^c]+", letters)
+    ]
 
 
 def test_one_gap(spark):
@@ -64,7 +55,7 @@ def test_gaps_across_blocks(spark, block, dense):
     out = detect.uncertain_runs(trace(spark, lik, frames=frames), bracket=3, max_gap=4, dense=dense, block=block)
     step = 1 if dense else 3
     got = sorted((r.start // step, r.end // step, r.reason) for r in out.collect())
-    assert got == sorted(brute_gaps(lik, bracket=3, max_gap=4), key=lambda t: t[:2])
+    assert got == sorted(expected_gaps(lik, bracket=3, max_gap=4), key=lambda t: t[:2])
 
 
 def test_missing_likelihood_is_not_confident_and_severe(spark):

@@ -8,7 +8,7 @@ from trackspark.functions import names
 from trackspark.operators import detect, models
 from trackspark.plans import workflows
 from trackspark.sources import files
-from trackspark.streaming.arrivals import stream_predictions
+from trackspark.streaming.arrivals import read_results, stream_predictions
 
 
 def one(spark, col):
@@ -175,10 +175,30 @@ def test_stream_replaces_known_videos(spark, tmp_path):
 
     def run():
         stream_predictions(spark, src, out, {"gaps": detect.find_gaps}, checkpoint=ck).awaitTermination()
-        return sorted((r.video, r.start) for r in spark.read.parquet(f"{out}/gaps").collect())
+        return sorted((r.video, r.start) for r in read_results(spark, out, "gaps").collect())
 
     rows("a", {10}).write.parquet(f"{src}/a")
     assert run() == [("a", 10)]
     rows("b", {12}).write.parquet(f"{src}/b")
     assert run() == [("a", 10), ("b", 12)]
     assert run() == [("a", 10), ("b", 12)]
+    rows("b", {14}).write.parquet(f"{src}/b-again")
+    assert run() == [("a", 10), ("b", 14)]
+    rows("a", set()).write.parquet(f"{src}/a-again")
+    assert run() == [("b", 14)]
+
+
+def test_traces_under_different_headers(spark, tmp_path):
+    lay = lambda *parts: "scorer" + ",m" * 3 * len(parts) + "\nbodyparts" + "".join(f",{p}" * 3 for p in parts) + "\ncoords" + ",x,y,likelihood" * len(parts)
+    traces = {
+        "v1DLC_a.csv": lay("point1", "point0") + "\n0,2,3,0.9,5,6,0.8\n",
+        "v2DLC_a.csv": lay("point0", "point1") + "\n0,5,6,0.8,2,3,0.9\n",
+        "v3DLC_a.csv": lay("tail", "head", "paw") + "\n4.0,1,1,1,2,2,1,,,\n",
+    }
+    for name, text in traces.items():
+        (tmp_path / name).write_text(text)
+    got = {(r.video, r.label): (r.frame, r.x, r.y, r.likelihood) for r in files.read_predictions_csv(spark, str(tmp_path)).collect()}
+    assert got == {
+        ("v1", "0"): (0, 5.0, 6.0, 0.8), ("v1", "1"): (0, 2.0, 3.0, 0.9), ("v2", "0"): (0, 5.0, 6.0, 0.8),
+        ("v2", "1"): (0, 2.0, 3.0, 0.9), ("v3", "0"): (4, 2.0, 2.0, 1.0), ("v3", "2"): (4, 1.0, 1.0, 1.0),
+    }

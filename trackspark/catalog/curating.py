@@ -81,31 +81,36 @@ def knn_many_queries(spark, d):
     return vectors.knn(features, features.where(F.col("id") % 5 == 0), 5, query_limit=10)
 
 
-@query()
+@query("SELECT CAST(10 AS BIGINT) AS n_clusters, count(*) AS n_rows, true AS mostly_nearest FROM embeddings")
 def cluster_kmeans(spark, d):
-    return vectors.cluster(src.embeddings(spark, d), 10, n_init=3)
-
-
-@query()
-def cluster_agglomerative(spark, d):
-    return vectors.cluster(src.embeddings(spark, d), 10, method="agglomerative")
-
-
-@query()
-def hierarchy_cut_by_group(spark, d):
-    return vectors.hierarchy_cut(src.embeddings(spark, d), 4, group="grp")
+    """Clusters of all embeddings, checked: all rows placed, ten clusters, and rows nearest to their own cluster's mean."""
+    features = src.embeddings(spark, d)
+    placed = features.join(vectors.cluster(features, 10, n_init=3), "id")
+    unit = F.transform("embedding", lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)))
+    placed = placed.select("id", "cluster", F.posexplode(unit).alias("i", "x"))
+    means = placed.groupBy("cluster", "i").agg(F.avg("x").alias("m")).withColumnRenamed("cluster", "other")
+    far = placed.join(means, "i").groupBy("id", "cluster", "other").agg(F.sum((F.col("x") - F.col("m")) ** 2).alias("d"))
+    nearest = far.groupBy("id", "cluster").agg(F.min_by("other", "d").alias("nearest"))
+    return nearest.agg(
+        F.count_distinct("cluster").alias("n_clusters"), F.count("*").alias("n_rows"),
+        (F.avg((F.col("nearest") == F.col("cluster")).cast("int")) > 0.9).alias("mostly_nearest"),
+    )
 
 
-@query("""WITH s AS (SELECT label AS grp, count(*) AS size FROM embeddings GROUP BY label)
-    SELECT count(*) AS n_groups, CAST(least(60, (SELECT count(*) FROM embeddings)) AS BIGINT) AS total, bool_and(size >= 0) AS within_size FROM s""")
+# Water levels: with sizes sorted, the level is where the budget left over for k groups, divided evenly, is below the next size.
+@query("""WITH s AS (SELECT label AS grp, count(*) AS n, row_number() OVER (ORDER BY count(*), label) AS r, count(*) OVER () AS g,
+      sum(count(*)) OVER (ORDER BY count(*), label) AS below FROM (SELECT * FROM embeddings WHERE label > 0 OR vec_id % 50 = 0) GROUP BY label),
+    l AS (SELECT max(least(n, (60 - (below - n)) // (g - r + 1))) AS level FROM s),
+    f AS (SELECT grp, n, least(n, level) AS base, sum(least(n, level)) OVER () AS used, n > level AS open FROM s, l),
+    o AS (SELECT *, row_number() OVER (PARTITION BY open ORDER BY grp) AS p FROM f)
+    SELECT CAST(grp AS BIGINT) AS grp, CAST(n AS BIGINT) AS size, CAST(base + CASE WHEN open AND p <= 60 - used THEN 1 ELSE 0 END AS BIGINT) AS n FROM o""")
 def balanced_alloc(spark, d):
-    """A budget of 60 over the embedding groups, checked in total and per group."""
-    sizes = {r["grp"]: r["n"] for r in src.embeddings(spark, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    given = vectors.balanced_alloc(sizes, 60)
-    rows = spark.createDataFrame([(int(g), int(n), int(sizes[g])) for g, n in given.items()], "grp int, n long, size long")
-    return rows.agg(
-        F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("total"), F.bool_and(F.col("n") <= F.col("size")).alias("within_size")
-    )
+    """A budget of 60 over uneven groups of embeddings, one row per group."""
+    uneven = src.embeddings(spark, d).where((F.col("grp") > 0) | (F.col("id") % 50 == 0))
+    # One row per group; the number of groups is the caller's parameter.
+    sizes = {r["grp"]: r["n"] for r in uneven.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = [(int(g), int(sizes[g]), int(n)) for g, n in vectors.balanced_alloc(sizes, 60).items()]
+    return spark.createDataFrame(rows, "grp long, size long, n long")
 
 
 # The farthest point of every group from its first vector.

@@ -9,7 +9,7 @@ from trackspark.operators import detect
 from trackspark.session import scratch_dir
 from trackspark.sources import adapters as src
 from trackspark.sources import files
-from trackspark.streaming.arrivals import stream_predictions
+from trackspark.streaming.arrivals import read_results, stream_predictions
 
 XY = "round(x, 6) AS x, round(y, 6) AS y"
 
@@ -132,13 +132,14 @@ def evaluation_files(spark, d):
     return files.read_evaluation(spark, target).select("iteration", "step", "test_error")
 
 
-@query(f"WITH {GAPS} SELECT {GAP_COLUMNS}, round(min_likelihood, 6) AS min_likelihood FROM judged WHERE reason IS NULL")
+@query(f"WITH {GAPS} SELECT {GAP_COLUMNS}, round(min_likelihood, 6) AS min_likelihood FROM judged WHERE reason IS NULL AND label = '0'")
 def stream_gaps(spark, d):
-    """Gap finding over prediction files as they arrive."""
+    """Gap finding over predictions as they arrive; a second delivery replaces all videos, and some have no gaps any more."""
     source, target = scratch_dir(spark, "arrivals"), scratch_dir(spark, "results")
-    src.predictions(spark, d).repartition("video").write.parquet(source)
-    block = src.event_block(spark, d)
+    checkpoint, block = scratch_dir(spark, "stream"), src.event_block(spark, d)
+    pred = src.predictions(spark, d)
     gaps = lambda df: detect.find_gaps(df, max_gap=2, dense=True, block=block)
-    running = stream_predictions(spark, source, target, {"gaps": gaps}, checkpoint=scratch_dir(spark, "stream"))
-    running.awaitTermination()
-    return spark.read.schema(gaps(src.predictions(spark, d)).schema).parquet(f"{target}/gaps")
+    for number, rows in enumerate((pred, pred.where("label = '0'"))):
+        rows.repartition("video").write.parquet(f"{source}/delivery-{number}")
+        stream_predictions(spark, source, target, {"gaps": gaps}, checkpoint=checkpoint).awaitTermination()
+    return read_results(spark, target, "gaps")

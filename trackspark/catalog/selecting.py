@@ -87,6 +87,7 @@ low AS (SELECT video, frame FROM (SELECT video, frame, row_number() OVER (PARTIT
 flagged AS (SELECT p.video, p.label, p.frame FROM pred p WHERE likelihood >= 0.9 AND EXISTS (SELECT 1 FROM blips b
     WHERE b.video = p.video AND b.label = p.label AND p.frame BETWEEN b."start" AND b."end")),
 errs AS (SELECT p.video, p.label, p.frame, p.x, p.y, 'low_confidence' AS kind FROM pred p JOIN low ON low.video = p.video AND low.frame = p.frame
+    WHERE NOT EXISTS (SELECT 1 FROM flagged g WHERE g.video = p.video AND g.frame = p.frame)
   UNION ALL
   SELECT p.video, p.label, p.frame, CASE WHEN g.frame IS NOT NULL THEN coalesce(f.x, p.x) ELSE p.x END,
     CASE WHEN g.frame IS NOT NULL THEN coalesce(f.y, p.y) ELSE p.y END, 'blip'

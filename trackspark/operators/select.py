@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,23 +156,28 @@ def select_training_frames(
 
 # --- greedy choice across videos --------------------------------------------------
 
+def _free(near: list[int], frame: int, spacing: int) -> bool:
+    """Whether a sorted list of frames has none closer than ``spacing``; the frame is put in if so."""
+    k = bisect.bisect_left(near, frame)
+    if (k and frame - near[k - 1] < spacing) or (k < len(near) and near[k] - frame < spacing):
+        return False
+    near.insert(k, frame)
+    return True
+
+
 def _greedy(rows_: pa.Table, spacing: int, cap: int) -> pa.Table:
-    """Walk rows in rank order; rows flagged ``_kept`` count as chosen beforehand."""
-    taken: dict[tuple, list[int]] = {}
-    done, picks = 0, []
-    rows_ = rows_.sort_by([("_kept", "descending"), ("_rank", "ascending")])
-    columns = (rows_.column(c).to_pylist() for c in (*STEP, "_kept"))
-    for i, (video, label, frame, kept) in enumerate(zip(*columns)):
-        near = taken.setdefault((video, label), [])
-        if not kept:
-            if done >= cap:
-                break
-            if any(abs(frame - f) < spacing for f in near):
-                continue
-            picks.append(i)
-        near.append(frame)
-        done += 1
-    return rows_.take(pa.array(picks, pa.int64()))
+    """The best ``cap`` rows by rank that keep their distance; rows flagged ``_kept`` stand beforehand and count."""
+    fixed = rows_.filter(pc.field("_kept")).select(STEP).to_pylist()
+    near: dict[tuple, list[int]] = {}
+    for r in fixed:
+        bisect.insort(near.setdefault((r["video"], r["label"]), []), r["frame"])
+    open_ = rows_.filter(~pc.field("_kept")).sort_by("_rank")
+    room = max(0, cap - len(fixed))
+    fits = (
+        i for i, r in enumerate(open_.select(STEP).to_pylist())
+        if _free(near.setdefault((r["video"], r["label"]), []), r["frame"], spacing)
+    )
+    return open_.take(pa.array(list(itertools.islice(fits, room)), pa.int64()))
 
 
 def _select_ranked(
@@ -256,7 +264,8 @@ def error_frames(
     """Frames the model gets wrong, with a position for every label.
 
     Low-confidence frames carry the model's points. Blip frames count where the
-    blipped label is confident and carry the flow's point for that label.
+    blipped label is confident and carry the flow's point for that label. A
+    frame that is both comes once, as a blip frame.
     """
     labels = predictions.select("video", "label").distinct()
     model = predictions.select(*STEP, F.col("x").alias("mx"), F.col("y").alias("my"))
@@ -285,10 +294,10 @@ def error_frames(
         )
     if not parts:
         raise ValueError("no kind of error frames asked for")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    if len(parts) == 1:
+        return parts[0]
+    low, blip = parts
+    return low.join(blip.select("video", "frame").distinct(), ["video", "frame"], "left_anti").unionByName(blip)
 
 
 def union_sources(*sources: DataFrame, min_rows: int = 8) -> DataFrame:
@@ -323,11 +332,11 @@ def complete_frame_entries(points: DataFrame, declared: DataFrame) -> DataFrame:
 def free_layer_name(layers: DataFrame, base: str) -> DataFrame:
     """Per video the first unused name among ``base``, ``base2``, ``base3``, ..."""
     number = F.when(F.col("layer") == base, 1).when(
-        F.col("layer").rlike(f"^{base}[0-9]+$"), F.substring(F.col("layer"), len(base) + 1, 9).cast("int")
+        F.col("layer").rlike(f"^{base}[0-9]+$"), F.substring(F.col("layer"), len(base) + 1, 1 << 30).try_cast("long")
     )
     used = layers.select("video", number.alias("_n")).groupBy("video").agg(F.collect_set("_n").alias("_u"))
     # Among the first size+1 numbers one is always free.
-    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("_u") + 1), "_u"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1).cast("long"), F.size("_u").cast("long") + 1), "_u"))
     return used.select(
         "video", F.when(free == 1, F.lit(base)).otherwise(F.concat(F.lit(base), free.cast("string"))).alias("layer")
     )

@@ -40,17 +40,23 @@ def _blend_weights(n: int) -> list[float]:
 
 
 def smoothing_coverage(points: DataFrame, flow: DataFrame, videos: DataFrame) -> DataFrame:
-    """Which labels can be smoothed: points and flow steps present, and why not."""
-    has = F.col("x").isNotNull() & F.col("y").isNotNull()
-    have = points.groupBy(*TRACE).agg(F.count_if(has).alias("n_points"))
-    steps = flow.groupBy(*TRACE).agg(
-        F.count_if(F.col("dx_fwd").isNotNull() & F.col("dy_fwd").isNotNull()).alias("_f"),
-        F.count_if(F.col("dx_rev").isNotNull() & F.col("dy_rev").isNotNull()).alias("_r"),
+    """Which labels can be smoothed, and why not: every frame of the video needs a point, every step inside it a flow.
+
+    Rows outside of frames 0 to n_frames - 1 do not count.
+    """
+    lengths = videos.select("video", "n_frames")
+    frame, last = F.col("frame"), F.col("n_frames") - 1
+    has = F.col("x").isNotNull() & F.col("y").isNotNull() & frame.between(0, last)
+    have = points.join(lengths, "video").groupBy(*TRACE, "n_frames").agg(
+        F.count_distinct(F.when(has, frame)).alias("n_points")
     )
-    joined = have.join(videos.select("video", "n_frames"), "video").join(steps, list(TRACE), "left")
-    whole_flow = (F.coalesce("_f", F.lit(0)) >= F.col("n_frames") - 1) & (
-        F.coalesce("_r", F.lit(0)) >= F.col("n_frames") - 1
+    forth = F.col("dx_fwd").isNotNull() & F.col("dy_fwd").isNotNull() & frame.between(1, last)
+    back = F.col("dx_rev").isNotNull() & F.col("dy_rev").isNotNull() & frame.between(0, last - 1)
+    steps = flow.join(lengths, "video").groupBy(*TRACE).agg(
+        F.count_distinct(F.when(forth, frame)).alias("_f"), F.count_distinct(F.when(back, frame)).alias("_r")
     )
+    joined = have.join(steps, list(TRACE), "left")
+    whole_flow = (F.coalesce("_f", F.lit(0)) >= last) & (F.coalesce("_r", F.lit(0)) >= last)
     reason = F.when(F.col("n_points") < F.col("n_frames"), "holes").when(~whole_flow, "flow_missing")
     return joined.select(*TRACE, "n_points", "n_frames", reason.alias("reason"))
 
@@ -67,6 +73,7 @@ def _joined_steps(
         *STEP, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("dx_fwd", "dy_fwd", "dx_rev", "dy_rev")]
     )
     rows = points.select(*STEP, "x", "y").join(steps, STEP).join(good, list(TRACE))
+    rows = rows.where(F.col("frame").between(0, F.col("n_frames") - 1))
     return with_halo(rows, before=n_window - 1, after=n_window - 1, block=block)
 
 
@@ -209,12 +216,6 @@ def lowpass_taps(period: int) -> list[float]:
     return [t / gain for t in taps]
 
 
-def offered_level(length: int, level: int) -> int:
-    """The level actually used: two periods must fit the interval; level 1 always does."""
-    top = max(1, sum(1 for p in LADDER if 2 * p <= length))
-    return max(0, min(top, level))
-
-
 def _lowpassed(points: DataFrame, intervals: DataFrame, period: int, block: int) -> DataFrame:
     """The filtered points of the intervals."""
     spans = intervals.select(*RUN).distinct()

@@ -26,7 +26,6 @@ from trackspark.session import settle
 CANDIDATES = 2048
 # Queries up to this number are sent to every task.
 QUERY_LIMIT = 4096
-TREE_LIMIT = 2000
 
 
 def l2_normalize(features: DataFrame) -> DataFrame:
@@ -218,20 +217,11 @@ def cluster(
     features: DataFrame,
     n_clusters: int,
     *,
-    method: str = "kmeans",
     normalize: bool = True,
     seed: int = 0,
     n_init: int = 10,
 ) -> DataFrame:
-    """Assign each row to a cluster: ``(id, cluster)``.
-
-    ``kmeans`` keeps the best of ``n_init`` starts; ``agglomerative`` is
-    average linkage on the cosine distance (see `hierarchy_cut`).
-    """
-    if method == "agglomerative":
-        return hierarchy_cut(features, n_clusters, metric="cosine", normalize=normalize, seed=seed)
-    if method != "kmeans":
-        raise ValueError(f"unknown method {method!r}")
+    """Assign each row to a cluster: ``(id, cluster)``, by the best of ``n_init`` k-means starts."""
     rows = _with_vector(features.select("id", "embedding"), normalize).select("id", "_vec").persist()
     try:
         best = None
@@ -262,112 +252,6 @@ def cluster_medoids(features: DataFrame, labels: DataFrame, *, normalize: bool =
     )
 
 
-def _average_linkage(dist: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
-    """Cut an average-linkage tree at ``k`` clusters, by chains of nearest neighbours."""
-    n = len(dist)
-    d = dist.astype(float).copy()
-    np.fill_diagonal(d, np.inf)
-    size = weight.astype(float).copy()
-    alive = np.ones(n, dtype=bool)
-    merges: list[tuple[float, int, int]] = []
-    trail: list[int] = []
-    while len(merges) < n - 1:
-        if not trail:
-            trail = [int(np.flatnonzero(alive)[0])]
-        a = trail[-1]
-        b = int(np.argmin(d[a]))
-        if len(trail) > 1 and d[a, trail[-2]] <= d[a, b]:
-            b = trail[-2]
-        if len(trail) > 1 and b == trail[-2]:
-            trail = trail[:-2]
-            merges.append((float(d[a, b]), a, b))
-            joined = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-            size[b] += size[a]
-            alive[a] = False
-            d[b], d[:, b] = joined, joined
-            d[b, b] = np.inf
-            d[a], d[:, a] = np.inf, np.inf
-        else:
-            trail.append(b)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for _, a, b in sorted(merges, key=lambda m: m[0])[: max(0, n - k)]:
-        parent[root(a)] = root(b)
-    roots = [root(i) for i in range(n)]
-    names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-    return np.array([names[r] for r in roots])
-
-
-def hierarchy_cut(
-    features: DataFrame,
-    k: int,
-    *,
-    group: str | None = None,
-    metric: str = "euclidean",
-    normalize: bool = True,
-    seed: int = 0,
-    limit: int = TREE_LIMIT,
-) -> DataFrame:
-    """Average-linkage clusters: ``([group,] id, cluster)``, numbered from 0.
-
-    A tree over N rows needs all N*N distances. Up to ``limit`` rows per group
-    the tree is exact. Larger groups are first condensed to at most ``limit``
-    k-means centres, the tree is built on those, weighted by their sizes, and
-    every row gets the cluster of its centre.
-    """
-    if metric not in ("euclidean", "cosine"):
-        raise ValueError(f"unknown metric {metric!r}")
-    keys = [group] if group else []
-    rows = features.select(*keys, "id", "embedding")
-    kind = f"{group} {features.schema[group].dataType.simpleString()}, " if group else ""
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = _matrix(pdf["embedding"], normalize)
-        if metric == "euclidean":
-            dist = _distances(x, x)
-        else:
-            u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
-            dist = 1.0 - u @ u.T
-        out = pdf[keys + ["id"]].copy()
-        out["cluster"] = _average_linkage(dist, pdf["weight"].to_numpy(), k)
-        return out
-
-    schema = f"{kind}id long, cluster int"
-    rows = rows.withColumn("_k", F.col(group) if group else F.lit(0))
-    over = rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    # At most rows / limit groups are that large.
-    large = [r["_k"] for r in over.collect()]
-    small = rows.where(~F.col("_k").isin(large)) if large else rows
-    done = small.withColumn("weight", F.lit(1.0)).groupBy("_k").applyInPandas(cut, schema)
-    for g in large:
-        part = rows.where(F.col("_k") == F.lit(g))
-        # Read for the centres and for the way back to the rows.
-        micro = settle(cluster(part, limit, normalize=normalize, seed=seed, n_init=1))
-        placed = _with_vector(part, normalize).join(micro, "id")
-        centres = placed.groupBy("cluster").agg(
-            vector_to_array(Summarizer.mean(F.col("_vec"))).alias("embedding"), F.count(F.lit(1)).alias("weight")
-        )
-        centres = centres.select(
-            *([F.lit(g).cast(features.schema[group].dataType).alias(group)] if group else []),
-            F.col("cluster").cast("long").alias("id"), "embedding", F.col("weight").cast("double").alias("weight"),
-        )
-        tree = centres.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(cut, schema).select(
-            *keys, F.col("id").cast("int").alias("_micro"), F.col("cluster").alias("_cluster")
-        )
-        back = micro.join(tree, micro["cluster"] == tree["_micro"]).select(
-            *keys, "id", F.col("_cluster").alias("cluster")
-        )
-        done = done.unionByName(back)
-    return done
-
-
 # --- neighbours --------------------------------------------------------------------
 
 def knn(
@@ -441,21 +325,20 @@ def knn(
 # --- budgets over groups -------------------------------------------------------------
 
 def balanced_alloc(sizes: dict, total: int) -> dict:
-    """Split a total evenly over groups in sorted order, capped by their sizes.
+    """Split a total over groups as water fills vessels: all to the same level, none above its size.
 
-    What small groups leave over goes to the others.
+    What is left below one more unit for every unfilled group goes to the first of them in sorted order.
     """
-    given = dict.fromkeys(sizes, 0)
-    left = total
-    room = sorted(g for g, s in sizes.items() if s > 0)
-    while room and left > 0:
-        share = max(1, left // len(room))
-        for g in room:
-            extra = min(share, sizes[g] - given[g], left)
-            given[g] += extra
-            left -= extra
-        room = [g for g in room if given[g] < sizes[g]]
-    return given
+    def filled(level: int) -> int:
+        return sum(min(s, level) for s in sizes.values())
+
+    low, high = 0, max(sizes.values(), default=0)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if filled(middle) <= total else (low, middle - 1)
+    unfilled = sorted(g for g, s in sizes.items() if s > low)
+    extra = set(unfilled[: max(0, total - filled(low))])
+    return {g: min(s, low) + (g in extra) for g, s in sizes.items()}
 
 
 def _group_sample(
@@ -540,16 +423,27 @@ def select_diverse(
     return _ranked_ids(features, chosen[:n])
 
 
+# The numbers a review starts with.
+REVIEW_CLUSTERS = (6, 20, 40)  # least and most to begin with, most ever
+REVIEW_TARGET = 120
+REVIEW_ORDER = 512
+
+
 def review_defaults(n: int, radii: Sequence[float] | None = None) -> dict:
-    """Cluster count and minimum distance to start a review of ``n`` frames with."""
-    k_hi = min(40, max(2, n // 8))
-    # As with clipping arrays, the upper limit wins where the limits cross.
-    clip = lambda v, lo, hi: min(max(v, lo), hi)
-    k = clip(round(math.sqrt(n / 4.0)), 6, min(20, k_hi))
-    out = {"k_max": k_hi, "k": k, "target": clip(n // 8, 2 * k, 120), "n_order": min(n, 512)}
-    if radii is not None and len(radii):
-        out["min_dist"] = float(radii[min(out["target"], len(radii) - 1)])
-    return out
+    """Cluster count and minimum distance to start a review of ``n`` frames with.
+
+    An eighth of the frames bounds the clusters (two at least) and is the target of kept frames, which lies between twice
+    the clusters and ``REVIEW_TARGET``; clusters start at half the root of ``n``. Where limits cross, the upper one wins.
+    """
+    least, first_most, most = REVIEW_CLUSTERS
+    eighth = n // 8
+    ever = min(most, max(2, eighth))
+    start = min(max(least, round(n**0.5 / 2)), first_most, ever)
+    target = min(REVIEW_TARGET, max(2 * start, eighth))
+    settings = {"k_max": ever, "k": start, "target": target, "n_order": min(n, REVIEW_ORDER)}
+    if radii:
+        settings["min_dist"] = float(radii[target] if target < len(radii) else radii[-1])
+    return settings
 
 
 def review_selection(features: DataFrame, *, normalize: bool = True) -> DataFrame:
@@ -558,10 +452,10 @@ def review_selection(features: DataFrame, *, normalize: bool = True) -> DataFram
     Every default cluster also keeps its medoid.
     """
     n = features.count()
-    order = farthest_point_sample(features, min(n, 512), normalize=normalize, return_radii=True)
+    order = farthest_point_sample(features, min(n, REVIEW_ORDER), normalize=normalize, return_radii=True)
     radii = [r["radius"] for r in order.orderBy("rank").collect()]
     settings = review_defaults(n, radii)
     spread_ids = select_within_radius(order, settings["min_dist"])
-    tree = hierarchy_cut(features, settings["k"], normalize=normalize)
-    medoids = cluster_medoids(features, tree, normalize=normalize).select("id")
+    groups = cluster(features, settings["k"], normalize=normalize)
+    medoids = cluster_medoids(features, groups, normalize=normalize).select("id")
     return spread_ids.unionByName(medoids).distinct()

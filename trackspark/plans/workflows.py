@@ -63,7 +63,12 @@ def refine_cohort(
     max_gap: int = 45,
     block: int | None = BLOCK,
 ) -> DataFrame:
-    """Find, repair, choose and complete training frames over all videos."""
+    """Find, repair, choose and complete training frames over all videos.
+
+    The budget is shared by ``n_videos``, by default all videos of ``predictions``, repaired or not.
+    """
+    if n_videos is None:
+        n_videos = predictions.select("video").distinct().count()
     gaps = find_gaps(predictions, max_gap=max_gap, block=block).select(*TRACE, "start", "end", "ax0", "ay0", "ax1", "ay1")
     if flow_positions is not None:
         blips = attach_min_likelihood(disagreement_blips(predictions, flow_positions, block=block), predictions)

@@ -6,37 +6,43 @@ Two families: ``events`` gives a prediction table with two labels per user
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.blocks import (
-    BLOCK, HOT_ROWS, halo_window, hot_keys, ordinal, own_rows, with_halo,
+    BLOCK, HOT_ROWS, halo_window, ordinal, own_rows, with_halo,
 )
 
-# Hot keys of tables already counted; the test tables never change.
-_COUNTED: dict[tuple, list] = {}
+# Block size of the registered queries; `blocks_of` changes it for a while.
+_BLOCK: ContextVar[int] = ContextVar("block", default=BLOCK)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+@contextmanager
+def blocks_of(block: int) -> Iterator[None]:
+    """Build queries with traces cut into blocks of this many frames."""
+    token = _BLOCK.set(block)
+    try:
+        yield
+    finally:
+        _BLOCK.reset(token)
 
 
-def _hot(df: DataFrame, name: str, sf_dir: str, limit: int) -> list:
-    key = (df.sparkSession.sparkContext.applicationId, sf_dir, name, limit)
-    if key not in _COUNTED:
-        _COUNTED[key] = hot_keys(df, ["video"], limit)
-    return _COUNTED[key]
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_block(spark: SparkSession, sf_dir: str) -> int | None:
-    """None where no user has more events than one block holds, else the block size."""
-    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"))
-    return BLOCK if _hot(users, "events", sf_dir, BLOCK) else None
+def event_block(spark: SparkSession, sf_dir: str) -> int:
+    """Frames per block of the event tracks."""
+    return _BLOCK.get()
 
 
-def line_block(spark: SparkSession, sf_dir: str) -> int | None:
-    suppliers = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("video"))
-    return BLOCK if _hot(suppliers, "lineitem", sf_dir, BLOCK) else None
+def line_block(spark: SparkSession, sf_dir: str) -> int:
+    """Frames per block of the line tracks."""
+    return _BLOCK.get()
 
 
 def event_frames(spark: SparkSession, sf_dir: str, *, limit: int = HOT_ROWS) -> DataFrame:
@@ -50,7 +56,6 @@ def event_frames(spark: SparkSession, sf_dir: str, *, limit: int = HOT_ROWS) ->
     )
     return ordinal(
         events, ["video"], ["ts", "event_id"], split=F.unix_micros("ts"), name="frame", limit=limit,
-        hot=_hot(events, "events", sf_dir, limit),
     ).drop("ts")
 
 
@@ -160,7 +165,6 @@ def line_tracks(spark: SparkSession, sf_dir: str, *, limit: int = HOT_ROWS) -> D
         split=F.unix_micros("l_shipdate"),
         name="frame",
         limit=limit,
-        hot=_hot(lines, "lineitem", sf_dir, limit),
     )
     return ranked.select(
         "video",

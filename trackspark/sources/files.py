@@ -117,9 +117,37 @@ def check_layer_path(path: str) -> str:
 
 # --- prediction traces -----------------------------------------------------------
 
-def _header(spark: SparkSession, path: str, rows: int) -> list[list[str]]:
-    """The first lines of a CSV file, split into cells."""
-    return [r["value"].split(",") for r in spark.read.text(path).limit(rows).collect()]
+def _wide_points(spark: SparkSession, path: str, file_glob: str, lead: int) -> DataFrame:
+    """Points of wide CSV files with the header rows scorer, bodyparts and coords, every file under its own header.
+
+    Rows ``(path, cells, bodypart, names, x, y, likelihood)``: ``cells`` are the row's, ``names`` the file's body parts in
+    the order of its columns. The first ``lead`` columns hold no points.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", file_glob).text(path)
+    lines = lines.select(_path().alias("path"), "value").where(F.length("value") > 0)
+    # Quoted cells may hold commas, so this is a bound; from_csv reads as many columns as it is asked for.
+    width = lines.agg(F.max(F.size(F.split("value", ",")))).first()[0]
+    if width is None:
+        raise ValueError(f"no files with rows at {path}")
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)))
+    cut = lines.select("path", cells.alias("c")).select("path", F.array(*[F.col(f"c.c{i}") for i in range(width)]).alias("cells"))
+    first = F.coalesce(F.col("cells")[0], F.lit(""))
+    head = cut.where(first.isin("bodyparts", "coords")).select("path", first.alias("row"), F.posexplode("cells").alias("i", "cell"))
+    named = lambda row: F.max(F.when(F.col("row") == row, F.trim("cell")))
+    head = head.where(F.col("i") >= lead).groupBy("path", "i").agg(named("bodyparts").alias("bodypart"), named("coords").alias("coord"))
+    place = lambda c: F.max(F.when(F.col("coord") == c, F.col("i"))).alias(c)
+    parts = head.where("bodypart is not null").groupBy("path", "bodypart").agg(
+        F.min("i").alias("first"), place("x"), place("y"), place("likelihood")
+    )
+    parts = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("first", "bodypart", "x", "y", "likelihood"))).alias("parts"))
+    body = cut.where(~first.isin(*HEADER_ROWS)).join(parts, "path").select(
+        "path", "cells", F.col("parts.bodypart").alias("names"), F.explode("parts").alias("p")
+    )
+    number = lambda c: F.get("cells", F.col(f"p.{c}")).try_cast("double").alias(c)
+    return nan_to_null(body.select("path", "cells", "p.bodypart", "names", number("x"), number("y"), number("likelihood")))
+
+
+HEADER_ROWS = ("scorer", "bodyparts", "coords")
 
 
 def read_predictions_csv(
@@ -132,42 +160,21 @@ def read_predictions_csv(
 ) -> DataFrame:
     """Wide prediction traces as rows ``(video, path, label, frame, x, y, likelihood)``.
 
-    Files have the header rows scorer, bodyparts and coords, and must share one
-    header. A row without x and without y is dropped unless ``keep_empty``.
+    Files have the header rows scorer, bodyparts and coords, each file its own;
+    labels follow from the body parts of the file. Several files may hold parts
+    of one trace if each starts with the header. A row without x and without y
+    is dropped unless ``keep_empty``.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", file_glob).load(path).select("path")
-    sample = files.limit(1).collect()
-    if not sample:
-        raise ValueError(f"no trace files at {path}")
-    _, parts, coords = _header(spark, sample[0]["path"], 3)
-    columns = [f"c{i}" for i in range(len(parts))]
-    raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("pathGlobFilter", file_glob).csv(path)
-    raw = raw.withColumn("path", _path()).where(~F.col("c0").isin("scorer", "bodyparts", "coords"))
-    cells = {}
-    for i in range(1, len(parts)):
-        cells.setdefault(parts[i], {})[coords[i].strip()] = F.expr(f"try_cast(c{i} AS double)")
-    points = F.array(
-        *[
-            F.struct(
-                F.lit(part).alias("bodypart"), cell["x"].alias("x"), cell["y"].alias("y"),
-                cell.get("likelihood", F.lit(None).cast("double")).alias("likelihood"),
-            )
-            for part, cell in cells.items()
-        ]
+    rows = _wide_points(spark, path, file_glob, 1)
+    bare = F.transform("names", lambda n: F.regexp_replace(n, "^point", ""))
+    numbers = F.lit(True) if label_mode == "strip" else F.forall(bare, lambda n: n.rlike("^[0-9]+$"))
+    listed = F.array_sort("names") if label_mode == "trace" else F.col("names")
+    label = F.when(numbers, F.regexp_replace("bodypart", "^point", "")).otherwise(
+        (F.array_position(listed, F.col("bodypart")) - 1).cast("string")
     )
-    tidy = raw.select("path", F.expr("try_cast(try_cast(c0 AS double) AS long)").alias("frame"), F.explode(points).alias("_p"))
-    tidy = nan_to_null(tidy.select("path", "frame", "_p.*"))
-    bare = {part: part.removeprefix("point") for part in cells}
-    # All files share one header, so labels follow from it.
-    if label_mode == "strip" or all(v.isdigit() for v in bare.values()):
-        label_of = bare
-    else:
-        listed = sorted(bare) if label_mode == "trace" else list(bare)
-        label_of = {part: str(i) for i, part in enumerate(listed)}
-    pairs = F.create_map(*[F.lit(v) for kv in label_of.items() for v in kv])
-    out = tidy.select(
-        names.trace_video("path").alias("video"), "path",
-        pairs[F.col("bodypart")].alias("label"), "frame", "x", "y", "likelihood",
+    out = rows.select(
+        names.trace_video("path").alias("video"), "path", label.alias("label"),
+        F.col("cells")[0].try_cast("double").try_cast("long").alias("frame"), "x", "y", "likelihood",
     )
     return out if keep_empty else out.where(F.col("x").isNotNull() | F.col("y").isNotNull())
 
@@ -217,23 +224,11 @@ def read_training_csv(
     """
     if require not in ("both", "any"):
         raise ValueError(f"unknown require {require!r}")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", file_glob).load(path).select("path").limit(1).collect()
-    if not files:
-        raise ValueError(f"no training files at {path}")
-    _, parts, coords = _header(spark, files[0]["path"], 3)
-    raw = spark.read.schema(", ".join(f"c{i} string" for i in range(len(parts)))).option(
-        "recursiveFileLookup", "true").option("pathGlobFilter", file_glob).csv(path)
-    raw = raw.where(~F.col("c0").isin("scorer", "bodyparts", "coords"))
-    cells = {}
-    for i in range(3, len(parts)):
-        cells.setdefault(parts[i], {})[coords[i].strip()] = F.expr(f"try_cast(c{i} AS double)")
-    points = F.array(
-        *[F.struct(F.lit(p.removeprefix("point")).alias("label"), c["x"].alias("x"), c["y"].alias("y")) for p, c in cells.items()]
+    image = F.col("cells")[2]
+    rows = _wide_points(spark, path, file_glob, 3).select(
+        F.col("cells")[1].alias("video"), image.alias("image"), names.frame_of_image(image).alias("frame"),
+        F.regexp_replace("bodypart", "^point", "").alias("label"), "x", "y",
     )
-    rows = nan_to_null(raw.select(F.col("c1").alias("video"), F.col("c2").alias("image"), F.explode(points).alias("_p")).select(
-        "video", "image", names.frame_of_image("image").alias("frame"), "_p.*"
-    ))
     has_x, has_y = F.col("x").isNotNull(), F.col("y").isNotNull()
     rows = rows.where(has_x & has_y if require == "both" else has_x | has_y)
     if images is not None:

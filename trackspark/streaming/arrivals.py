@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trackspark.schema import PRED
+from trackspark.session import settle
 
 Operator = Callable[[DataFrame], DataFrame]
 
@@ -17,25 +19,30 @@ def stream_predictions(
 ) -> StreamingQuery:
     """Run batch operators over every video that has arrived, as it arrives.
 
-    A video is complete when its file is, so no watermark is needed. A file for
-    a known video replaces the results of that video: all its rows so far are
-    read again and its partition of each result is overwritten, which also
-    makes a repeated micro-batch harmless.
+    A folder is a delivery and holds all rows of its videos, so no watermark is
+    needed, and only what arrived is read. A video delivered again replaces its
+    results: of several deliveries in one micro-batch the folder modified last
+    counts (the larger path on ties), and results that the new delivery no
+    longer has are removed. A repeated micro-batch writes the same again.
     """
     arrivals = spark.readStream.schema(PRED).option("recursiveFileLookup", "true").parquet(source)
+    folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
+    arrivals = arrivals.select("*", folder.alias("_folder"), F.col("_metadata.file_modification_time").alias("_time"))
 
     def handle(batch: DataFrame, _: int) -> None:
-        touched = batch.select("video").distinct()
-        known = spark.read.schema(PRED).option("recursiveFileLookup", "true").parquet(source)
-        rows = known.join(touched, "video", "left_semi")
+        batch = batch.persist()
+        newest = batch.groupBy("video").agg(F.max_by("_folder", F.struct("_time", "_folder")).alias("_folder"))
+        rows = batch.join(newest, ["video", "_folder"], "left_semi").drop("_folder", "_time")
+        touched = newest.select("video")
         for name, op in operators.items():
-            (
-                rows.transform(op)
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("video")
-                .parquet(f"{target}/{name}")
-            )
+            result = settle(rows.transform(op))
+            path = f"{target}/{name}"
+            # A touched video without results gets an empty partition in place of its old one.
+            empty = touched.join(result.select("video").distinct(), "video", "left_anti")
+            gone = empty.select(*(F.col("video") if f.name == "video" else F.lit(None).cast(f.dataType).alias(f.name) for f in result.schema))
+            both = result.withColumn("_kept", F.lit(True)).unionByName(gone.withColumn("_kept", F.lit(False)))
+            both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").parquet(path)
+        batch.unpersist()
 
     return (
         arrivals.writeStream.foreachBatch(handle)
@@ -43,3 +50,8 @@ def stream_predictions(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_results(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """The current results of one operator of `stream_predictions`."""
+    return spark.read.parquet(f"{target}/{name}").where("_kept").drop("_kept")
