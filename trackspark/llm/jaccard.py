@@ -4,12 +4,13 @@ Sets of sizes a and b with similarity of 3/4 or more differ in at most (a + b) /
 factor 4/3 apart, so that partners lie in the same or in neighbouring bands. A band has a scheme: the universe of shingles
 is hashed into m segments, and pigeonhole says that of any ceil((H + 1) / 2) segments of two partners (H: most differences
 in the band) one differs by at most one shingle. So two partners share the subset of a segment, or one's subset is the
-other's with one shingle deleted. The scheme has some segments to spare; by cost each document leaves that many of its
-smallest subsets out of its own probes (small subsets agree by chance), though others may still probe them.
+other's with one shingle deleted. The scheme has some segments to spare; where a task holds a single segment,
+each document leaves that many of its smallest subsets, the costly ones that agree by chance, out of its own probes, though
+others may still probe them. Where a task holds several, their common difference decides instead.
 
 Each document sends its segment subsets, three bytes per shingle, to the task of scheme and segment; hashes of subsets and of
-their one-deletion neighbourhoods are formed and matched only there. A pair must also agree in the
-share of segments that partners reach in at least one task. Candidates pass a parity sketch, which bounds the
+their one-deletion neighbourhoods are formed and matched only there. Within a task,
+candidates must not differ by more than partners do in at least one task. They pass a parity sketch, which bounds the
 difference from below, and then an exact comparison of the whole sets, so the result has neither false nor missing links.
 
 Equal sets are one class from the start. Each class is first compared with one candidate only, the first member of one of
@@ -40,8 +41,8 @@ from trackspark.session import scratch_dir, settle
 GROUP = 1_500_000
 #: Subsets up to this size may be left out of the probes.
 SMALL = 2
-#: Pairs of members that a task holds at a time.
-PAIRS = 4_000_000
+#: Members up to which a run is taken apart into pairs, pairs that a task looks at, and at a time.
+APART, BUDGET, PAIRS = 400, 60_000_000, 2_000_000
 #: Longs of the smallest parity sketch.
 QUICK = 8
 #: Bytes of a shingle's hash in the exact comparison.
@@ -159,7 +160,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _subsets(groups: dict[int, int], group: int):
     """Segment subsets of all sets, packed by the task that matches them."""
     schema = pa.schema(
-        [("task", pa.int64()), ("keys", pa.binary()), ("skipped", pa.binary()), ("owner", pa.binary()), ("segment", pa.binary()), ("length", pa.binary()), ("shingles", pa.binary())]
+        [("task", pa.int64()), ("keys", pa.binary()), ("sizes", pa.binary()), ("owner", pa.binary()), ("segment", pa.binary()), ("length", pa.binary()), ("shingles", pa.binary())]
     )
 
     def pack(sets: list[np.ndarray], keys: np.ndarray, plan: Scheme) -> Iterator[tuple]:
@@ -173,16 +174,15 @@ def _subsets(groups: dict[int, int], group: int):
         low = low[order]
         length = np.bincount(cell, minlength=m * docs)
         grid = length.reshape(m, docs)
-        left_out = np.zeros_like(grid, bool)
-        if plan.spare:
+        left_out, tasks = np.zeros_like(grid, bool), groups[plan.number]
+        if plan.spare and 2 * tasks > m:
             smallest = np.argsort(grid, axis=0, kind="stable")[: plan.spare]
             np.put_along_axis(left_out, smallest, np.take_along_axis(grid, smallest, 0) <= SMALL, 0)
         narrow = np.uint8 if not len(length) or length.max() < 128 else np.uint32
         flagged = (2 * length + left_out.ravel()).astype(narrow)
         segment, doc = np.divmod(np.arange(m * docs), docs)
         start = np.cumsum(length) - length
-        skipped = left_out.sum(0).astype(np.uint32).tobytes()
-        tasks = groups[plan.number]
+        sizes = np.array([len(s) for s in sets], np.uint32).tobytes()
         if tasks <= m:
             where = [(segment * tasks // m, np.ones(len(length), bool))]
         else:  # several tasks for a segment: by smallest and by second smallest shingle, so that neighbours meet
@@ -198,7 +198,7 @@ def _subsets(groups: dict[int, int], group: int):
                 size = length[own]
                 take = np.repeat(start[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 yield (
-                    (plan.number << 40) + int(task[own[0]]), keys.tobytes(), skipped, doc[own].astype(np.uint16).tobytes(),
+                    (plan.number << 40) + int(task[own[0]]), keys.tobytes(), sizes, doc[own].astype(np.uint16).tobytes(),
                     _lengths(segment[own]), flagged[own].tobytes(), _narrow(low[take], 3),
                 )
 
@@ -223,24 +223,31 @@ def _subsets(groups: dict[int, int], group: int):
     return run
 
 
-def _match(key: tuple, table: pa.Table) -> pa.Table:
+def _matching(groups: dict[int, int]):
     """Runs of equal hashes among the subsets of one task and their one-deletion neighbourhoods."""
-    keys, skipped, segment, length, low = [], [], [], [], []
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        number, task = divmod(key[0].as_py(), 1 << 40)
+        return _match(scheme(number), task, groups[number], table)
+
+    return run
+
+
+def _match(plan: Scheme, task: int, tasks: int, table: pa.Table) -> pa.Table:
+    keys, sizes, segment, length, low = [], [], [], [], []
     for row in table.to_pylist():
         owner = np.frombuffer(row["owner"], np.uint16)
         keys.append(np.frombuffer(row["keys"], np.uint64)[owner])
-        skipped.append(np.frombuffer(row["skipped"], np.uint32)[owner])
+        sizes.append(np.frombuffer(row["sizes"], np.uint32)[owner])
         segment.append(np.repeat(*np.frombuffer(row["segment"], np.uint32).reshape(2, -1)))
         wide = len(row["length"]) // max(1, len(segment[-1]))
         length.append(np.frombuffer(row["length"], np.uint8 if wide == 1 else np.uint32).astype(np.int64))
         low.append(_widened(row["shingles"], 3))
-    keys, skipped, segment, length, low = map(np.concatenate, (keys, skipped, segment, length, low))
+    keys, sizes, segment, length, low = map(np.concatenate, (keys, sizes, segment, length, low))
     probes, length = length & 1 == 0, length >> 1
-    number = key[0].as_py()
     values = mix(low | (np.repeat(segment, length).astype(np.uint64) << np.uint64(32)), 6)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
     ends = np.cumsum(length)
-    whole = mix(segment.astype(np.uint64), 7 + (number >> 40)) + sums[ends] - sums[ends - length]
+    whole = mix(segment.astype(np.uint64), 7 + plan.number) + sums[ends] - sums[ends - length]
     owner = np.repeat(np.arange(len(length)), length)
     signature = np.concatenate((whole, whole[owner] - values))
     entry = np.concatenate((np.arange(len(length)), owner))
@@ -263,26 +270,28 @@ def _match(key: tuple, table: pa.Table) -> pa.Table:
     good = (np.bincount(run, is_whole) > 0) & (np.bincount(run, probes[entry]) > 0)
     good &= np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
     size = np.diff(np.append(first, len(own)))
-    # the smallest runs are taken apart into pairs, as many as the task can hold
-    order = np.argsort(np.where(good, size, 1 << 31), kind="stable")
-    cost = np.cumsum(np.where(good, size, 0)[order] ** 2)
-    apart = np.zeros(len(size), bool)
-    apart[order] = good[order] & (cost <= PAIRS)
-    left, right = _pairs(first, size, np.flatnonzero(apart))
-    use = (own[left] != own[right]) & (is_whole[left] | is_whole[right])
-    left, right = left[use], right[use]
-    swap = own[left] < own[right]
-    probe, other = np.where(swap, right, left), np.where(swap, left, right)
-    keep = probes[entry[probe]]
-    by = entry[probe[keep]]
-    pairs = _often_enough(own[probe[keep]], own[other[keep]], segment[by], skipped[by], (keys[probes], segment[probes]), scheme(number >> 40))
-    use = (good & ~apart)[run]
+    # runs are taken apart into pairs, but for very long ones and for what exceeds the task's budget
+    size = np.diff(np.append(first, len(own)))
+    order = np.argsort(size, kind="stable")
+    order = order[good[order] & (size[order] <= APART)]
+    cost = np.cumsum(size[order] ** 2)
+    apart = order[cost <= BUDGET]
+    far = _Differences(keys, sizes, values, owner, plan, task, tasks)
+    pairs = np.zeros((0, 2), np.int64)
+    for part in np.split(apart, np.searchsorted(cost[cost <= BUDGET], np.arange(PAIRS, BUDGET, PAIRS))):
+        left, right = _pairs(first, size, part)
+        use = (own[left] != own[right]) & (is_whole[left] | is_whole[right])
+        found = np.stack((far.place[entry[left[use]]], far.place[entry[right[use]]]), 1)
+        pairs = np.unique(np.concatenate((pairs, far.possible(np.unique(np.sort(found, 1), axis=0)))), axis=0)
+    good[apart] = False
+    use = good[run]
     members = np.add.reduceat(mix(own, 9) * (1 + 2 * is_whole.astype(np.uint64)), first)
-    tag = mix(np.array([number], np.uint64), 8)
-    both = mix(mix(pairs[0], 9) + pairs[1], 8)
+    tag = mix(np.array([(plan.number << 40) + task], np.uint64), 8)
+    x, y = far.keys[pairs[:, 0]], far.keys[pairs[:, 1]]
+    both = mix(mix(x, 9) + y, 8)
     return pa.table({
         "run": _signed(np.concatenate((mix(members[run[use]] ^ tag), both, both))),
-        "key": _signed(np.concatenate((own[use], pairs[0], pairs[1]))),
+        "key": _signed(np.concatenate((own[use], x, y))),
         "whole": pa.array(np.concatenate((is_whole[use], np.ones(2 * len(both), bool)))),
     })
 
@@ -296,25 +305,39 @@ def _pairs(first: np.ndarray, size: np.ndarray, runs: np.ndarray) -> tuple[np.nd
     return (start + x)[x < y], (start + y)[x < y]
 
 
-def _often_enough(
-    probe: np.ndarray, other: np.ndarray, at: np.ndarray, skipped: np.ndarray, probed: tuple[np.ndarray, np.ndarray], plan: Scheme
-) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that agree in so many of the task's segments as partners must in one task at least.
+class _Differences:
+    """Bounds on how much documents differ within one task's segments.
 
-    Of the m segments that the larger key probes, at most half the possible differences differ by two or more, so all but
-    these agree; in some task the share that agrees is no less than over all tasks.
+    The differences of two partners, at most (a + b) / 7, lie in all the scheme's segments, so in some task their share is
+    no larger than the task's share of segments; there the average segment differs by less than two shingles, so the pair
+    is in a run of that task. Parity sketches of the task's shingles bound the differences there from below.
     """
-    once = np.unique(np.stack((probe, other, at.astype(np.uint64), skipped.astype(np.uint64))), axis=1)
-    new = np.append(True, (once[:2, 1:] != once[:2, :-1]).any(0))[: once.shape[1]]
-    place = np.flatnonzero(new)
-    agree = np.diff(np.append(place, once.shape[1]))
-    mine = np.unique(np.stack((probed[0], probed[1].astype(np.uint64))), axis=1)[0]
-    names, here = np.unique(mine, return_counts=True)
-    asked = here[np.searchsorted(names, once[0, place])]
-    all_probed = plan.segments - once[3, place].astype(np.int64)
-    least = all_probed - plan.high * 2 // 7 // 2
-    enough = agree * all_probed >= asked * least
-    return once[0, place][enough], once[1, place][enough]
+
+    def __init__(self, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray, owner: np.ndarray, plan: Scheme, task: int, tasks: int):
+        self.keys, at, self.place = np.unique(keys, return_index=True, return_inverse=True)
+        self.sizes, self.plan = sizes[at].astype(np.int64), plan
+        self.here = int(np.count_nonzero(np.arange(plan.segments) * tasks // plan.segments == task)) if 2 * tasks <= plan.segments else 0
+        if self.here:
+            # copies in several batches bring their shingles several times: count each once
+            doc, value = self.place[owner], values
+            order = np.lexsort((value, doc))
+            doc, value = doc[order], value[order]
+            new = np.append(True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]))[: len(doc)]
+            doc, value = doc[new], value[new]
+            longs = max(1, -(-2 * plan.high * self.here // (64 * plan.segments)))
+            bits = (mix(value, 11) % np.uint64(64 * longs)).astype(np.int64)
+            self.sketch = np.zeros((len(self.keys), longs), np.uint64)
+            np.bitwise_xor.at(self.sketch, (doc, bits >> 6), np.uint64(1) << (bits & 63).astype(np.uint64))
+
+    def possible(self, pairs: np.ndarray) -> np.ndarray:
+        x, y = pairs[:, 0], pairs[:, 1]
+        a, b = self.sizes[x], self.sizes[y]
+        keep = 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
+        if self.here:
+            for part in np.array_split(np.flatnonzero(keep), max(1, keep.sum() * self.sketch.shape[1] // PAIRS)):
+                differ = np.bitwise_count(self.sketch[x[part]] ^ self.sketch[y[part]]).sum(1, dtype=np.int64)
+                keep[part] = differ * self.plan.segments <= (a + b)[part] // 7 * self.here
+        return pairs[keep]
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,10 +459,10 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
     sizes = dict(classes.groupBy(band.alias("band")).agg(F.sum("n")).collect())  # one row per band of sizes
     groups = {k: max(1, -(-(sizes.get(k, 0) + sizes.get(k - 1, 0)) // group)) for k in sizes}
     packed = docs.mapInArrow(
-        _subsets(groups, group), "task long, keys binary, skipped binary, owner binary, segment binary, length binary, shingles binary"
+        _subsets(groups, group), "task long, keys binary, sizes binary, owner binary, segment binary, length binary, shingles binary"
     )
     path = scratch_dir(docs.sparkSession, "runs")
-    packed.groupBy("task").applyInArrow(_match, "run long, key long, whole boolean").write.parquet(path)
+    packed.groupBy("task").applyInArrow(_matching(groups), "run long, key long, whole boolean").write.parquet(path)
     runs = docs.sparkSession.read.parquet(path)
     centres = runs.where("whole").groupBy("run").agg(F.min("key").alias("hub"))
     spokes = runs.join(centres, "run").where("key <> hub").select("hub", F.col("key").alias("other")).distinct()
