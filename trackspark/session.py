@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +31,29 @@ def build_session(app: str = "trackspark", master: str | None = None, **conf: st
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, for clusters where it is not installed on every machine.
+
+    Executors of a local session find it where the driver does.
+    """
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return
+    package = Path(__file__).resolve().parent
+    archive = f"{tempfile.mkdtemp(prefix='trackspark-')}/{package.name}"
+    spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
     The cluster names it in ``spark.checkpoint.dir``; a local folder is made
-    only where that is unset and the session runs in one process.
+    only where that is unset and the session runs in one process. A ``file:``
+    folder is taken at the cluster's word to be mounted on every machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
