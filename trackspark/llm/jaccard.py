@@ -42,7 +42,7 @@ GROUP = 1_500_000
 #: Subsets up to this size may be left out of the probes.
 SMALL = 2
 #: Members up to which a run is taken apart into pairs, pairs that a task looks at, and at a time.
-APART, BUDGET, PAIRS = 400, 60_000_000, 2_000_000
+APART, BUDGET, PAIRS = 1000, 200_000_000, 1_000_000
 #: Longs of the smallest parity sketch.
 QUICK = 8
 #: Bytes of a shingle's hash in the exact comparison.
@@ -277,17 +277,18 @@ def _match(plan: Scheme, task: int, tasks: int, table: pa.Table) -> pa.Table:
     cost = np.cumsum(size[order] ** 2)
     apart = order[cost <= BUDGET]
     far = _Differences(keys, sizes, values, owner, plan, task, tasks)
-    pairs = np.zeros((0, 2), np.int64)
+    codes, many = np.zeros(0, np.int64), len(far.keys)
     for part in np.split(apart, np.searchsorted(cost[cost <= BUDGET], np.arange(PAIRS, BUDGET, PAIRS))):
         left, right = _pairs(first, size, part)
         use = (own[left] != own[right]) & (is_whole[left] | is_whole[right])
-        found = np.stack((far.place[entry[left[use]]], far.place[entry[right[use]]]), 1)
-        pairs = np.unique(np.concatenate((pairs, far.possible(np.unique(np.sort(found, 1), axis=0)))), axis=0)
+        x, y = far.place[entry[left[use]]], far.place[entry[right[use]]]
+        x, y = far.possible(*np.divmod(np.unique(np.minimum(x, y) * many + np.maximum(x, y)), many))
+        codes = np.union1d(codes, x * many + y)
     good[apart] = False
     use = good[run]
     members = np.add.reduceat(mix(own, 9) * (1 + 2 * is_whole.astype(np.uint64)), first)
     tag = mix(np.array([(plan.number << 40) + task], np.uint64), 8)
-    x, y = far.keys[pairs[:, 0]], far.keys[pairs[:, 1]]
+    x, y = (far.keys[place] for place in np.divmod(codes, max(many, 1)))
     both = mix(mix(x, 9) + y, 8)
     return pa.table({
         "run": _signed(np.concatenate((mix(members[run[use]] ^ tag), both, both))),
@@ -329,15 +330,15 @@ class _Differences:
             self.sketch = np.zeros((len(self.keys), longs), np.uint64)
             np.bitwise_xor.at(self.sketch, (doc, bits >> 6), np.uint64(1) << (bits & 63).astype(np.uint64))
 
-    def possible(self, pairs: np.ndarray) -> np.ndarray:
-        x, y = pairs[:, 0], pairs[:, 1]
+    def possible(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of places that neither sizes nor sketches exclude."""
         a, b = self.sizes[x], self.sizes[y]
         keep = 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
         if self.here:
             for part in np.array_split(np.flatnonzero(keep), max(1, keep.sum() * self.sketch.shape[1] // PAIRS)):
                 differ = np.bitwise_count(self.sketch[x[part]] ^ self.sketch[y[part]]).sum(1, dtype=np.int64)
                 keep[part] = differ * self.plan.segments <= (a + b)[part] // 7 * self.here
-        return pairs[keep]
+        return x[keep], y[keep]
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
