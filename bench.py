@@ -14,7 +14,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from trackspark.functions.blocks import one_block
+from trackspark.functions.blocks import BLOCK
 from trackspark.operators import asof, detect, flow, layers, quality, repair, select, smooth, vectors
 from trackspark.session import build_session
 from trackspark.sources import adapters as src
@@ -55,7 +55,7 @@ def main() -> None:
     line_flow = stored("line_flow", src.line_flow(spark, sf_dir))
     line_videos = stored("line_videos", src.line_videos(spark, sf_dir))
     features = stored("features", src.embeddings(spark, sf_dir))
-    short, long = one_block(pred), one_block(lines)
+    short = long = BLOCK
     severe = stored(
         "severe",
         detect.uncertain_runs(pred, dense=True, block=short).where(
