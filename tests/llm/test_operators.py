@@ -283,6 +283,28 @@ def test_pseudo_likelihood(spark, awkward, empty):
     assert language_model.train(empty) is None and language_model.score(empty, None).count() == 0
 
 
+def test_word_shares_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "FREQUENT", 500)  # most words by the join
+    texts = [" ".join(f"t{i * 90 + j % 90}" for j in range(180)) + " the" * 20 for i in range(900)]
+    docs = documents(spark, [*texts, None, ""])
+    counts = {r.key: r.n for r in language_model.count_words(docs).collect()}
+    assert sorted(counts.values())[-2:] == [2, 18_000] and len(counts) == 81_001  # more words than there were buckets
+    model = language_model.train(docs)
+    assert len(model.keys) == 1
+    exact = np.log(2 / np.maximum(model.total, 0.5))
+    for text in (texts[0], texts[899], "the unheard", "unheard"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        keys = language_model.buckets(language_model.words(raw, np.array([0, len(raw)]))[0])
+        expected = sum(model.within[k] for k in keys)
+        chunk = language_model.encode(documents(spark, [text]), model).first()
+        assert chunk.shares[0] == pytest.approx(expected)
+        assert all(model.within[k] == pytest.approx(exact[model.classes[k]]) for k in keys if counts.get(k) == 2)
+    assert model.within[language_model.buckets(np.array([12345], np.uint64))[0]] == pytest.approx(np.log(0.5 / model.total[-1]))
+    own = {r.doc_id: r.log_likelihood for r in language_model.train_and_score(docs).collect()}
+    assert own == pytest.approx({r.doc_id: r.log_likelihood for r in language_model.score(docs, model).collect()}, rel=1e-3)
+    assert len(own) == 902
+
+
 # packing
 
 

@@ -135,7 +135,6 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_pseudo_likelihood")
 def _pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from trackspark.llm.language_model import score, train
+    from trackspark.llm.language_model import train_and_score
 
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs))
+    return train_and_score(table(spark, sf_dir, "documents"))
