@@ -305,6 +305,18 @@ def test_word_shares_are_exact(spark, monkeypatch):
     assert len(own) == 902
 
 
+def test_every_word_is_a_training_target(spark):
+    docs = documents(spark, ["one", "two words", *(prose(np.random.default_rng(i), 37 + i) for i in range(9)), None])
+    model = language_model.Model.of_counts(language_model.count_words(docs))
+    chunks, windows = language_model.encode(docs, model), 0
+    for turn in range(language_model.ROUNDS):
+        run = language_model._training(model.for_tasks(False), turn)
+        windows += sum(r.windows for r in chunks.mapInArrow(run, "task long, windows long, weights binary").collect())
+    assert windows == 3 + sum(37 + i for i in range(9))
+    taken = [language_model.targets(turn, 101) for turn in range(language_model.ROUNDS)]
+    assert sorted(np.concatenate(taken)) == list(range(101))
+
+
 # packing
 
 

@@ -12,8 +12,8 @@ embedding as context, all others share one.
 
 Documents are encoded once, as classes and inputs of their words in chunks of about ``SLICE`` bytes, and the network is fitted
 on these: in each of ``ROUNDS`` rounds every task starts from the same weights, runs through windows of all its documents
-(every ``STRIDE``-th position, another residue in each round), and the tasks' weights are averaged by number of windows, in
-two steps so that no task gets those of all others. What is gathered of weights is of fixed size per task.
+(every ``ROUNDS``-th position, another residue in each round, so each word is a target once), and the tasks' weights are
+averaged by number of windows, in two steps so that no task gets those of all others. What is gathered of weights is of fixed size per task.
 
 Defined cases: null and empty texts have no words, sum 0 and no mean; contexts end at the document's ends; without any
 words in the corpus no model is fitted and there is nothing to score; repeated rows get one row each; words that the
@@ -42,7 +42,7 @@ FREQUENT = 1 << 18
 #: Bytes of text in a chunk.
 SLICE = 1 << 17
 SPAN, SIZE, HIDDEN = 2, 16, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 8, 2048, 0.05
+ROUNDS, BATCH, RATE = 2, 2048, 0.05
 #: Groups of tasks whose weights are summed first; a group holds one task's weights at a time.
 GROUPS = 64
 #: Positions that are scored at a time.
@@ -179,9 +179,11 @@ class Model:
         p[np.arange(len(p)), classes] -= 1
         p /= len(p)
         back = (p @ output.T) * (hidden > 0)
-        ids, inverse = np.unique(np.concatenate(around), return_inverse=True)
-        moved = np.zeros((len(ids), SIZE), np.float32)
-        np.add.at(moved, inverse, np.concatenate([back @ m.T for m in mixing]))
+        ids = np.concatenate(around)
+        order = np.argsort(ids, kind="stable")
+        firsts = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        ids = ids[order[firsts]]
+        moved = np.add.reduceat(np.concatenate([back @ m.T for m in mixing])[order], firsts, axis=0)
         gradients = [
             (ids, moved), (slice(None), np.stack([v.T @ back for v in vectors])), (slice(None), back.sum(0)),
             (slice(None), hidden.T @ p), (slice(None), p.sum(0)),
@@ -318,13 +320,18 @@ def _contexts(sizes: np.ndarray, inputs: np.ndarray) -> tuple[np.ndarray, np.nda
     return place, padded
 
 
+def targets(turn: int, n: int) -> np.ndarray:
+    """Positions that a round trains on; all rounds together take each once."""
+    return np.arange(turn, n, ROUNDS)
+
+
 def _training(model: Model, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = replace(model, weights=[w.copy() for w in model.weights])
         speeds, windows = [np.full_like(w, 1e-3) for w in own.weights], 0
         for _, sizes, inputs, classes in _rows(batches):
             place, padded = _contexts(sizes, inputs)
-            take = np.arange(turn * STRIDE // ROUNDS, len(classes), STRIDE)
+            take = targets(turn, len(classes))
             windows += len(take)
             for part in np.array_split(take, max(1, len(take) // BATCH)) if len(take) else ():
                 own.learn(classes[part], place[part], padded, speeds)
