@@ -424,6 +424,24 @@ def test_field_spreads_labels_to_recurring_tokens():
     assert pii.marginals(graph, np.zeros((pii.FEATURES, 5)), pair)[1].argmax() == 3  # over a skip edge only
 
 
+def test_every_recurrence_of_a_matched_number_is_found():
+    seen = [f"call +1415555{i:04d} now, " + "and so on " * 9 + f"so +1415555{i:04d} it is" for i in range(60)]
+    model = pii.fit(seen + [f"in {1900 + i} there were {i * 37} of them and {5550000 + i * 7919} more" for i in range(60)])
+    for first in ("+14155550123", "+1 (415) 555-0123"):
+        bare = "".join("and so on it goes, 4155550123 was said once more, not 4155550199. " for _ in range(60))
+        text = f"call {first} today. {bare}"
+        base, added = pii.find([text], model)
+        assert len(base[0]) == 1 and [(k, text[a:b]) for a, k, b in added[0]] == [(3, "4155550123")] * 60
+        assert pii.masked(text, base[0] + added[0]).count("<phone>") == 61
+    chain = pii.Graph()
+    chain.add(0, " ".join(f"{i}x" for i in range(200)), [])
+    chain.seen[0] = 3
+    pair = np.zeros((2, 5, 5))
+    pair[0] = 8 * np.eye(5)
+    exact = np.linalg.matrix_power(np.exp(pair[0]) / np.exp(pair[0]).sum(1), 199)[3]
+    assert np.allclose(pii.marginals(chain, np.zeros((pii.FEATURES, 5)), pair)[-1], exact, atol=0.01)  # messages came to rest
+
+
 def test_report_and_redaction(spark, awkward, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = pii.train(docs)

@@ -1,13 +1,16 @@
 """Personal data: patterns, and a skip-chain conditional random field that makes labels agree across a document.
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers; these spans always stay. The field runs
-over the tokens that hold a digit or an at sign. Neighbouring tokens share a chain potential; tokens that recur, or whose
-last digits recur, share a skip potential with their next recurrence, however far that is (a chain of recurrences, so a
-token repeated n times has n - 1 edges). Loopy belief propagation spreads what the patterns are sure of, and a token
-outside of all patterns becomes a span where one kind's marginal reaches ``SURE``.
+over the tokens that hold a digit or an at sign. Neighbouring tokens share a chain potential; all tokens of a document
+that are the same, or whose last digits are, form a group, and each shares a skip potential with the group's own label, however
+far apart they are (n edges for n tokens; a pattern's last token also stands for all digits of its span). A group's label is
+seen where a pattern matched one of its tokens, so every recurrence is two edges from what the patterns are sure of and
+other recurrences take nothing from it. Loopy belief propagation runs until messages stop changing, and a token outside of
+all patterns becomes a span where one kind's marginal reaches ``SURE``.
 
-Weights are fitted by pseudo-likelihood on at most ``SAMPLE`` documents, with the patterns' spans as labels; inference
-covers every whole text, all documents of a batch in one graph.
+Weights are fitted by pseudo-likelihood on at most ``SAMPLE`` documents, with the patterns' spans as labels; unmatched
+recurrences of matched tokens are no examples of anything. Inference covers every whole text, all documents of a batch in
+one graph.
 
 Defined cases: a null text is empty and has no spans; repeated rows get one row each; an empty table gives no rows; without
 any token to learn from only patterns are reported. Only id and text are read, and only the text is changed by ``redact``.
@@ -34,7 +37,11 @@ SURE = 0.9
 #: Hashed features of a token, label 0 being none.
 FEATURES = 512
 FIGURES = 9  # features per token
-ROUNDS = 12
+#: Messages that change less than this have come to rest. Steps are halved whenever news had ``PATIENCE`` rounds for each
+#: token of the longest document to pass it, so messages that circle come to rest too.
+STILL, PATIENCE = 1e-4, 4
+#: Log weight of what was seen not to be.
+NEVER = -1e6
 EPOCHS, RATE = 120, 0.5
 
 # A run of digits that fails to start a pattern fails at all its later digits too, so patterns start at its first one.
@@ -105,7 +112,8 @@ class Graph:
         self.tokens: list[tuple[int, int, int]] = []  # document, start, end
         self.features: list[list[int]] = []
         self.seen: list[int] = []  # label by the patterns, 0 for none
-        self.edges: list[tuple[int, int, int]] = []  # two tokens and which potential
+        self.edges: list[tuple[int, int, int]] = []  # two neighbouring tokens and the chain's potential, 0
+        self.groups: list[tuple[int, ...]] = []  # tokens that are the same or end in the same digits
 
     def add(self, number: int, text: str, spans: list[tuple[int, int, int]]) -> None:
         if "@" not in text and not DIGIT.search(text):
@@ -113,7 +121,7 @@ class Graph:
         ends = [b for _, b in sorted((a, b) for a, _, b in spans)]
         starts = [(a, k + 1) for a, k, _ in sorted(spans, key=lambda s: (s[2], s[0]))]
         ends.sort()
-        last: dict[str, int] = {}
+        alike: dict[str, list[int]] = {}
         previous, before, place, place_before = -1, "", 0, -9
         for match in TOKEN.finditer(text):
             place += 1
@@ -129,15 +137,15 @@ class Graph:
             self.tokens.append((number, start, end))
             self.features.append(_features(core, before))
             self.seen.append(label)
-            chained = previous >= 0 and place - place_before <= 2
-            if chained:
+            if previous >= 0 and place - place_before <= 2:
                 self.edges.append((previous, node, 0))
-            digits = "".join(c for c in core if "0" <= c <= "9")
+            shown = text[starts[k][0] : ends[k]] if label and ends[k] <= match.end() else core
+            digits = "".join(c for c in shown if "0" <= c <= "9")
             for name in {core.lower(), "~" + digits[-7:] if len(digits) >= 7 else core.lower()}:
-                if name in last and not (chained and last[name] == previous):
-                    self.edges.append((last[name], node, 1))
-                last[name] = node
+                alike.setdefault(name, []).append(node)
             previous, place_before, before = node, place, word
+        chained = {(a, b) for a, b, _ in self.edges}
+        self.groups += sorted({tuple(g) for g in alike.values() if len(g) > 1 and (len(g) > 2 or tuple(g) not in chained)})
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         n = len(self.tokens)
@@ -146,6 +154,15 @@ class Graph:
             np.array(self.seen, np.int64), np.array(self.edges, np.int64).reshape(-1, 3),
         )
 
+    def members(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token of each group, its group, and how often patterns saw which label in each group."""
+        group = np.repeat(np.arange(len(self.groups)), [len(g) for g in self.groups])
+        token = np.array([t for g in self.groups for t in g], np.int64)
+        tally = np.zeros((len(self.groups), len(KINDS) + 1))
+        np.add.at(tally, (group, np.array(self.seen, np.int64)[token]), 1)
+        tally[:, 0] = 0
+        return token, group, tally
+
 
 def fit(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Weights of features by label, and the potentials of chain and skip edges between two labels."""
@@ -157,16 +174,30 @@ def fit(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     weights, pair = np.zeros((FEATURES, labels)), np.zeros((2, labels, labels))
     if not n:
         return weights, pair
+    token, group, tally = graph.members()
+    matched = tally.sum(1) > 0
+    unknown = np.zeros(n, bool)
+    unknown[token[matched[group]]] = True
+    unknown &= y == 0
+    truth = np.eye(labels)[y]
     near = np.zeros((2, n, labels))  # labels next to each token, by kind of edge
     for a, b in ((0, 1), (1, 0)):
-        np.add.at(near, (edges[:, 2], edges[:, a], y[edges[:, b]]), 1)
-    truth = np.eye(labels)[y]
-    for _ in range(EPOCHS):
-        z = weights[features].sum(1) + sum(near[k] @ pair[k] for k in (0, 1))
+        known = edges[~unknown[edges[:, b]]]
+        np.add.at(near[0], (known[:, a], y[known[:, b]]), 1)
+    # A group's label as its other tokens show it.
+    others = tally[group] - truth[token] * (y[token] > 0)[:, None]
+    others[:, 0] = ~matched[group]
+    np.add.at(near[1], token, others / np.maximum(others.sum(1, keepdims=True), 1))
+    near[:, unknown] = 0
+    bare = np.bincount(token[matched[group]], minlength=n) * (near[1, :, 1:].sum(1) > 0) > 0
+    for epoch in range(2 * EPOCHS):
+        # Every other time, recurrences of what patterns matched are seen in a form that says nothing.
+        hidden = bare & (epoch % 2 > 0)
+        z = weights[features].sum(1) * ~hidden[:, None] + sum(near[k] @ pair[k] for k in (0, 1))
         p = np.exp(z - z.max(1, keepdims=True))
-        error = p / p.sum(1, keepdims=True) - truth
+        error = (p / p.sum(1, keepdims=True) - truth) * ~unknown[:, None]
         gradient = np.zeros_like(weights)
-        np.add.at(gradient, features, error[:, None, :])
+        np.add.at(gradient, features[~hidden], error[~hidden, None, :])
         seen = np.bincount(features.ravel(), minlength=FEATURES)[:, None] + 1
         weights -= RATE * (gradient / seen + 1e-4 * weights)
         for k in (0, 1):
@@ -177,26 +208,35 @@ def fit(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def marginals(graph: Graph, weights: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """Probability of each label for each token, by damped loopy belief propagation."""
-    _, features, seen, edges = graph.arrays()
-    labels = len(KINDS) + 1
+    tokens, features, seen, edges = graph.arrays()
+    token, group, tally = graph.members()
+    labels, n = len(KINDS) + 1, len(seen)
+    patience = PATIENCE * (10 + int(np.bincount(tokens[:, 0]).max(initial=0)))
     node = weights[features].sum(1) + np.where(np.eye(labels, dtype=bool)[seen] & (seen > 0)[:, None], 12.0, 0.0)
+    shares = tally / np.maximum(tally.sum(1, keepdims=True), 1)
+    groups = np.where(tally > 0, np.log(np.maximum(shares, 1e-9)), NEVER) * (tally.sum(1, keepdims=True) > 0)
+    edges = np.concatenate((edges, np.stack((token, n + group, np.ones_like(token)), 1)))
     source, target = np.concatenate((edges[:, 0], edges[:, 1])), np.concatenate((edges[:, 1], edges[:, 0]))
     kind, m = np.concatenate((edges[:, 2], edges[:, 2])), len(edges)
     back = np.concatenate((np.arange(m, 2 * m), np.arange(m)))
-    message = np.zeros((2 * m, labels))
-
-    def belief() -> np.ndarray:
-        total = node.copy()
-        np.add.at(total, target, message)
-        return total
-
-    for _ in range(ROUNDS if m else 0):
-        sent = (belief()[source] - message[back])[:, :, None] + pair[kind]
+    message, total = np.zeros((2 * m, labels)), np.concatenate((node, groups))
+    step, rounds, live = 0.5, 0, np.arange(2 * m)
+    while len(live):
+        sent = (total[source[live]] - message[back[live]])[:, :, None] + pair[kind[live]]
         most = sent.max(1, keepdims=True)
         new = np.log(np.exp(sent - most).sum(1)) + most[:, 0]
         new -= new.max(1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
-    total = belief()
+        change = step * (new - message[live])
+        message[live] += change
+        np.add.at(total, target[live], change)
+        moved = np.abs(change).max(1) > STILL * step
+        # Next come messages still on their way, and those out of tokens whose belief has moved.
+        again, reached = np.zeros(2 * m, bool), np.zeros(len(total), bool)
+        again[live[moved]] = reached[target[live[moved]]] = True
+        rounds += 1
+        step = 0.5 ** (1 + rounds // patience)
+        live = np.flatnonzero(again | reached[source]) if step > STILL else live[:0]
+    total = total[:n]
     p = np.exp(total - total.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
 
