@@ -222,6 +222,15 @@ def test_overlaps_equal_brute_force(spark, awkward, empty):
     assert decontamination.find(table, bench.where("false")).count() == 0
 
 
+def test_long_windows_across_chunks(spark):
+    rng = np.random.default_rng(8)
+    item = prose(rng, 60, 10**6)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = documents(spark, [f"{prose(rng, 226, 10**6)} {item} {prose(rng, 300, 10**6)}"])
+    got = decontamination.find(docs, bench, window=60).first()
+    assert got and (got.matched, got.compared, got.first_word) == (60, 60, 226)
+
+
 def test_masks_hit_every_window_with_three_substitutions():
     from itertools import combinations
 

@@ -27,8 +27,8 @@ MASKS = ("110001011", "110100011")
 SPAN = 9
 WINDOW = 15
 AGREE = 0.8
-#: Words of a document per chunk, and of context on either side.
-CORE, MARGIN = 256, 24
+#: Words of a document per chunk; on either side come a window and a mask more as context.
+CORE = 256
 BROADCAST_WORDS = 500_000
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -44,13 +44,14 @@ def _key(array: Column, at: Column, mask: str) -> Column:
     return F.xxhash64(*(F.get(array, at + i) for i, c in enumerate(mask) if c == "1"))
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
+def _chunks(docs: DataFrame, window: int) -> DataFrame:
+    margin = window + SPAN
     listed = docs.select("doc_id", words(F.col("text")).alias("all")).where("all is not null")
     starts = F.sequence(F.lit(0), F.size("all") - 1, F.lit(CORE))
 
     def cut(s: Column) -> Column:
-        lo = F.greatest(s - MARGIN, F.lit(0))
-        return F.struct(s.alias("s"), lo.alias("lo"), F.slice("all", lo + 1, s - lo + CORE + MARGIN).alias("w"))
+        lo = F.greatest(s - margin, F.lit(0))
+        return F.struct(s.alias("s"), lo.alias("lo"), F.slice("all", lo + 1, s - lo + CORE + margin).alias("w"))
 
     return listed.select("doc_id", F.explode(F.transform(starts, cut)).alias("c")).select(
         "doc_id", "c.s", "c.lo", "c.w",
@@ -71,7 +72,7 @@ def find(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, wind
         "item_id", "j", F.posexplode(F.array(*(_key(F.col("iw"), F.col("j"), m) for m in masks))).alias("mask", "seed")
     )
     pairs = at.select(F.xxhash64(F.get("iw", F.col("j")), F.get("iw", F.col("j") + 1)).alias("pair")).distinct()
-    chunks = _chunks(docs)
+    chunks = _chunks(docs, window)
     core = F.sequence(F.col("s") - F.col("lo"), F.least(F.col("s") - F.col("lo") + CORE, F.size("w")) - 1)
     here = chunks.select(
         "doc_id", "lo", "w", (F.col("s") - F.col("lo")).alias("first"),
