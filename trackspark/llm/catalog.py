@@ -138,3 +138,42 @@ def _pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackspark.llm.language_model import train_and_score
 
     return train_and_score(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql() -> str:
+    from trackspark.llm.codes import oracle
+
+    return oracle()
+
+
+@query("op11_vector_codes", _codes_sql())
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackspark.llm.codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+def _periods_sql() -> str:
+    from trackspark.llm.periods import oracle
+
+    return oracle()
+
+
+@query("op12_periodic_runs", _periods_sql())
+def _periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackspark.llm.periods import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def _urls_sql() -> str:
+    from trackspark.llm.urls import oracle
+
+    return oracle()
+
+
+@query("op13_url_filters", _urls_sql())
+def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackspark.llm.urls import RULES, judge, rules_of
+
+    return judge(table(spark, sf_dir, "pages"), rules_of(spark, RULES))
