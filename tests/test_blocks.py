@@ -59,34 +59,6 @@ def test_position_counts_rows(series, block):
             assert got[(*key, f)] == i
 
 
-@pytest.mark.parametrize("limit", [10, 1000])
-def test_ordinal_is_exact_for_hot_keys(spark, limit):
-    rng = random.Random(1)
-    rows = [("hot" if i % 3 else f"k{i % 7}", rng.randint(0, 30), i) for i in range(300)]
-    df = spark.createDataFrame(rows, "k string, t long, id long")
-    got = {r.id: r.pos for r in blocks.ordinal(df, ["k"], ["t", "id"], split=F.col("t"), limit=limit).collect()}
-    groups = defaultdict(list)
-    for k, t, i in rows:
-        groups[k].append((t, i))
-    for s in groups.values():
-        for pos, (_, i) in enumerate(sorted(s)):
-            assert got[i] == pos
-
-
-@pytest.mark.parametrize("limit", [50, 10**6])
-def test_percentiles_are_exact_for_hot_keys(spark, limit):
-    rng = np.random.default_rng(3)
-    data = {"hot": rng.normal(size=5001).round(2), "small": rng.normal(size=12)}
-    rows = [(k, float(x)) for k, s in data.items() for x in s] + [("small", None)]
-    df = spark.createDataFrame(rows, "k string, x double")
-    out = blocks.exact_percentiles(df, ["k"], "x", {"p50": 0.5, "p90": 0.9, "p0": 0.0, "p100": 1.0}, limit=limit)
-    for r in out.collect():
-        s = data[r.k]
-        assert r.n == len(s) and r.v_min == s.min() and r.v_max == s.max()
-        for name, p in [("p50", 50), ("p90", 90), ("p0", 0), ("p100", 100)]:
-            assert r[name] == pytest.approx(np.percentile(s, p), abs=1e-12)
-
-
 def test_top_per_group_keeps_the_same_rows_as_a_full_sort(spark):
     rng = random.Random(2)
     rows = [("g" if i % 2 else f"s{i % 5}", rng.randint(0, 40), i) for i in range(400)]
@@ -132,24 +104,3 @@ def test_mask_fixture(spark):
     spans = lambda g: sorted((r.start, r.end) for r in R.runs(df, max_gap=g).collect())
     assert spans(0) == [(1, 2), (4, 4), (7, 9)]
     assert spans(1) == [(1, 4), (7, 9)]
-
-
-@pytest.mark.parametrize("limit", [20, 10**6, None])
-def test_robust_threshold_regimes(spark, limit):
-    rng = np.random.default_rng(0)
-    normal = rng.gamma(2.0, size=301)
-    data = {"n": normal, "spiky": np.r_[np.zeros(30), 8.0], "flat": np.full(31, 2.0)}
-    df = spark.createDataFrame([("v", k, float(x)) for k, s in data.items() for x in s], "video string, label string, d double")
-    out = R.with_threshold(df, "d") if limit is None else R.robust_threshold(df, "d", limit=limit)
-    got = {r.label: r for r in out.collect()}
-    med = np.median(normal)
-    mad = np.median(np.abs(normal - med))
-    assert got["n"].threshold == pytest.approx(med + 5 * 1.4826 * mad)
-    assert got["spiky"].threshold == pytest.approx(4.0)
-    assert got["flat"].threshold == float("inf")
-
-
-def test_one_block(spark):
-    df = spark.createDataFrame([(5,), (9,)], "frame long")
-    assert blocks.one_block(df, block=10) is None
-    assert blocks.one_block(df, block=9) == 9

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from trackspark.catalog.base import BLIPS, EVENTS, FLOW, LINES, query
 from trackspark.operators import detect, flow, runs
+from trackspark.session import settle
 from trackspark.sources import adapters as src
 
 RUNS = """
@@ -84,12 +85,19 @@ def runs_with_gap(spark, d):
     return runs.runs(src.predictions(spark, d).where(F.col("likelihood") < 0.9), max_gap=2, block=src.event_block(spark, d))
 
 
-@query(
-    f"""WITH {BLIPS} SELECT video, label, n, round(med, 6) AS med, round(mad, 6) AS mad,
+THRESHOLDS = f"""WITH {BLIPS} SELECT video, label, n, round(med, 6) AS med, round(mad, 6) AS mad,
     round(threshold, 6) AS threshold FROM thr"""
-)
+
+
+@query(THRESHOLDS)
 def robust_threshold(spark, d):
-    return runs.robust_threshold(_disagreement(spark, d), "d", sized_by=src.predictions(spark, d))
+    return runs.robust_threshold(settle(_disagreement(spark, d)), "d")
+
+
+@query(THRESHOLDS)
+def robust_threshold_all_rounds(spark, d):
+    """No bucket is put in order, so every bit is narrowed down."""
+    return runs.robust_threshold(settle(_disagreement(spark, d)), "d", in_order=0)
 
 
 def _disagreement(spark, d):
@@ -120,7 +128,7 @@ def disagreement_blips(spark, d):
     FROM thr LEFT JOIN c ON thr.video = c.video AND thr.label = c.label"""
 )
 def blip_label_stats(spark, d):
-    thresholds = runs.robust_threshold(_disagreement(spark, d), "d", sized_by=src.predictions(spark, d))
+    thresholds = runs.robust_threshold(settle(_disagreement(spark, d)), "d")
     return detect.blip_label_stats(_blip_runs(spark, d), thresholds)
 
 

@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 1 << 16
-HOT_ROWS = 1 << 20
 BLK = "_blk"
 OWN = "_own"
 
@@ -40,15 +39,6 @@ def block_of(order: str | Column, block: int | None = BLOCK) -> Column:
     return F.floor(col / F.lit(block)).cast("long")
 
 
-def one_block(df: DataFrame, order: str = "frame", block: int = BLOCK) -> int | None:
-    """None if all rows lie in the first block, else the block size.
-
-    Reads one column; meant for stored tables, where that is cheap.
-    """
-    low, top = df.agg(F.min(order), F.max(order)).first()
-    return block if top is not None and (top >= block or low < 0) else None
-
-
 def with_halo(
     df: DataFrame, *, before: int, after: int, order: str = "frame", block: int | None = BLOCK
 ) -> DataFrame:
@@ -197,69 +187,6 @@ def position(
     )
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> list:
-    """Keys holding more than ``limit`` rows, with their row counts.
-
-    At most ``rows / limit`` keys can qualify, so the list stays short at any
-    table size.
-    """
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).collect()
-
-
-def key_table(df: DataFrame, keys: Sequence[str], hot: list) -> DataFrame:
-    """Hot keys as a broadcast table; `hot_keys` bounds its length."""
-    rows = [tuple(r[k] for k in keys) for r in hot]
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.select(*keys).schema))
-
-
-def ordinal(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    *,
-    split: Column,
-    name: str = "pos",
-    limit: int = HOT_ROWS,
-    hot: list | None = None,
-) -> DataFrame:
-    """Zero-based rank by ``order`` inside each key, for rows without frames.
-
-    Keys above ``limit`` rows are cut into blocks at approximate quantiles of
-    ``split``, a number that never decreases along ``order``; ranks stay exact
-    because every block starts at the number of rows before it. ``hot`` passes
-    the result of `hot_keys` where it is known already.
-    """
-    keys = list(keys)
-    plain = Window.partitionBy(*keys).orderBy(*order)
-    if hot is None:
-        hot = hot_keys(df, keys, limit)
-    if not hot:
-        return df.withColumn(name, F.row_number().over(plain).cast("long") - 1)
-    n_blocks = max(2, min(1000, -(-2 * max(r["_n"] for r in hot) // limit)))
-    base = df.withColumn("_s", split)
-    cuts = (
-        base.join(key_table(df, keys, hot), keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_s", [i / n_blocks for i in range(1, n_blocks)], 10 * n_blocks).alias("_cuts"))
-    )
-    base = base.join(F.broadcast(cuts), keys, "left").withColumn(
-        BLK,
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-            F.size(F.filter("_cuts", lambda c: c < F.col("_s")))
-        ),
-    )
-    sizes = base.where(F.col("_cuts").isNotNull()).groupBy(*keys, BLK).agg(F.count(F.lit(1)).alias("_m"))
-    before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per block of a hot key: at most len(hot) * n_blocks rows.
-    offsets = sizes.select(*keys, BLK, F.sum("_m").over(before).alias("_o"))
-    w = Window.partitionBy(*keys, BLK).orderBy(*order)
-    return (
-        base.join(F.broadcast(offsets), [*keys, BLK], "left")
-        .withColumn(name, F.row_number().over(w).cast("long") - 1 + F.coalesce("_o", F.lit(0)))
-        .drop("_s", "_cuts", "_o", BLK)
-    )
-
-
 def top_per_group(
     df: DataFrame,
     keys: Sequence[str],
@@ -285,67 +212,3 @@ def top_per_group(
         .where(F.col(name) <= k)
         .drop("_salt", "_r")
     )
-
-
-def exact_percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    *,
-    limit: int = HOT_ROWS,
-    hot: list | None = None,
-) -> DataFrame:
-    """Exact linear-interpolated percentiles per key, plus count, min and max.
-
-    The built-in percentile keeps every distinct value of a group in one
-    buffer. Keys above ``limit`` rows are therefore bracketed with a mergeable
-    quantile sketch first; only the rows inside the bracket are ordered.
-    """
-    keys = list(keys)
-    rows = df.where(F.col(value).isNotNull())
-    if hot is None:
-        hot = hot_keys(rows, keys, limit)
-    extremes = [
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("v_min"), F.max(value).alias("v_max")
-    ]
-    exact = [F.percentile(value, F.lit(p)).alias(name) for name, p in probs.items()]
-    if not hot:
-        return rows.groupBy(*keys).agg(*extremes, *exact)
-    hot_df = key_table(df, keys, hot)
-    cold = rows.join(hot_df, keys, "left_anti").groupBy(*keys).agg(*extremes, *exact)
-    big = rows.join(hot_df, keys, "left_semi")
-    out = big.groupBy(*keys).agg(*extremes)
-    accuracy = 10000
-    slack = 4.0 / accuracy + 2.0 / limit
-    for name, p in probs.items():
-        # The sketch is off by at most n/accuracy ranks, so the wanted ranks lie inside.
-        lo, hi = max(0.0, p - slack), min(1.0, p + slack)
-        bracket = F.broadcast(
-            big.groupBy(*keys).agg(
-                F.percentile_approx(value, F.lit(lo), accuracy).alias("_lo"),
-                F.percentile_approx(value, F.lit(hi), accuracy).alias("_hi"),
-            )
-        )
-        counts = big.join(bracket, keys).withColumn(
-            "_in", F.col(value).between(F.col("_lo"), F.col("_hi"))
-        )
-        below = counts.groupBy(*keys).agg(
-            F.sum(F.when(F.col(value) < F.col("_lo"), 1).otherwise(0)).alias("_below"),
-            F.count(F.lit(1)).alias("_n"),
-        )
-        inside = counts.where("_in").groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-        upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = inside.withColumn("_cum", F.sum("_c").over(upto)).join(F.broadcast(below), keys)
-        at = (F.col("_n") - 1) * F.lit(p)
-        rank_of = F.col("_below") + F.col("_cum")
-        # A value covers the zero-based ranks rank_of-_c .. rank_of-1.
-        covers = lambda r: (rank_of - F.col("_c") <= r) & (r < rank_of)
-        got = ranked.groupBy(*keys).agg(
-            F.max(F.when(covers(F.floor(at)), F.col(value))).alias("_a"),
-            F.max(F.when(covers(F.ceil(at)), F.col(value))).alias("_b"),
-            F.max(at - F.floor(at)).alias("_w"),
-        )
-        got = got.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias(name))
-        out = out.join(F.broadcast(got), keys)
-    return cold.unionByName(out.select(cold.columns))

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.blocks import (
-    BLOCK, HOT_ROWS, halo_window, own_rows, position, scan, top_per_group, with_halo,
+    BLK, BLOCK, block_of, halo_window, own_rows, position, scan, top_per_group, with_halo,
 )
 from trackspark.functions.geometry import distance
-from trackspark.operators.runs import expand_runs, robust_threshold, runs, with_threshold
+from trackspark.functions.ranks import IN_ORDER
+from trackspark.operators.runs import by_block, expand_runs, robust_threshold, runs
 from trackspark.schema import TRACE
+from trackspark.session import settle
 
 # Fixed default values.
 LOW, HIGH, BRACKET, MAX_GAP = 0.6, 0.9, 5, 45
@@ -148,43 +150,32 @@ def disagreement_runs(
     threshold_factor: float = 5.0,
     max_gap: int = 1,
     max_blip_length: int | None = None,
-    limit: int = HOT_ROWS,
-    block: int | None = BLOCK,
+    in_order: int = IN_ORDER,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Runs where the model and the flow disagree beyond a robust threshold.
 
     ``reason`` is NULL for an accepted blip, ``long`` above the length cap and
-    ``edge`` without a point on both sides.
+    ``edge`` without a point on both sides. Distances are settled: thresholds,
+    hits and the points next to the runs are all taken from them.
     """
-    seen = disagreement(positions, flow_positions)
-    rows = with_halo(seen, before=1, after=1, block=block)
-    w = halo_window(TRACE, block=block)
+    seen = settle(disagreement(positions, flow_positions))
+    limits = robust_threshold(seen, "d", factor=threshold_factor, in_order=in_order, block=block)
+    limits = by_block(limits.select(*TRACE, "threshold"), seen, block=block)
+    hits = seen.withColumn(BLK, block_of("frame", block)).join(limits, [*TRACE, BLK]).where(F.col("d") > F.col("threshold"))
+    found = runs(hits, max_gap=max_gap, mins={"threshold": "threshold"}, block=block)
     # An anchor must sit on the very next frame and be complete.
-    complete = F.col("x").isNotNull() & F.col("y").isNotNull()
-    here = F.when(complete, F.struct("frame", "x", "y"))
-    rows = rows.withColumn("_p", here).withColumns(
-        {"before": F.lag("_p").over(w), "after": F.lead("_p").over(w)}
-    )
-    rows = rows.withColumns(
-        {
-            "before": F.when(F.col("before.frame") == F.col("frame") - 1, F.col("before")),
-            "after": F.when(F.col("after.frame") == F.col("frame") + 1, F.col("after")),
-        }
+    complete = seen.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    sides = F.array(
+        F.struct((F.col("start") - 1).alias("frame"), F.lit(True).alias("ahead")),
+        F.struct((F.col("end") + 1).alias("frame"), F.lit(False).alias("ahead")),
     )
-    rows = own_rows(rows, keep_block=True)
-    if block is None:
-        rows = with_threshold(rows, "d", factor=threshold_factor)
-    else:
-        limits = robust_threshold(seen, "d", factor=threshold_factor, limit=limit, sized_by=positions)
-        rows = rows.join(limits.select(*TRACE, "threshold"), list(TRACE))
-    hits = rows.where(F.col("d") > F.col("threshold"))
-    found = runs(
-        hits,
-        max_gap=max_gap,
-        mins={"threshold": "threshold"},
-        first={"before": "before"},
-        last={"after": "after"},
-        block=block,
+    asked = found.select(*TRACE, "start", "end", "length", "threshold", F.explode(sides).alias("_s"))
+    asked = asked.select("*", F.col("_s.frame").alias("frame"), F.col("_s.ahead").alias("_ahead")).drop("_s")
+    met = asked.join(complete.select(*TRACE, "frame", F.struct("x", "y").alias("_p")), [*TRACE, "frame"], "left")
+    side = lambda ahead: F.max(F.when(F.col("_ahead") == ahead, F.col("_p")))
+    found = met.groupBy(*TRACE, "start", "end", "length", "threshold").agg(
+        side(True).alias("before"), side(False).alias("after")
     )
     too_long = F.lit(False) if max_blip_length is None else F.col("length") > max_blip_length
     reason = F.when(too_long, "long").when(F.col("before").isNull() | F.col("after").isNull(), "edge")

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.blocks import (
-    BLK, BLOCK, block_of, exact_percentiles, scan, spread, top_per_group,
+    BLK, BLOCK, block_of, scan, spread, top_per_group,
 )
 from trackspark.functions.geometry import blend, distance, forward_weight
+from trackspark.functions.ranks import IN_ORDER, percentiles
 from trackspark.operators.detect import HIGH, MAX_GAP, confident, nearest_confident
 from trackspark.operators.layers import patch_layer
 from trackspark.schema import TRACE
+from trackspark.session import settle
 
 STEP = [*TRACE, "frame"]
 RUN = [*TRACE, "start", "end"]
@@ -179,11 +181,14 @@ def gap_verdicts(
     )
 
 
-def repair_report(frames: DataFrame, keys: tuple[str, ...] = ("video",), *, trusted_at: float = 2.0) -> DataFrame:
+def repair_report(
+    frames: DataFrame, keys: tuple[str, ...] = ("video",), *, trusted_at: float = 2.0, in_order: int = IN_ORDER
+) -> DataFrame:
     """Distribution of the disagreement over repaired frames."""
     d = F.col("disagreement")
     share = lambda px: F.avg(F.when(d <= px, 1.0).otherwise(0.0)).alias(f"within_{px}")
-    shape = exact_percentiles(frames, keys, "disagreement", {"median": 0.5, "p90": 0.9})
+    frames = settle(frames.select(*keys, "disagreement"))
+    shape = percentiles(frames, keys, "disagreement", {"median": 0.5, "p90": 0.9}, in_order=in_order)
     counts = frames.groupBy(*keys).agg(
         share(1), share(2), share(5), F.count_if(d <= trusted_at).alias("n_trusted")
     )

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackspark.functions.blocks import (
-    BLK, BLOCK, HOT_ROWS, block_of, exact_percentiles, hot_keys, key_table,
-)
+from trackspark.functions.blocks import BLK, BLOCK, block_of
+from trackspark.functions.ranks import IN_ORDER, percentiles
 from trackspark.schema import TRACE
+from trackspark.session import settle
 
 # The flat-signal limit and the factor from MAD to sigma.
 MAD_ZERO = 1e-6
@@ -96,40 +96,43 @@ def expand_runs(run_table: DataFrame, *, start: str = "start", end: str = "end")
     return run_table.withColumn("frame", F.explode(F.sequence(F.col(start), F.col(end))))
 
 
+def by_block(figures: DataFrame, rows: DataFrame, *, keys: Sequence[str] = TRACE, block: int = BLOCK) -> DataFrame:
+    """One row of ``figures`` (one per key) for each block that the key has in ``rows``, to be joined with the rows of a block.
+
+    So a long trace meets its figures in as many tasks as it has blocks.
+    """
+    return rows.select(*keys, block_of("frame", block).alias(BLK)).distinct().join(figures, list(keys))
+
+
 def robust_threshold(
     values: DataFrame,
     value: str,
     *,
     keys: Sequence[str] = TRACE,
     factor: float = 5.0,
-    limit: int = HOT_ROWS,
-    sized_by: DataFrame | None = None,
+    in_order: int = IN_ORDER,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Median, MAD and outlier threshold of a value per trace.
 
     Normal signals get ``median + factor * 1.4826 * MAD``. A flat signal with
     spikes gets the midpoint of median and maximum, a constant one infinity.
-
-    Traces of up to ``limit`` rows are summarised in one pass over their sorted
-    values. Longer ones take two rounds of bracketed percentiles. ``sized_by``
-    is a cheaper table with at least as many rows per trace to count instead.
+    ``values`` is read several times. With a ``frame`` column, medians meet the
+    rows block by block.
     """
     keys = list(keys)
-    rows = values.where(F.col(value).isNotNull()).select(*keys, value)
-    hot = hot_keys(rows if sized_by is None else sized_by, keys, limit)
-    if not hot:
-        stats = _one_pass_spread(rows, value, keys)
+    framed = "frame" in values.columns
+    rows = values.where(F.col(value).isNotNull()).select(*keys, value, *(["frame"] if framed else []))
+    shape = settle(percentiles(rows, keys, value, {"med": 0.5}, in_order=in_order))
+    if framed:
+        rows = rows.withColumn(BLK, block_of("frame", block)).join(
+            by_block(shape.select(*keys, "med"), rows, keys=keys, block=block), [*keys, BLK]
+        )
     else:
-        hot_df = key_table(rows, keys, hot)
-        cold = _one_pass_spread(rows.join(hot_df, keys, "left_anti"), value, keys)
-        big = rows.join(hot_df, keys, "left_semi")
-        shape = exact_percentiles(big, keys, value, {"med": 0.5}, limit=limit, hot=hot)
-        # One row per hot trace.
-        far = big.join(F.broadcast(shape.select(*keys, "med")), keys)
-        far = far.withColumn("_dev", F.abs(F.col(value) - F.col("med")))
-        mad = exact_percentiles(far, keys, "_dev", {"mad": 0.5}, limit=limit, hot=hot).select(*keys, "mad")
-        stats = cold.unionByName(shape.join(mad, keys).select(cold.columns))
-    return stats.select(*keys, "n", "med", "mad", _threshold(factor).alias("threshold"))
+        rows = rows.join(shape.select(*keys, "med"), keys)
+    far = rows.withColumn("_dev", F.abs(F.col(value) - F.col("med")))
+    mad = percentiles(far, keys, "_dev", {"mad": 0.5}, in_order=in_order).select(*keys, "mad")
+    return shape.join(mad, keys).select(*keys, "n", "med", "mad", _threshold(factor).alias("threshold"))
 
 
 def _threshold(factor: float) -> Column:
@@ -138,45 +141,3 @@ def _threshold(factor: float) -> Column:
         .when(F.col("v_max") - F.col("v_min") < MAD_ZERO, F.lit(float("inf")))
         .otherwise(0.5 * (F.col("med") + F.col("v_max")))
     )
-
-
-def with_threshold(
-    rows: DataFrame, value: str, *, keys: Sequence[str] = TRACE, factor: float = 5.0
-) -> DataFrame:
-    """Add the outlier threshold of the trace to each row.
-
-    For traces that fit one block: everything happens in the trace's own
-    window, so the values are neither computed nor shuffled a second time.
-    """
-    whole = Window.partitionBy(*keys)
-    rows = rows.withColumns(
-        {
-            "med": F.percentile(value, F.lit(0.5)).over(whole),
-            "v_min": F.min(value).over(whole),
-            "v_max": F.max(value).over(whole),
-        }
-    )
-    deviation = F.abs(F.col(value) - F.col("med"))
-    rows = rows.withColumn("_dev", deviation).withColumn("mad", F.percentile("_dev", F.lit(0.5)).over(whole))
-    return rows.withColumn("threshold", _threshold(factor)).drop("med", "v_min", "v_max", "_dev", "mad")
-
-
-def _one_pass_spread(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    sorted_values = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_v"))
-    n = F.size("_v")
-
-    def middle(values: Column) -> Column:
-        lo = F.element_at(values, F.floor((n + 1) / 2).cast("int"))
-        hi = F.element_at(values, F.floor((n + 2) / 2).cast("int"))
-        return lo + (hi - lo) * F.lit(0.5)
-
-    centred = sorted_values.withColumn("med", middle(F.col("_v")))
-    deviations = F.sort_array(F.transform("_v", lambda v: F.abs(v - F.col("med"))))
-    return centred.withColumn("_d", deviations).select(
-        *keys,
-        n.cast("long").alias("n"),
-        F.element_at("_v", 1).alias("v_min"),
-        F.element_at("_v", -1).alias("v_max"),
-        "med",
-        middle(F.col("_d")).alias("mad"),
-    )

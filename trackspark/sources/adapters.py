@@ -13,9 +13,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trackspark.functions.blocks import (
-    BLOCK, HOT_ROWS, halo_window, ordinal, own_rows, with_halo,
-)
+from trackspark.functions.blocks import BLOCK, halo_window, own_rows, with_halo
+from trackspark.functions.ranks import ordinal
 
 # Block size of the registered queries; `blocks_of` changes it for a while.
 _BLOCK: ContextVar[int] = ContextVar("block", default=BLOCK)
@@ -45,7 +44,7 @@ def line_block(spark: SparkSession, sf_dir: str) -> int:
     return _BLOCK.get()
 
 
-def event_frames(spark: SparkSession, sf_dir: str, *, limit: int = HOT_ROWS) -> DataFrame:
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
         "event_id",
         "ts",
@@ -54,12 +53,10 @@ def event_frames(spark: SparkSession, sf_dir: str, *, limit: int = HOT_ROWS) ->
         F.col("value").alias("v"),
         F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
-    return ordinal(
-        events, ["video"], ["ts", "event_id"], split=F.unix_micros("ts"), name="frame", limit=limit,
-    ).drop("ts")
+    return ordinal(events, ["video"], ["ts", "event_id"], name="frame").drop("ts")
 
 
-def predictions(spark: SparkSession, sf_dir: str, *, with_event: bool = False, limit: int = HOT_ROWS) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, *, with_event: bool = False) -> DataFrame:
     """Predictions of two labels for every event of a user."""
     k, v, kind = F.col("k"), F.col("v"), F.col("event_type")
     first = (
@@ -72,7 +69,7 @@ def predictions(spark: SparkSession, sf_dir: str, *, with_event: bool = False, l
         F.lit(label).alias("label"), x.alias("x"), y.cast("double").alias("y"), lik.alias("likelihood")
     )
     both = F.array(point("0", v, k, first), point("1", 500 - v, 100 - k, second))
-    rows = event_frames(spark, sf_dir, limit=limit).withColumn("p", F.explode(both))
+    rows = event_frames(spark, sf_dir).withColumn("p", F.explode(both))
     kept = ["video", "p.label", "frame", "p.x", "p.y", "p.likelihood"]
     return rows.select(*kept, "event_id", "k") if with_event else rows.select(*kept)
 
@@ -151,7 +148,7 @@ def event_videos(spark: SparkSession, sf_dir: str, fps: float = 30.0) -> DataFra
     )
 
 
-def line_tracks(spark: SparkSession, sf_dir: str, *, limit: int = HOT_ROWS) -> DataFrame:
+def line_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One long single-label track per supplier."""
     lines = table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("video"),
@@ -162,9 +159,7 @@ def line_tracks(spark: SparkSession, sf_dir: str, *, limit: int = HOT_ROWS) -> D
         lines,
         ["video"],
         ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
-        split=F.unix_micros("l_shipdate"),
         name="frame",
-        limit=limit,
     )
     return ranked.select(
         "video",
