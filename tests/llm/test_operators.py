@@ -109,6 +109,32 @@ def test_join_on_awkward_tables(spark, awkward, empty):
     assert kept.where("doc_id is null").count() == 1
 
 
+@pytest.mark.parametrize("group", [jaccard.GROUP, 3000, 300])
+def test_groups_around_the_threshold(spark, group):
+    """Several hundred texts of similarity 0.4 to 0.8 with each other, in tasks of many segments, few and parts of one."""
+    rng = np.random.default_rng(12)
+    texts = []
+    for size, share in ((120, 0.03), (60, 0.05), (90, 0.08)):
+        base = prose(rng, size, 10**6).split()
+        for _ in range(110):
+            words = list(base)
+            for at in rng.choice(size, int(size * share * rng.uniform(0.3, 1.2)), replace=False):
+                words[int(at)] = f"x{int(rng.integers(10**6))}"
+            texts.append(" ".join(words))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(documents(spark, texts), group=group).collect()}
+    want = brute_components(texts)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 300
+
+
+def test_keep_one_goes_by_row(spark):
+    rng = np.random.default_rng(13)
+    a, b, c = (prose(rng, 60, 10**6) for _ in range(3))
+    rows = [(1, a), (2, b), (2, a + " tail"), (3, b + " tail"), (2, c), (None, c + " tail"), (None, "q r s t u v"), (None, "q r s t u v"), (4, ""), (4, ""), (5, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", 1, *("x", 1.0, 2, 3, "w", 4, 5, 6, 7, 8)) for i, t in rows], DOCS)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(table).collect()), key=str)
+    assert kept == sorted([(1, a), (2, b), (2, c), (None, "q r s t u v"), (4, ""), (4, ""), (5, None)], key=str)
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     for n in (1, 3, 50, 700):

@@ -2,16 +2,20 @@
 
 Sets of sizes a and b with similarity of 3/4 or more differ in at most (a + b) / 7 shingles. Sizes are put into bands a
 factor 4/3 apart, so that partners lie in the same or in neighbouring bands. A band has a scheme: the universe of shingles
-is hashed into m segments, and pigeonhole says that of any ceil((H + 1) / 2) segments of two partners (H: most differences
-in the band) one differs by at most one shingle. So two partners share the subset of a segment, or one's subset is the
-other's with one shingle deleted. The scheme has some segments to spare; where a task holds a single segment,
-each document leaves that many of its smallest subsets, the costly ones that agree by chance, out of its own probes, though
-others may still probe them. Where a task holds several, their common difference decides instead.
+is hashed into m segments, half as many again as pigeonhole needs. A document may give a segment no point, one (its subset
+must be a partner's subset) or two (one of both may lack a shingle of the other); as soon as its points exceed the number of
+differences, some segment finds the partner. It is enough that the larger of two partners searches.
 
 Each document sends its segment subsets, three bytes per shingle, to the task of scheme and segment; hashes of subsets and of
-their one-deletion neighbourhoods are formed and matched only there. Within a task,
-candidates must not differ by more than partners do in at least one task. They pass a parity sketch, which bounds the
-difference from below, and then an exact comparison of the whole sets, so the result has neither false nor missing links.
+their one-deletion neighbourhoods are formed and matched only there. Where a task holds several segments, points are
+allocated there by cost: partners differ in some task by no more than the task's share of segments, so a document needs
+one point more than that; the task knows how many other documents every subset and every deletion would meet, and the
+document takes the points that meet fewest. Where segments are split over tasks, no task knows these numbers; documents
+leave their smallest subsets out, which agree by chance most often.
+
+Within a task, candidates must not differ by more than partners do in at least one task, by a parity sketch of the task's
+shingles, which bounds the difference from below. What passes there meets whole sketches, and then an exact comparison of
+the whole sets, so the result has neither false nor missing links.
 
 Equal sets are one class from the start. Each class is first compared with one candidate only, the first member of one of
 its runs of equal hashes; what that connects needs no comparison any more, and only pairs between different components follow. Links
@@ -29,26 +33,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.llm.components import components
-from trackspark.llm.tables import id_and_text, small
+from trackspark.llm.tables import id_and_text, remove, small
 from trackspark.llm.text import mix, shingles, slices, words
 from trackspark.session import scratch_dir, settle
 
 #: Shingles that one task matches at a time.
 GROUP = 1_500_000
-#: Subsets up to this size may be left out of the probes.
-SMALL = 2
-#: Members up to which a run is taken apart into pairs, pairs that a task looks at, and at a time.
-APART, BUDGET, PAIRS = 1000, 200_000_000, 1_000_000
+#: Members beyond which a run whose members mostly seem to be partners goes on as a whole, and candidates looked at at a time.
+LONG, PAIRS = 256, 1_000_000
 #: Longs of the smallest parity sketch.
 QUICK = 8
 #: Bytes of a shingle's hash in the exact comparison.
 MEMBER = 6
-#: Sets that one task compares with a hub.
-SPOKES = 50_000
+#: Sets that one task compares with a hub, hubs to which a task sends a set at a time, and bytes that it sends at a time.
+SPOKES, HUBS, SENT = 50_000, 64, 32 << 20
 #: Pairs whose keys are broadcast to find their texts again (under 50 bytes each); more meet the texts in a shuffled join.
 BROADCAST_PAIRS = 400_000
 #: Bytes of text per step of a task.
@@ -86,7 +88,7 @@ def scheme(number: int) -> Scheme:
     low = int(_HIGH[number - 1]) + 1 if number else 1
     differences = 2 * high // 7
     needed = (differences + 2) // 2
-    spare = needed // 6 + 1 if needed > 2 else 0
+    spare = needed // 2 if needed > 2 else 0
     return Scheme(number, low, high, needed + spare, spare)
 
 
@@ -152,8 +154,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for i, sets, key in _sets(batch):
             sketches = _sketches(sets)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(i, len(sets)) for c in (0, 2)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), sketches, _folded(sketches)],
-                ["doc_id", "uid", "key", "n", "sketch", "quick"],
+                [*(batch.column(c).slice(i, len(sets)) for c in (0, 2, 3)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), sketches, _folded(sketches)],
+                ["doc_id", "uid", "print", "key", "n", "sketch", "quick"],
             )
 
 
@@ -175,9 +177,10 @@ def _subsets(groups: dict[int, int], group: int):
         length = np.bincount(cell, minlength=m * docs)
         grid = length.reshape(m, docs)
         left_out, tasks = np.zeros_like(grid, bool), groups[plan.number]
-        if plan.spare and 2 * tasks > m:
-            smallest = np.argsort(grid, axis=0, kind="stable")[: plan.spare]
-            np.put_along_axis(left_out, smallest, np.take_along_axis(grid, smallest, 0) <= SMALL, 0)
+        own = np.array([len(s) for s in sets], np.int64)
+        if 2 * tasks > m:  # all but the largest subsets of those that find every partner that isn't larger
+            place = np.argsort(np.argsort(-grid, axis=0, kind="stable"), axis=0, kind="stable")
+            left_out = place >= (2 * own // 7 + 2) // 2
         narrow = np.uint8 if not len(length) or length.max() < 128 else np.uint32
         flagged = (2 * length + left_out.ravel()).astype(narrow)
         segment, doc = np.divmod(np.arange(m * docs), docs)
@@ -233,126 +236,185 @@ def _matching(groups: dict[int, int]):
 
 
 def _match(plan: Scheme, task: int, tasks: int, table: pa.Table) -> pa.Table:
-    keys, sizes, segment, length, low = [], [], [], [], []
+    """Candidates ``key, other``, and the members of long runs that go on as a whole (``run, key, whole``)."""
+    keys, sizes, segment, length, low, searches = [], [], [], [], [], []
+    seen: set[int] = set()
     for row in table.to_pylist():
         owner = np.frombuffer(row["owner"], np.uint16)
-        keys.append(np.frombuffer(row["keys"], np.uint64)[owner])
-        sizes.append(np.frombuffer(row["sizes"], np.uint32)[owner])
-        segment.append(np.repeat(*np.frombuffer(row["segment"], np.uint32).reshape(2, -1)))
-        wide = len(row["length"]) // max(1, len(segment[-1]))
-        length.append(np.frombuffer(row["length"], np.uint8 if wide == 1 else np.uint32).astype(np.int64))
-        low.append(_widened(row["shingles"], 3))
-    keys, sizes, segment, length, low = map(np.concatenate, (keys, sizes, segment, length, low))
-    probes, length = length & 1 == 0, length >> 1
+        own = np.frombuffer(row["keys"], np.uint64)
+        # copies in other batches bring the same subsets
+        fresh = np.zeros(len(own), bool)
+        for i in np.unique(owner).tolist():
+            if (k := int(own[i])) not in seen:
+                seen.add(k)
+                fresh[i] = True
+        parts = np.frombuffer(row["segment"], np.uint32).reshape(2, -1)
+        wide = len(row["length"]) // max(1, len(owner))
+        flagged = np.frombuffer(row["length"], np.uint8 if wide == 1 else np.uint32).astype(np.int64)
+        use = fresh[owner]
+        keys.append(own[owner[use]])
+        sizes.append(np.frombuffer(row["sizes"], np.uint32)[owner[use]])
+        segment.append(np.repeat(*parts)[use])
+        length.append(flagged[use] >> 1)
+        searches.append(flagged[use] & 1 == 0)
+        low.append(_widened(row["shingles"], 3)[np.repeat(use, flagged >> 1)])
+    keys, sizes, segment, length, low, searches = map(np.concatenate, (keys, sizes, segment, length, low, searches))
     values = mix(low | (np.repeat(segment, length).astype(np.uint64) << np.uint64(32)), 6)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
     ends = np.cumsum(length)
     whole = mix(segment.astype(np.uint64), 7 + plan.number) + sums[ends] - sums[ends - length]
     owner = np.repeat(np.arange(len(length)), length)
+    far = _Differences(keys, sizes, values, owner, plan, task, tasks)
+    many = len(far.keys)
     signature = np.concatenate((whole, whole[owner] - values))
-    entry = np.concatenate((np.arange(len(length)), owner))
     order = np.argsort(signature)
     signature = signature[order]
     again = signature[1:] == signature[:-1]
     keep = np.append(again, False) | np.append(False, again)
     signature, order = signature[keep], order[keep]
-    own, is_whole = keys[entry[order]], order < len(whole)
-    by_member = np.lexsort((is_whole, own, signature))
-    own, is_whole, signature, order = own[by_member], is_whole[by_member], signature[by_member], order[by_member]
-    new_run = np.append(True, signature[1:] != signature[:-1])[: len(signature)]
-    # copies in other batches are the same member
-    new = np.append(True, (own[1:] != own[:-1]) | (is_whole[1:] != is_whole[:-1]))[: len(signature)] | new_run
-    own, is_whole, entry, start = own[new], is_whole[new], entry[order[new]], new_run[new]
-    run = np.cumsum(start) - 1
-    first = np.flatnonzero(start)
-    if not len(own):
-        return pa.table({"run": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "whole": pa.array([], pa.bool_())})
-    good = (np.bincount(run, is_whole) > 0) & (np.bincount(run, probes[entry]) > 0)
-    good &= np.minimum.reduceat(own, first) != np.maximum.reduceat(own, first)
-    size = np.diff(np.append(first, len(own)))
-    # runs are taken apart into pairs, but for very long ones and for what exceeds the task's budget
-    size = np.diff(np.append(first, len(own)))
-    order = np.argsort(size, kind="stable")
-    order = order[good[order] & (size[order] <= APART)]
-    cost = np.cumsum(size[order] ** 2)
-    apart = order[cost <= BUDGET]
-    far = _Differences(keys, sizes, values, owner, plan, task, tasks)
-    codes, many = np.zeros(0, np.int64), len(far.keys)
-    for part in np.split(apart, np.searchsorted(cost[cost <= BUDGET], np.arange(PAIRS, BUDGET, PAIRS))):
-        left, right = _pairs(first, size, part)
-        use = (own[left] != own[right]) & (is_whole[left] | is_whole[right])
-        x, y = far.place[entry[left[use]]], far.place[entry[right[use]]]
-        x, y = far.possible(*np.divmod(np.unique(np.minimum(x, y) * many + np.maximum(x, y)), many))
-        codes = np.union1d(codes, x * many + y)
-    good[apart] = False
-    use = good[run]
-    members = np.add.reduceat(mix(own, 9) * (1 + 2 * is_whole.astype(np.uint64)), first)
+    entry = np.concatenate((np.arange(len(length)), owner))[order]
+    is_whole = order < len(whole)
+    run = np.cumsum(np.append(False, signature[1:] != signature[:-1])[: len(signature)])
+    points = far.points(searches, entry, is_whole, run)
+    # in a run by size, so that a member meets those before it
+    by_size = np.lexsort((far.place[entry], run))
+    entry, is_whole, run = entry[by_size], is_whole[by_size], run[by_size]
+    place, asks = far.place[entry], points[entry]
+    first = np.searchsorted(run, run)
+    size = np.bincount(run)[run]
+    before = np.where(asks >= np.where(is_whole, 1, 2), np.arange(len(run)) - first, 0)
+
+    def met(at: np.ndarray, many_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of what the members ``at`` find among as many before them."""
+        x = np.repeat(at, many_before)
+        y = np.repeat(first[at] - np.cumsum(many_before) + many_before, many_before) + np.arange(many_before.sum())
+        found = (is_whole[x] & is_whole[y]) | ((is_whole[x] | is_whole[y]) & (asks[x] == 2))
+        return place[x[found]], place[y[found]]
+
+    as_runs = _mostly_partners(far, place, first, size, before)
+    before[as_runs] = 0
+    codes = [np.zeros(0, np.int64)]
+    searching = np.flatnonzero(before)
+    cost = np.cumsum(before[searching])
+    for part in np.split(searching, np.searchsorted(cost, np.arange(PAIRS, cost[-1] if len(cost) else 0, PAIRS))):
+        x, y = met(part, before[part])
+        x, y = x[x != y], y[x != y]
+        x, y = far.possible(*np.divmod(np.unique(x * many + y), many))
+        codes.append(x * many + y)
+        if len(codes) > 64:
+            codes = [np.unique(np.concatenate(codes))]
+    x, y = np.divmod(np.unique(np.concatenate(codes)), max(many, 1))
+    key = mix(far.keys[place[as_runs]], 9) * (1 + 2 * is_whole[as_runs].astype(np.uint64))
+    starts = np.flatnonzero(np.append(True, run[as_runs][1:] != run[as_runs][:-1])[: as_runs.sum()])
+    members = np.add.reduceat(key, starts) if len(starts) else np.zeros(0, np.uint64)
     tag = mix(np.array([(plan.number << 40) + task], np.uint64), 8)
-    x, y = (far.keys[place] for place in np.divmod(codes, max(many, 1)))
-    both = mix(mix(x, 9) + y, 8)
+    numbers = np.repeat(mix(members ^ tag), np.diff(np.append(starts, as_runs.sum())))
+    nothing = pa.nulls(len(x), pa.int64())
     return pa.table({
-        "run": _signed(np.concatenate((mix(members[run[use]] ^ tag), both, both))),
-        "key": _signed(np.concatenate((own[use], x, y))),
-        "whole": pa.array(np.concatenate((is_whole[use], np.ones(2 * len(both), bool)))),
+        "run": pa.concat_arrays([_signed(numbers), nothing]),
+        "key": _signed(np.concatenate((far.keys[place[as_runs]], far.keys[x]))),
+        "other": pa.concat_arrays([pa.nulls(len(numbers), pa.int64()), _signed(far.keys[y])]),
+        "whole": pa.array(np.concatenate((is_whole[as_runs], np.ones(len(x), bool)))),
     })
 
 
-def _pairs(first: np.ndarray, size: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of members of the given runs."""
-    n = size[runs]
-    start = np.repeat(first[runs], n * n)
-    at = np.arange(len(start)) - np.repeat(np.cumsum(n * n) - n * n, n * n)
-    x, y = np.divmod(at, np.repeat(n, n * n))
-    return (start + x)[x < y], (start + y)[x < y]
+def _mostly_partners(far: _Differences, place: np.ndarray, first: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Members of long runs most of which are possible partners of three members, say near copies of each other.
+
+    Their pairs need not be listed: the first comparison connects them, and only what it leaves apart is looked at again.
+    """
+    chosen = np.flatnonzero(size > LONG)
+    if not len(chosen):
+        return np.zeros(len(place), bool)
+    good = np.zeros(len(chosen))
+    for k in (1, 2, 3):
+        x, y = place[chosen], place[first[chosen] + k * size[chosen] // 4]
+        good += far.are_possible(np.maximum(x, y), np.minimum(x, y))
+    starts = np.flatnonzero(np.append(True, first[chosen][1:] != first[chosen][:-1]))
+    share = np.add.reduceat(good, starts) / (3 * size[chosen][starts])
+    searched = np.add.reduceat(before[chosen], starts) > 0
+    out = np.zeros(len(place), bool)
+    out[chosen] = np.repeat((share > 0.5) & searched, np.diff(np.append(starts, len(chosen))))
+    return out
 
 
 class _Differences:
     """Bounds on how much documents differ within one task's segments.
 
     The differences of two partners, at most (a + b) / 7, lie in all the scheme's segments, so in some task their share is
-    no larger than the task's share of segments; there the average segment differs by less than two shingles, so the pair
-    is in a run of that task. Parity sketches of the task's shingles bound the differences there from below.
+    no larger than the task's share of segments. Parity sketches of the task's shingles bound the differences there from below.
     """
 
     def __init__(self, keys: np.ndarray, sizes: np.ndarray, values: np.ndarray, owner: np.ndarray, plan: Scheme, task: int, tasks: int):
-        self.keys, at, self.place = np.unique(keys, return_index=True, return_inverse=True)
-        self.sizes, self.plan = sizes[at].astype(np.int64), plan
+        known, at, place = np.unique(keys, return_index=True, return_inverse=True)
+        order = np.lexsort((known, sizes[at]))  # documents are numbered by size
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.keys, self.place = known[order], number[place]
+        self.sizes, self.plan = sizes[at[order]].astype(np.int64), plan
         self.here = int(np.count_nonzero(np.arange(plan.segments) * tasks // plan.segments == task)) if 2 * tasks <= plan.segments else 0
         if self.here:
-            # copies in several batches bring their shingles several times: count each once
-            doc, value = self.place[owner], values
-            order = np.lexsort((value, doc))
-            doc, value = doc[order], value[order]
-            new = np.append(True, (doc[1:] != doc[:-1]) | (value[1:] != value[:-1]))[: len(doc)]
-            doc, value = doc[new], value[new]
             longs = max(1, -(-2 * plan.high * self.here // (64 * plan.segments)))
-            bits = (mix(value, 11) % np.uint64(64 * longs)).astype(np.int64)
+            bits = (mix(values, 11) % np.uint64(64 * longs)).astype(np.int64)
             self.sketch = np.zeros((len(self.keys), longs), np.uint64)
-            np.bitwise_xor.at(self.sketch, (doc, bits >> 6), np.uint64(1) << (bits & 63).astype(np.uint64))
-
-    def possible(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs of places that neither sizes nor sketches exclude."""
+            np.bitwise_xor.at(self.sketch, (self.place[owner], bits >> 6), np.uint64(1) << (bits & 63).astype(np.uint64))
+
+    def points(self, searches: np.ndarray, entry: np.ndarray, is_whole: np.ndarray, run: np.ndarray) -> np.ndarray:
+        """0, 1 or 2 for each subset: as many as its document needs here, those that meet fewest others.
+
+        ``entry``, ``is_whole`` and ``run`` tell which subsets, or deletions of them, have equal hashes.
+        """
+        if not self.here:
+            return 2 * searches.astype(np.int64)
+        wholes, n = np.bincount(run, is_whole), len(searches)
+        # one point meets equal subsets; two meet what lacks a shingle, too, and by deletions what has one less
+        equal = np.zeros(n)
+        equal[entry[is_whole]] = wholes[run[is_whole]] - 1
+        more = np.bincount(entry, np.where(is_whole, np.bincount(run)[run] - wholes[run], wholes[run]), minlength=n)
+        first, second = np.where(equal <= more, equal, (equal + more) / 2), np.where(equal <= more, more, (equal + more) / 2)
+        both, doc = np.concatenate((first, second)), np.tile(self.place, 2)
+        order = np.lexsort((both, doc))
+        doc = doc[order]
+        taken = np.arange(len(doc)) - np.searchsorted(doc, doc) <= (2 * self.sizes // 7 * self.here // self.plan.segments)[doc]
+        return np.bincount(order[taken] % n, minlength=n)
+
+    def are_possible(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of places neither sizes nor sketches exclude."""
         a, b = self.sizes[x], self.sizes[y]
         keep = 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
         if self.here:
             for part in np.array_split(np.flatnonzero(keep), max(1, keep.sum() * self.sketch.shape[1] // PAIRS)):
                 differ = np.bitwise_count(self.sketch[x[part]] ^ self.sketch[y[part]]).sum(1, dtype=np.int64)
                 keep[part] = differ * self.plan.segments <= (a + b)[part] // 7 * self.here
+        return keep
+
+    def possible(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = self.are_possible(x, y)
         return x[keep], y[keep]
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The set of each document, once for each hub that it is compared with."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(kinds, zip(*rows, strict=True), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in columns], ["hub", "salt", "key", "spoke", "members"])
+
     for batch in batches:
         for i, sets, key in _sets(batch):
-            rows = []
+            rows, held = [], 0
             for k, members, row in zip(key.view(np.int64).tolist(), sets, batch.slice(i, len(sets)).select(["key", "sends"]).to_pylist(), strict=True):
                 if k == row["key"]:
-                    packed = _narrow(members, MEMBER)
-                    rows += [(s["hub"], s["salt"], k, s["hub"] != k, packed) for s in row["sends"]]
+                    raw = _narrow(members, MEMBER)
+                    for s in row["sends"]:
+                        rows.append((s["hub"], s["salt"], k, s["hub"] != k, raw))
+                        held += len(raw)
+                        if held > SENT:
+                            yield packed(rows)
+                            rows, held = [], 0
             if rows:
-                columns = zip((pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()), zip(*rows, strict=True), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in columns], ["hub", "salt", "key", "spoke", "members"])
+                yield packed(rows)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,7 +467,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     )
     hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
     sends = to_hub.unionByName(hubs.select(F.col("hub").alias("key"), F.struct("hub", "salt").alias("send")))
-    wanted = sends.groupBy("key").agg(F.collect_list("send").alias("sends")).join(classes.select("key", "uid"), "key")
+    # a set with very many hubs is sent from several rows
+    lots = sends.groupBy("key").agg(F.ceil(F.count("*") / HUBS).alias("lots"))
+    lot = F.pmod(F.xxhash64("send.hub", "send.salt"), F.col("lots"))
+    wanted = sends.join(lots, "key").groupBy("key", lot.alias("lot")).agg(F.collect_list("send").alias("sends"))
+    wanted = wanted.join(classes.select("key", "uid"), "key").drop("lot")
     if pairs.count() <= BROADCAST_PAIRS:
         wanted = F.broadcast(wanted)
     sets = docs.join(wanted, "uid").select("doc_id", "text", "key", "sends").mapInArrow(
@@ -442,15 +508,12 @@ def _between_components(runs: DataFrame, near: DataFrame, classes: DataFrame, ro
     return _sketched(pairs, classes).unionByName(left).distinct()
 
 
-def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row, for similarity 3/4 of five-word shingles.
-
-    ``component_id`` is the smallest id among the documents that links lead to, the document's own included.
-    """
+def _joined(docs: DataFrame, group: int) -> DataFrame:
+    """``doc_id, print, n, key, root, component_id`` of every row: hash of its text, class and component of its set."""
     docs = id_and_text(docs)
     # rows without id are found again by their text; such numbers are negative and never shown
-    docs = docs.withColumn("uid", F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text") / 2).cast("long")))
-    prints = settle(docs.mapInArrow(_fingerprints, "doc_id long, uid long, key long, n long, sketch array<long>, quick array<long>"))
+    docs = docs.withColumn("uid", F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text") / 2).cast("long"))).withColumn("print", F.xxhash64("text"))
+    prints = settle(docs.mapInArrow(_fingerprints, "doc_id long, uid long, print long, key long, n long, sketch array<long>, quick array<long>"))
     classes = settle(prints.where("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("first"), F.min("uid").alias("uid"), F.max("n").alias("n"), F.first("sketch").alias("sketch"),
         F.first("quick").alias("quick"),
@@ -463,34 +526,51 @@ def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
         _subsets(groups, group), "task long, keys binary, sizes binary, owner binary, segment binary, length binary, shingles binary"
     )
     path = scratch_dir(docs.sparkSession, "runs")
-    packed.groupBy("task").applyInArrow(_matching(groups), "run long, key long, whole boolean").write.parquet(path)
-    runs = docs.sparkSession.read.parquet(path)
+    packed.groupBy("task").applyInArrow(_matching(groups), "run long, key long, other long, whole boolean").write.parquet(path)
+    found = docs.sparkSession.read.parquet(path)
+    runs = found.where("run is not null").select("run", "key", "whole")
     centres = runs.where("whole").groupBy("run").agg(F.min("key").alias("hub"))
-    spokes = runs.join(centres, "run").where("key <> hub").select("hub", F.col("key").alias("other")).distinct()
-    near = settle(_sketched(spokes, classes))
+    spokes = runs.join(centres, "run").where("key <> hub").select("hub", F.col("key").alias("other"))
+    pairs = found.where("run is null").select(F.least("key", "other").alias("hub"), F.greatest("key", "other").alias("other"))
+    near = settle(_sketched(pairs.unionByName(spokes.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other"))).distinct(), classes))
     links = _verified(near.groupBy("other").agg(F.min("hub").alias("hub")), docs, classes)
     roots = settle(components(links).withColumnRenamed("node", "key"))
     more = _verified(_between_components(runs, near, classes, roots), docs, classes)
     roots = settle(components(links.unionByName(more)).withColumnRenamed("node", "key"))
+    remove(docs.sparkSession, path)
     named = classes.select("key", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "root").select("key", "component_id")
-    return prints.join(named, "key", "left").select(
+    named = named.join(smallest, "root").select("key", "root", "component_id")
+    return prints.select("doc_id", "print", "n", "key").join(named, "key", "left")
+
+
+def join(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row, for similarity 3/4 of five-word shingles.
+
+    ``component_id`` is the smallest id among the documents that links lead to, the document's own included.
+    """
+    return _joined(docs, group).select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """One row of ``docs`` for each component, that of the component's id.
+def keep_one(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """One row of ``docs`` for each component: of the smallest id, null ids last, and of the smallest hash of the text.
 
-    Rows that share an id are one document here, kept once if it is kept; rows without id are all kept.
+    A row stands for itself, whether its id is repeated, reused for other texts or null. Of rows with the same id and text one
+    stays. Rows without words are in no component and all stay.
     """
-    kept = join(docs, **settings).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    found = docs.join(small(kept), "doc_id")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    repeated = found.where("__rows > 1").withColumn("__place", F.row_number().over(order)).where("__place = 1")
-    parts = found.where("__rows = 1"), repeated, docs.where("doc_id is null")
-    return parts[0].select(docs.columns).unionByName(parts[1].select(docs.columns)).unionByName(parts[2])
+    rows = _joined(docs, group).where("n > 0").groupBy("root", "doc_id", "print").agg(F.count("*").alias("__rows"))
+    best = F.struct(F.col("doc_id").isNull(), "doc_id", "print")
+    kept = rows.groupBy("root").agg(F.min_by(F.struct(F.col("doc_id").alias("__id"), F.col("print").alias("__print"), "__rows"), best).alias("k"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.col("text").cast("string")
+    with_words = F.coalesce(text.rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    chosen = small(kept.select("k.*"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__print"))
+    found = docs.where(with_words).join(chosen, same)
+    once = found.where("__rows > 1").groupBy("__id", "__print").agg(F.first(F.struct(*columns)).alias("r")).select("r.*")
+    return found.where("__rows = 1").select(*columns).unionByName(once).unionByName(docs.where(~with_words))
 
 
 def oracle() -> str:
