@@ -17,7 +17,7 @@ IN_BLOCKS = [
     "keep_complete_runs", "find_gaps", "find_gaps_long_tracks", "rejected_runs", "gap_label_stats", "runs_with_gap",
     "nearest_confident", "flow_residual", "sample_gaps", "select_training_frames", "neighbour_frames_of_label",
     "common_nearest_frame", "repair_gaps", "gap_verdicts", "rstc_blend", "interpolate_interval", "propagate",
-    "interpolate_between_labels", "completion_tally", "smooth_moving_average", "decimate_interval", "lowpass_interval",
+    "interpolate_between_labels", "completion_tally", "smooth_moving_average", "decimate_interval", "lowpass_interval", "lowpass_level",
     "deblip_trace",
 ]
 SMALL_BLOCK = 16

@@ -1,11 +1,15 @@
 """Queries over uncertain stretches and outliers."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trackspark.catalog.base import BLIPS, EVENTS, FLOW, LINES, query
+from trackspark.functions.blocks import plain_rows
 from trackspark.operators import detect, flow, runs
 from trackspark.session import settle
 from trackspark.sources import adapters as src
+from trackspark.sources.layout import store_blocks
 
 RUNS = """
 conf AS (SELECT *, coalesce(likelihood >= 0.9, false) AS ok,
@@ -114,11 +118,27 @@ def _blips(spark, d):
     return _blip_runs(spark, d).where(F.col("reason").isNull()).drop("reason")
 
 
-@query(f"WITH {BLIPS} SELECT {GAP_COLUMNS}, round(threshold, 6) AS threshold FROM blips")
+BLIP_ROWS = f"WITH {BLIPS} SELECT {GAP_COLUMNS}, round(threshold, 6) AS threshold FROM blips"
+
+
+@query(BLIP_ROWS)
 def disagreement_blips(spark, d):
     return _blips(spark, d)
 
 
+def in_storage(df, context=0):
+    """The table written in blocks, under a name of its own."""
+    return store_blocks(df, f"tracks_{uuid.uuid4().hex}", context=context)
+
+
+@query(BLIP_ROWS)
+def disagreement_blips_stored(spark, d):
+    """Points and landings written in blocks first, then compared where they lie."""
+    pred = in_storage(src.predictions(spark, d))
+    landed = in_storage(flow.flow_layer(plain_rows(pred), src.flow(spark, d)))
+    return detect.disagreement_blips(pred, landed)
+
+
 @query(
     f"""WITH {BLIPS},
     c AS (SELECT video, label, count(*) FILTER (reason IS NULL) AS n_blips, count(*) FILTER (reason = 'edge') AS n_edge,

@@ -1,6 +1,7 @@
 """Queries that fill, smooth and measure tracks."""
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from trackspark.catalog.detection import RUNS
 from trackspark.operators import detect, flow, repair, smooth
 from trackspark.plans import workflows
 from trackspark.sources import adapters as src
+from trackspark.sources.layout import store_blocks
 
 XY = "round(x, 6) AS x, round(y, 6) AS y"
 # Blending of runs (video, label, "start", "end", ax0, ay0, ax1, ay1) anchored at their own ends.
@@ -298,7 +300,17 @@ pieces AS (SELECT video, label, frame, window_start, w * ux + (1 - w) * vx AS x,
 """.replace("{steep}", STEEP)
 
 
-@query(f"WITH {WINDOWS} SELECT video, label, frame, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM pieces GROUP BY video, label, frame")
+AVERAGES = f"WITH {WINDOWS} SELECT video, label, frame, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM pieces GROUP BY video, label, frame"
+
+
+@query(AVERAGES)
+def smooth_moving_average_stored(spark, d):
+    """Points and flow written in blocks first, then smoothed where they lie."""
+    points, steps = (store_blocks(df, f"tracks_{uuid.uuid4().hex}", context=8) for df in (src.predictions(spark, d), src.flow(spark, d)))
+    return smooth.smooth_moving_average(points, steps, src.event_videos(spark, d), n_window=9)
+
+
+@query(AVERAGES)
 def smooth_moving_average(spark, d):
     return smooth.smooth_moving_average(
         src.predictions(spark, d), src.flow(spark, d), src.event_videos(spark, d), n_window=smooth.window_frames(0.3, 30), block=src.event_block(spark, d)
@@ -341,13 +353,14 @@ def decimate_interval(spark, d):
     return smooth.decimate_intervals(rows, src.intervals(spark, d).drop("label"), block=src.event_block(spark, d))
 
 
-# Low-pass with period 5 between frames start .. end of label 0, every third point missing.
+# Low-pass between frames start .. end of label 0, every third point missing. {period} is the period of an interval s.
 LOWPASS = EVENTS + "," + INTERVALS + """,
+spans2 AS (SELECT s.*, CAST({period} AS BIGINT) AS p FROM spans s),
 holed AS (SELECT video, label, frame, x, y FROM pred WHERE k % 3 <> 0),
-sinc AS (SELECT i, CASE WHEN i = 0 THEN 1.0 ELSE sin(pi() * 0.4 * i) / (pi() * 0.4 * i) END * 0.4 * 0.5 * (1 + cos(pi() * i / 5)) AS h
-  FROM (SELECT unnest(range(-5, 6)) AS i)),
-taps AS (SELECT i, h / (SELECT sum(h) FROM sinc) AS h FROM sinc),
-ctx AS (SELECT s.video, s.label, s."start", s."end", c.frame FROM spans s, LATERAL (SELECT unnest(range(s."start" - 5, s."end" + 6)) AS frame) c),
+sinc AS (SELECT p, i, CASE WHEN i = 0 THEN 1.0 ELSE sin(pi() * (2.0 / p) * i) / (pi() * (2.0 / p) * i) END * (2.0 / p) * 0.5 * (1 + cos(pi() * i / p)) AS h
+  FROM (SELECT p, unnest(range(-p, p + 1)) AS i FROM (SELECT DISTINCT p FROM spans2))),
+taps AS (SELECT p, i, h / sum(h) OVER (PARTITION BY p) AS h FROM sinc),
+ctx AS (SELECT s.video, s.label, s."start", s."end", s.p, c.frame FROM spans2 s, LATERAL (SELECT unnest(range(s."start" - s.p, s."end" + s.p + 1)) AS frame) c),
 val AS (SELECT c.*, h.x, h.y, CASE WHEN h.x IS NOT NULL THEN c.frame END AS kf FROM ctx c
   LEFT JOIN holed h ON h.video = c.video AND h.label = c.label AND h.frame = c.frame),
 near AS (SELECT *, max(kf) OVER (PARTITION BY video, label ORDER BY frame) AS bf,
@@ -358,10 +371,10 @@ fill AS (SELECT n.*, CASE WHEN n.x IS NOT NULL THEN n.x WHEN bf IS NULL THEN a.x
       ELSE b.y + (n.frame - bf) / (af - bf) * (a.y - b.y) END AS gy
   FROM near n LEFT JOIN holed b ON b.video = n.video AND b.label = n.label AND b.frame = bf
   LEFT JOIN holed a ON a.video = n.video AND a.label = n.label AND a.frame = af WHERE n >= 8),
-conv AS (SELECT f.video, f.label, f.frame, f."start", f."end", f.x, f.y, sum(t.h * g.gx) AS lx, sum(t.h * g.gy) AS ly
-  FROM fill f JOIN taps t ON true JOIN fill g ON g.video = f.video AND g.label = f.label AND g.frame = f.frame + t.i
+conv AS (SELECT f.video, f.label, f.frame, f."start", f."end", f.p, f.x, f.y, sum(t.h * g.gx) AS lx, sum(t.h * g.gy) AS ly
+  FROM fill f JOIN taps t ON t.p = f.p JOIN fill g ON g.video = f.video AND g.label = f.label AND g.frame = f.frame + t.i
   WHERE f.x IS NOT NULL AND f.frame BETWEEN f."start" AND f."end" GROUP BY ALL),
-fade AS (SELECT *, frame - "start" AS j, "end" - "start" + 1 AS m, least(("end" - "start" + 1) // 4, 3) AS k FROM conv),
+fade AS (SELECT *, frame - "start" AS j, "end" - "start" + 1 AS m, least(("end" - "start" + 1) // 4, greatest(3, least(p // 3, 20))) AS k FROM conv),
 lp AS (SELECT *, CASE WHEN j >= m - k THEN 0.5 * (1 - cos(pi() * (m - j) / (k + 1))) WHEN j < k THEN 0.5 * (1 - cos(pi() * (j + 1) / (k + 1))) ELSE 1 END AS w FROM fade)
 """
 
@@ -370,15 +383,23 @@ def _holed(spark, d):
     return src.predictions(spark, d, with_event=True).where(F.col("k") % 3 != 0).select("video", "label", "frame", "x", "y")
 
 
-@query(
-    f"""WITH {LOWPASS} SELECT h.video, h.label, h.frame, round(CASE WHEN lp.w IS NULL THEN h.x ELSE h.x + lp.w * (lx - h.x) END, 6) AS x,
+FILTERED = f"""WITH {LOWPASS} SELECT h.video, h.label, h.frame, round(CASE WHEN lp.w IS NULL THEN h.x ELSE h.x + lp.w * (lx - h.x) END, 6) AS x,
     round(CASE WHEN lp.w IS NULL THEN h.y ELSE h.y + lp.w * (ly - h.y) END, 6) AS y
     FROM holed h LEFT JOIN lp ON lp.video = h.video AND lp.label = h.label AND lp.frame = h.frame"""
-)
+
+
+@query(FILTERED.replace("{period}", "5"))
 def lowpass_interval(spark, d):
     return smooth.lowpass_intervals(_holed(spark, d), src.intervals(spark, d), period=5, block=src.event_block(spark, d))
 
 
+# Intervals of 13 to 17 frames: periods 5 and, from 16 frames on, 8.
+@query(FILTERED.replace("{period}", """CASE WHEN s."end" - s."start" + 1 >= 16 THEN 8 ELSE 5 END"""))
+def lowpass_level(spark, d):
+    """The second level, or the first where an interval is too short for it."""
+    return smooth.lowpass_level(_holed(spark, d), src.intervals(spark, d), level=2, block=src.event_block(spark, d))
+
+
 @query(
     f"""WITH {EVENTS}, p AS (SELECT video, frame, x, y, 1 AS o FROM pred WHERE label = '0'
       UNION ALL SELECT video, frame, x, y, 2 FROM pred WHERE label = '1'

@@ -39,14 +39,38 @@ def block_of(order: str | Column, block: int | None = BLOCK) -> Column:
     return F.floor(col / F.lit(block)).cast("long")
 
 
+def layout_of(df: DataFrame) -> tuple[int, int] | None:
+    """Frames per block and frames of context of a table that is stored in blocks (`sources.layout`), else None."""
+    if BLK not in df.columns or OWN not in df.columns:
+        return None
+    kept = df.schema[BLK].metadata
+    return (kept["block"], kept["context"]) if "context" in kept else None
+
+
+def layout_columns(df: DataFrame) -> list[str]:
+    """The columns that a projection has to keep for a stored layout to be used further on."""
+    return [] if layout_of(df) is None else [BLK, OWN]
+
+
+def plain_rows(df: DataFrame) -> DataFrame:
+    """The table's own rows, without the context that a stored layout adds."""
+    return df if layout_of(df) is None else df.where(F.col(OWN)).drop(BLK, OWN)
+
+
 def with_halo(
     df: DataFrame, *, before: int, after: int, order: str = "frame", block: int | None = BLOCK
 ) -> DataFrame:
     """Send each row to every block that may look at it.
 
     A row of frame f is context for frames f-after .. f+before. Adds the block
-    number and whether the row belongs to that block or is only context.
+    number and whether the row belongs to that block or is only context. A
+    table stored with enough context comes back as it is.
     """
+    stored = layout_of(df)
+    if stored is not None:
+        if stored[0] == block and stored[1] >= max(before, after):
+            return df
+        df = plain_rows(df)
     if block is None:
         return df.withColumns({BLK: F.lit(0).cast("long"), OWN: F.lit(True)})
     f = F.col(order)
@@ -79,6 +103,18 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(n, *columns)
 
 
+def meet_blocks(
+    left: DataFrame, right: DataFrame, fn: Callable[[tuple, pa.Table, pa.Table], pa.Table], schema: T.StructType | str, *, keys: Sequence[str]
+) -> DataFrame:
+    """Run a function over each block of a trace in two tables at once, in Arrow.
+
+    Both tables carry block numbers. Tables stored in blocks meet where they lie; others are spread first.
+    """
+    keys = [*keys, BLK]
+    sides = [df if layout_of(df) else spread(df, *keys) for df in (left, right)]
+    return sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(fn, schema)
+
+
 def apply_groups(
     df: DataFrame, keys: Sequence[str], fn: Callable[[pa.Table], pa.Table], schema: T.StructType | str
 ) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.blocks import (
-    BLK, BLOCK, block_of, halo_window, own_rows, position, scan, top_per_group, with_halo,
+    BLK, BLOCK, OWN, block_of, halo_window, layout_columns, layout_of, own_rows, plain_rows, position, scan, top_per_group,
+    with_halo,
 )
 from trackspark.functions.geometry import distance
 from trackspark.functions.ranks import IN_ORDER
@@ -45,7 +46,9 @@ def uncertain_runs(
     """
     if labels is not None:
         predictions = predictions.where(F.col("label").isin(list(labels)))
-    rows = predictions.select("video", "label", "frame", "x", "y", "likelihood")
+    if not dense:
+        predictions = plain_rows(predictions)
+    rows = predictions.select("video", "label", "frame", "x", "y", "likelihood", *layout_columns(predictions))
     rows = rows.withColumn("pos", F.col("frame")) if dense else position(rows, TRACE, block=block)
     rows = with_halo(rows.withColumn("ok", confident(high)), before=bracket, after=bracket, order="pos", block=block)
     w = halo_window(TRACE, "pos", block)
@@ -134,13 +137,20 @@ def rejected_summary(run_table: DataFrame) -> DataFrame:
 
 
 def disagreement(positions: DataFrame, flow_positions: DataFrame) -> DataFrame:
-    """Distance between the model and the flow landing; NULL where one is missing."""
-    landed = flow_positions.select(*TRACE, "frame", F.col("x").alias("fx"), F.col("y").alias("fy"))
-    return (
-        positions.select(*TRACE, "frame", "x", "y")
-        .join(landed, [*TRACE, "frame"], "left")
-        .withColumn("d", distance("x", "y", "fx", "fy"))
-    )
+    """Distance between the model and the flow landing; NULL where one is missing.
+
+    Tables stored in blocks are joined in place, and the block number stays.
+    """
+    both = layout_of(positions), layout_of(flow_positions)
+    in_place = both[0] is not None and both[1] is not None and both[0][0] == both[1][0]
+    if in_place:
+        positions, flow_positions = (df.where(F.col(OWN)) for df in (positions, flow_positions))
+    else:
+        positions, flow_positions = plain_rows(positions), plain_rows(flow_positions)
+    step = [*TRACE, *([BLK] if in_place else []), "frame"]
+    landed = flow_positions.select(*step, F.col("x").alias("fx"), F.col("y").alias("fy"))
+    seen = positions.select(*step, "x", "y").join(landed, step, "left")
+    return seen.withColumn("d", distance("x", "y", "fx", "fy"))
 
 
 def disagreement_runs(
@@ -159,10 +169,13 @@ def disagreement_runs(
     ``edge`` without a point on both sides. Distances are settled: thresholds,
     hits and the points next to the runs are all taken from them.
     """
+    stored = layout_of(positions)
+    block = stored[0] if stored else block
     seen = settle(disagreement(positions, flow_positions))
     limits = robust_threshold(seen, "d", factor=threshold_factor, in_order=in_order, block=block)
     limits = by_block(limits.select(*TRACE, "threshold"), seen, block=block)
-    hits = seen.withColumn(BLK, block_of("frame", block)).join(limits, [*TRACE, BLK]).where(F.col("d") > F.col("threshold"))
+    rows = seen if BLK in seen.columns else seen.withColumn(BLK, block_of("frame", block))
+    hits = rows.join(limits, [*TRACE, BLK]).where(F.col("d") > F.col("threshold"))
     found = runs(hits, max_gap=max_gap, mins={"threshold": "threshold"}, block=block)
     # An anchor must sit on the very next frame and be complete.
     complete = seen.where(F.col("x").isNotNull() & F.col("y").isNotNull())

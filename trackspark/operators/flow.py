@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.functions.blocks import BLOCK, halo_window, own_rows, with_halo
+from trackspark.functions.blocks import (
+    BLK, BLOCK, OWN, halo_window, layout_of, own_rows, plain_rows, with_halo,
+)
 from trackspark.functions.geometry import distance
 from trackspark.schema import TRACE
 
@@ -53,13 +55,18 @@ def flow_residual(
     Needs points on the frame and both neighbours. ``frames`` (video, frame)
     restricts the work to those frames and their neighbours.
     """
-    rows = complete_points(positions).select(*STEP, "x", "y")
+    stored = layout_of(positions)
+    in_place = frames is None and stored is not None and layout_of(flow) is not None and stored == (block, max(1, stored[1]))
+    step = [*STEP, *([BLK, OWN] if in_place else [])]
+    if not in_place:
+        positions, flow = plain_rows(positions), plain_rows(flow)
+    rows = complete_points(positions).select(*step, "x", "y")
     if frames is not None:
         wanted = frames.select("video", "frame").distinct()
         near = wanted.withColumn("frame", F.explode(F.sequence(F.col("frame") - 1, F.col("frame") + 1)))
         rows = rows.join(near.distinct(), ["video", "frame"], "left_semi").select(*STEP, "x", "y")
-    rows = rows.join(flow, STEP, "left")
-    rows = with_halo(rows, before=1, after=1, block=block)
+    rows = rows.join(flow.drop(OWN) if in_place else flow, [c for c in step if c != OWN], "left")
+    rows = rows if in_place else with_halo(rows, before=1, after=1, block=block)
     w = halo_window(TRACE, block=block)
     here = F.struct("frame", "x", "y")
     rows = own_rows(rows.withColumns({"_b": F.lag(here).over(w), "_a": F.lead(here).over(w)}))

@@ -101,7 +101,8 @@ def by_block(figures: DataFrame, rows: DataFrame, *, keys: Sequence[str] = TRACE
 
     So a long trace meets its figures in as many tasks as it has blocks.
     """
-    return rows.select(*keys, block_of("frame", block).alias(BLK)).distinct().join(figures, list(keys))
+    own = F.col(BLK) if BLK in rows.columns else block_of("frame", block)
+    return rows.select(*keys, own.alias(BLK)).distinct().join(figures, list(keys))
 
 
 def robust_threshold(
@@ -122,10 +123,12 @@ def robust_threshold(
     """
     keys = list(keys)
     framed = "frame" in values.columns
-    rows = values.where(F.col(value).isNotNull()).select(*keys, value, *(["frame"] if framed else []))
+    at = [c for c in ("frame", BLK) if c in values.columns] if framed else []
+    rows = values.where(F.col(value).isNotNull()).select(*keys, value, *at)
     shape = settle(percentiles(rows, keys, value, {"med": 0.5}, in_order=in_order))
     if framed:
-        rows = rows.withColumn(BLK, block_of("frame", block)).join(
+        rows = rows if BLK in at else rows.withColumn(BLK, block_of("frame", block))
+        rows = rows.join(
             by_block(shape.select(*keys, "med"), rows, keys=keys, block=block), [*keys, BLK]
         )
     else:

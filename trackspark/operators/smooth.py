@@ -11,19 +11,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.blocks import (
-    BLK, BLOCK, OWN, apply_groups, halo_window, own_rows, scan, with_halo,
+    BLK, BLOCK, block_of, halo_window, layout_columns, layout_of, meet_blocks, own_rows, plain_rows, scan, with_halo,
 )
 from trackspark.functions.geometry import EPSILON, polygon_area
 from trackspark.operators.layers import _interval_join, in_intervals
 from trackspark.operators.quality import incomplete_frames
-from trackspark.operators.repair import RUN, STEP, run_frames
+from trackspark.operators.repair import RUN, STEP
 from trackspark.schema import LAYER, TRACE
+from trackspark.session import settle
 
 # The filter periods in frames, one per level.
 LADDER = [5, 8, 13, 21, 34, 55, 89, 144]
 MIN_CONTEXT_POINTS = 8
 
-POINT_SCHEMA = "video string, label string, frame long, x double, y double"
+# A block that holds any trace.
+ONE_BLOCK = 1 << 40
+STEPS = ("dx_fwd", "dy_fwd", "dx_rev", "dy_rev")
+_TEXT, _LONG, _REAL = pa.string(), pa.int64(), pa.float64()
+SMOOTHED = pa.schema(
+    [("video", _TEXT), ("label", _TEXT), (BLK, _LONG), ("frame", _LONG), ("x", _REAL), ("y", _REAL)]
+    + [(c, _LONG) for c in ("n_points", "n_fwd", "n_rev", "n_frames")]
+)
+PASSED = pa.schema(
+    [("video", _TEXT), ("label", _TEXT), ("start", _LONG), ("end", _LONG), (BLK, _LONG), ("frame", _LONG), ("x", _REAL), ("y", _REAL), ("n_near", _LONG)]
+)
 
 
 def window_frames(seconds: float, fps: float) -> int:
@@ -143,33 +154,75 @@ def smooth_moving_average(
 
     Every window of ``n_window`` frames is anchored at its first and last
     point. Labels with holes are left out; `smoothing_coverage` names them.
-    ``strict`` raises at once if no label at all is complete.
+    ``strict`` raises at once if no label at all is complete. Points and flow
+    of a block are read once, together; the same pass counts what a label lacks.
     """
     if strict and not smoothing_coverage(points, flow, videos).where(F.col("reason").isNull()).head(1):
         raise ValueError("no label covers all frames of its video")
-    rows = _joined_steps(points, flow, videos, n_window, block)
+    if n_window < 2:
+        raise ValueError("a smoothing window needs at least two frames")
+    k, block = n_window - 1, block or ONE_BLOCK
     ahead = np.array(_blend_weights(n_window))
-
-    def average(block_rows: pa.Table) -> pa.Table:
-        rows_ = block_rows.sort_by("frame")
-        if len(rows_) < n_window:
-            # Past the end of a trace a block holds context only.
-            return rows_.select([*STEP, "x", "y"]).slice(0, 0)
-        col = lambda c: rows_.column(c).to_numpy()
-        ones = np.ones(len(rows_) - n_window + 1)
+    rows = with_halo(points.select(*STEP, "x", "y", *layout_columns(points)), before=k, after=k, block=block)
+    steps = with_halo(flow.select(*STEP, *STEPS, *layout_columns(flow)), before=k, after=k, block=block)
+    # The length of a video, for each of its blocks.
+    ends = videos.where("n_frames > 0").select("video", "n_frames").withColumn(
+        BLK, F.explode(F.sequence(F.lit(0).cast("long"), block_of(F.col("n_frames") - 1, block)))
+    )
+    kept = layout_of(rows)
+    rows = rows.join(ends, ["video", BLK])
+    if kept is not None:
+        rows = rows.withMetadata(BLK, {"block": kept[0], "context": kept[1]})
+
+    def average(key: tuple, points_: pa.Table, steps_: pa.Table) -> pa.Table:
+        """The averages of a block's own frames, and a row that counts its points and steps."""
+        video, label, blk = (k_.as_py() for k_ in key)
+        if not len(points_):
+            return SMOOTHED.empty_table()
+        n = points_.column("n_frames")[0].as_py()
+        low, high = max(0, blk * block - k), min(n, (blk + 1) * block + k) - 1
+        own = slice(blk * block - low, min(n, (blk + 1) * block) - low)
+        frames = np.arange(low, high + 1)
+
+        def line(table: pa.Table, name: str) -> np.ndarray:
+            at = table.column("frame").to_numpy()
+            out, use = np.full(len(frames), np.nan), (at >= low) & (at <= high)
+            out[at[use] - low] = table.column(name).to_numpy()[use]
+            return out
+
+        x, y = line(points_, "x"), line(points_, "y")
+        fx, fy, rx, ry = (line(steps_, c) for c in STEPS)
+        point = ~np.isnan(x) & ~np.isnan(y)
+        forth, back = ~np.isnan(fx) & ~np.isnan(fy) & (frames > 0), ~np.isnan(rx) & ~np.isnan(ry) & (frames < n - 1)
+        counts = [int(c[own].sum()) for c in (point, forth, back)]
+        fill = lambda value, size: pa.array([value] * size)
+        named = lambda size: [fill(video, size).cast(pa.string()), fill(label, size).cast(pa.string()), fill(blk, size).cast(pa.int64())]
+        summary = pa.Table.from_arrays(
+            [*named(1), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.float64()), *[pa.array([c]) for c in (*counts, n)]], schema=SMOOTHED
+        )
+        if len(frames) < n_window or not (point.all() and forth[1:].all() and back[:-1].all()):
+            return summary
+        ones = np.ones(len(frames) - k)
         share, rest = np.convolve(ones, ahead), np.convolve(ones, 1.0 - ahead)
-        out = rows_.select(STEP)
-        for c in ("x", "y"):
+        smooth = []
+        for at, forward, backward in ((x, fx, rx), (y, fy, ry)):
             # Sums of steps up to each frame; only their differences count.
-            fwd = np.cumsum(col(f"d{c}_fwd"))
-            rev = col(f"d{c}_rev")
+            fwd = np.cumsum(np.where(np.isnan(forward), 0.0, forward))
+            rev = np.where(np.isnan(backward), 0.0, backward)
             rev = rev - np.cumsum(rev)
-            from_start, from_end = (col(c) - fwd)[: len(ones)], (col(c) - rev)[n_window - 1 :]
-            total = np.convolve(from_start, ahead) + np.convolve(from_end, 1.0 - ahead)
-            out = out.append_column(c, pa.array((total + fwd * share + rev * rest) / (share + rest)))
-        return out.filter(rows_.column(OWN))
+            total = np.convolve((at - fwd)[: len(ones)], ahead) + np.convolve((at - rev)[k:], 1.0 - ahead)
+            smooth.append(pa.array(((total + fwd * share + rev * rest) / (share + rest))[own]))
+        size = len(smooth[0])
+        done = pa.Table.from_arrays([*named(size), pa.array(frames[own]), *smooth, *[pa.nulls(size, pa.int64())] * 4], schema=SMOOTHED)
+        return pa.concat_tables([summary, done])
 
-    return apply_groups(rows, [*TRACE, BLK], average, POINT_SCHEMA)
+    schema = f"video string, label string, {BLK} long, frame long, x double, y double, n_points long, n_fwd long, n_rev long, n_frames long"
+    done = settle(meet_blocks(rows, steps, average, schema, keys=TRACE))
+    counted = done.where("frame is null")
+    whole = counted.groupBy(*TRACE).agg(*[F.sum(c).alias(c) for c in ("n_points", "n_fwd", "n_rev")], F.first("n_frames").alias("n_frames"))
+    whole = whole.where(f"n_points = n_frames AND n_fwd >= n_frames - 1 AND n_rev >= n_frames - 1 AND n_frames >= {n_window}")
+    whole = counted.select(*TRACE, BLK).join(whole.select(*TRACE), list(TRACE))
+    return done.where("frame is not null").join(whole, [*TRACE, BLK]).select(*STEP, "x", "y")
 
 
 def moving_average_windows(
@@ -216,52 +269,64 @@ def lowpass_taps(period: int) -> list[float]:
     return [t / gain for t in taps]
 
 
-def _lowpassed(points: DataFrame, intervals: DataFrame, period: int, block: int) -> DataFrame:
-    """The filtered points of the intervals."""
-    spans = intervals.select(*RUN).distinct()
-    wide = spans.select(
-        *TRACE, (F.col("start") - period).alias("start"), (F.col("end") + period).alias("end")
-    )
-    spine = run_frames(wide, block=block).join(points.select(*STEP, "x", "y"), STEP, "left")
-    here = F.when(F.col("x").isNotNull(), F.struct("frame", "x", "y"))
-    near = scan(
-        spine, RUN,
-        {"_b": ("last", here), "_a": ("first", here),
-         "_n": ("sum", F.col("x").isNotNull().cast("long")), "_m": ("rsum", F.col("x").isNotNull().cast("long"))},
-        block=block,
-    )
-    enough = F.col("_n") + F.col("_m") - F.col("x").isNotNull().cast("long") >= MIN_CONTEXT_POINTS
-    share = (F.col("frame") - F.col("_b.frame")) / (F.col("_a.frame") - F.col("_b.frame"))
-    bridge = lambda c: (
-        F.when(F.col("x").isNotNull(), F.col(c))
-        .when(F.col("_b").isNull(), F.col(f"_a.{c}"))
-        .when(F.col("_a").isNull(), F.col(f"_b.{c}"))
-        .otherwise(F.col(f"_b.{c}") + share * (F.col(f"_a.{c}") - F.col(f"_b.{c}")))
-    )
-    filled = near.where(enough).select(*RUN, "frame", "x", "y", bridge("x").alias("_bx"), bridge("y").alias("_by"))
-    rows = with_halo(filled, before=period, after=period, block=block)
-    taps = np.array(lowpass_taps(period))
-    schema = filled.select(*RUN, "frame", "x", "y").schema.add("_lx", "double").add("_ly", "double")
-
-    def smoothed(block_rows: pa.Table) -> pa.Table:
-        rows_ = block_rows.sort_by("frame")
-        out = rows_.select([*RUN, "frame", "x", "y"])
-        for c in ("x", "y"):
-            line = np.convolve(rows_.column(f"_b{c}").to_numpy(), taps)[period : period + len(rows_)]
-            out = out.append_column(f"_l{c}", pa.array(line))
-        return out.filter(rows_.column(OWN))
-
-    rows = apply_groups(rows, [*RUN, BLK], smoothed, schema)
-    start, end = F.col("start") + period, F.col("end") - period
-    rows = rows.where(F.col("frame").between(start, end) & F.col("x").isNotNull())
-    n = end - start + 1
-    ramp = F.least(F.floor(n / 4), F.lit(max(3, min(period // 3, 20)))).cast("long")
-    j = F.col("frame") - start
-    rise = lambda i: F.lit(0.5) * (F.lit(1.0) - F.cos(F.lit(math.pi) * (i + 1) / (ramp + 1)))
-    # The rear ramp is written last, so it wins should both ramps meet.
-    weight = F.when(j >= n - ramp, rise(n - 1 - j)).when(j < ramp, rise(j)).otherwise(1.0)
-    mixed = lambda c, l: F.col(c) + weight * (F.col(l) - F.col(c))
-    return rows.select(*STEP, mixed("x", "_lx").alias("_x"), mixed("y", "_ly").alias("_y"))
+def _lowpassed(points: DataFrame, spans: DataFrame, reach: int, block: int | None) -> DataFrame:
+    """The filtered points of the intervals, each with its own ``period`` of ``reach`` frames at most, in one pass."""
+    block = block or ONE_BLOCK
+    here = F.struct("frame", "x", "y")
+    known = plain_rows(points).where(F.col("x").isNotNull()).select(*STEP, "x", "y")
+    # A gap may be longer than any context, so points know their neighbours.
+    known = scan(known, TRACE, {"_b": ("prev", here), "_a": ("next", here)}, block=block)
+    rows = with_halo(known, before=reach, after=reach, block=block)
+    first, last = F.col("start") - F.col("period"), F.col("end") + F.col("period")
+    spans = spans.select(*RUN, "period").distinct().withColumn(BLK, F.explode(F.sequence(block_of(first, block), block_of(last, block))))
+
+    def smoothed(key: tuple, points_: pa.Table, spans_: pa.Table) -> pa.Table:
+        """Filtered points of a block, and for each interval how many points the block has in its reach."""
+        video, label, blk = (k.as_py() for k in key)
+        points_ = points_.sort_by("frame")
+        at = points_.column("frame").to_numpy()
+        parts = [PASSED.empty_table()]
+        for span in spans_.to_pylist():
+            start, end, period = span["start"], span["end"], span["period"]
+            lows, highs = max(start - period, blk * block), min(end + period, (blk + 1) * block - 1)
+            known_here = int(np.searchsorted(at, highs, "right") - np.searchsorted(at, lows))
+            if not known_here:
+                continue
+            head = {"video": video, "label": label, "start": start, "end": end, BLK: blk}
+            parts.append(pa.Table.from_pylist([{**head, "frame": None, "x": None, "y": None, "n_near": known_here}], schema=PASSED))
+            low, high = max(start - period, blk * block - period), min(end + period, (blk + 1) * block - 1 + period)
+            i, j = int(np.searchsorted(at, low)), int(np.searchsorted(at, high, "right"))
+            i0, j0 = int(np.searchsorted(at, max(start, blk * block))), int(np.searchsorted(at, min(end, (blk + 1) * block - 1), "right"))
+            if i0 >= j0:
+                continue
+            before, after = points_.column("_b")[i].as_py(), points_.column("_a")[j - 1].as_py()
+            before = before if before and before["frame"] >= start - period else None
+            after = after if after and after["frame"] <= end + period else None
+            frames, own = np.arange(low, high + 1), at[i0:j0]
+            anchors = [*([before["frame"]] if before else []), *at[i:j], *([after["frame"]] if after else [])]
+            n = end - start + 1
+            ramp = min(n // 4, max(3, min(period // 3, 20)))
+            rise = lambda k, ramp=ramp: 0.5 * (1.0 - np.cos(np.pi * (k + 1) / (ramp + 1)))
+            step = own - start
+            # The rear ramp is written last, so it wins should both ramps meet.
+            weight = np.where(step >= n - ramp, rise(n - 1 - step), np.where(step < ramp, rise(step), 1.0))
+            taps, new = np.array(lowpass_taps(period)), []
+            for c in ("x", "y"):
+                given = points_.column(c).to_numpy()
+                values = [*([before[c]] if before else []), *given[i:j], *([after[c]] if after else [])]
+                line = np.convolve(np.interp(frames, anchors, values), taps)[period : period + len(frames)]
+                new.append(given[i0:j0] + weight * (line[own - low] - given[i0:j0]))
+            columns = [pa.array([head[f.name]] * len(own), f.type) for f in PASSED if f.name in head]
+            parts.append(pa.Table.from_arrays([*columns, pa.array(own), *map(pa.array, new), pa.nulls(len(own), pa.int64())], schema=PASSED))
+        return pa.concat_tables(parts)
+
+    schema = f"video string, label string, start long, end long, {BLK} long, frame long, x double, y double, n_near long"
+    found = settle(meet_blocks(rows, spans, smoothed, schema, keys=TRACE))
+    counted = found.where("frame is null")
+    enough = counted.groupBy(*RUN).agg(F.sum("n_near").alias("n")).where(F.col("n") >= MIN_CONTEXT_POINTS)
+    enough = counted.select(*RUN, BLK).join(enough.select(*RUN), RUN)
+    found = found.where("frame is not null").join(enough, [*RUN, BLK])
+    return found.select(*STEP, F.col("x").alias("_x"), F.col("y").alias("_y"))
 
 
 def _overwrite(points: DataFrame, new: DataFrame) -> DataFrame:
@@ -278,7 +343,8 @@ def lowpass_intervals(
     filter only; frames without a point stay without one. Intervals with fewer
     than 8 points in reach are left alone. Intervals of one label must not overlap.
     """
-    return _overwrite(points, _lowpassed(points, intervals, period, block))
+    spans = intervals.withColumn("period", F.lit(period).cast("long"))
+    return _overwrite(points, _lowpassed(points, spans, period, block))
 
 
 def lowpass_level(
@@ -290,17 +356,12 @@ def lowpass_level(
     """
     length = F.col("end") - F.col("start") + 1
     top = F.greatest(F.lit(1), F.size(F.filter(F.array(*[F.lit(p) for p in LADDER]), lambda p: p * 2 <= length)))
-    used = intervals.withColumn("_level", F.least(top, F.lit(level)))
-    parts = [
-        _lowpassed(points, used.where(F.col("_level") == i), period, block)
-        for i, period in enumerate(LADDER[: max(0, level)], start=1)
-    ]
-    if not parts:
+    if level < 1:
         return points
-    new = parts[0]
-    for part in parts[1:]:
-        new = new.unionByName(part)
-    return _overwrite(points, new)
+    level = min(level, len(LADDER))
+    period = F.element_at(F.array(*[F.lit(p).cast("long") for p in LADDER]), F.least(top, F.lit(level)).cast("int"))
+    spans = intervals.withColumn("period", period)
+    return _overwrite(points, _lowpassed(points, spans, LADDER[level - 1], block))
 
 
 def polygon_areas(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +16,8 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # Tables stored by trace and block may be joined on frames, too, without being dealt out anew.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -37,12 +38,10 @@ def build_session(app: str = "trackspark", master: str | None = None, **conf: st
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, for clusters where it is not installed on every machine.
+    """Give the Python workers this package, wherever it is not installed on their machine.
 
-    Executors of a local session find it where the driver does.
+    Workers of a local session do not see what is only on the driver's ``sys.path``, so they get it, too.
     """
-    if re.match(r"local(\[|$)", spark.sparkContext.master):
-        return
     package = Path(__file__).resolve().parent
     archive = f"{tempfile.mkdtemp(prefix='trackspark-')}/{package.name}"
     spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", package.parent, package.name))
