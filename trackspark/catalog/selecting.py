@@ -81,6 +81,59 @@ def select_flow_blips(spark, d):
     return select.select_flow_blips(residual, n=20, min_residual=1.0, per_video_cap=2)
 
 
+# Picks by one greedy walk per video under a cap, then by one per trace for the room that is left.
+FILLED = """
+ordered AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY {by}) AS r FROM pool),
+shares AS (
+  SELECT DISTINCT video, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(label VARCHAR, frame BIGINT)[]) AS a FROM pool
+  UNION ALL
+  SELECT s.video, o.r, CASE WHEN len(s.a) < {cap} AND len(list_filter(s.a, lambda g: g.label = o.label AND abs(g.frame - o.frame) < {spacing})) = 0
+    THEN list_append(s.a, struct_pack(label := o.label, frame := CAST(o.frame AS BIGINT))) ELSE s.a END
+  FROM shares s JOIN ordered o ON o.video = s.video AND o.r = s.r + 1),
+shared AS (SELECT video, unnest(arg_max(a, r)) AS g FROM shares GROUP BY video),
+first AS (SELECT p.* FROM pool p JOIN shared s ON s.video = p.video AND s.g.label = p.label AND s.g.frame = p.frame ORDER BY {by_p} LIMIT {n}),
+rest AS (SELECT p.*, row_number() OVER (PARTITION BY p.video, p.label ORDER BY {by_p}) AS r FROM pool p
+  ANTI JOIN first f ON f.video = p.video AND f.label = p.label AND f.frame = p.frame),
+walks AS (
+  SELECT video, label, CAST(0 AS BIGINT) AS r, (SELECT coalesce(list(CAST(f.frame AS BIGINT)), CAST([] AS BIGINT[])) FROM first f WHERE f.video = t.video AND f.label = t.label) AS a
+  FROM (SELECT DISTINCT video, label FROM rest) t
+  UNION ALL
+  SELECT w.video, w.label, o.r, CASE WHEN len(list_filter(w.a, lambda g: abs(g - o.frame) < {spacing})) = 0 THEN list_append(w.a, CAST(o.frame AS BIGINT)) ELSE w.a END
+  FROM walks w JOIN rest o ON o.video = w.video AND o.label = w.label AND o.r = w.r + 1),
+offers AS (SELECT video, label, unnest(arg_max(a, r)) AS frame FROM walks GROUP BY video, label),
+fill AS (SELECT rest.* EXCLUDE (r) FROM rest JOIN offers o ON o.video = rest.video AND o.label = rest.label AND o.frame = rest.frame
+  ORDER BY {by_o} LIMIT greatest(0, {n} - (SELECT count(*) FROM first))),
+two AS (SELECT * FROM first UNION ALL SELECT * FROM fill)"""
+
+
+@query(
+    f"""WITH RECURSIVE {SEVERE}, pool AS (SELECT video, label, frame, x, y, disagreement AS score FROM repaired WHERE disagreement <= 4.0),
+    {FILLED.format(by="score, video, label, frame", by_p="p.score, p.video, p.label, p.frame",
+                   by_o="rest.score, rest.video, rest.label, rest.frame", cap=1, spacing=4, n=400)}
+    SELECT video, label, frame, {XY}, round(score, 6) AS disagreement FROM two"""
+)
+def select_across_videos_filled(spark, d):
+    """One pick per video at first; most of the budget is filled from any video."""
+    repaired = repair.repair_gaps(severe_runs(spark, d), src.flow(spark, d), block=src.event_block(spark, d))
+    return select.select_across_videos(repaired, n=400, per_video_cap=1, min_spacing=4)
+
+
+@query(
+    f"""WITH RECURSIVE {RESIDUAL}, pool AS (SELECT r.video, r.label, r.frame, p.x, p.y, r.residual AS score FROM resid r
+      JOIN pred p ON p.video = r.video AND p.label = r.label AND p.frame = r.frame WHERE residual >= 1.0),
+    {FILLED.format(by="score DESC, video DESC, label DESC, frame DESC", by_p="p.score DESC, p.video DESC, p.label DESC, p.frame DESC",
+                   by_o="rest.score DESC, rest.video DESC, rest.label DESC, rest.frame DESC", cap=1, spacing=2, n=100000)}
+    SELECT video, label, frame, {XY}, round(score, 6) AS residual FROM two"""
+)
+def select_flow_blips_filled(spark, d):
+    """A budget beyond all rows: every row that keeps its distance."""
+    pred = src.predictions(spark, d)
+    residual = flow.flow_residual(pred, src.flow(spark, d), block=src.event_block(spark, d)).join(
+        pred.select("video", "label", "frame", "x", "y"), ["video", "label", "frame"]
+    )
+    return select.select_flow_blips(residual, n=100_000, min_residual=1.0, per_video_cap=1, min_spacing=2)
+
+
 ERRORS = BLIPS + """,
 low AS (SELECT video, frame FROM (SELECT video, frame, row_number() OVER (PARTITION BY video ORDER BY min(likelihood), frame) AS r
     FROM pred GROUP BY video, frame HAVING min(likelihood) < 0.6) WHERE r <= 200),

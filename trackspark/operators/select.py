@@ -10,7 +10,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,26 +191,70 @@ def _select_ranked(
     cap = cap or math.ceil(n / n_videos)
     way = (lambda c: F.col(c).desc()) if largest else (lambda c: F.col(c).asc())
     order = [way(c) for c in (score, "video", "label", "frame")]
-    # Every pick rules out at most 2 * spacing - 1 rows, itself included, so a
-    # greedy walk to k picks never looks beyond k times that many rows.
-    reach = 2 * spacing - 1
     shaped = pool.select(*STEP, "x", "y", F.col(score).cast("double").alias(score))
-    columns = [*STEP, "x", "y", score]
-
-    def walk(limit: int):
-        return lambda rows_: _greedy(rows_, spacing, limit).select(columns)
-
-    front = top_per_group(shaped, ["video"], order, cap * reach, salt_on=STEP, name="_rank")
-    capped = apply_groups(front.withColumn("_kept", F.lit(False)), ["video"], walk(cap), shaped.schema)
+    front = top_per_group(shaped, ["video"], order, cap * _reach(spacing), salt_on=STEP, name="_rank")
+    columns = shaped.columns
+    capped = apply_groups(
+        front.withColumn("_kept", F.lit(False)), ["video"], lambda rows_: _greedy(rows_, spacing, cap).select(columns), shaped.schema
+    )
     # At most n rows, read for the answer and as the start of the second walk.
     first = settle(capped.orderBy(*order).limit(n))
-    # Whatever room is left goes to the best remaining rows of any video.
-    best = shaped.orderBy(*order).limit(n * reach).join(first.select(*STEP), STEP, "left_anti")
-    bounded = first.withColumn("_kept", F.lit(True)).unionByName(best.withColumn("_kept", F.lit(False)))
-    bounded = bounded.withColumn("_one", F.lit(0))
-    ranked = bounded.withColumn("_rank", F.row_number().over(Window.partitionBy("_one").orderBy(*order)))
-    second = ranked.groupBy("_one").applyInArrow(walk(n), shaped.schema)
-    return first.unionByName(second)
+    room = n - first.count()
+    return first if room <= 0 else first.unionByName(_fill(shaped, first, score, order, largest, room, spacing, cap))
+
+
+def _reach(spacing: int) -> int:
+    """Rows that a pick rules out at most, itself included: a walk to k picks never looks beyond k times that many."""
+    return 2 * spacing - 1
+
+
+def _offers(spacing: int, most: int, columns: list[str]):
+    def walk(rows_: pa.Table) -> pa.Table:
+        return _greedy(rows_, spacing, rows_.filter(pc.field("_kept")).num_rows + most).select(columns)
+
+    return walk
+
+
+#: Picks a trace may offer at first for the room that is left.
+OFFERED = 16
+
+
+def _fill(
+    shaped: DataFrame, first: DataFrame, score: str, order: list[Column], largest: bool, room: int, spacing: int, cap: int
+) -> DataFrame:
+    """The best ``room`` rows of any video that keep their distance to each other and to the rows of ``first``.
+
+    Only rows of one trace rule each other out, so every trace walks by itself and the best offers of all are taken. A trace
+    offers a few picks; only one whose whole offer was taken may hold more that belong among the best, so just those
+    traces walk again with a longer offer, until no offer was taken whole. No group holds more than one trace's best rows.
+    """
+    columns, offer = shaped.columns, OFFERED
+    place = F.struct(score, *STEP)
+    worst = F.min if largest else F.max
+    kept = first.withColumns({"_rank": F.lit(0), "_kept": F.lit(True)})
+    todo = shaped.join(first.select(*STEP), STEP, "left_anti")
+    done = None
+    while True:
+        # The caps bound how many rows of a trace stand already.
+        rows = top_per_group(todo, TRACE, order, (offer + cap) * _reach(spacing), salt_on=["frame"], name="_rank")
+        standing = kept if done is None else kept.join(again, list(TRACE), "left_semi")
+        rows = rows.withColumn("_kept", F.lit(False)).unionByName(standing.select(*columns, "_rank", "_kept"))
+        offers = apply_groups(rows, TRACE, _offers(spacing, offer, columns), shaped.schema)
+        if done is not None:
+            offers = offers.unionByName(done.join(again, list(TRACE), "left_anti"))
+        done = settle(offers)
+        best = done.orderBy(*order).limit(room)
+        cut = best.agg(worst(place).alias("p"), F.count(F.lit(1)).alias("n")).select("p.*", "n").first()
+        per_trace = done.groupBy(*TRACE).agg(F.count(F.lit(1)).alias("_n"), worst(place).alias("_last"))
+        whole = F.col("_n") >= offer
+        if cut["n"] == room:
+            last = F.struct(*[F.lit(cut[c]).cast(shaped.schema[c].dataType) for c in (score, *STEP)])
+            whole = whole & ((F.col("_last") >= last) if largest else (F.col("_last") <= last))
+        again = settle(per_trace.where(whole).select(*TRACE))
+        if again.isEmpty():
+            return best
+        offer *= 4
+        todo = shaped.join(again, list(TRACE), "left_semi").join(first.select(*STEP), STEP, "left_anti")
 
 
 def select_across_videos(
