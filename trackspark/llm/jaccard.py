@@ -14,12 +14,12 @@ document takes the points that meet fewest. Where segments are split over tasks,
 leave their smallest subsets out, which agree by chance most often.
 
 Within a task, candidates must not differ by more than partners do in at least one task, by a parity sketch of the task's
-shingles, which bounds the difference from below. What passes there meets whole sketches, and then an exact comparison of
-the whole sets, so the result has neither false nor missing links.
-
-Equal sets are one class from the start. Each class is first compared with one candidate only, the first member of one of
-its runs of equal hashes; what that connects needs no comparison any more, and only pairs between different components follow. Links
-inside a component are therefore not all enumerated; components are exact.
+shingles, which bounds the difference from below. Candidates that are connected by others already are not looked at, and a
+task sends on its documents' components only, never pairs, so what it sends grows with documents and not with the square
+of a group. All documents that tasks connect form a family. Families are compared in blocks, each with itself and with
+each other: first by whole sketches, which leaves smaller families, then exactly, by whole sets; every meeting of two
+blocks again returns the components of its links. Equal sets are one class from the start. Links inside a component are
+therefore not all enumerated; components are exact, without false or missing links.
 
 Defined cases: null and empty texts have no shingles and are alone; fewer than five words are one shingle; rows with equal
 ids are separate documents, each in the component of its own text; a null id takes part and is nobody's component id
@@ -28,6 +28,7 @@ unless all ids of a component are null; an empty table gives no rows. Sets are 6
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,22 +38,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.llm.components import components
-from trackspark.llm.tables import id_and_text, remove, small
+from trackspark.llm.tables import id_and_text, small
 from trackspark.llm.text import mix, shingles, slices, words
-from trackspark.session import scratch_dir, settle
+from trackspark.session import settle
 
 #: Shingles that one task matches at a time.
 GROUP = 1_500_000
-#: Members beyond which a run whose members mostly seem to be partners goes on as a whole, and candidates looked at at a time.
+#: Members beyond which a run is first compared with three of its members, and candidates looked at at a time.
 LONG, PAIRS = 256, 1_000_000
 #: Longs of the smallest parity sketch.
 QUICK = 8
+#: Documents and shingles of a block of a family, and exact comparisons between looks at what they connect.
+BLOCK, BLOCK_SHINGLES, COMPARED = 2000, 2_000_000, 4096
 #: Bytes of a shingle's hash in the exact comparison.
 MEMBER = 6
-#: Sets that one task compares with a hub, hubs to which a task sends a set at a time, and bytes that it sends at a time.
-SPOKES, HUBS, SENT = 50_000, 64, 32 << 20
-#: Pairs whose keys are broadcast to find their texts again (under 50 bytes each); more meet the texts in a shuffled join.
-BROADCAST_PAIRS = 400_000
+#: Documents whose keys are broadcast to find their texts again (under 50 bytes each); more meet the texts in a shuffled join.
+BROADCAST_KEYS = 400_000
 #: Bytes of text per step of a task.
 STEP = 4 << 20
 
@@ -144,18 +145,12 @@ def _sketches(sets: list[np.ndarray]) -> pa.Array:
     return pa.array(out, pa.list_(pa.int64()))
 
 
-def _folded(sketches: pa.Array) -> pa.Array:
-    """The sketches of ``QUICK`` longs."""
-    return pa.array([np.bitwise_xor.reduce(s.values.to_numpy().reshape(-1, QUICK)) for s in sketches], pa.list_(pa.int64()))
-
-
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, sets, key in _sets(batch):
-            sketches = _sketches(sets)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).slice(i, len(sets)) for c in (0, 2, 3)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), sketches, _folded(sketches)],
-                ["doc_id", "uid", "print", "key", "n", "sketch", "quick"],
+                [*(batch.column(c).slice(i, len(sets)) for c in (0, 2, 3)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), _sketches(sets)],
+                ["doc_id", "uid", "print", "key", "n", "sketch"],
             )
 
 
@@ -227,7 +222,7 @@ def _subsets(groups: dict[int, int], group: int):
 
 
 def _matching(groups: dict[int, int]):
-    """Runs of equal hashes among the subsets of one task and their one-deletion neighbourhoods."""
+    """What one task connects through equal hashes of subsets and of their one-deletion neighbourhoods."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         number, task = divmod(key[0].as_py(), 1 << 40)
         return _match(scheme(number), task, groups[number], table)
@@ -236,7 +231,7 @@ def _matching(groups: dict[int, int]):
 
 
 def _match(plan: Scheme, task: int, tasks: int, table: pa.Table) -> pa.Table:
-    """Candidates ``key, other``, and the members of long runs that go on as a whole (``run, key, whole``)."""
+    """Documents that candidates connect: each but the first of a component, with the first one."""
     keys, sizes, segment, length, low, searches = [], [], [], [], [], []
     seen: set[int] = set()
     for row in table.to_pylist():
@@ -282,60 +277,66 @@ def _match(plan: Scheme, task: int, tasks: int, table: pa.Table) -> pa.Table:
     place, asks = far.place[entry], points[entry]
     first = np.searchsorted(run, run)
     size = np.bincount(run)[run]
-    before = np.where(asks >= np.where(is_whole, 1, 2), np.arange(len(run)) - first, 0)
-
-    def met(at: np.ndarray, many_before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of what the members ``at`` find among as many before them."""
-        x = np.repeat(at, many_before)
-        y = np.repeat(first[at] - np.cumsum(many_before) + many_before, many_before) + np.arange(many_before.sum())
-        found = (is_whole[x] & is_whole[y]) | ((is_whole[x] | is_whole[y]) & (asks[x] == 2))
-        return place[x[found]], place[y[found]]
-
-    as_runs = _mostly_partners(far, place, first, size, before)
-    before[as_runs] = 0
-    codes = [np.zeros(0, np.int64)]
-    searching = np.flatnonzero(before)
-    cost = np.cumsum(before[searching])
+    # whom a member meets: those before it in the run
+    begin, length = first.copy(), np.where(asks >= np.where(is_whole, 1, 2), np.arange(len(run)) - first, 0)
+    label = _samples(far, place, first, size, length, begin, many)
+    searching = np.flatnonzero(length)
+    cost = np.cumsum(length[searching])
     for part in np.split(searching, np.searchsorted(cost, np.arange(PAIRS, cost[-1] if len(cost) else 0, PAIRS))):
-        x, y = met(part, before[part])
-        x, y = x[x != y], y[x != y]
-        x, y = far.possible(*np.divmod(np.unique(x * many + y), many))
-        codes.append(x * many + y)
-        if len(codes) > 64:
-            codes = [np.unique(np.concatenate(codes))]
-    x, y = np.divmod(np.unique(np.concatenate(codes)), max(many, 1))
-    key = mix(far.keys[place[as_runs]], 9) * (1 + 2 * is_whole[as_runs].astype(np.uint64))
-    starts = np.flatnonzero(np.append(True, run[as_runs][1:] != run[as_runs][:-1])[: as_runs.sum()])
-    members = np.add.reduceat(key, starts) if len(starts) else np.zeros(0, np.uint64)
-    tag = mix(np.array([(plan.number << 40) + task], np.uint64), 8)
-    numbers = np.repeat(mix(members ^ tag), np.diff(np.append(starts, as_runs.sum())))
-    nothing = pa.nulls(len(x), pa.int64())
-    return pa.table({
-        "run": pa.concat_arrays([_signed(numbers), nothing]),
-        "key": _signed(np.concatenate((far.keys[place[as_runs]], far.keys[x]))),
-        "other": pa.concat_arrays([pa.nulls(len(numbers), pa.int64()), _signed(far.keys[y])]),
-        "whole": pa.array(np.concatenate((is_whole[as_runs], np.ones(len(x), bool)))),
-    })
-
-
-def _mostly_partners(far: _Differences, place: np.ndarray, first: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Members of long runs most of which are possible partners of three members, say near copies of each other.
-
-    Their pairs need not be listed: the first comparison connects them, and only what it leaves apart is looked at again.
+        often = length[part]
+        x = np.repeat(part, often)
+        y = np.repeat(begin[part] - np.cumsum(often) + often, often) + np.arange(often.sum())
+        x, y = np.where(place[x] > place[y], x, y), np.where(place[x] > place[y], y, x)
+        found = (is_whole[x] & is_whole[y] & (asks[x] > 0)) | ((is_whole[x] != is_whole[y]) & (asks[x] == 2))
+        x, y = place[x[found]], place[y[found]]
+        apart = label[x] != label[y]
+        x, y = np.divmod(np.unique(x[apart] * many + y[apart]), max(many, 1))
+        keep = far.are_possible(x, y)
+        label = _connected(label, x[keep], y[keep])
+    rest = np.flatnonzero(label != np.arange(many))
+    return pa.table({"key": _signed(far.keys[rest]), "other": _signed(far.keys[label[rest]])})
+
+
+def _connected(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest number of each component, after the links ``x, y`` are added to those that ``label`` stands for."""
+    while True:
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            return label
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while len(np.flatnonzero(label != label[label])):
+            label = label[label]
+
+
+def _samples(
+    far: _Differences, place: np.ndarray, first: np.ndarray, size: np.ndarray, length: np.ndarray, begin: np.ndarray, many: int
+) -> np.ndarray:
+    """Components by comparing the members of long runs with three of them.
+
+    Where that connects most of a run, ``length`` and ``begin`` are changed: the connected ones need not meet each other any
+    more, only the others meet all members.
     """
+    label = np.arange(many)
     chosen = np.flatnonzero(size > LONG)
     if not len(chosen):
-        return np.zeros(len(place), bool)
-    good = np.zeros(len(chosen))
+        return label
+    starts = np.flatnonzero(np.append(True, first[chosen][1:] != first[chosen][:-1])[: len(chosen)])
+    chosen = chosen[np.repeat(np.add.reduceat(length[chosen], starts) > 0, np.diff(np.append(starts, len(chosen))))]
     for k in (1, 2, 3):
         x, y = place[chosen], place[first[chosen] + k * size[chosen] // 4]
-        good += far.are_possible(np.maximum(x, y), np.minimum(x, y))
-    starts = np.flatnonzero(np.append(True, first[chosen][1:] != first[chosen][:-1]))
-    share = np.add.reduceat(good, starts) / (3 * size[chosen][starts])
-    searched = np.add.reduceat(before[chosen], starts) > 0
-    out = np.zeros(len(place), bool)
-    out[chosen] = np.repeat((share > 0.5) & searched, np.diff(np.append(starts, len(chosen))))
-    return out
+        keep = (x != y) & far.are_possible(np.maximum(x, y), np.minimum(x, y))
+        label = _connected(label, x[keep], y[keep])
+    starts = np.flatnonzero(np.append(True, first[chosen][1:] != first[chosen][:-1])[: len(chosen)])
+    for a, b in itertools.pairwise([*starts.tolist(), len(chosen)]):
+        members = chosen[a:b]
+        values, count = np.unique(label[place[members]], return_counts=True)
+        if 2 * count.max() > len(members):
+            out = label[place[members]] != values[count.argmax()]
+            begin[members] = first[members]
+            length[members] = np.where(out, len(members), 0)
+    return label
 
 
 class _Differences:
@@ -388,124 +389,142 @@ class _Differences:
                 keep[part] = differ * self.plan.segments <= (a + b)[part] // 7 * self.here
         return keep
 
-    def possible(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = self.are_possible(x, y)
-        return x[keep], y[keep]
-
-
-def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each document, once for each hub that it is compared with."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(kinds, zip(*rows, strict=True), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in columns], ["hub", "salt", "key", "spoke", "members"])
-
-    for batch in batches:
-        for i, sets, key in _sets(batch):
-            rows, held = [], 0
-            for k, members, row in zip(key.view(np.int64).tolist(), sets, batch.slice(i, len(sets)).select(["key", "sends"]).to_pylist(), strict=True):
-                if k == row["key"]:
-                    raw = _narrow(members, MEMBER)
-                    for s in row["sends"]:
-                        rows.append((s["hub"], s["salt"], k, s["hub"] != k, raw))
-                        held += len(raw)
-                        if held > SENT:
-                            yield packed(rows)
-                            rows, held = [], 0
-            if rows:
-                yield packed(rows)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted with each hub before its spokes, so a task holds one hub at a time."""
-    hub, centre = None, np.zeros(0, np.uint64)
-    for batch in batches:
-        good = []
-        for h, spoke, members in zip(batch.column("hub").to_pylist(), batch.column("spoke").to_pylist(), batch.column("members"), strict=True):
-            other = _widened(members.as_py(), MEMBER)
-            if not spoke:
-                hub, centre = h, other
-                good.append(False)
-                continue
-            common = len(np.intersect1d(centre, other, assume_unique=True)) if h == hub else 0
-            good.append(100 * common >= 75 * (len(centre) + len(other) - common))
-        yield batch.select(["hub", "key"]).filter(pa.array(good, pa.bool_())).rename_columns(["a", "b"])
-
-
-def _possible(a: str, b: str) -> str:
-    """Sizes and sketches, folded to the smaller of the two, do not exclude the pair."""
-    size = f"least(size({a}.sketch), size({b}.sketch))"
-    folded = " ^ ".join(f"{x}.sketch[i] ^ coalesce(get({x}.sketch, i + {size}), 0L)" for x in (a, b))
-    differ = f"aggregate(sequence(0, {size} - 1), 0, (s, i) -> s + bit_count({folded}))"
-    return f"4 * least({a}.n, {b}.n) >= 3 * greatest({a}.n, {b}.n) AND 7 * {differ} <= {a}.n + {b}.n"
-
 
-def _quickly_possible(a: str, b: str) -> str:
-    """The same with the folded sketches, cheap enough for every pair of a run."""
-    differ = " + ".join(f"bit_count({a}.quick[{i}] ^ {b}.quick[{i}])" for i in range(QUICK))
-    return f"4 * least({a}.n, {b}.n) >= 3 * greatest({a}.n, {b}.n) AND 7 * ({differ}) <= {a}.n + {b}.n"
+# --- families ----------------------------------------------------------------------
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``hub, other`` that sizes and sketches do not exclude."""
-    for figure, possible in (("quick", _quickly_possible), ("sketch", _possible)):
-        x, y = (classes.select(F.col("key").alias(name), "n", figure).alias(a) for name, a in (("hub", "x"), ("other", "y")))
-        pairs = pairs.join(x, "hub").join(y, "other").where(possible("x", "y")).select("hub", "other")
-    return pairs
+def _in_blocks(members: DataFrame, listed: DataFrame) -> DataFrame:
+    """Members of families, each once for every meeting ``root, i, j`` of its block with another or itself.
 
-
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``hub, other`` of class keys whose whole sets are similar enough, as ``a, b``.
-
-    Sets travel once to each hub. A hub with very many others is split, and its own set goes to each part.
+    ``members`` has ``root, key, n`` and what else is to travel; ``listed`` has ``root`` and ``n`` of the same ones.
     """
-    pairs = settle(pairs)
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / SPOKES).alias("parts"))
-    to_hub = pairs.join(parts, "hub").select(
-        F.col("other").alias("key"), F.struct("hub", F.pmod(F.xxhash64("other"), F.col("parts")).alias("salt")).alias("send")
-    )
-    hubs = parts.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
-    sends = to_hub.unionByName(hubs.select(F.col("hub").alias("key"), F.struct("hub", "salt").alias("send")))
-    # a set with very many hubs is sent from several rows
-    lots = sends.groupBy("key").agg(F.ceil(F.count("*") / HUBS).alias("lots"))
-    lot = F.pmod(F.xxhash64("send.hub", "send.salt"), F.col("lots"))
-    wanted = sends.join(lots, "key").groupBy("key", lot.alias("lot")).agg(F.collect_list("send").alias("sends"))
-    wanted = wanted.join(classes.select("key", "uid"), "key").drop("lot")
-    if pairs.count() <= BROADCAST_PAIRS:
-        wanted = F.broadcast(wanted)
-    sets = docs.join(wanted, "uid").select("doc_id", "text", "key", "sends").mapInArrow(
-        _sent, "hub long, salt long, key long, spoke boolean, members binary"
-    )
-    sets = sets.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "spoke")
-    return settle(sets.mapInArrow(_compare, "a long, b long").distinct())
+    sizes = listed.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    rows = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")}).drop("with", "parts")
 
 
-def _between_components(runs: DataFrame, near: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs ``hub, other`` that share a run and lie in different components.
+def _meetings(meet):
+    """Rows come sorted by meeting; ``meet`` gets the rows of each at once and returns pairs of keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not len(batch):
+                continue
+            meeting = [] if batch is None else [batch.column(c).to_numpy() for c in ("root", "i", "j")]
+            change = np.zeros(0, np.int64)
+            if meeting:
+                change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in meeting], axis=0)) + 1
+            cuts = [0, *change.tolist(), 0 if batch is None else len(batch)]
+            same = bool(held) and bool(meeting) and all(held[-1].column(c)[len(held[-1]) - 1].as_py() == m[0] for c, m in zip(("root", "i", "j"), meeting, strict=True))
+            if held and not same:
+                yield from _links(meet, held)
+                held = []
+            for at, (a, b) in enumerate(itertools.pairwise(cuts)):
+                if b <= a:
+                    continue
+                held.append(batch.slice(a, b - a))
+                if at + 2 < len(cuts):  # another meeting follows in this batch
+                    yield from _links(meet, held)
+                    held = []
 
-    In each run of three or more, members outside of its most frequent component meet all others; pairs with the run's
-    first member are in ``near`` already, as far as they are possible.
-    """
-    def rooted(rows: DataFrame, key: str, root: str) -> DataFrame:
-        found = rows.join(roots.select(F.col("key").alias(key), F.col("root").alias(root)), key, "left")
-        return found.withColumn(root, F.coalesce(root, key))
+    return run
 
-    members = rooted(runs, "key", "root")
-    main = members.groupBy("run", "root").agg(F.count("*").alias("size")).groupBy("run").agg(
-        F.max_by("root", F.struct("size", "root")).alias("main"), F.count("*").alias("roots"), F.sum("size").alias("members")
-    )
-    main = main.where("roots > 1 AND members > 2").select("run", "main")
-    open_ = settle(members.join(main, "run").join(classes.select("key", "n", "quick"), "key"))
-    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
-    pairs = x.join(
-        y,
-        F.expr("x.run = y.run AND x.root <> y.root AND (x.whole OR y.whole) AND (y.root = y.main OR x.key < y.key)")
-        & F.expr(_quickly_possible("x", "y")),
-    )
-    pairs = pairs.select(F.least("x.key", "y.key").alias("hub"), F.greatest("x.key", "y.key").alias("other")).distinct()
-    left = rooted(rooted(near, "hub", "r"), "other", "q").where("r <> q").select("hub", "other")
-    return _sketched(pairs, classes).unionByName(left).distinct()
+
+def _links(meet, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(held)
+    keys = table["key"].to_numpy()
+    _, once = np.unique(keys, return_index=True)  # the same text may have been found twice
+    if len(once) > 1:
+        table = table.take(pa.array(once))
+        label = meet(table)
+        rest = np.flatnonzero(label != np.arange(len(label)))
+        if len(rest):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[once][rest]), pa.array(keys[once][label[rest]])], ["a", "b"])
+
+
+def _sketched(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of a meeting that sizes and sketches, folded to the smaller of the two, do not exclude."""
+    n, own = table["n"].to_numpy(), table["own"].to_numpy()
+    lists = table["sketch"].combine_chunks()
+    longs = lists.value_lengths().to_numpy()
+    flat, start = lists.flatten().to_numpy().view(np.uint64), np.cumsum(longs) - longs
+    by_size = {int(k): np.flatnonzero(longs == k) for k in np.unique(longs)}
+    sketch = {k: flat[start[at][:, None] + np.arange(k)] for k, at in by_size.items()}
+    across = table["i"][0].as_py() != table["j"][0].as_py()
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for small_, wide in itertools.combinations_with_replacement(sorted(by_size), 2):
+        if wide > 4 * small_:  # sizes too far apart
+            continue
+        a, b = by_size[small_], by_size[wide]
+        folded = np.bitwise_xor.reduce(sketch[wide].reshape(len(b), -1, small_), axis=1)
+        step = max(1, 4 * PAIRS // (small_ * len(b)))
+        for at in range(0, len(a), step):
+            i = a[at : at + step]
+            differ = np.bitwise_count(sketch[small_][at : at + step][:, None] ^ folded[None]).sum(2, dtype=np.int64)
+            least, most = np.minimum(n[i][:, None], n[b][None]), np.maximum(n[i][:, None], n[b][None])
+            good = (4 * least >= 3 * most) & (7 * differ <= least + most)
+            good &= (own[i][:, None] != own[b][None]) if across else True
+            if small_ == wide:
+                good &= i[:, None] < b[None]
+            x, y = np.nonzero(good)
+            xs.append(i[x])
+            ys.append(b[y])
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _by_sketches(table: pa.Table) -> np.ndarray:
+    return _connected(np.arange(len(table)), *_sketched(table))
+
+
+def _exactly(table: pa.Table) -> np.ndarray:
+    """Components of the links of a meeting; pairs that are connected already are not compared."""
+    x, y = _sketched(table)
+    label = np.arange(len(table))
+    sets: dict[int, np.ndarray] = {}
+
+    def members(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = _widened(table["members"][i].as_py(), MEMBER)
+        return sets[i]
+
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    # one partner for each document first, then all others in turn
+    turn = np.arange(len(x)) - np.searchsorted(x, x)
+    order = np.argsort(turn, kind="stable")
+    x, y = x[order], y[order]
+    while len(x):
+        good = []
+        for i, j in zip(x[:COMPARED].tolist(), y[:COMPARED].tolist(), strict=True):
+            a, b = members(i), members(j)
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            good.append(100 * common >= 75 * (len(a) + len(b) - common))
+        good = np.array(good)
+        label = _connected(label, x[:COMPARED][good], y[:COMPARED][good])
+        x, y = x[COMPARED:], y[COMPARED:]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return label
+
+
+def _met(members: DataFrame, listed: DataFrame, meet) -> DataFrame:
+    """``key, root`` of the members that links connect, from all meetings of blocks."""
+    rows = _in_blocks(members, listed).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    links = settle(rows.mapInArrow(_meetings(meet), "a long, b long"))
+    return components(links).withColumnRenamed("node", "key")
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed set of each document that still has its class's text."""
+    for batch in batches:
+        for i, sets, key in _sets(batch):
+            step = batch.slice(i, len(sets))
+            use = np.flatnonzero(key.view(np.int64) == step.column("key").to_numpy())
+            step = step.take(pa.array(use))
+            packed = pa.array([_narrow(sets[k], MEMBER) for k in use.tolist()], pa.binary())
+            sketches = _sketches([sets[k] for k in use.tolist()])
+            yield pa.RecordBatch.from_arrays([*(step.column(c) for c in ("key", "root", "n")), sketches, packed], ["key", "root", "n", "sketch", "members"])
 
 
 def _joined(docs: DataFrame, group: int) -> DataFrame:
@@ -513,10 +532,9 @@ def _joined(docs: DataFrame, group: int) -> DataFrame:
     docs = id_and_text(docs)
     # rows without id are found again by their text; such numbers are negative and never shown
     docs = docs.withColumn("uid", F.coalesce("doc_id", -1 - F.abs(F.xxhash64("text") / 2).cast("long"))).withColumn("print", F.xxhash64("text"))
-    prints = settle(docs.mapInArrow(_fingerprints, "doc_id long, uid long, print long, key long, n long, sketch array<long>, quick array<long>"))
+    prints = settle(docs.mapInArrow(_fingerprints, "doc_id long, uid long, print long, key long, n long, sketch array<long>"))
     classes = settle(prints.where("n > 0").groupBy("key").agg(
         F.min("doc_id").alias("first"), F.min("uid").alias("uid"), F.max("n").alias("n"), F.first("sketch").alias("sketch"),
-        F.first("quick").alias("quick"),
     ))
     bounds = [int(h) for h in _HIGH]
     band = sum((F.col("n") > h).cast("int") for h in bounds[:60])  # the last of these bands is beyond any text
@@ -525,19 +543,16 @@ def _joined(docs: DataFrame, group: int) -> DataFrame:
     packed = docs.mapInArrow(
         _subsets(groups, group), "task long, keys binary, sizes binary, owner binary, segment binary, length binary, shingles binary"
     )
-    path = scratch_dir(docs.sparkSession, "runs")
-    packed.groupBy("task").applyInArrow(_matching(groups), "run long, key long, other long, whole boolean").write.parquet(path)
-    found = docs.sparkSession.read.parquet(path)
-    runs = found.where("run is not null").select("run", "key", "whole")
-    centres = runs.where("whole").groupBy("run").agg(F.min("key").alias("hub"))
-    spokes = runs.join(centres, "run").where("key <> hub").select("hub", F.col("key").alias("other"))
-    pairs = found.where("run is null").select(F.least("key", "other").alias("hub"), F.greatest("key", "other").alias("other"))
-    near = settle(_sketched(pairs.unionByName(spokes.select(F.least("hub", "other").alias("hub"), F.greatest("hub", "other").alias("other"))).distinct(), classes))
-    links = _verified(near.groupBy("other").agg(F.min("hub").alias("hub")), docs, classes)
-    roots = settle(components(links).withColumnRenamed("node", "key"))
-    more = _verified(_between_components(runs, near, classes, roots), docs, classes)
-    roots = settle(components(links.unionByName(more)).withColumnRenamed("node", "key"))
-    remove(docs.sparkSession, path)
+    connected = packed.groupBy("task").applyInArrow(_matching(groups), "key long, other long")
+    families = components(connected.select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "key")
+    families = settle(families.join(classes.select("key", "n", "sketch"), "key"))
+    closer = _met(families, families, _by_sketches)
+    wanted = settle(closer.join(classes.select("key", "n", "uid"), "key"))
+    found = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, "uid")
+    sets = found.select("doc_id", "text", "key", "root", "n").mapInArrow(
+        _with_sets, "key long, root long, n long, sketch array<long>, members binary"
+    )
+    roots = settle(_met(sets, wanted, _exactly))
     named = classes.select("key", "first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = named.join(smallest, "root").select("key", "root", "component_id")

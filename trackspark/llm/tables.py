@@ -25,9 +25,3 @@ def small(ids: DataFrame) -> DataFrame:
     """A table of a few numbers per row, marked for broadcast if it has at most ``BROADCAST_IDS`` rows."""
     ids = settle(ids)
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
