@@ -52,6 +52,14 @@ def test_farthest_points_with_copies_and_small_pools(spark):
         V.farthest_point_sample(frame(spark, x), 3, start=99)
 
 
+def test_equal_distances_need_one_pass(spark, monkeypatch):
+    passes = []
+    real = V._candidates
+    monkeypatch.setattr(V, "_candidates", lambda *a: passes.append(1) or real(*a))
+    rows = V.farthest_point_sample(frame(spark, np.eye(40)), 20, return_radii=True).orderBy("rank").collect()
+    assert [r.id for r in rows] == list(range(20)) and len(passes) == 1
+
+
 def test_blobs_are_all_hit(spark, blobs):
     ids = [r.id for r in V.farthest_point_sample(frame(spark, blobs), 3).collect()]
     assert {i // 8 for i in ids} == {0, 1, 2}
@@ -72,10 +80,25 @@ def test_medoids(spark, blobs):
 
 
 def test_balanced_shares(spark, blobs):
-    assert V.balanced_alloc({0: 10, 1: 10, 2: 10}, 6) == {0: 2, 1: 2, 2: 2}
-    assert V.balanced_alloc({0: 1, 1: 9, 2: 9}, 7) == {0: 1, 1: 3, 2: 3}
-    assert V.balanced_alloc({0: 1, 1: 1}, 9) == {0: 1, 1: 1}
-    assert V.balanced_alloc({0: 5, 1: 5, 2: 5}, 2) == {0: 1, 1: 1, 2: 0}
+    def shares(sizes, total):
+        table = spark.createDataFrame(list(sizes.items()), "grp int, size long")
+        return {r.grp: r.n for r in V.balanced_alloc(table, total).collect()}
+
+    assert shares({0: 10, 1: 10, 2: 10}, 6) == {0: 2, 1: 2, 2: 2}
+    assert shares({0: 1, 1: 9, 2: 9}, 7) == {0: 1, 1: 3, 2: 3}
+    assert shares({0: 1, 1: 1}, 9) == {0: 1, 1: 1}
+    assert shares({0: 5, 1: 5, 2: 5}, 2) == {0: 1, 1: 1, 2: 0}
+    assert shares({}, 5) == {} and shares({0: 4, 1: 0}, 0) == {0: 0, 1: 0}
+    rng = np.random.default_rng(4)
+    many = {int(g): int(s) for g, s in enumerate(rng.integers(0, 5000, 400) ** 2 // 5000)}
+    for total in (1, 399, 50_000, sum(many.values()) - 1, 10**9):
+        got = shares(many, total)
+        assert sum(got.values()) == min(total, sum(many.values())) and all(0 <= got[g] <= s for g, s in many.items())
+        level = max(got.values())
+        assert all(got[g] == s or got[g] >= level - 1 for g, s in many.items())
+        raised = [g for g, s in many.items() if got[g] < s and got[g] == level]
+        lower = [g for g, s in many.items() if got[g] < s and got[g] == level - 1]
+        assert not raised or not lower or max(raised) < min(lower)
     uneven = np.concatenate([blobs[:8].repeat(3, 0)[:20] + np.random.default_rng(2).normal(0, 0.01, (20, 16)), blobs[8:13], blobs[16:21]])
     ids = [r.id for r in V.cluster_balanced_fps(frame(spark, uneven), 6, n_clusters=3, n_init=3).collect()]
     assert len(set(ids)) == 6

@@ -98,19 +98,41 @@ def cluster_kmeans(spark, d):
 
 
 # Water levels: with sizes sorted, the level is where the budget left over for k groups, divided evenly, is below the next size.
-@query("""WITH s AS (SELECT label AS grp, count(*) AS n, row_number() OVER (ORDER BY count(*), label) AS r, count(*) OVER () AS g,
-      sum(count(*)) OVER (ORDER BY count(*), label) AS below FROM (SELECT * FROM embeddings WHERE label > 0 OR vec_id % 50 = 0) GROUP BY label),
-    l AS (SELECT max(least(n, (60 - (below - n)) // (g - r + 1))) AS level FROM s),
+LEVEL = """s AS (SELECT grp, count(*) AS n, row_number() OVER (ORDER BY count(*), grp) AS r, count(*) OVER () AS g,
+      sum(count(*)) OVER (ORDER BY count(*), grp) AS below FROM ({groups}) GROUP BY grp),
+    l AS (SELECT max(least(n, ({total} - (below - n)) // (g - r + 1))) AS level FROM s),
     f AS (SELECT grp, n, least(n, level) AS base, sum(least(n, level)) OVER () AS used, n > level AS open FROM s, l),
-    o AS (SELECT *, row_number() OVER (PARTITION BY open ORDER BY grp) AS p FROM f)
-    SELECT CAST(grp AS BIGINT) AS grp, CAST(n AS BIGINT) AS size, CAST(base + CASE WHEN open AND p <= 60 - used THEN 1 ELSE 0 END AS BIGINT) AS n FROM o""")
+    o AS (SELECT *, row_number() OVER (PARTITION BY open ORDER BY grp) AS p FROM f),
+    quota AS (SELECT grp, CAST(n AS BIGINT) AS size, CAST(base + CASE WHEN open AND p <= {total} - used THEN 1 ELSE 0 END AS BIGINT) AS n FROM o)"""
+# Uneven groups of all embeddings: half of them in the first, a quarter in the second, and so on.
+UNEVEN = "SELECT CAST(floor(log2(64 / (vec_id % 64 + 1))) AS BIGINT) AS grp FROM embeddings"
+
+
+@query(f"WITH {LEVEL.format(groups=UNEVEN, total=60)} SELECT grp, size, n FROM quota")
 def balanced_alloc(spark, d):
-    """A budget of 60 over uneven groups of embeddings, one row per group."""
-    uneven = src.embeddings(spark, d).where((F.col("grp") > 0) | (F.col("id") % 50 == 0))
-    # One row per group; the number of groups is the caller's parameter.
-    sizes = {r["grp"]: r["n"] for r in uneven.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = [(int(g), int(sizes[g]), int(n)) for g, n in vectors.balanced_alloc(sizes, 60).items()]
-    return spark.createDataFrame(rows, "grp long, size long, n long")
+    """A budget of 60 over uneven groups of all embeddings, one row per group."""
+    grp = F.floor(F.log2(F.lit(64) / (F.col("id") % 64 + 1)))
+    sizes = src.embeddings(spark, d).groupBy(grp.alias("grp")).agg(F.count(F.lit(1)).alias("size"))
+    return vectors.balanced_alloc(sizes, 60)
+
+
+# A farthest-point walk inside each group, as long as the group's share.
+@query(
+    f"""WITH RECURSIVE {UNIT}, {LEVEL.format(groups="SELECT grp FROM vec", total=24)},
+    walk AS (
+      SELECT 0 AS step, v.grp, v.id, v.e, list_distance(v.e, f.e) AS d, f.id AS picked
+      FROM vec v JOIN (SELECT grp, min(id) AS id, arg_min(e, id) AS e FROM vec GROUP BY grp) f ON f.grp = v.grp
+      UNION ALL
+      SELECT w.step + 1, w.grp, w.id, w.e, least(w.d, list_distance(w.e, p.e)), p.id FROM walk w
+      JOIN (SELECT grp, id, e FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY d DESC, id) AS k FROM walk) WHERE k = 1) p ON p.grp = w.grp
+      WHERE w.step < 8)
+    SELECT row_number() OVER (ORDER BY grp, step) - 1 AS rank, id FROM (
+      SELECT DISTINCT w.grp, w.step, w.picked AS id FROM walk w JOIN quota q ON q.grp = w.grp WHERE w.step < q.n)"""
+)
+def cluster_balanced_given(spark, d):
+    """Equal shares of 24 picks over clusters that are known already."""
+    features = src.embeddings(spark, d)
+    return vectors.cluster_balanced_fps(features, 24, labels=features.select("id", F.col("grp").alias("cluster")))
 
 
 # The farthest point of every group from its first vector.

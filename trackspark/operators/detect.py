@@ -12,8 +12,9 @@ from trackspark.functions.blocks import (
     with_halo,
 )
 from trackspark.functions.geometry import distance
+from trackspark.functions.intervals import inside, meet
 from trackspark.functions.ranks import IN_ORDER
-from trackspark.operators.runs import by_block, expand_runs, robust_threshold, runs
+from trackspark.operators.runs import by_block, robust_threshold, runs
 from trackspark.schema import TRACE
 from trackspark.session import settle
 
@@ -243,8 +244,7 @@ def min_coverage(points: DataFrame, videos: DataFrame, declared: DataFrame) -> D
 
 def points_in_runs(points: DataFrame, run_table: DataFrame) -> DataFrame:
     """The original points at every frame of the given runs."""
-    flagged = expand_runs(run_table.select(*TRACE, "start", "end")).select(*TRACE, "frame").distinct()
-    return points.join(flagged, [*TRACE, "frame"], "left_semi")
+    return inside(points, run_table)
 
 
 def attach_min_likelihood(
@@ -262,8 +262,7 @@ def attach_min_likelihood(
         return blips.withColumns({"min_likelihood": F.lit(None).cast("double"), "reason": F.lit(None).cast("string")})
     run = [*TRACE, "start"]
     lows = (
-        expand_runs(blips.select(*TRACE, "start", "end"))
-        .join(predictions.select(*TRACE, "frame", "likelihood"), [*TRACE, "frame"])
+        meet(predictions.select(*TRACE, "frame", "likelihood"), blips.select(*run, "end").distinct())
         .groupBy(*run)
         .agg(
             F.min("likelihood").alias("_min"),

@@ -314,6 +314,10 @@ def interpolate_between_labels(
     return done.select("video", F.lit(name).alias("layer"), "label", "frame", "x", "y")
 
 
+# Frames that are looked at together around a selected one.
+NEAR = 256
+
+
 def complete_frames(
     selected: DataFrame,
     predictions: DataFrame,
@@ -332,6 +336,10 @@ def complete_frames(
     frames = selected.select("video", "frame").distinct()
     labels = predictions.select("video", "label").distinct()
     spine = frames.join(labels, "video")
+    # Only rows within reach of a selected frame can fill it; blocks of such rows are all that is looked at.
+    reach = F.sequence(F.floor((F.col("frame") - max_gap) / NEAR), F.floor((F.col("frame") + max_gap) / NEAR))
+    wanted = frames.select("video", F.explode(reach).alias("_near")).distinct()
+    predictions = predictions.withColumn("_near", F.floor(F.col("frame") / NEAR)).join(wanted, ["video", "_near"], "left_semi").drop("_near")
     given = selected.select(*STEP, F.struct("x", "y").alias("_given"))
     around = nearest_confident(predictions, high=high, block=block).select(
         *STEP, F.struct("x", "y").alias("_pred"), confident(high).alias("_ok"), "before", "after"

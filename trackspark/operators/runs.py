@@ -91,11 +91,6 @@ def runs(
     return merged.select(*keys, "start", "end", length, *outputs)
 
 
-def expand_runs(run_table: DataFrame, *, start: str = "start", end: str = "end") -> DataFrame:
-    """One row per frame of each run, both ends included."""
-    return run_table.withColumn("frame", F.explode(F.sequence(F.col(start), F.col(end))))
-
-
 def by_block(figures: DataFrame, rows: DataFrame, *, keys: Sequence[str] = TRACE, block: int = BLOCK) -> DataFrame:
     """One row of ``figures`` (one per key) for each block that the key has in ``rows``, to be joined with the rows of a block.
 

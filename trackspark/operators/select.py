@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 from trackspark.functions.blocks import (
     BLK, BLOCK, apply_groups, block_of, scan, top_per_group,
 )
+from trackspark.functions.intervals import inside
 from trackspark.operators.detect import HIGH, LOW, disagreement_blips, low_confidence_frames
 from trackspark.operators.flow import flow_layer
 from trackspark.operators.layers import _complete_frames
-from trackspark.operators.runs import expand_runs
 from trackspark.schema import LAYER, TRACE
 from trackspark.session import settle
 
@@ -327,11 +327,8 @@ def error_frames(
         )
     if "blip" in kinds:
         landed = flow_layer(predictions, flow)
-        flagged = expand_runs(
-            disagreement_blips(predictions, landed, **blip_params).select(*TRACE, "start", "end")
-        ).select(*STEP)
         sure = predictions.where(F.col("likelihood") >= high).select(*STEP)
-        flagged = flagged.join(sure, STEP, "left_semi").distinct()
+        flagged = inside(sure, disagreement_blips(predictions, landed, **blip_params)).distinct()
         at = landed.select(*STEP, F.struct("x", "y").alias("_f"))
         fixed = flagged.join(at, STEP, "left").select(*STEP, F.lit(True).alias("_hit"), "_f")
         spine = flagged.select("video", "frame").distinct().join(labels, "video")

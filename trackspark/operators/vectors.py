@@ -109,7 +109,8 @@ def _pick(cands: pd.DataFrame, want: int, keep: int) -> list[tuple]:
     """Greedy picks that are certain to be the farthest of *all* rows.
 
     Distances only shrink, so no row outside the candidates can ever be farther
-    than the last candidate was; picks stop before that bound is reached.
+    than the first of them is; picks stop below that bound. Equally far rows
+    outside have larger ids, so ties need no further pass.
     """
     cands = cands.sort_values(["dist", "id"], ascending=[False, True])
     bound = cands["dist"].iloc[keep] if len(cands) > keep else -1.0
@@ -119,7 +120,7 @@ def _pick(cands: pd.DataFrame, want: int, keep: int) -> list[tuple]:
     picks: list[tuple] = []
     while len(picks) < want and len(picks) < len(ids):
         far = dist.max()
-        if picks and far <= bound:
+        if picks and far < bound:
             break
         ties = np.flatnonzero(dist == far)
         i = ties[np.argmin(ids[ties])]
@@ -153,7 +154,8 @@ def _sample_groups(
 
 
 def _fetch(features: DataFrame, ids: Sequence[int], normalize: bool) -> list[tuple]:
-    got = features.where(F.col("id").isin([int(i) for i in ids])).select("id", "embedding").toPandas()
+    wanted = features.sparkSession.createDataFrame([(int(i),) for i in ids], "id long")
+    got = features.select("id", "embedding").join(F.broadcast(wanted), "id").toPandas()  # as many rows as picks
     vecs = dict(zip(got["id"], _matrix(got["embedding"], normalize))) if len(got) else {}
     missing = [i for i in ids if i not in vecs]
     if missing:
@@ -324,21 +326,33 @@ def knn(
 
 # --- budgets over groups -------------------------------------------------------------
 
-def balanced_alloc(sizes: dict, total: int) -> dict:
+def balanced_alloc(sizes: DataFrame, total: int, *, group: str = "grp", size: str = "size") -> DataFrame:
     """Split a total over groups as water fills vessels: all to the same level, none above its size.
 
-    What is left below one more unit for every unfilled group goes to the first of them in sorted order.
+    ``sizes`` has one row per group and gets a column ``n``. What is left below one more unit for every unfilled group goes to
+    the first of them in sorted order. For every distinct size the level is what remains beyond all smaller groups, shared by
+    the others, but not above the size; the highest of these is the level. The sums of smaller sizes come in two steps, over
+    ranges of sizes and inside each range, so no step holds all groups.
     """
-    def filled(level: int) -> int:
-        return sum(min(s, level) for s in sizes.values())
-
-    low, high = 0, max(sizes.values(), default=0)
-    while low < high:
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if filled(middle) <= total else (low, middle - 1)
-    unfilled = sorted(g for g, s in sizes.items() if s > low)
-    extra = set(unfilled[: max(0, total - filled(low))])
-    return {g: min(s, low) + (g in extra) for g, s in sizes.items()}
+    sizes = settle(sizes.select(group, F.col(size).cast("long").alias(size)))
+    largest = sizes.agg(F.max(size)).first()[0] or 0
+    shift = max(0, largest.bit_length() // 2)
+    same = sizes.groupBy(size).agg(F.count(F.lit(1)).alias("_c")).withColumn("_range", F.shiftright(size, shift))
+    ranges = same.groupBy("_range").agg(F.sum("_c").alias("_rc"), F.sum(F.col("_c") * F.col(size)).alias("_rs"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    after = Window.orderBy("_range").rowsBetween(0, Window.unboundedFollowing)
+    ranges = ranges.select("_range", F.coalesce(F.sum("_rs").over(before), F.lit(0)).alias("_below"), F.sum("_rc").over(after).alias("_left"))
+    inner = Window.partitionBy("_range").orderBy(size).rowsBetween(Window.unboundedPreceding, -1)
+    same = same.withColumns(
+        {"_s": F.coalesce(F.sum(F.col("_c") * F.col(size)).over(inner), F.lit(0)), "_n": F.coalesce(F.sum("_c").over(inner), F.lit(0))}
+    ).join(ranges, "_range")
+    share = F.floor((F.lit(total) - F.col("_below") - F.col("_s")) / (F.col("_left") - F.col("_n")))
+    level = max(0, same.agg(F.max(F.least(F.col(size), share))).first()[0] or 0)
+    filled = F.least(F.col(size), F.lit(level))
+    left = max(0, total - (sizes.agg(F.sum(filled)).first()[0] or 0))
+    # Fewer are left over than groups are unfilled.
+    more = sizes.where(F.col(size) > level).orderBy(group).limit(left).select(group, F.lit(1).cast("long").alias("_more"))
+    return sizes.join(more, group, "left").select(group, size, (filled + F.coalesce("_more", F.lit(0))).alias("n"))
 
 
 def _group_sample(
@@ -348,7 +362,8 @@ def _group_sample(
     quotas = {g: n for g, n in quotas.items() if n > 0}
     if not quotas:
         return []
-    inside = features.where(F.col(group).isin(list(quotas)))
+    named = features.sparkSession.createDataFrame([(g,) for g in quotas], T.StructType([T.StructField(group, features.schema[group].dataType)]))
+    inside = features.join(F.broadcast(named), group, "left_semi")  # at most as many groups as picks
     firsts = inside.groupBy(group).agg(F.min("id").alias("id")).collect()
     got = {r[0]: r for r in _fetch(features, [r["id"] for r in firsts], normalize)}
     starts = {r[group]: [got[r["id"]]] for r in firsts}
@@ -357,17 +372,21 @@ def _group_sample(
 
 
 def _cluster_balanced_ids(
-    features: DataFrame, m: int, exclude: Sequence[int], n_clusters: int | None, normalize: bool, seed: int, n_init: int
+    features: DataFrame, m: int, exclude: Sequence[int], n_clusters: int | None, normalize: bool, seed: int, n_init: int,
+    labels: DataFrame | None = None,
 ) -> list[int]:
-    k = n_clusters or max(2, min(m, 8))
-    k = min(k, features.select("id").limit(k).count())
-    # The clusters are read in several passes, so they are fixed once.
-    labels = settle(cluster(features, k, normalize=normalize, seed=seed, n_init=n_init))
-    free = features.join(labels, "id")
+    if labels is None:
+        k = n_clusters or max(2, min(m, 8))
+        k = min(k, features.select("id").limit(k).count())
+        # The clusters are read in several passes, so they are fixed once.
+        labels = settle(cluster(features, k, normalize=normalize, seed=seed, n_init=n_init))
+    free = features.select("id", "embedding").join(labels.select("id", "cluster"), "id")
     if exclude:
-        free = free.where(~F.col("id").isin([int(i) for i in exclude]))
-    sizes = {r["cluster"]: r["n"] for r in free.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return _group_sample(free, "cluster", balanced_alloc(sizes, m), normalize)
+        gone = features.sparkSession.createDataFrame([(int(i),) for i in exclude], "id long")
+        free = free.join(F.broadcast(gone), "id", "left_anti")  # fewer than m rows
+    sizes = free.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    shares = balanced_alloc(sizes, m, group="cluster").where("n > 0").collect()  # at most m rows
+    return _group_sample(free, "cluster", {r["cluster"]: r["n"] for r in shares}, normalize)
 
 
 def _ranked_ids(features: DataFrame, ids: Sequence[int]) -> DataFrame:
@@ -383,9 +402,13 @@ def cluster_balanced_fps(
     normalize: bool = True,
     seed: int = 0,
     n_init: int = 10,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
-    """Give every cluster an equal share of ``m`` picks, spread inside it: ``(rank, id)``."""
-    return _ranked_ids(features, _cluster_balanced_ids(features, m, exclude, n_clusters, normalize, seed, n_init))
+    """Give every cluster an equal share of ``m`` picks, spread inside it: ``(rank, id)``.
+
+    ``labels`` (id, cluster) are clusters that are known already.
+    """
+    return _ranked_ids(features, _cluster_balanced_ids(features, m, exclude, n_clusters, normalize, seed, n_init, labels))
 
 
 def select_diverse(
