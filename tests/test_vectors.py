@@ -126,18 +126,38 @@ def test_group_floor_then_spread(spark, monkeypatch, candidates):
     assert V.select_diverse(frame(spark, x, g), 90).count() == 90
 
 
-@pytest.mark.parametrize("limit", [3, 1000])
-def test_knn(spark, limit):
+@pytest.mark.parametrize("normalize", [True, False])
+@pytest.mark.parametrize("settings", [{"query_limit": 1000}, {"query_limit": 3, "cells": 6, "rows": 7}, {"query_limit": 3, "cells": 1}])
+def test_knn(spark, settings, normalize):
     x = np.random.default_rng(5).normal(size=(80, 6))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[70] = 0.0
+    unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12) if normalize else x
     df = frame(spark, x)
-    got = V.knn(df, df.where("id % 9 = 0"), 4, query_limit=limit, cells=3).orderBy("query_id", "rank").collect()
-    for q in range(0, 80, 9):
+    got = V.knn(df, df, 4, normalize=normalize, **settings).orderBy("query_id", "rank").collect()
+    assert len(got) == 320
+    for q in range(80):
         sim = unit @ unit[q]
         rows = [r for r in got if r.query_id == q]
-        assert [r.id for r in rows] == np.argsort(-sim)[:4].tolist()
         assert np.allclose([r.similarity for r in rows], np.sort(sim)[::-1][:4])
-    assert V.knn(df.where("id < 2"), df.where("id = 5"), 4).count() == 2
+        assert [r.id for r in rows] == np.argsort(-sim, kind="stable")[:4].tolist()
+    assert V.knn(df.where("id < 2"), df.where("id > 60"), 4, normalize=normalize, **settings).count() == 38
+
+
+def test_cells_out_of_reach_are_not_visited(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + rng.normal(0, 0.05, (30, 8)) for c in 4 * np.eye(8)])
+    cells, placed = V.cells_of(frame(spark, x), 24, True)
+    assert cells.rows.sum() == 240 and placed.count() == 240
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    q = np.concatenate([unit, np.zeros((240, 1))], axis=1)
+    far, skipped = cells.to_pivots(q), 0
+    own = {r.id: r.cell for r in placed.collect()}
+    for i in range(240):
+        kth = np.sort(unit @ unit[i])[-5]
+        to = set(cells.reached(far[i], cells.reach(q[i : i + 1], np.array([kth]))[0]).tolist())
+        assert {own[j] for j in np.flatnonzero(unit @ unit[i] >= kth).tolist()} <= to
+        skipped += int((cells.rows > 0).sum()) - len(to)
+    assert skipped > 0.7 * 240 * int((cells.rows > 0).sum())
 
 
 def test_review(spark):

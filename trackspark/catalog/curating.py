@@ -63,22 +63,23 @@ def cluster_medoids(spark, d):
 
 
 KNN = UNIT + """,
-sims AS (SELECT q.id AS query_id, v.id, list_dot_product(q.e, v.e) AS similarity FROM vec q, vec v WHERE q.id % 5 = 0),
+sims AS (SELECT q.id AS query_id, v.id, list_dot_product(q.e, v.e) AS similarity FROM vec q, vec v),
 nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM sims)
 SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM nn WHERE rank <= 5"""
 
 
 @query(f"WITH {KNN}")
 def knn(spark, d):
+    """Neighbours of all embeddings; few enough on small tables for every task to hold them."""
     features = src.embeddings(spark, d)
-    return vectors.knn(features, features.where(F.col("id") % 5 == 0), 5)
+    return vectors.knn(features, features, 5)
 
 
 @query(f"WITH {KNN}")
 def knn_many_queries(spark, d):
-    """The same neighbours by meeting blocks, as for query tables too large to send around."""
+    """The same neighbours by cells around pivots, as for query tables too large to send around."""
     features = src.embeddings(spark, d)
-    return vectors.knn(features, features.where(F.col("id") % 5 == 0), 5, query_limit=10)
+    return vectors.knn(features, features, 5, query_limit=10, cells=12, rows=100)
 
 
 @query("SELECT CAST(10 AS BIGINT) AS n_clusters, count(*) AS n_rows, true AS mostly_nearest FROM embeddings")

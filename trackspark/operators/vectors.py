@@ -26,6 +26,8 @@ from trackspark.session import settle
 CANDIDATES = 2048
 # Queries up to this number are sent to every task.
 QUERY_LIMIT = 4096
+# Rows of a cell's part and queries of a crowd that meet, and pivots at most; cells hold more rows beyond that.
+CELL_ROWS, MOST_CELLS = 8192, 4096
 
 
 def l2_normalize(features: DataFrame) -> DataFrame:
@@ -264,12 +266,14 @@ def knn(
     normalize: bool = True,
     query_limit: int = QUERY_LIMIT,
     cells: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """The ``k`` most similar rows per query: ``(query_id, rank, id, similarity)``.
 
-    Few queries travel to every task. More than ``query_limit`` queries are
-    hashed into blocks that meet blocks of the features; each meeting keeps its
-    own ``k`` best, so pairs are never written out.
+    Few queries travel to every task. With more than ``query_limit`` the rows
+    are dealt into ``cells`` around pivots. Queries visit their own cell and
+    then only the cells within reach of their k-th best so far; each meeting
+    keeps its own ``k`` best, so pairs are never written out. Query ids are unique.
     """
     wanted = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     schema = "query_id long, id long, similarity double"
@@ -302,26 +306,120 @@ def knn(
 
         found = features.select("id", "embedding").mapInPandas(scan_part, schema)
     else:
-        spark = features.sparkSession
-        cells = cells or max(2, math.isqrt(int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-        left = wanted.withColumns({"_q": F.pmod(F.xxhash64("query_id"), F.lit(cells)).cast("int"), "_f": every})
-        right = features.select("id", "embedding").withColumns(
-            {"_f": F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"), "_q": every}
+        found = _by_cells(features, wanted, best, schema, k, normalize, cells, CELL_ROWS if rows is None else rows)
+    order = [F.desc("similarity"), F.asc("id")]
+    ranked = top_per_group(found, ["query_id"], order, k, salt_on=["id"], salts=8)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "similarity")
+
+
+class Cells:
+    """Pivots of a table of vectors, and for each cell of rows nearest to one how near and how far its rows lie.
+
+    Inner products become distances by one more component that brings all rows to the length ``longest``: the more similar,
+    the nearer. So the triangle inequality tells which cells can hold one of a query's best.
+    """
+
+    def __init__(self, pivots: np.ndarray, longest: float, normalize: bool):
+        self.pivots, self.longest, self.normalize = pivots, longest, normalize
+        self.inner, self.outer, self.rows = np.full(len(pivots), np.inf), np.zeros(len(pivots)), np.zeros(len(pivots), int)
+
+    def lifted(self, column: pd.Series, *, query: bool = False) -> np.ndarray:
+        x = _matrix(column, self.normalize)
+        more = np.zeros(len(x)) if query else np.sqrt(np.maximum(0.0, self.longest**2 - (x * x).sum(1)))
+        return np.concatenate([x, more[:, None]], axis=1)
+
+    def to_pivots(self, x: np.ndarray) -> np.ndarray:
+        return _distances(x, self.pivots)
+
+    def reach(self, x: np.ndarray, similarity: np.ndarray) -> np.ndarray:
+        """Distance within which rows of at least this similarity lie from each query."""
+        return np.sqrt(np.maximum(0.0, (x * x).sum(1) + self.longest**2 - 2.0 * similarity))
+
+    def reached(self, distance: np.ndarray, reach: float) -> np.ndarray:
+        """The cells that may hold a row within ``reach`` of a query, given its distances to the pivots."""
+        least = np.maximum(distance - self.outer, self.inner - distance)
+        return np.flatnonzero((self.rows > 0) & (least <= reach * (1 + 1e-9) + 1e-7))
+
+
+def cells_of(features: DataFrame, n_cells: int, normalize: bool) -> tuple[Cells, DataFrame]:
+    """Cells around rows drawn by hash, and every row with its cell: ``(cell, id, vec)``."""
+    longest = 1.0
+    if not normalize:
+        square = F.aggregate(F.transform("embedding", lambda v: v.cast("double") * v.cast("double")), F.lit(0.0), lambda s_, v: s_ + v)
+        longest = math.sqrt(features.agg(F.max(square)).first()[0] or 0.0)
+    drawn = features.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(n_cells).toPandas()
+    cells = Cells(np.zeros((0, 0)), longest, normalize)
+    cells = Cells(cells.lifted(drawn["embedding"]), longest, normalize)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = cells.lifted(pdf["embedding"])
+                far = cells.to_pivots(x)
+                own = far.argmin(1)
+                yield pd.DataFrame({"cell": own, "far": far[np.arange(len(x)), own], "id": pdf["id"], "vec": list(x)})
+
+    placed = settle(features.select("id", "embedding").mapInPandas(place, "cell long, far double, id long, vec array<double>"))
+    # One row per pivot.
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("a"), F.max("far").alias("b")).collect():
+        cells.rows[r.cell], cells.inner[r.cell], cells.outer[r.cell] = r.n, r.a, r.b
+    return cells, placed.select("cell", "id", "vec")
+
+
+def _by_cells(features, wanted, best, schema, k, normalize, n_cells, rows) -> DataFrame:
+    """Candidates for each query: the best of its own cell, then of the cells that the k-th of these does not rule out.
+
+    A cell is cut into parts of about ``rows`` rows, and so are the queries that visit it, so a meeting is bounded on both
+    sides.
+    """
+    n_cells = n_cells or min(MOST_CELLS, max(2, math.ceil(features.count() / rows)))
+    cells, placed = cells_of(features, n_cells, normalize)
+    parts = F.create_map(*[F.lit(v) for c, n in enumerate(cells.rows.tolist()) if n for v in (c, math.ceil(n / rows))])
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("cell"))))
+
+    def visits(asked: DataFrame) -> DataFrame:
+        """The best of the cells that ``asked`` (query_id, vec, cell) names."""
+        crowd = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).alias("crowds"))
+        left = asked.join(crowd, "cell").select(
+            "query_id", "vec", "cell", F.pmod(F.xxhash64("query_id"), F.col("crowds")).alias("crowd"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(parts, F.col("cell")) - F.lit(1).cast("long"))).alias("part"),
         )
+        right = placed.join(crowd, "cell").select("cell", "part", "id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)).alias("crowd"))
 
         def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
                 return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-            return best(
-                a["query_id"].to_numpy(), _matrix(a["query"], normalize),
-                b["id"].to_numpy(), _matrix(b["embedding"], normalize),
-            )
+            return best(a["query_id"].to_numpy(), np.stack(a["vec"]), b["id"].to_numpy(), np.stack(b["vec"]))
 
-        found = left.groupBy("_q", "_f").cogroup(right.groupBy("_q", "_f")).applyInPandas(meet, schema)
+        keys = ["cell", "part", "crowd"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+
+    def own_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x = cells.lifted(pdf["query"], query=True)
+                far = np.where(cells.rows > 0, cells.to_pivots(x), np.inf)
+                yield pd.DataFrame({"query_id": pdf["query_id"], "vec": list(x), "cell": far.argmin(1)})
+
+    asked = settle(wanted.mapInPandas(own_cell, "query_id long, vec array<double>, cell long"))
     order = [F.desc("similarity"), F.asc("id")]
-    ranked = top_per_group(found, ["query_id"], order, k, salt_on=["id"], salts=8)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "similarity")
+    near = settle(top_per_group(visits(asked), ["query_id"], order, k, salt_on=["id"], salts=8).drop("rank"))
+    kth = near.groupBy("query_id").agg(F.min("similarity").alias("kth"), F.count(F.lit(1)).alias("n"))
+
+    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["vec"])
+            reach = np.where(pdf["n"].fillna(0) >= k, cells.reach(x, pdf["kth"].fillna(0.0).to_numpy(float)), np.inf)
+            far = cells.to_pivots(x)
+            to = [cells.reached(d, r) for d, r in zip(far, reach, strict=True)]
+            to = [c[c != own] for c, own in zip(to, pdf["cell"].to_numpy(), strict=True)]
+            yield pd.DataFrame({"query_id": pdf["query_id"], "vec": pdf["vec"], "to": to})
+
+    more = asked.join(kth, "query_id", "left").mapInPandas(further, "query_id long, vec array<double>, to array<long>")
+    more = settle(more.select("query_id", "vec", F.explode("to").alias("cell")))
+    return near.select("query_id", "id", "similarity").unionByName(visits(more))
 
 
 # --- budgets over groups -------------------------------------------------------------
