@@ -6,10 +6,13 @@ from trackspark.catalog.base import EVENTS, MANUAL, query
 from trackspark.catalog.detection import GAP_COLUMNS, GAPS
 from trackspark.catalog.naming import PATHS, paths
 from trackspark.operators import detect
-from trackspark.session import scratch_dir
+from trackspark.schema import PRED
+from trackspark.session import scratch_dir, settle
 from trackspark.sources import adapters as src
 from trackspark.sources import files
+from trackspark.sources.layer_files import read_layer_files, write_layer_files
 from trackspark.streaming.arrivals import read_results, stream_predictions
+from trackspark.streaming.parts import GAP, gaps_in_parts
 
 XY = "round(x, 6) AS x, round(y, 6) AS y"
 
@@ -132,14 +135,57 @@ def evaluation_files(spark, d):
     return files.read_evaluation(spark, target).select("iteration", "step", "test_error")
 
 
-@query(f"WITH {GAPS} SELECT {GAP_COLUMNS}, round(min_likelihood, 6) AS min_likelihood FROM judged WHERE reason IS NULL AND label = '0'")
+def _layer_files(spark, d):
+    manual = src.manual_layer(spark, d)
+    target = scratch_dir(spark, "layer-files")
+    write_layer_files(manual, src.declared(manual, extra=("4",)), target)
+    return target
+
+
+@query(f"WITH {MANUAL} SELECT video, layer, label, frame, {XY} FROM manual")
+def layer_files_each(spark, d):
+    """One file per video and layer, written by the data source and read back."""
+    return read_layer_files(spark, _layer_files(spark, d))[0]
+
+
+@query(
+    f"""WITH {MANUAL} SELECT DISTINCT video || '_annotations_' || layer || '.json' AS file, 'annotation' AS kind, video, layer,
+    false AS dense, true AS manual FROM manual"""
+)
+def layer_file_listing(spark, d):
+    """All columns of a listing of the written files."""
+    listed = files.discover_layers(spark, _layer_files(spark, d))
+    return listed.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "kind", "video", "layer", "dense", "manual")
+
+
+GAP_ROWS = f"WITH {GAPS} SELECT {GAP_COLUMNS}, round(min_likelihood, 6) AS min_likelihood FROM judged WHERE reason IS NULL"
+# Videos of even users are delivered again without label 1.
+REDELIVERED = "label = '0' OR CAST(substr(video, 2) AS BIGINT) % 2 = 1"
+
+
+@query(f"{GAP_ROWS} AND ({REDELIVERED})")
 def stream_gaps(spark, d):
-    """Gap finding over predictions as they arrive; a second delivery replaces all videos, and some have no gaps any more."""
+    """Gap finding over predictions as they arrive; a second delivery of half the videos lacks a label, and its gaps go."""
     source, target = scratch_dir(spark, "arrivals"), scratch_dir(spark, "results")
     checkpoint, block = scratch_dir(spark, "stream"), src.event_block(spark, d)
     pred = src.predictions(spark, d)
     gaps = lambda df: detect.find_gaps(df, max_gap=2, dense=True, block=block)
-    for number, rows in enumerate((pred, pred.where("label = '0'"))):
+    again = pred.where("CAST(substr(video, 2) AS BIGINT) % 2 = 0 AND label = '0'")
+    for number, rows in enumerate((pred, again)):
         rows.repartition("video").write.parquet(f"{source}/delivery-{number}")
         stream_predictions(spark, source, target, {"gaps": gaps}, checkpoint=checkpoint).awaitTermination()
     return read_results(spark, target, "gaps")
+
+
+@query(GAP_ROWS)
+def stream_gaps_in_parts(spark, d):
+    """Every trace arrives in three deliveries; gaps across their borders are found once all their rows are there."""
+    source, target, checkpoint = (scratch_dir(spark, n) for n in ("parts", "part-results", "part-stream"))
+    pred = settle(src.predictions(spark, d))
+    part = F.least(F.floor((F.col("frame") + F.length("video")) / 23), F.lit(2))
+    for number in range(3):
+        pred.where(part == number).write.parquet(f"{source}/delivery-{number}")
+        arrivals = spark.readStream.schema(PRED).option("recursiveFileLookup", "true").parquet(source)
+        out = gaps_in_parts(arrivals, max_gap=2).writeStream.format("parquet").option("checkpointLocation", checkpoint)
+        out.outputMode("append").trigger(availableNow=True).start(target).awaitTermination()
+    return spark.read.schema(GAP).parquet(target)
