@@ -2,6 +2,13 @@
 
 ``run`` writes each stage's result below the shared folder and reads it again, so a stage is computed once and a lost
 executor costs only its own tasks.
+
+Documents need the columns ``doc_id`` and ``text``; others, whatever they are called, go along to the last stage but one.
+Defined cases: a null text counts as an empty one and stays null until it is packed as a document without words; null and
+empty texts are no near duplicates of each other; a row stands for itself in every stage, whether its id is null, repeated or
+reused for another text, but of rows with the same id and text one stays, as of any near duplicates; ties are decided by the
+smaller id and then by a hash of the text; texts are taken whole, however long; ``n_chars``, where there is such a column, is
+counted anew after masking and stays null where it was; an empty table passes through all stages as one.
 """
 
 from __future__ import annotations
@@ -40,6 +47,8 @@ def drop_benchmark_overlaps(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data masked, their lengths counted anew."""
     masked = pii.redact(docs, pii.train(docs))
+    if "n_chars" not in docs.columns:
+        return masked
     kind = docs.schema["n_chars"].dataType
     return masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(kind)))
 
