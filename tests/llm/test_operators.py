@@ -135,6 +135,13 @@ def test_keep_one_goes_by_row(spark):
     assert kept == sorted([(1, a), (2, b), (2, c), (None, "q r s t u v"), (4, ""), (4, ""), (5, None)], key=str)
 
 
+def test_samples_hold_one_text_for_each_id(spark):
+    docs = documents(spark, ["a", "b", "c", "d"]).unionByName(documents(spark, ["other a"] * 50)).select("doc_id", "text")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 1), (2, 0), (3, None), (4, 7), (None, 1)], "doc_id long, toxic int")
+    texts, ys = labelled.sample(docs.withColumn("doc_id", F.when(F.col("text") == "other a", 0).otherwise(F.col("doc_id"))), labels, "toxic", F.lit(True), 10)
+    assert ys == [1, 0] and texts[0] in ("a", "other a") and texts[1] == "b"
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(2)
     for n in (1, 3, 50, 700):

@@ -110,9 +110,11 @@ def find(docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, wind
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that overlap with no item; rows without an id are kept."""
-    hit = find(docs, items, **settings).select("doc_id").distinct()
-    return docs.join(small(hit), "doc_id", "leftanti").select(docs.columns)
+    """The rows of ``docs`` whose text overlaps with no item, whatever their ids are."""
+    text = F.col("text").cast("string")
+    hit = find(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), items, **settings)
+    hit = small(hit.select(F.col("doc_id").alias("__text")).distinct())
+    return docs.join(hit, F.xxhash64(text) == F.col("__text"), "leftanti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle(masks: tuple[str, ...] = MASKS, window: int = WINDOW, agree: float = AGREE) -> str:

@@ -14,15 +14,23 @@ def fold(doc_id: Column, folds: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, most: int) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``most`` documents of either label, picked by hash of the id.
 
-    ``keep`` is a condition on ``doc_id``. Ids are chosen first, so only the chosen texts travel; rows without label,
-    without text or with a label other than 0 and 1 are no candidates.
+    ``keep`` is a condition on ``doc_id``. Ids are chosen first, so only the chosen texts travel, one for each id: of several
+    texts under one id that of the smallest hash. Rows without label, without text or with a label other than 0 and 1 are no
+    candidates, nor are ids that are labelled both ways.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    known = known.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(keep).distinct()
+    known = known.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).where(keep)
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     chosen = [
         known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)
     ]
     ids = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * most rows of two numbers
-    rows = docs.where("text is not null").join(ids, "doc_id").select("doc_id", "text", "y").toArrow()
+    found = docs.where("text is not null").join(ids, "doc_id").select("doc_id", "text", "y")
+    rows = one_text(found, "y").toArrow()
     order = rows.sort_by([("doc_id", "ascending"), ("y", "ascending")])
     return order["text"].to_pylist(), order["y"].to_pylist()
+
+
+def one_text(rows: DataFrame, *more: str) -> DataFrame:
+    """One row for each ``doc_id``: of several texts that of the smallest hash."""
+    return rows.groupBy("doc_id", *more).agg(F.min_by("text", F.xxhash64("text")).alias("text"))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackspark.llm.labelled import one_text
 from trackspark.llm.tables import id_and_text
 
 KINDS = ("email", "ip", "card", "phone")
@@ -259,10 +260,10 @@ def find(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> tuple[list[l
 
 
 def train(docs: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on at most ``most`` documents, picked by hash of the id."""
+    """Fit on at most ``most`` documents, picked by hash of the id; of several texts under one id one is taken."""
     docs = id_and_text(docs)
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where("text is not null").join(F.broadcast(ids), "doc_id", "leftsemi").toArrow().sort_by("doc_id")
+    rows = one_text(docs.where("text is not null").join(F.broadcast(ids), "doc_id", "leftsemi")).toArrow().sort_by("doc_id")
     return fit(rows["text"].to_pylist())
 
 
