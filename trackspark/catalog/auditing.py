@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 from trackspark.catalog.base import EVENTS, MANUAL, query
 from trackspark.catalog.layering import DIFF, disk_state
 from trackspark.operators import quality
+from trackspark.session import scratch_dir
 from trackspark.sources import adapters as src
 from trackspark.sources.files import dropped_sidecar as sidecar
+from trackspark.sources.files import write_dropped_sidecar
 
 PAIR = ["0", "1"]
 LACKING = """
@@ -98,19 +100,33 @@ def dropped_points(spark, d):
     return quality.dropped_points(src.manual_layer(spark, d), PAIR)
 
 
-@query(
-    f"""WITH {MANUAL}, {PAIR_LACKING} SELECT video, layer, frame, count(*) AS n_present, string_agg(label, ',' ORDER BY label) AS labels
+SIDECAR = f"""WITH {MANUAL}, {PAIR_LACKING} SELECT video, layer, frame, count(*) AS n_present, string_agg(label, ',' ORDER BY label) AS labels
     FROM manual m WHERE EXISTS (SELECT 1 FROM lack l WHERE l.video = m.video AND l.frame = m.frame) GROUP BY video, layer, frame"""
-)
-def dropped_sidecar(spark, d):
-    """The sidecar's JSON, read back."""
+
+
+def _present(rows):
     present = F.from_json("present", "map<string,array<double>>")
-    return sidecar(src.manual_layer(spark, d), PAIR).select(
+    return rows.select(
         "video", "layer", "frame", F.size(present).alias("n_present"),
         F.array_join(F.array_sort(F.map_keys(present)), ",").alias("labels"),
     )
 
 
+@query(SIDECAR)
+def dropped_sidecar(spark, d):
+    """The sidecar's JSON, read back."""
+    return _present(sidecar(src.manual_layer(spark, d), PAIR))
+
+
+@query(SIDECAR)
+def dropped_sidecar_file(spark, d):
+    """The sidecar written beside layer files, and read back from there."""
+    manual, target = src.manual_layer(spark, d), scratch_dir(spark, "project")
+    write_dropped_sidecar(manual, f"{target}/dropped", PAIR)
+    return _present(spark.read.schema("frame long, present string, video string, layer string").json(f"{target}/dropped"))
+
+
+
 @query(f"WITH {MANUAL} SELECT count(*) > 0 AS has_trainable_labels FROM manual")
 def has_trainable_labels(spark, d):
     return quality.has_trainable_labels(src.manual_layer(spark, d))

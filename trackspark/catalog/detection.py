@@ -152,6 +152,16 @@ def blip_label_stats(spark, d):
     return detect.blip_label_stats(_blip_runs(spark, d), thresholds)
 
 
+@query(
+    f"""WITH {BLIPS} SELECT video, label, "start", "end", length, CASE WHEN length > 1 THEN 'long' ELSE reason END AS reason FROM judged_blips"""
+)
+def blip_runs_capped(spark, d):
+    """Runs of more than one frame are too long for a blip."""
+    pred = src.predictions(spark, d)
+    found = detect.disagreement_runs(pred, flow.flow_layer(pred, src.flow(spark, d)), max_blip_length=1)
+    return found.select("video", "label", "start", "end", "length", "reason")
+
+
 @query(f"WITH {BLIPS} SELECT length, count(*) AS n_blips FROM blips GROUP BY length")
 def blip_length_histogram(spark, d):
     return detect.length_histogram(_blips(spark, d))

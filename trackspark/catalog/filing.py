@@ -153,8 +153,10 @@ def layer_files_each(spark, d):
     false AS dense, true AS manual FROM manual"""
 )
 def layer_file_listing(spark, d):
-    """All columns of a listing of the written files."""
-    listed = files.discover_layers(spark, _layer_files(spark, d))
+    """All columns of a listing of the written files; a sidecar among them is no layer."""
+    target = _layer_files(spark, d)
+    files.write_dropped_sidecar(src.manual_layer(spark, d), f"{target}/dropped", ["0", "1"])
+    listed = files.discover_layers(spark, target)
     return listed.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "kind", "video", "layer", "dense", "manual")
 
 

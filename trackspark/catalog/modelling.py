@@ -39,6 +39,22 @@ def best_snapshots(spark, d):
     return models.best_snapshots(*_models(spark, d))
 
 
+@query(
+    f"""WITH {EVALUATION}, named AS (SELECT iteration, max(step) AS step FROM snap WHERE iteration IN (1, 2, 3) GROUP BY iteration)
+    SELECT p.iteration, coalesce(n.step, p.best_step) AS best_step, CAST(p.test_error AS DOUBLE) AS test_error,
+    CASE WHEN n.step IS NOT NULL THEN (SELECT count(*) FROM snap s WHERE s.iteration = p.iteration)
+      WHEN EXISTS (SELECT 1 FROM snap s WHERE s.iteration = p.iteration AND s.step = p.best_step)
+      THEN (SELECT count(*) FROM snap s WHERE s.iteration = p.iteration AND s.step < p.best_step) END AS best_index
+    FROM pick p LEFT JOIN named n ON n.iteration = p.iteration"""
+)
+def best_snapshots_named(spark, d):
+    """A snapshot that is named best goes before the evaluation."""
+    iterations, evaluation, snapshots = _models(spark, d)
+    named = snapshots.where("iteration in (1, 2, 3)").groupBy("iteration").agg(F.max("step").alias("step"))
+    named = named.withColumn("snapshot", F.concat(F.lit("snapshot-best-"), F.col("step").cast("string")))
+    return models.best_snapshots(iterations, evaluation, snapshots.unionByName(named), prefer_best=True)
+
+
 @query("SELECT max(o_custkey % 7) AS latest_trained FROM orders WHERE o_custkey % 7 <> 6")
 def latest_trained_iteration(spark, d):
     iterations, _, snapshots = _models(spark, d)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from trackspark.catalog.base import query
 from trackspark.functions import names
 from trackspark.sources.adapters import table
+from trackspark.sources.files import classify_files
 
 # One file path per order, in the forms a project holds.
 PATHS = """
@@ -182,20 +183,22 @@ def video_index(spark, d):
     return names.video_index(known, wanted)
 
 
+# Trace files among all paths: those of models, and processed ones, which have no training number.
 LATEST = PATHS + """,
-t AS (SELECT 'v' || c AS video, path, k % 7 * 100 AS n FROM paths WHERE k % 6 = 2 AND k % 3 = 2)
+t AS (SELECT 'v' || c AS video, path, k % 7 * 100 AS n FROM paths WHERE k % 6 = 2)
 """
 
 
+def _traces(spark, d):
+    return classify_files(paths(spark, d)).where("kind = 'trace'").select("video", "path")
+
+
 @query(f"WITH {LATEST} SELECT video, max(n) AS n FROM t GROUP BY video")
 def latest_trace(spark, d):
-    traces = paths(spark, d).where((F.col("k") % 6 == 2) & (F.col("k") % 3 == 2))
-    traces = traces.select(F.concat(F.lit("v"), F.col("c").cast("string")).alias("video"), "path")
-    return names.latest_trace(traces).select("video", "n")
+    return names.latest_trace(_traces(spark, d)).select("video", "n")
 
 
-@query(f"WITH {LATEST} SELECT DISTINCT video, path, n FROM t WHERE n = 300")
+@query(f"WITH {LATEST} SELECT video, max(path) AS path, n FROM t WHERE n = 300 GROUP BY video, n")
 def trace_of_iteration(spark, d):
-    traces = paths(spark, d).where((F.col("k") % 6 == 2) & (F.col("k") % 3 == 2))
-    traces = traces.select(F.concat(F.lit("v"), F.col("c").cast("string")).alias("video"), "path")
+    traces = _traces(spark, d)
     return names.latest_trace(traces, 300)

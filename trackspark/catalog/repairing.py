@@ -143,17 +143,17 @@ def interpolate_interval(spark, d):
 
 @query(
     f"""WITH {FLOW}, a AS (SELECT video, label, frame AS s, x, y, CASE WHEN k % 2 = 0 THEN frame + 6 ELSE frame - 6 END AS t
-      FROM pred WHERE frame = 20),
+      FROM pred WHERE frame % 20 = 0),
     m AS (SELECT a.*, f.frame, CASE WHEN t > s THEN f.dx_fwd ELSE f.dx_rev END AS dx, CASE WHEN t > s THEN f.dy_fwd ELSE f.dy_rev END AS dy
       FROM a JOIN flow f ON f.video = a.video AND f.label = a.label AND f.frame BETWEEN least(s, t) AND greatest(s, t)),
-    w AS (SELECT *, sum(CASE WHEN frame = s THEN 0 ELSE dx END) OVER (PARTITION BY video, label ORDER BY abs(frame - s)) AS sx,
-      sum(CASE WHEN frame = s THEN 0 ELSE dy END) OVER (PARTITION BY video, label ORDER BY abs(frame - s)) AS sy,
-      bool_or(frame <> s AND (dx IS NULL OR dy IS NULL)) OVER (PARTITION BY video, label) AS hole,
-      count(*) OVER (PARTITION BY video, label) AS n FROM m)
+    w AS (SELECT *, sum(CASE WHEN frame = s THEN 0 ELSE dx END) OVER (PARTITION BY video, label, s ORDER BY abs(frame - s)) AS sx,
+      sum(CASE WHEN frame = s THEN 0 ELSE dy END) OVER (PARTITION BY video, label, s ORDER BY abs(frame - s)) AS sy,
+      bool_or(frame <> s AND (dx IS NULL OR dy IS NULL)) OVER (PARTITION BY video, label, s) AS hole,
+      count(*) OVER (PARTITION BY video, label, s) AS n FROM m)
     SELECT video, label, frame, round(x + sx, 6) AS x, round(y + sy, 6) AS y FROM w WHERE NOT hole AND n = 7"""
 )
 def propagate(spark, d):
-    anchors = src.predictions(spark, d, with_event=True).where("frame = 20").withColumn(
+    anchors = src.predictions(spark, d, with_event=True).where("frame % 20 = 0").withColumn(
         "to", F.when(F.col("k") % 2 == 0, F.col("frame") + 6).otherwise(F.col("frame") - 6)
     )
     return repair.propagate(anchors, src.flow(spark, d), block=src.event_block(spark, d))

@@ -193,9 +193,9 @@ def trace_number(path: str | Column) -> Column:
 
 
 def latest_trace(files: DataFrame, iteration: int | None = None) -> DataFrame:
-    """The trace file of each video with the highest, or the given, training number."""
+    """The trace file of each video with the highest, or the given, training number; of several the last path."""
     numbered = files.withColumn("n", trace_number("path")).where(F.col("n").isNotNull())
     if iteration is not None:
         numbered = numbered.where(F.col("n") == iteration)
-    best = numbered.groupBy("video").agg(F.max_by("path", "n").alias("path"), F.max("n").alias("n"))
+    best = numbered.groupBy("video").agg(F.max_by("path", F.struct("n", "path")).alias("path"), F.max("n").alias("n"))
     return best

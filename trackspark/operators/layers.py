@@ -113,10 +113,10 @@ def _complete_frames(points: DataFrame, declared: DataFrame) -> DataFrame:
 
 def _keep_frames(points: DataFrame, keep: DataFrame) -> DataFrame:
     """Keep the given frames; a layer that would lose everything stays as it is."""
-    emptied = points.select(*LAYER).distinct().join(keep.select(*LAYER).distinct(), list(LAYER), "left_anti")
-    return points.join(keep, [*LAYER, "frame"], "left_semi").unionByName(
-        points.join(emptied, list(LAYER), "left_semi")
-    )
+    kept = keep.select(*LAYER, "frame").distinct().withColumn("_kept", F.lit(True))
+    some = keep.select(*LAYER).distinct().withColumn("_some", F.lit(True))
+    rows = points.join(kept, [*LAYER, "frame"], "left").join(some, list(LAYER), "left")
+    return rows.where(F.col("_kept").isNotNull() | F.col("_some").isNull()).select(*points.columns)
 
 
 def keep_complete_frames(points: DataFrame, declared: DataFrame) -> DataFrame:

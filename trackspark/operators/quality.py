@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackspark.functions.names import is_manual
 from trackspark.operators.layers import diff_layers
 from trackspark.schema import LAYER, LAYER_TRACE
+from trackspark.session import settle
 
 
 def _text_array(values: Sequence[str]):
@@ -143,23 +144,16 @@ def check_label_schema(declared: DataFrame) -> DataFrame:
     One row: label counts agree, names agree, labels some video lacks, and the
     ``point<label>`` names in text order. Videos without labels are no part of it.
     """
-    per_video = declared.select("video", "label").distinct().groupBy("video").agg(
-        F.sort_array(F.collect_set("label")).alias("labels")
-    )
-    # Videos share few distinct label sets, so the final step sees one row per set.
-    sets = per_video.groupBy("labels").agg(F.count(F.lit(1)).alias("n_videos"))
-    merged = sets.agg(
-        F.coalesce(F.sum("n_videos"), F.lit(0)).alias("n_videos"),
-        F.count_distinct(F.size("labels")).alias("_counts"),
-        F.count(F.lit(1)).alias("_sets"),
-        F.array_distinct(F.flatten(F.collect_list("labels"))).alias("_union"),
-        F.collect_list("labels").alias("_all"),
-    )
-    common = F.aggregate("_all", F.col("_union"), lambda acc, s: F.array_intersect(acc, s))
-    return merged.select(
-        "n_videos",
-        (F.col("_counts") <= 1).alias("same_count"),
-        (F.col("_sets") <= 1).alias("same_names"),
-        F.sort_array(F.array_except("_union", common)).alias("missing_somewhere"),
-        F.sort_array(F.transform("_union", lambda v: F.concat(F.lit("point"), v))).alias("bodyparts"),
+    pairs = settle(declared.select("video", "label").distinct())
+    n_labels = pairs.groupBy("video").agg(F.count(F.lit(1)).alias("k"))
+    videos, fewest, most = n_labels.agg(F.count(F.lit(1)), F.min("k"), F.max("k")).first()
+    # A label that every video declares is counted as often as there are videos; one row per label is left.
+    by_label = pairs.groupBy("label").agg((F.count(F.lit(1)) < videos).alias("_missing"))
+    listed = lambda value: F.sort_array(F.collect_list(value))
+    return by_label.agg(
+        F.lit(videos).cast("long").alias("n_videos"),
+        F.lit(fewest == most).alias("same_count"),
+        (F.count_if("_missing") == 0).alias("same_names"),
+        listed(F.when(F.col("_missing"), F.col("label"))).alias("missing_somewhere"),
+        listed(F.concat(F.lit("point"), F.col("label"))).alias("bodyparts"),
     )

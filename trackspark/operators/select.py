@@ -355,11 +355,10 @@ def union_sources(*sources: DataFrame, min_rows: int = 8) -> DataFrame:
     for i, source in enumerate(sources):
         part = source.withColumn("_prio", F.lit(i))
         ranked = part if ranked is None else ranked.unionByName(part)
-    best = top_per_group(ranked, ["video", "image", "frame"], [F.col("_prio")], 1, salt_on=["_prio"], salts=1)
-    best = best.drop("_prio", "rank")
-    # A single count, joined as one row.
-    enough = best.agg((F.count(F.lit(1)) >= min_rows).alias("_enough")).where("_enough")
-    return best.join(F.broadcast(enough), F.lit(True), "left_semi")
+    columns = [c for c in ranked.columns if c not in ("video", "image", "frame", "_prio")]
+    best = ranked.groupBy("video", "image", "frame").agg(F.min_by(F.struct("_prio", *columns), "_prio").alias("_b"))
+    best = settle(best.select("video", "image", "frame", *[F.col(f"_b.{c}").alias(c) for c in columns]).select(*sources[0].columns))
+    return best if best.limit(min_rows).count() >= min_rows else best.where("false")
 
 
 def complete_frame_entries(points: DataFrame, declared: DataFrame) -> DataFrame:
