@@ -102,9 +102,10 @@ def _narrow(x: np.ndarray, width: int) -> bytes:
     return x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _widened(raw: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(raw) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+def _widened(raw: bytes | pa.Buffer, width: int) -> np.ndarray:
+    packed = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    out = np.zeros((len(packed), 8), np.uint8)
+    out[:, :width] = packed
     return out.view(np.uint64).ravel()
 
 
@@ -234,17 +235,18 @@ def _match(plan: Scheme, task: int, tasks: int, table: pa.Table) -> pa.Table:
     """Documents that candidates connect: each but the first of a component, with the first one."""
     keys, sizes, segment, length, low, searches = [], [], [], [], [], []
     seen: set[int] = set()
-    for row in table.to_pylist():
+    for i in range(len(table)):
+        row = {c: table.column(c)[i].as_buffer() for c in ("keys", "sizes", "owner", "segment", "length", "shingles")}
         owner = np.frombuffer(row["owner"], np.uint16)
         own = np.frombuffer(row["keys"], np.uint64)
         # copies in other batches bring the same subsets
         fresh = np.zeros(len(own), bool)
-        for i in np.unique(owner).tolist():
-            if (k := int(own[i])) not in seen:
-                seen.add(k)
-                fresh[i] = True
+        for k in np.unique(owner).tolist():
+            if (key := int(own[k])) not in seen:
+                seen.add(key)
+                fresh[k] = True
         parts = np.frombuffer(row["segment"], np.uint32).reshape(2, -1)
-        wide = len(row["length"]) // max(1, len(owner))
+        wide = row["length"].size // max(1, len(owner))
         flagged = np.frombuffer(row["length"], np.uint8 if wide == 1 else np.uint32).astype(np.int64)
         use = fresh[owner]
         keys.append(own[owner[use]])
@@ -252,9 +254,10 @@ def _match(plan: Scheme, task: int, tasks: int, table: pa.Table) -> pa.Table:
         segment.append(np.repeat(*parts)[use])
         length.append(flagged[use] >> 1)
         searches.append(flagged[use] & 1 == 0)
-        low.append(_widened(row["shingles"], 3)[np.repeat(use, flagged >> 1)])
+        low.append(_widened(row["shingles"], 3)[np.repeat(use, flagged >> 1)].astype(np.uint32))
+    del seen
     keys, sizes, segment, length, low, searches = map(np.concatenate, (keys, sizes, segment, length, low, searches))
-    values = mix(low | (np.repeat(segment, length).astype(np.uint64) << np.uint64(32)), 6)
+    values = mix(low.astype(np.uint64) | (np.repeat(segment, length).astype(np.uint64) << np.uint64(32)), 6)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values)))
     ends = np.cumsum(length)
     whole = mix(segment.astype(np.uint64), 7 + plan.number) + sums[ends] - sums[ends - length]
@@ -262,12 +265,14 @@ def _match(plan: Scheme, task: int, tasks: int, table: pa.Table) -> pa.Table:
     far = _Differences(keys, sizes, values, owner, plan, task, tasks)
     many = len(far.keys)
     signature = np.concatenate((whole, whole[owner] - values))
+    del values, sums, low, keys, sizes
     order = np.argsort(signature)
     signature = signature[order]
     again = signature[1:] == signature[:-1]
     keep = np.append(again, False) | np.append(False, again)
     signature, order = signature[keep], order[keep]
     entry = np.concatenate((np.arange(len(length)), owner))[order]
+    del again, keep, owner
     is_whole = order < len(whole)
     run = np.cumsum(np.append(False, signature[1:] != signature[:-1])[: len(signature)])
     points = far.points(searches, entry, is_whole, run)

@@ -98,6 +98,10 @@ class Tokens:
         ids = self._model.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def forget(self) -> None:
+        """Give back the memory of remembered pieces, as the process may go on with other work."""
+        self._known.clear()
+
     def __call__(self, text: str) -> bytes:
         if "<|" in text or not text.isascii() and UNSPLIT.search(text):
             return self._whole(text)
@@ -179,6 +183,7 @@ def _pack(path: str, window: int, most: int, end: int):
                         done += waiting.pop(emitted)
             yield table(done, False)
         yield table([p for n in windows.open() for p in waiting[n]], True)
+        encode.forget()
 
     return run
 
