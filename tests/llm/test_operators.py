@@ -126,6 +126,22 @@ def test_groups_around_the_threshold(spark, group):
     assert got == want and 20 < len({c for _, c in want.values()}) < 500
 
 
+def test_families_of_several_blocks(spark, monkeypatch):
+    """Blocks of seven documents that meet each other, and few comparisons at a time."""
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    rng = np.random.default_rng(14)
+    texts = []
+    for share in (0.02, 0.06):
+        base = prose(rng, 80, 10**6).split()
+        for _ in range(45):
+            words = list(base)
+            for at in rng.choice(80, int(80 * share * rng.uniform(0.3, 1.2)), replace=False):
+                words[int(at)] = f"x{int(rng.integers(10**6))}"
+            texts.append(" ".join(words))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(documents(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 def test_keep_one_goes_by_row(spark):
     rng = np.random.default_rng(13)
     a, b, c = (prose(rng, 60, 10**6) for _ in range(3))
