@@ -70,8 +70,9 @@ def check_plans(points, steps, landed):
     assert "Exchange" not in plan(blocks.with_halo(points, before=1, after=1, block=BLOCK).withColumn("p", F.lag("x").over(w)))
     assert "Exchange" not in plan(flow.flow_residual(points, steps, block=BLOCK))
     assert "Exchange" not in plan(detect.disagreement(points, landed))
-    once = points.groupBy("video", "label", blocks.BLK).cogroup(steps.groupBy("video", "label", blocks.BLK))
-    assert "Exchange" not in plan(once.applyInArrow(lambda a, b: a.select(["frame"]), "frame long"))
+    met = lambda key, a, b: a.select(["frame"])
+    for other in (steps, points):
+        assert "Exchange" not in plan(blocks.meet_blocks(points, other, met, "frame long", keys=("video", "label")))
 
 
 def test_same_rows_as_from_plain_tables(spark, tables, stored):

@@ -111,6 +111,8 @@ def meet_blocks(
     Both tables carry block numbers. Tables stored in blocks meet where they lie; others are spread first.
     """
     keys = [*keys, BLK]
+    # Both may come from one table, so the columns of one get names of their own.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     sides = [df if layout_of(df) else spread(df, *keys) for df in (left, right)]
     return sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(fn, schema)
 
