@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.schema import TRACE
+from trackspark.session import settle
 
 BITS = 6
 LEVELS = 11
@@ -60,7 +61,7 @@ def frame_nodes(points: DataFrame, noded: DataFrame, frame: str = "frame") -> Da
 
 def inside(points: DataFrame, runs: DataFrame, *, keys: Sequence[str] = TRACE) -> DataFrame:
     """The points at the frames of any run, each once, also where runs overlap."""
-    nodes = with_nodes(runs.select(*keys, "start", "end")).select(*keys, "_level", "_node").distinct()
+    nodes = settle(with_nodes(runs.select(*keys, "start", "end")).select(*keys, "_level", "_node").distinct())
     # A node below another one would find its points a second time.
     parents = F.transform(
         F.sequence(F.col("_level") + 1, F.lit(LEVELS)),
@@ -71,11 +72,11 @@ def inside(points: DataFrame, runs: DataFrame, *, keys: Sequence[str] = TRACE) -
         F.expr(f"shiftright(_node, CAST({BITS} * (_a.level - _level) AS INT))").alias("_node"),
     )
     covered = above.join(nodes, [*keys, "_level", "_node"], "left_semi").select(*keys, F.col("_l").alias("_level"), F.col("_c").alias("_node")).distinct()
-    nodes = nodes.join(covered, [*keys, "_level", "_node"], "left_anti")
+    nodes = settle(nodes.join(covered, [*keys, "_level", "_node"], "left_anti"))
     return frame_nodes(points, nodes).join(nodes, [*keys, "_level", "_node"], "left_semi").drop("_level", "_node")
 
 
 def meet(points: DataFrame, runs: DataFrame, *, keys: Sequence[str] = TRACE) -> DataFrame:
     """Every point with every run that holds its frame; ``runs`` keeps its columns, ``points`` its others."""
-    noded = with_nodes(runs)
+    noded = settle(with_nodes(runs))
     return frame_nodes(points, noded).join(noded, [*keys, "_level", "_node"]).drop("_level", "_node")
