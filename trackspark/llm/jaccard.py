@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.llm.components import components
-from trackspark.llm.tables import id_and_text, small
+from trackspark.llm.tables import id_and_text, release, small
 from trackspark.llm.text import mix, shingles, slices, words
 from trackspark.session import settle
 
@@ -153,6 +153,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 [*(batch.column(c).slice(i, len(sets)) for c in (0, 2, 3)), _signed(key), pa.array([len(s) for s in sets], pa.int64()), _sketches(sets)],
                 ["doc_id", "uid", "print", "key", "n", "sketch"],
             )
+    release()
 
 
 def _subsets(groups: dict[int, int], group: int):
@@ -218,6 +219,7 @@ def _subsets(groups: dict[int, int], group: int):
                             rows += pack([sets[i] for i in some], keys[some], plan)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], schema=schema)
+        release()
 
     return run
 
@@ -226,7 +228,9 @@ def _matching(groups: dict[int, int]):
     """What one task connects through equal hashes of subsets and of their one-deletion neighbourhoods."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         number, task = divmod(key[0].as_py(), 1 << 40)
-        return _match(scheme(number), task, groups[number], table)
+        found = _match(scheme(number), task, groups[number], table)
+        release()
+        return found
 
     return run
 
@@ -432,6 +436,7 @@ def _meetings(meet):
                 if at + 2 < len(cuts):  # another meeting follows in this batch
                     yield from _links(meet, held)
                     held = []
+        release()
 
     return run
 
@@ -530,6 +535,7 @@ def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             packed = pa.array([_narrow(sets[k], MEMBER) for k in use.tolist()], pa.binary())
             sketches = _sketches([sets[k] for k in use.tolist()])
             yield pa.RecordBatch.from_arrays([*(step.column(c) for c in ("key", "root", "n")), sketches, packed], ["key", "root", "n", "sketch", "members"])
+    release()
 
 
 def _joined(docs: DataFrame, group: int) -> DataFrame:

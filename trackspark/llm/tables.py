@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +28,11 @@ def small(ids: DataFrame) -> DataFrame:
     """A table of a few numbers per row, marked for broadcast if it has at most ``BROADCAST_IDS`` rows."""
     ids = settle(ids)
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def release() -> None:
+    """Give freed memory back to the machine at the end of a task; a waiting worker would keep it from the JVM beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)

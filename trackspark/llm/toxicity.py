@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackspark.llm.labelled import sample
-from trackspark.llm.tables import id_and_text
+from trackspark.llm.tables import id_and_text, release
 from trackspark.llm.text import PLAIN, slices, words
 
 SAMPLE = 1500
@@ -253,5 +253,6 @@ def drop_toxic(docs: DataFrame, model: Model | float) -> DataFrame:
         for batch in batches:
             score = np.full(len(batch), model) if isinstance(model, float) else model.scores(batch.column(text))
             yield batch.filter(pa.array(score < 0.5))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
