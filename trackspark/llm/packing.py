@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.llm.tables import id_and_text
+from trackspark.llm.tables import id_and_text, release
 from trackspark.session import settle
 
 WINDOW = 2048
@@ -184,6 +184,7 @@ def _pack(path: str, window: int, most: int, end: int):
             yield table(done, False)
         yield table([p for n in windows.open() for p in waiting[n]], True)
         encode.forget()
+        release()
 
     return run
 
