@@ -8,7 +8,7 @@ from trackspark.operators import quality
 from trackspark.session import scratch_dir
 from trackspark.sources import adapters as src
 from trackspark.sources.files import dropped_sidecar as sidecar
-from trackspark.sources.files import write_dropped_sidecar
+from trackspark.sources.files import read_dropped_sidecar, write_dropped_sidecar
 
 PAIR = ["0", "1"]
 LACKING = """
@@ -123,8 +123,7 @@ def dropped_sidecar_file(spark, d):
     """The sidecar written beside layer files, and read back from there."""
     manual, target = src.manual_layer(spark, d), scratch_dir(spark, "project")
     write_dropped_sidecar(manual, f"{target}/dropped", PAIR)
-    return _present(spark.read.schema("frame long, present string, video string, layer string").json(f"{target}/dropped"))
-
+    return _present(read_dropped_sidecar(spark, f"{target}/dropped"))
 
 
 @query(f"WITH {MANUAL} SELECT count(*) > 0 AS has_trainable_labels FROM manual")
