@@ -2,7 +2,9 @@
 
 import os
 
+from trackspark.schema import PRED
 from trackspark.sources import files
+from trackspark.streaming.arrivals import read_results, stream_predictions
 
 POINTS = "video string, layer string, label string, frame long, x double, y double"
 
@@ -19,3 +21,23 @@ def test_sidecar_of_many_videos(spark, tmp_path):
     got = sorted((r.video, r.layer, r.frame, r.present) for r in files.read_dropped_sidecar(spark, target).collect())
     assert got == sorted((f"v{i}", "a b" if i % 2 else "", f, f'{{"0":[{float(i)},2.0]}}') for i in range(150) for f in (0, 2))
     assert files.discover_layers(spark, target).count() == 0
+
+
+def test_results_of_many_videos(spark, tmp_path):
+    deliver = lambda n, rows: spark.createDataFrame(rows, PRED).write.parquet(f"{tmp_path}/in/{n}")
+    low = {"low": lambda df: df.where("likelihood < 0.5").select("video", "frame")}
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def stream(checkpoint):
+        stream_predictions(spark, source, target, low, checkpoint=str(tmp_path / checkpoint)).awaitTermination()
+        return sorted((r.video, r.frame) for r in read_results(spark, target, "low").collect())
+
+    deliver("a", [(f"v{i}", "0", f, 0.0, 0.0, 0.1 + 0.6 * (f % 2)) for i in range(150) for f in range(3)])
+    assert stream("one") == sorted((f"v{i}", f) for i in range(150) for f in (0, 2))
+    assert len(written(target)) <= 12
+    deliver("b", [("v1", "0", 1, 0.0, 0.0, 0.9), ("v2", "0", 7, 0.0, 0.0, 0.2)])
+    want = sorted([(f"v{i}", f) for i in range(150) if i not in (1, 2) for f in (0, 2)] + [("v2", 7)])
+    assert stream("one") == want
+    (tmp_path / "in").rename(tmp_path / "before")
+    deliver("c", [("v3", "0", 5, 0.0, 0.0, 0.2)])  # another stream starts with micro-batch 0 again
+    assert stream("two") == sorted([r for r in want if r[0] != "v3"] + [("v3", 5)])

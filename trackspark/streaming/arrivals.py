@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,25 +24,30 @@ def stream_predictions(
     needed, and only what arrived is read. A video delivered again replaces its
     results: of several deliveries in one micro-batch the folder modified last
     counts (the larger path on ties), and results that the new delivery no
-    longer has are removed. A repeated micro-batch writes the same again.
+    longer has are gone. A repeated micro-batch writes the same again.
+
+    Every micro-batch has one folder per operator, whatever the number of its
+    videos; `read_results` takes each video's rows from the last one that had it.
     """
     arrivals = spark.readStream.schema(PRED).option("recursiveFileLookup", "true").parquet(source)
     folder = F.regexp_replace("_metadata.file_path", "/[^/]*$", "")
     arrivals = arrivals.select("*", folder.alias("_folder"), F.col("_metadata.file_modification_time").alias("_time"))
 
-    def handle(batch: DataFrame, _: int) -> None:
+    def handle(batch: DataFrame, number: int) -> None:
+        # A new checkpoint counts its micro-batches anew, but under another id.
+        stream = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+        handled = F.lit(time.time_ns())
         batch = batch.persist()
         newest = batch.groupBy("video").agg(F.max_by("_folder", F.struct("_time", "_folder")).alias("_folder"))
         rows = batch.join(newest, ["video", "_folder"], "left_semi").drop("_folder", "_time")
         touched = newest.select("video")
         for name, op in operators.items():
             result = settle(rows.transform(op))
-            path = f"{target}/{name}"
-            # A touched video without results gets an empty partition in place of its old one.
+            # A touched video without results gets a row that says so, in place of its old ones.
             empty = touched.join(result.select("video").distinct(), "video", "left_anti")
             gone = empty.select(*(F.col("video") if f.name == "video" else F.lit(None).cast(f.dataType).alias(f.name) for f in result.schema))
             both = result.withColumn("_kept", F.lit(True)).unionByName(gone.withColumn("_kept", F.lit(False)))
-            both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video").parquet(path)
+            both.withColumn("_handled", handled).write.mode("overwrite").parquet(f"{target}/{name}/{stream}-{number}")
         batch.unpersist()
 
     return (
@@ -54,4 +60,6 @@ def stream_predictions(
 
 def read_results(spark: SparkSession, target: str, name: str) -> DataFrame:
     """The current results of one operator of `stream_predictions`."""
-    return spark.read.parquet(f"{target}/{name}").where("_kept").drop("_kept")
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(f"{target}/{name}")
+    newest = rows.groupBy("video").agg(F.max("_handled").alias("_handled"))
+    return rows.join(newest, ["video", "_handled"], "left_semi").where("_kept").drop("_kept", "_handled")
