@@ -2,6 +2,9 @@
 
 import os
 
+import numpy as np
+
+from trackspark.operators import vectors
 from trackspark.schema import PRED
 from trackspark.sources import files
 from trackspark.streaming.arrivals import read_results, stream_predictions
@@ -41,3 +44,15 @@ def test_results_of_many_videos(spark, tmp_path):
     (tmp_path / "in").rename(tmp_path / "before")
     deliver("c", [("v3", "0", 5, 0.0, 0.0, 0.2)])  # another stream starts with micro-batch 0 again
     assert stream("two") == sorted([r for r in want if r[0] != "v3"] + [("v3", 5)])
+
+
+def test_neighbours_write_a_row_only_once(spark, tmp_path, monkeypatch):
+    """Rows and queries are stored once, however many pieces of a cell they meet."""
+    x = np.random.default_rng(5).normal(size=(1500, 8))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(vectors, "scratch_dir", lambda _, name: str(tmp_path / name))
+    got = vectors.knn(df, df, 3, query_limit=10, cells=2, rows=5).orderBy("query_id", "rank").collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [r.id for r in got] == np.argsort(-(unit @ unit.T), axis=1)[:, :3].ravel().tolist()
+    stored = spark.read.parquet(str(tmp_path / "cells"))
+    assert stored.count() == 1500 and len(written(tmp_path / "cells")) <= 40

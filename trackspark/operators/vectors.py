@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -18,9 +20,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trackspark.functions.blocks import top_per_group
+from trackspark.functions.blocks import spread, top_per_group
 from trackspark.functions.geometry import l2_normalize as unit
-from trackspark.session import settle
+from trackspark.session import scratch_dir, settle
 
 # The driver keeps this many candidate vectors while it picks greedily.
 CANDIDATES = 2048
@@ -258,6 +260,37 @@ def cluster_medoids(features: DataFrame, labels: DataFrame, *, normalize: bool =
 
 # --- neighbours --------------------------------------------------------------------
 
+def _first_of(at: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` most similar for each number in ``at``, in order, ties to the smaller id."""
+    order = np.lexsort((ids, -sim, at))
+    at, ids, sim = at[order], ids[order], sim[order]
+    keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[keep], ids[keep], sim[keep]
+
+
+def _most_similar(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` rows of ``x`` most similar to each query: numbers of queries, ids, similarities.
+
+    A matrix product rounds by where a row stands, so rows next to the ``k``-th are scored once more, each by itself: equal
+    rows get equal similarities.
+    """
+    top = min(k, len(ids))
+    # Bound the similarity block in memory.
+    step = max(1, 4_000_000 // max(1, len(ids)))
+    parts = []
+    slack = 1e-12 * np.linalg.norm(q, axis=1) * (np.linalg.norm(x, axis=1).max() if top else 0.0)
+    for a in range(0, len(q) if top else 0, step):
+        sim = q[a : a + step] @ x.T
+        cut = np.partition(sim, len(ids) - top, axis=1)[:, len(ids) - top] - slack[a : a + step]
+        at, row = np.nonzero(sim >= cut[:, None])
+        at += a
+        exact = [np.einsum("ij,ij->i", q[at[b : b + 65536]], x[row[b : b + 65536]]) for b in range(0, len(at), 65536)]
+        parts.append(_first_of(at, ids[row], np.concatenate(exact), top))
+    if not parts:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
+
+
 def knn(
     features: DataFrame,
     queries: DataFrame,
@@ -271,28 +304,16 @@ def knn(
     """The ``k`` most similar rows per query: ``(query_id, rank, id, similarity)``.
 
     Few queries travel to every task. With more than ``query_limit`` the rows
-    are dealt into ``cells`` around pivots. Queries visit their own cell and
-    then only the cells within reach of their k-th best so far; each meeting
-    keeps its own ``k`` best, so pairs are never written out. Query ids are unique.
+    are dealt into ``cells`` around pivots and stored once. Queries read their own
+    cell and then only the cells within reach of their k-th best so far, so neither
+    pairs nor copies of rows are written. Query ids are unique.
     """
     wanted = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
     schema = "query_id long, id long, similarity double"
 
     def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        parts = []
-        # Bound the similarity block in memory.
-        step = max(1, 4_000_000 // max(1, len(ids)))
-        for a in range(0, len(q_ids), step):
-            sim = q[a : a + step] @ x.T
-            top = min(k, sim.shape[1])
-            for i, row in enumerate(sim):
-                cut = np.partition(row, len(row) - top)[len(row) - top]
-                at = np.flatnonzero(row >= cut)
-                at = at[np.lexsort((ids[at], -row[at]))][:top]
-                parts.append(
-                    pd.DataFrame({"query_id": q_ids[a + i], "id": ids[at], "similarity": row[at]})
-                )
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["query_id", "id", "similarity"])
+        at, found, sim = _most_similar(q, ids, x, k)
+        return pd.DataFrame({"query_id": q_ids[at], "id": found, "similarity": sim})
 
     head = wanted.limit(query_limit + 1).toPandas()
     if len(head) <= query_limit:
@@ -306,7 +327,7 @@ def knn(
 
         found = features.select("id", "embedding").mapInPandas(scan_part, schema)
     else:
-        found = _by_cells(features, wanted, best, schema, k, normalize, cells, CELL_ROWS if rows is None else rows)
+        found = _by_cells(features, wanted, schema, k, normalize, cells, CELL_ROWS if rows is None else rows)
     order = [F.desc("similarity"), F.asc("id")]
     ranked = top_per_group(found, ["query_id"], order, k, salt_on=["id"], salts=8)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "similarity")
@@ -335,6 +356,11 @@ class Cells:
         """Distance within which rows of at least this similarity lie from each query."""
         return np.sqrt(np.maximum(0.0, (x * x).sum(1) + self.longest**2 - 2.0 * similarity))
 
+    def within(self, x: np.ndarray, cell: int, reach: np.ndarray) -> np.ndarray:
+        """Which queries may have a row of this cell within their reach."""
+        distance = np.linalg.norm(x - self.pivots[cell], axis=1)
+        return np.maximum(distance - self.outer[cell], self.inner[cell] - distance) <= reach * (1 + 1e-9) + 1e-7
+
     def reached(self, distance: np.ndarray, reach: float) -> np.ndarray:
         """The cells that may hold a row within ``reach`` of a query, given its distances to the pivots."""
         least = np.maximum(distance - self.outer, self.inner - distance)
@@ -366,33 +392,21 @@ def cells_of(features: DataFrame, n_cells: int, normalize: bool) -> tuple[Cells,
     return cells, placed.select("cell", "id", "vec")
 
 
-def _by_cells(features, wanted, best, schema, k, normalize, n_cells, rows) -> DataFrame:
-    """Candidates for each query: the best of its own cell, then of the cells that the k-th of these does not rule out.
+def _by_cells(features, wanted, schema, k, normalize, n_cells, rows) -> DataFrame:
+    """The best of each query: of its own cell, then of the cells that the k-th best so far does not rule out.
 
-    A cell is cut into parts of about ``rows`` rows, and so are the queries that visit it, so a meeting is bounded on both
-    sides.
+    Cells are stored once in the shared folder. A crowd of queries of one cell reads them, ``rows`` rows at a time, nearest
+    cells first, and keeps ``k`` rows per query, so what is written grows with rows and queries, not with their meetings.
+    Larger tables are met in larger pieces: a sixteenth of the table, ``CELL_ROWS`` rows at most.
     """
     n_cells = n_cells or min(MOST_CELLS, max(2, math.ceil(features.count() / rows)))
     cells, placed = cells_of(features, n_cells, normalize)
-    parts = F.create_map(*[F.lit(v) for c, n in enumerate(cells.rows.tolist()) if n for v in (c, math.ceil(n / rows))])
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(parts, F.col("cell"))))
-
-    def visits(asked: DataFrame) -> DataFrame:
-        """The best of the cells that ``asked`` (query_id, vec, cell) names."""
-        crowd = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).alias("crowds"))
-        left = asked.join(crowd, "cell").select(
-            "query_id", "vec", "cell", F.pmod(F.xxhash64("query_id"), F.col("crowds")).alias("crowd"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.element_at(parts, F.col("cell")) - F.lit(1).cast("long"))).alias("part"),
-        )
-        right = placed.join(crowd, "cell").select("cell", "part", "id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.col("crowds") - 1)).alias("crowd"))
-
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-            return best(a["query_id"].to_numpy(), np.stack(a["vec"]), b["id"].to_numpy(), np.stack(b["vec"]))
-
-        keys = ["cell", "part", "crowd"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema)
+    rows = max(rows, min(CELL_ROWS, math.ceil(int(cells.rows.sum()) / 16)))
+    pieces = lambda counted: F.ceil(counted / rows).cast("long")
+    sizes = F.create_map(*[F.lit(v) for c, n in enumerate(cells.rows.tolist()) if n for v in (c, n)])
+    folder = scratch_dir(features.sparkSession, "cells")
+    part = F.pmod(F.xxhash64("id"), pieces(F.element_at(sizes, F.col("cell"))))
+    spread(placed.withColumn("part", part), "cell", "part").drop("part").write.partitionBy("cell").parquet(folder)
 
     def own_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -401,25 +415,38 @@ def _by_cells(features, wanted, best, schema, k, normalize, n_cells, rows) -> Da
                 far = np.where(cells.rows > 0, cells.to_pivots(x), np.inf)
                 yield pd.DataFrame({"query_id": pdf["query_id"], "vec": list(x), "cell": far.argmin(1)})
 
-    asked = settle(wanted.mapInPandas(own_cell, "query_id long, vec array<double>, cell long"))
-    order = [F.desc("similarity"), F.asc("id")]
-    near = settle(top_per_group(visits(asked), ["query_id"], order, k, salt_on=["id"], salts=8).drop("rank"))
-    kth = near.groupBy("query_id").agg(F.min("similarity").alias("kth"), F.count(F.lit(1)).alias("n"))
-
-    def further(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
+    def stored(cell: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        system, root = fs.FileSystem.from_uri(f"{folder}/cell={cell}")
+        for file in system.get_file_info(fs.FileSelector(root)):
+            if not file.base_name.endswith(".parquet") or file.base_name.startswith((".", "_")):
                 continue
-            x = np.stack(pdf["vec"])
-            reach = np.where(pdf["n"].fillna(0) >= k, cells.reach(x, pdf["kth"].fillna(0.0).to_numpy(float)), np.inf)
-            far = cells.to_pivots(x)
-            to = [cells.reached(d, r) for d, r in zip(far, reach, strict=True)]
-            to = [c[c != own] for c, own in zip(to, pdf["cell"].to_numpy(), strict=True)]
-            yield pd.DataFrame({"query_id": pdf["query_id"], "vec": pdf["vec"], "to": to})
-
-    more = asked.join(kth, "query_id", "left").mapInPandas(further, "query_id long, vec array<double>, to array<long>")
-    more = settle(more.select("query_id", "vec", F.explode("to").alias("cell")))
-    return near.select("query_id", "id", "similarity").unionByName(visits(more))
+            with system.open_input_file(file.path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(batch_size=rows, columns=["id", "vec"]):
+                    ids, vec = batch.column(0).to_numpy(), batch.column(1)
+                    yield ids, vec.flatten().to_numpy().reshape(len(ids), -1)
+
+    def search(asked: pd.DataFrame) -> pd.DataFrame:
+        x, q_ids, own = np.stack(asked["vec"]), asked["query_id"].to_numpy(), int(asked["cell"].iloc[0])
+        best = np.empty(0, int), np.empty(0, int), np.empty(0)
+        reach = np.full(len(x), np.inf)
+        from_own = np.linalg.norm(cells.pivots - cells.pivots[own], axis=1)
+        from_own[own] = -1.0  # first, also where pivots are equal
+        for cell in np.argsort(from_own, kind="stable"):
+            near = np.flatnonzero(cells.within(x, cell, reach)) if cells.rows[cell] else []
+            if not len(near):
+                continue
+            for ids, vec in stored(cell):
+                at, found, sim = _most_similar(x[near], ids, vec, k)
+                best = _first_of(*(np.concatenate(pair) for pair in zip(best, (near[at], found, sim), strict=True)), k)
+            n = np.bincount(best[0], minlength=len(x))
+            full = n >= k
+            reach[full] = cells.reach(x[full], best[2][np.cumsum(n)[full] - 1])
+        return pd.DataFrame({"query_id": q_ids[best[0]], "id": best[1], "similarity": best[2]})
+
+    asked = settle(wanted.mapInPandas(own_cell, "query_id long, vec array<double>, cell long"))
+    crowds = asked.groupBy("cell").agg(pieces(F.count(F.lit(1))).alias("crowds"))
+    asked = asked.join(crowds, "cell").withColumn("crowd", F.pmod(F.xxhash64("query_id"), F.col("crowds"))).drop("crowds")
+    return spread(asked, "cell", "crowd").groupBy("cell", "crowd").applyInPandas(search, schema)
 
 
 # --- budgets over groups -------------------------------------------------------------
