@@ -7,6 +7,7 @@ import numpy as np
 from trackspark.operators import vectors
 from trackspark.schema import PRED
 from trackspark.sources import files
+from trackspark.sources.layer_files import write_layer_files
 from trackspark.streaming.arrivals import read_results, stream_predictions
 
 POINTS = "video string, layer string, label string, frame long, x double, y double"
@@ -56,3 +57,13 @@ def test_neighbours_write_a_row_only_once(spark, tmp_path, monkeypatch):
     assert [r.id for r in got] == np.argsort(-(unit @ unit.T), axis=1)[:, :3].ravel().tolist()
     stored = spark.read.parquet(str(tmp_path / "cells"))
     assert stored.count() == 1500 and len(written(tmp_path / "cells")) <= 40
+
+
+def test_listing_beside_a_sidecar(spark, tmp_path):
+    points = spark.createDataFrame([(f"v{i}", "one", "0", 3, float(i), 2.0) for i in range(60)], POINTS)
+    target = str(tmp_path / "project")
+    write_layer_files(points, points.select("video", "layer", "label").distinct(), target)
+    files.write_dropped_sidecar(points, f"{target}/dropped", ["0", "1"])
+    assert len(written(target)) <= 60 + 12
+    listed = files.discover_layers(spark, target).collect()
+    assert sorted(r.video for r in listed) == sorted(f"v{i}" for i in range(60)) and {r.layer for r in listed} == {"one"}
