@@ -76,3 +76,21 @@ def test_listing_beside_a_sidecar(spark, tmp_path):
     assert len(written(target)) <= 60 + 12
     listed = files.discover_layers(spark, target).collect()
     assert sorted(r.video for r in listed) == sorted(f"v{i}" for i in range(60)) and {r.layer for r in listed} == {"one"}
+
+
+def test_training_tables_of_many_videos(spark, tmp_path):
+    points = spark.createDataFrame([(f"v{i}", "one", "0", f, float(i), 2.0) for i in range(150) for f in range(2)], POINTS)
+    files.write_training_feed(points, ["0", "1"], str(tmp_path / "training"))
+    found = written(tmp_path / "training")
+    assert len(found) <= 12 and all(open(f).readline().startswith("scorer,") for f in found)
+    back = files.read_training_csv(spark, str(tmp_path / "training"), file_glob="*.txt")
+    assert sorted((r.video, r.frame, r.x) for r in back.collect()) == sorted((f"v{i}", f, float(i)) for i in range(150) for f in range(2))
+
+
+def test_traces_of_many_videos(spark, tmp_path):
+    named = lambda i: ("scorer", 'a, "b"\\', " c ")[i] if i < 3 else f"v{i}"
+    rows = [(named(i), "1", f, float(i), None, 0.5) for i in range(150) for f in range(2)]
+    files.write_predictions_csv(spark.createDataFrame(rows, PRED), ["0", "1"], str(tmp_path / "traces"))
+    assert len(written(tmp_path / "traces")) <= 12
+    back = files.read_predictions_csv(spark, str(tmp_path / "traces"), file_glob="*.txt", with_video=True)
+    assert sorted((r.video, r.label, r.frame, r.x, r.y, r.likelihood) for r in back.collect()) == sorted(rows)

@@ -62,9 +62,8 @@ def prediction_files(spark, d):
     pred = pred.withColumns({c: F.when(~hole, F.col(c)) for c in ("x", "y", "likelihood")})
     target = scratch_dir(spark, "traces")
     files.write_predictions_csv(pred, ["0", "1"], target)
-    back = files.read_predictions_csv(spark, f"{target}/*/", file_glob="*.txt")
-    video = F.regexp_extract("path", "folder=([^/]+)", 1)
-    return back.withColumn("video", video).select("video", "label", "frame", "x", "y", "likelihood")
+    back = files.read_predictions_csv(spark, target, file_glob="*.txt", with_video=True)
+    return back.select("video", "label", "frame", "x", "y", "likelihood")
 
 
 @query(
