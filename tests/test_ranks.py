@@ -91,3 +91,18 @@ def test_robust_threshold_regimes(spark, in_order, framed):
     assert got["n"].threshold == pytest.approx(med + 5 * 1.4826 * mad)
     assert got["spiky"].threshold == pytest.approx(4.0)
     assert got["flat"].threshold == float("inf")
+
+
+def test_short_keys_are_sorted_and_long_ones_narrowed(spark, monkeypatch):
+    """A long key does not send the short ones through the rounds, and with short keys alone there are none."""
+    narrowed = []
+    real = ranks._narrowed_percentiles
+    monkeypatch.setattr(ranks, "_narrowed_percentiles", lambda base, *a: narrowed.append(base.select("k").distinct().count()) or real(base, *a))
+    rows = [(f"k{i}", float(i * j % 7)) for i in range(40) for j in range(5)] + [("hot", float(j)) for j in range(60)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: (r.n, r.m) for r in ranks.percentiles(df, ["k"], "x", {"m": 0.3}, in_order=10).collect()}
+    assert narrowed == [1] and len(got) == 41
+    for k in got:
+        assert got[k] == (len(v := [x for key, x in rows if key == k]), pytest.approx(np.percentile(v, 30)))
+    ranks.percentiles(df.where("k <> 'hot'"), ["k"], "x", {"m": 0.3}, in_order=10).collect()
+    assert narrowed == [1]

@@ -1,6 +1,7 @@
-"""Exact order statistics of groups of any size, by radix selection.
+"""Exact order statistics of groups of any size, by sorting or by radix selection.
 
-Doubles become longs of the same order. Values are counted by key and leading bits; the running count says which bucket holds
+Rows of keys that few enough rows share are sorted by key and value, in one shuffle. Those of longer keys are narrowed down:
+doubles become longs of the same order. Values are counted by key and leading bits; the running count says which bucket holds
 a wanted rank, and only rows of that bucket go on to the next bits. Three rounds settle all 64 bits, but a bucket whose values
 are equal, or that few enough rows share to be put in order, is settled at once. Counts are combined before the shuffle, rows
 meet the buckets in an equi-join on key and bits, and no list of keys or values leaves the tables, so one long key among
@@ -19,7 +20,7 @@ from trackspark.session import settle
 
 #: Bits below the leading ones, by round.
 SHIFTS = (44, 22, 0)
-#: Rows of a bucket that one task may put in order.
+#: Rows of a key or a bucket that one task may put in order.
 IN_ORDER = 1 << 16
 _HALF = 1 << 52  # longs of one power of two
 
@@ -60,6 +61,52 @@ def _hit(upto: Column, wanted: Column) -> Column:
     return F.transform(inside, lambda w: F.struct(w["id"].alias("id"), (w["rank"] - start).alias("rank")))
 
 
+def by_length(df: DataFrame, keys: Sequence[str], in_order: int = IN_ORDER) -> tuple[DataFrame | None, DataFrame | None]:
+    """The rows of keys that at most ``in_order`` rows share, and the rows of longer ones; None where there are none."""
+    if in_order <= 0:
+        return None, df
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
+    shortest, longest = sizes.agg(F.min("_m"), F.max("_m")).first()
+    if longest is None or longest <= in_order:
+        return df, None
+    if shortest > in_order:
+        return None, df
+    long_keys = settle(sizes.where(F.col("_m") > in_order).select(*keys))
+    return df.join(long_keys, list(keys), "left_anti"), df.join(long_keys, list(keys), "left_semi")
+
+
+def between(name: str, prob: float, n: Column) -> Column:
+    """The percentile of ``n`` values from the two around it, ``_0_<name>`` and ``_1_<name>``."""
+    lower, upper, at = F.col(f"_0_{name}"), F.col(f"_1_{name}"), (n - 1) * F.lit(float(prob))
+    return lower + (upper - lower) * (at - F.floor(at))
+
+
+def at_ranks(value: str, probs: dict[str, float], n: Column, upto: Column, count: Column) -> dict[str, Column]:
+    """Values at the ranks around each percentile, as aggregates over the sorted rows of a short key.
+
+    A row covers the ranks from ``upto - count`` to ``upto - 1`` of ``n``.
+    """
+    out = {}
+    for name, p in probs.items():
+        at = (n - 1) * F.lit(float(p))
+        for side, f in enumerate((F.floor, F.ceil)):
+            rank = f(at).cast("long")
+            out[f"_{side}_{name}"] = F.max(F.when((rank >= upto - count) & (rank < upto), F.col(value)))
+    return out
+
+
+def _sorted_percentiles(base: DataFrame, keys: list[str], probs: dict[str, float]) -> DataFrame:
+    """Percentiles of keys that are short enough to be sorted by one task, in one shuffle."""
+    whole = Window.partitionBy(*keys)
+    along = whole.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = base.withColumn("_upto", F.sum("_c").over(along)).withColumn("n", F.sum("_c").over(whole))
+    around = at_ranks("_v", probs, F.col("n"), F.col("_upto"), F.col("_c"))
+    got = rows.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.min("_v").alias("v_min"), F.max("_v").alias("v_max"), *[c.alias(name) for name, c in around.items()]
+    )
+    return got.select(*keys, "n", "v_min", "v_max", *[between(name, p, F.col("n")).alias(name) for name, p in probs.items()])
+
+
 def percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -71,14 +118,22 @@ def percentiles(
 ) -> DataFrame:
     """Exact linear-interpolated percentiles per key, plus ``n``, ``v_min`` and ``v_max``.
 
-    NULL values are left out. ``weight`` is a column that says how often a row counts. ``df`` is read once for the leading
-    bits and once for each further round, so a costly one should be settled before.
+    NULL values are left out. ``weight`` is a column that says how often a row counts. ``df`` is read twice, to count the rows
+    of the keys and to rank them, so a costly one should be settled before.
     """
     keys = list(keys)
     base = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_v"), (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_c")
     )
-    rows = base.withColumn("_s", sortable(F.col("_v")))
+    short, long = by_length(base, keys, in_order)
+    parts = [] if short is None else [_sorted_percentiles(short, keys, probs)]
+    parts += [] if long is None else [_narrowed_percentiles(long, keys, probs, in_order)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _narrowed_percentiles(base: DataFrame, keys: list[str], probs: dict[str, float], in_order: int) -> DataFrame:
+    """Percentiles of keys of any length. Rows are settled with their bits; a round leaves only those of wanted buckets."""
+    rows = settle(base.withColumn("_s", sortable(F.col("_v"))))
     whole = Window.partitionBy(*keys)
     along = whole.orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
     # A key has at most 2^20 leading bits, and in practice some hundreds.
@@ -103,6 +158,9 @@ def percentiles(
         wanted = open_.select(*keys, "n", "v_min", "v_max", F.col("_d").alias("_p"), "_t")
         inside = rows.withColumn("_p", F.shiftright("_s", shift)).join(wanted, [*keys, "_p"])
         last = largest <= in_order
+        if not last and next_shift:
+            inside = settle(inside)
+            rows = inside.select(*rows.columns)
         cut = 0 if last else next_shift
         step = inside.groupBy(*keys, "_p", _digits(cut)).agg(
             F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
@@ -121,12 +179,7 @@ def percentiles(
         *[F.first(c).alias(c) for c in ("n", "v_min", "v_max")],
         *[pick(2 * i + side).alias(f"_{side}_{name}") for i, name in enumerate(probs) for side in (0, 1)],
     )
-    lower, upper = (lambda name: F.col(f"_0_{name}")), (lambda name: F.col(f"_1_{name}"))
-    share = lambda name: at[name] - F.floor(at[name])
-    return got.select(
-        *keys, "n", "v_min", "v_max",
-        *[(lower(name) + (upper(name) - lower(name)) * share(name)).alias(name) for name in probs],
-    )
+    return got.select(*keys, "n", "v_min", "v_max", *[between(name, p, F.col("n")).alias(name) for name, p in probs.items()])
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, name: str = "pos") -> DataFrame:

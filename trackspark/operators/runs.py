@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.blocks import BLK, BLOCK, block_of
-from trackspark.functions.ranks import IN_ORDER, percentiles
+from trackspark.functions.ranks import IN_ORDER, at_ranks, between, by_length, percentiles
 from trackspark.schema import TRACE
 from trackspark.session import settle
 
@@ -113,16 +114,43 @@ def robust_threshold(
 
     Normal signals get ``median + factor * 1.4826 * MAD``. A flat signal with
     spikes gets the midpoint of median and maximum, a constant one infinity.
-    ``values`` is read several times. With a ``frame`` column, medians meet the
-    rows block by block.
+    ``values`` is read several times. Traces of at most ``in_order`` rows are
+    sorted, once by value and once by deviation, in one shuffle. Longer ones
+    are narrowed down; with a ``frame`` column their medians meet the rows
+    block by block.
     """
     keys = list(keys)
     framed = "frame" in values.columns
     at = [c for c in ("frame", BLK) if c in values.columns] if framed else []
     rows = values.where(F.col(value).isNotNull()).select(*keys, value, *at)
+    short, long = by_length(rows, keys, in_order)
+    parts = [] if short is None else [_short_figures(short, value, keys)]
+    parts += [] if long is None else [_long_figures(long, value, keys, framed, in_order, block)]
+    return reduce(DataFrame.unionByName, parts).select(*keys, "n", "med", "mad", _threshold(factor).alias("threshold"))
+
+
+def _short_figures(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """Median, MAD and range of traces that one task may sort."""
+    whole = Window.partitionBy(*keys)
+    one, n, upto = F.lit(1), F.col("n"), F.col("_upto")
+    place = lambda by: F.row_number().over(whole.orderBy(by))
+    ranked = rows.select(*keys, F.col(value).cast("double").alias("_v"))
+    ranked = ranked.withColumn("_upto", place("_v")).withColumn("n", F.count(one).over(whole))
+    around = at_ranks("_v", {"med": 0.5}, n, upto, one)
+    ranked = ranked.withColumns({name: c.over(whole) for name, c in around.items()}).withColumn("med", between("med", 0.5, n))
+    ranked = ranked.withColumn("_dev", F.abs(F.col("_v") - F.col("med"))).withColumn("_upto", place("_dev"))
+    got = ranked.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in ("n", "med")], F.min("_v").alias("v_min"), F.max("_v").alias("v_max"),
+        *[c.alias(name) for name, c in at_ranks("_dev", {"mad": 0.5}, n, upto, one).items()],
+    )
+    return got.select(*keys, "n", "v_min", "v_max", "med", between("mad", 0.5, n).alias("mad"))
+
+
+def _long_figures(rows: DataFrame, value: str, keys: list[str], framed: bool, in_order: int, block: int) -> DataFrame:
+    """Median, MAD and range of traces of any length."""
     shape = settle(percentiles(rows, keys, value, {"med": 0.5}, in_order=in_order))
     if framed:
-        rows = rows if BLK in at else rows.withColumn(BLK, block_of("frame", block))
+        rows = rows if BLK in rows.columns else rows.withColumn(BLK, block_of("frame", block))
         rows = rows.join(
             by_block(shape.select(*keys, "med"), rows, keys=keys, block=block), [*keys, BLK]
         )
@@ -130,7 +158,7 @@ def robust_threshold(
         rows = rows.join(shape.select(*keys, "med"), keys)
     far = rows.withColumn("_dev", F.abs(F.col(value) - F.col("med")))
     mad = percentiles(far, keys, "_dev", {"mad": 0.5}, in_order=in_order).select(*keys, "mad")
-    return shape.join(mad, keys).select(*keys, "n", "med", "mad", _threshold(factor).alias("threshold"))
+    return shape.join(mad, keys)
 
 
 def _threshold(factor: float) -> Column:
