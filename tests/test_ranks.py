@@ -106,3 +106,20 @@ def test_short_keys_are_sorted_and_long_ones_narrowed(spark, monkeypatch):
         assert got[k] == (len(v := [x for key, x in rows if key == k]), pytest.approx(np.percentile(v, 30)))
     ranks.percentiles(df.where("k <> 'hot'"), ["k"], "x", {"m": 0.3}, in_order=10).collect()
     assert narrowed == [1]
+
+
+@pytest.mark.parametrize("in_order", [0, 20, 60, 10**6])
+def test_ordinal_of_short_and_long_keys(spark, in_order):
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else f"k{i % 7}", rng.randint(0, 30), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, t long, id long").repartition(5)
+    got = {r.id: (r.k, r.pos) for r in ranks.ordinal(df, ["k"], ["t", "id"], in_order=in_order).collect()}
+    place = {i: (k, sorted((u, j) for q, u, j in rows if q == k).index((t, i))) for k, t, i in rows}
+    assert got == place
+
+
+def test_ordinal_of_short_keys_deals_rows_once(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "settle", lambda df: pytest.fail("short keys are not settled"))
+    df = spark.createDataFrame([(f"k{i % 9}", i) for i in range(90)], "k string, t long")
+    plan = ranks.ordinal(df, ["k"], ["t"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan

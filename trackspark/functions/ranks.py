@@ -182,14 +182,29 @@ def _narrowed_percentiles(base: DataFrame, keys: list[str], probs: dict[str, flo
     return got.select(*keys, "n", "v_min", "v_max", *[between(name, p, F.col("n")).alias(name) for name, p in probs.items()])
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], *, name: str = "pos") -> DataFrame:
+def ordinal(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, name: str = "pos", in_order: int = IN_ORDER
+) -> DataFrame:
     """Zero-based rank by ``order`` inside each key, for keys of any size.
 
+    Rows of keys that at most ``in_order`` rows share are ranked in one shuffle, those of longer ones as `_dealt_ranks` does.
+    ``df`` is also read to count the rows of its keys, its other columns are not needed for that.
+    """
+    keys = list(keys)
+    short, long = by_length(df, keys, in_order)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1
+    parts = [] if short is None else [short.withColumn(name, rank)]
+    parts += [] if long is None else [_dealt_ranks(long, keys, order, name)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _dealt_ranks(df: DataFrame, keys: list[str], order: Sequence[str], name: str) -> DataFrame:
+    """Ranks of keys of any length.
+
     Rows are dealt out by ranges of key and order, so a long key covers several partitions; a rank is the place inside the
     partition plus the key's rows in the partitions before. The dealt rows are settled, as a second sampling of the
     ranges could cut them elsewhere.
     """
-    keys = list(keys)
     dealt = settle(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_m"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
