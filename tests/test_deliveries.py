@@ -4,6 +4,7 @@ import json
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,32 @@ def test_gaps_in_parts_equal_the_batch(spark, tmp_path, seed):
     got = sorted(map(str, spark.read.schema(GAP).parquet(target).collect()))
     want = detect.find_gaps(df.drop("part"), bracket=2, max_gap=9, dense=True)
     assert got == sorted(map(str, want.select(*[f.name for f in spark.createDataFrame([], GAP).schema]).collect())) and len(got) > 15
+
+
+class _Held:
+    """State of one trace, and a stream that gives back the function it is asked to run."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def select(self, *_):
+        return self
+
+    groupBy = select
+
+    def applyInPandasWithState(self, step, *_):
+        return step
+
+
+def test_parts_without_gaps_make_no_tables():
+    part = lambda frames, low=(): pd.DataFrame({
+        "frame": frames, "x": [float(f) for f in frames], "y": [None] * len(frames), "likelihood": [0.1 if f in low else 0.99 for f in frames],
+    })
+    state = _Held()
+    step = gaps_in_parts(state, bracket=2, max_gap=9)
+    assert list(step(("v", "0"), iter([part([3, 1, 2, 0]), part([2, 4, 5], {5})]), state)) == []
+    assert state.get[0] == [3, 4, 5] and state.get[2] == [None] * 3
+    found = list(step(("v", "0"), iter([part([7, 5, 6, 8])]), state))
+    assert [(r.start, r.end, r.ax0, r.ax1) for f in found for r in f.itertuples()] == [(5, 5, 4.0, 6.0)]

@@ -31,14 +31,17 @@ def gaps_in_parts(
     of an earlier micro-batch are taken as repeated deliveries and left out.
     """
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([p[["frame", "x", "y", "likelihood"]] for p in parts]).sort_values("frame").drop_duplicates("frame")
-        overlong = False
+        # There are very many short parts, so rows are handled as arrays; a table for each part would cost more than its rows.
+        parts = list(parts)
+        column = lambda name, kind: np.concatenate([p[name].to_numpy(kind) for p in parts])
+        frame, first = np.unique(column("frame", np.int64), return_index=True)
+        points, overlong = [column(c, float)[first] for c in ("x", "y", "likelihood")], False
         if state.exists:
-            frames, xs, ys, likelihoods, overlong = state.get
-            held = pd.DataFrame({"frame": list(frames), "x": list(xs), "y": list(ys), "likelihood": list(likelihoods)})
-            rows = pd.concat([held, rows[rows["frame"] > (held["frame"].iloc[-1] if len(held) else -np.inf)]])
-        frame = rows["frame"].to_numpy(np.int64)
-        x, y, likelihood = (pd.to_numeric(rows[c]).to_numpy(float) for c in ("x", "y", "likelihood"))
+            frames, *held, overlong = state.get
+            later = frame > frames[-1] if len(frames) else np.full(len(frame), True)
+            frame = np.concatenate([np.array(list(frames), np.int64), frame[later]])
+            points = [np.concatenate([np.array(list(old), float), new[later]]) for old, new in zip(held, points, strict=True)]
+        x, y, likelihood = points
         ok = ~np.isnan(likelihood) & (likelihood >= high)
         edges = np.flatnonzero(np.diff(np.concatenate(([True], ok, [True])).astype(int)))
         found, keep = [], max(0, len(frame) - bracket)
@@ -57,10 +60,11 @@ def gaps_in_parts(
             if not worst > low:
                 found.append((*key, int(frame[a]), int(frame[b - 1]), int(b - a), x[a - 1], y[a - 1], x[b], y[b], worst))
         first_open = len(frame) and not ok[keep] and keep == len(frame) - 1
-        plain = lambda values: [None if np.isnan(v) else float(v) for v in values]
+        plain = lambda values: [None if v != v else v for v in values.tolist()]
         state.update(([int(f) for f in frame[keep:]], plain(x[keep:]), plain(y[keep:]), plain(likelihood[keep:]), bool(first_open)))
-        columns = ["video", "label", "start", "end", "length", "ax0", "ay0", "ax1", "ay1", "min_likelihood"]
-        yield pd.DataFrame(found, columns=columns)
+        if found:
+            columns = ["video", "label", "start", "end", "length", "ax0", "ay0", "ax1", "ay1", "min_likelihood"]
+            yield pd.DataFrame(found, columns=columns)
 
     rows = arrivals.select(*TRACE, "frame", "x", "y", "likelihood")
     return rows.groupBy(*TRACE).applyInPandasWithState(step, GAP, STATE, "append", GroupStateTimeout.NoTimeout)
