@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 
+from trackspark.catalog import filing
 from trackspark.operators import vectors
 from trackspark.schema import PRED
 from trackspark.sources import files
@@ -94,3 +95,12 @@ def test_traces_of_many_videos(spark, tmp_path):
     assert len(written(tmp_path / "traces")) <= 12
     back = files.read_predictions_csv(spark, str(tmp_path / "traces"), file_glob="*.txt", with_video=True)
     assert sorted((r.video, r.label, r.frame, r.x, r.y, r.likelihood) for r in back.collect()) == sorted(rows)
+
+
+def test_listing_makes_its_points_once(spark, monkeypatch):
+    made = []
+    real = filing.src.manual_layer
+    monkeypatch.setattr(filing.src, "manual_layer", lambda *a: made.append(a) or real(*a))
+    monkeypatch.setattr(filing, "settle", lambda df: made.append("settled") or df)
+    listed = filing.layer_file_listing(spark, "/root/testdata/sf0.001")
+    assert len(made) == 2 and made[1] == "settled" and listed.where("manual").count() == listed.count() > 0

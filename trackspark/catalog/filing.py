@@ -135,16 +135,17 @@ def evaluation_files(spark, d):
 
 
 def _layer_files(spark, d):
-    manual = src.manual_layer(spark, d)
+    # Documents and declared labels read the points several times.
+    manual = settle(src.manual_layer(spark, d))
     target = scratch_dir(spark, "layer-files")
     write_layer_files(manual, src.declared(manual, extra=("4",)), target)
-    return target
+    return target, manual
 
 
 @query(f"WITH {MANUAL} SELECT video, layer, label, frame, {XY} FROM manual")
 def layer_files_each(spark, d):
     """One file per video and layer, written by the data source and read back."""
-    return read_layer_files(spark, _layer_files(spark, d))[0]
+    return read_layer_files(spark, _layer_files(spark, d)[0])[0]
 
 
 @query(
@@ -153,8 +154,8 @@ def layer_files_each(spark, d):
 )
 def layer_file_listing(spark, d):
     """All columns of a listing of the written files; a sidecar among them is no layer."""
-    target = _layer_files(spark, d)
-    files.write_dropped_sidecar(src.manual_layer(spark, d), f"{target}/dropped", ["0", "1"])
+    target, manual = _layer_files(spark, d)
+    files.write_dropped_sidecar(manual, f"{target}/dropped", ["0", "1"])
     listed = files.discover_layers(spark, target)
     return listed.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "kind", "video", "layer", "dense", "manual")
 
