@@ -169,3 +169,25 @@ def test_review(spark):
     order = V.farthest_point_sample(frame(spark, x), 60, return_radii=True)
     radius = V.review_defaults(60, [r.radius for r in order.orderBy("rank").collect()])["min_dist"]
     assert {r.id for r in V.select_within_radius(order, radius).collect()} <= ids
+
+
+def test_rows_below_the_best_so_far_are_not_ranked(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 12)) * rng.choice([1e-3, 1.0, 40.0], (3000, 1))
+    x[2000:2040] = x[5]  # equal rows in both halves
+    x[2500:2520] = x[7] * (1 + 1e-9 * rng.normal(size=(20, 1)))  # nearer to each other than single precision tells
+    x[9] = 0.0
+    q, ids = x[:400], rng.permutation(3000)
+    sim = np.stack([np.einsum("ij,ij->i", np.broadcast_to(v, x.shape), x) for v in q])
+    want = [sorted(zip(-sim[i], ids, strict=True))[:6] for i in range(len(q))]
+    best = V._most_similar(q, ids[:1500], x[:1500], 6)
+    assert best[0].tolist() == np.repeat(np.arange(400), 6).tolist()
+    calls, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda *a, **b: calls.append(a[0].shape[0]) or partition(*a, **b))
+    more = V._most_similar(q, ids[1500:], x[1500:], 6, best[2][5::6])
+    assert not calls and len(more[0]) < 0.9 * len(q) * 6
+    at, found, value = V._first_of(*(np.concatenate(pair) for pair in zip(best, more, strict=True)), 6)
+    assert [(-v, i) for v, i in zip(value, found, strict=True)] == [row for rows in want for row in rows]
+    assert at.tolist() == best[0].tolist()
+    low = V._most_similar(q, ids[1500:], x[1500:], 6, np.full(400, -1e9))  # a floor that rules out nothing
+    assert len(calls) and all(np.array_equal(a, b) for a, b in zip(low, V._most_similar(q, ids[1500:], x[1500:], 6), strict=True))

@@ -30,6 +30,8 @@ CANDIDATES = 2048
 QUERY_LIMIT = 4096
 # Rows of a cell's part and queries of a crowd that meet, and pivots at most; cells hold more rows beyond that.
 CELL_ROWS, MOST_CELLS = 8192, 4096
+# Times as many candidates as wanted, on average, before the best of them are selected.
+MANY = 8
 
 
 def l2_normalize(features: DataFrame) -> DataFrame:
@@ -268,26 +270,36 @@ def _first_of(at: np.ndarray, ids: np.ndarray, sim: np.ndarray, k: int) -> tuple
     return at[keep], ids[keep], sim[keep]
 
 
-def _most_similar(q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _most_similar(
+    q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` rows of ``x`` most similar to each query: numbers of queries, ids, similarities.
 
-    A matrix product rounds by where a row stands, so rows next to the ``k``-th are scored once more, each by itself: equal
-    rows get equal similarities.
+    With ``floor``, only those at least so similar to each query. A product of vectors of length one, in single precision, rules
+    out what lies further below than it rounds off; the others are scored once more, each by itself: equal rows get equal similarities.
     """
     top = min(k, len(ids))
+    if not top or not len(q):
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
     # Bound the similarity block in memory.
-    step = max(1, 4_000_000 // max(1, len(ids)))
+    step = max(1, 1_000_000 // len(ids))
     parts = []
-    slack = 1e-12 * np.linalg.norm(q, axis=1) * (np.linalg.norm(x, axis=1).max() if top else 0.0)
-    for a in range(0, len(q) if top else 0, step):
-        sim = q[a : a + step] @ x.T
-        cut = np.partition(sim, len(ids) - top, axis=1)[:, len(ids) - top] - slack[a : a + step]
-        at, row = np.nonzero(sim >= cut[:, None])
+    long_q, long_x = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1).max() or 1.0
+    long_q[long_q == 0] = 1.0
+    q_unit, x_unit = (q / long_q[:, None]).astype(np.float32), (x / long_x).astype(np.float32).T
+    slack = (x.shape[1] + 8) * 2.0**-23
+    least = np.full(len(q), -np.inf) if floor is None else floor / long_q / long_x - slack
+    for a in range(0, len(q), step):
+        sim = q_unit[a : a + step] @ x_unit
+        cut = least[a : a + step].astype(np.float32)
+        near = np.flatnonzero(sim >= cut[:, None]) if np.isfinite(cut).all() else None
+        if near is None or len(near) > MANY * top * len(sim):
+            kth = np.partition(sim, len(ids) - top, axis=1)[:, len(ids) - top]
+            near = np.flatnonzero(sim >= np.maximum(cut, kth - np.float32(2 * slack))[:, None])
+        at, row = np.divmod(near, len(ids))
         at += a
         exact = [np.einsum("ij,ij->i", q[at[b : b + 65536]], x[row[b : b + 65536]]) for b in range(0, len(at), 65536)]
-        parts.append(_first_of(at, ids[row], np.concatenate(exact), top))
-    if not parts:
-        return np.empty(0, int), np.empty(0, int), np.empty(0)
+        parts.append(_first_of(at, ids[row], np.concatenate([np.empty(0), *exact]), top))
     return tuple(np.concatenate(column) for column in zip(*parts, strict=True))
 
 
@@ -428,7 +440,7 @@ def _by_cells(features, wanted, schema, k, normalize, n_cells, rows) -> DataFram
     def search(asked: pd.DataFrame) -> pd.DataFrame:
         x, q_ids, own = np.stack(asked["vec"]), asked["query_id"].to_numpy(), int(asked["cell"].iloc[0])
         best = np.empty(0, int), np.empty(0, int), np.empty(0)
-        reach = np.full(len(x), np.inf)
+        reach, kth = np.full(len(x), np.inf), np.full(len(x), -np.inf)
         from_own = np.linalg.norm(cells.pivots - cells.pivots[own], axis=1)
         from_own[own] = -1.0  # first, also where pivots are equal
         for cell in np.argsort(from_own, kind="stable"):
@@ -436,11 +448,15 @@ def _by_cells(features, wanted, schema, k, normalize, n_cells, rows) -> DataFram
             if not len(near):
                 continue
             for ids, vec in stored(cell):
-                at, found, sim = _most_similar(x[near], ids, vec, k)
+                at, found, sim = _most_similar(x[near], ids, vec, k, kth[near])
+                if not len(at):
+                    continue
                 best = _first_of(*(np.concatenate(pair) for pair in zip(best, (near[at], found, sim), strict=True)), k)
-            n = np.bincount(best[0], minlength=len(x))
-            full = n >= k
-            reach[full] = cells.reach(x[full], best[2][np.cumsum(n)[full] - 1])
+                n = np.bincount(best[0], minlength=len(x))
+                full = n >= k
+                kth[full] = best[2][np.cumsum(n)[full] - 1]
+            full = np.isfinite(kth)
+            reach[full] = cells.reach(x[full], kth[full])
         return pd.DataFrame({"query_id": q_ids[best[0]], "id": best[1], "similarity": best[2]})
 
     asked = settle(wanted.mapInPandas(own_cell, "query_id long, vec array<double>, cell long"))
