@@ -1,11 +1,15 @@
 """What the tasks of a reused worker keep in memory, and that slices of a batch do not show in results."""
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from trackspark.llm import jaccard, text, toxicity
+from trackspark.llm import jaccard, pii, text, toxicity
+from trackspark.llm.components import components
 
 TINY = "/root/testdata/sf0.001"
 
@@ -38,3 +42,52 @@ def test_toxicity_scores_a_text_by_itself(texts, monkeypatch):
     assert np.allclose(together, alone, rtol=0, atol=1e-9)
     monkeypatch.setattr(toxicity, "SMALL_SLICE", 1 << 10)
     assert np.allclose(model.scores(batch), together, rtol=0, atol=1e-9)
+
+
+@pytest.mark.parametrize("module, train", [
+    (toxicity, lambda docs, labels: toxicity.train(docs, labels, F.lit(True))),
+    (pii, lambda docs, labels: pii.train(docs)),
+])
+def test_driver_gives_memory_back_after_a_fit(spark, monkeypatch, module, train):
+    calls = []
+    monkeypatch.setattr(module, "release", lambda: calls.append(1))
+    train(*(spark.read.parquet(f"{TINY}/{t}.parquet") for t in ("documents", "labels")))
+    assert calls == [1]
+
+
+def tasks_of(spark, run):
+    """What ``run`` returns, and how many tasks its jobs had."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := uuid.uuid4().hex, "")
+    try:
+        out = run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    return out, sum(i.numCompletedTasks for s in stages if (i := sc.statusTracker().getStageInfo(s)))
+
+
+def test_links_that_are_stars_take_no_round(spark):
+    """The driver keeps something of every task, so rounds that change nothing cost it memory."""
+    links = spark.createDataFrame([(k % 5, k) for k in range(5, 400)] + [(k, k) for k in range(3)] + [(401, 400)], "a long, b long")
+    found, tasks = tasks_of(spark, lambda: components(links.repartition(8)).collect())
+    assert sorted((r.node, r.root) for r in found) == sorted([(k, k % 5) for k in range(400)] + [(400, 400), (401, 400)])
+    assert tasks <= 40
+
+
+def test_components_of_chains_rings_and_hubs(spark):
+    rng = np.random.default_rng(23)
+    links = [(k, k + 1) for k in range(-40, 0)] + [(100 + k, 100 + (k + 1) % 30) for k in range(30)] + [(999, 1000 + k) for k in range(300)]
+    links += [tuple(x) for x in rng.integers(2000, 2400, (220, 2)).tolist()] + [(999, 2001), (3000, 3000)]
+    root = {x: x for link in links for x in link if link[0] != link[1]}
+
+    def least(x):
+        return x if root[x] == x else least(root[x])
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((least(a), least(b)))
+            root[high] = low
+    found = components(spark.createDataFrame(links + links[::3] + [b[::-1] for b in links[::2]], "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in found) == sorted((x, least(x)) for x in root)
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
