@@ -126,6 +126,29 @@ def test_groups_around_the_threshold(spark, group):
     assert got == want and 20 < len({c for _, c in want.values()}) < 500
 
 
+@pytest.mark.parametrize("tasks", [12, 80])
+def test_strangers_are_no_family(monkeypatch, tasks):
+    """Where a task holds few segments, or part of one, it connects partners, not texts that have next to nothing there."""
+    import pyarrow as pa
+    import pyarrow.compute
+
+    monkeypatch.setattr(jaccard, "LONG", 16)
+    rng = np.random.default_rng(15)
+    line = prose(rng, 12, 10**6)  # many have it
+    texts = [f"{line} {prose(rng, 80, 10**6)}" for _ in range(1500)]
+    texts += [texts[0] + " tail", texts[1] + " tail"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    _, sets, keys = next(jaccard._sets(batch))
+    number = int(jaccard.scheme_of(np.array([len(sets[0])]))[0])
+    packed = pa.Table.from_batches(jaccard._subsets({number: tasks}, np.unique(sets[0][np.isin(sets[0], sets[9])]))([batch]))
+    links = set()
+    for task in packed["task"].unique().to_pylist():
+        found = jaccard._match(jaccard.scheme(number), task % (1 << 40), tasks, packed.filter(pa.compute.equal(packed["task"], task)))
+        links |= set(zip(found["key"].to_pylist(), found["other"].to_pylist(), strict=True))
+    named = keys.view(np.int64).tolist()
+    assert {frozenset(x) for x in links} == {frozenset((named[0], named[-2])), frozenset((named[1], named[-1]))}
+
+
 def test_families_of_several_blocks(spark, monkeypatch):
     """Blocks of seven documents that meet each other, and few comparisons at a time."""
     monkeypatch.setattr(jaccard, "BLOCK", 7)
