@@ -174,6 +174,16 @@ def test_keep_one_goes_by_row(spark):
     assert kept == sorted([(1, a), (2, b), (2, c), (None, "q r s t u v"), (4, ""), (4, ""), (5, None)], key=str)
 
 
+def test_only_rows_that_go_are_listed(spark, monkeypatch):
+    """The table that texts are joined with grows with what is dropped or comes twice, not with what stays."""
+    counts, rng = [], np.random.default_rng(16)
+    monkeypatch.setattr(jaccard, "small", lambda rows: (counts.append(rows.count()), rows)[1])
+    texts = [prose(rng, 60, 10**6) for _ in range(40)]
+    table = documents(spark, texts + [texts[0] + " tail", texts[0] + " end"]).unionByName(documents(spark, [texts[0]]))
+    kept = sorted(r.doc_id for r in jaccard.keep_one(table).collect())
+    assert kept == list(range(40)) and counts == [3]
+
+
 def test_samples_hold_one_text_for_each_id(spark):
     docs = documents(spark, ["a", "b", "c", "d"]).unionByName(documents(spark, ["other a"] * 50)).select("doc_id", "text")
     labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 1), (2, 0), (3, None), (4, 7), (None, 1)], "doc_id long, toxic int")
