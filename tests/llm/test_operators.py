@@ -184,6 +184,32 @@ def test_only_rows_that_go_are_listed(spark, monkeypatch):
     assert kept == list(range(40)) and counts == [3]
 
 
+def test_all_labelled_documents_calibrate(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    ys = [int(i % 3 == 0) for i in range(300)]
+    docs = documents(spark, [f"the {prose(rng, 30)}{' vile rotten scum' * y}" for y in ys])
+    labels = spark.createDataFrame(list(enumerate(ys)), "doc_id long, toxic int")
+    seen, calibrate = [], toxicity.calibrate
+    monkeypatch.setattr(toxicity, "calibrate", lambda *a: (seen.append(int(sum(a[4])) if len(a) > 4 else len(a[3])), calibrate(*a)))
+    model = toxicity.train(docs.unionByName(docs), labels, F.lit(True), 20)
+    assert seen == [8, 300 - 32]
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.score(docs, model).collect()}
+    assert sum(got[i] == bool(y) for i, y in enumerate(ys)) > 290
+
+
+def test_every_language_has_a_threshold():
+    """Ten documents of either label move their language's threshold against a thousand others; errors weigh by label."""
+    model = toxicity.Model(*[None] * 6, np.zeros(5))
+    logit = np.concatenate((np.linspace(-9, -1, 1000), np.linspace(3, 9, 1000), np.linspace(3.5, 4, 10), np.linspace(6, 8, 10)))
+    language, y = np.repeat([1, 2], [2000, 20]), np.repeat([0, 1, 0, 1], [1000, 1000, 10, 10])
+    toxicity.calibrate(model, logit, language, y)
+    assert -1 < model.thresholds[1] < 3 and 4 < model.thresholds[2] < 6 and model.thresholds[3] < 3
+    assert ((logit >= model.thresholds[language]) == y).all() and 0 < model.slope < 10
+    for costs, low, high in (((1.0, 1.0), 1, 2), ((0.1, 1.0), 0, 1)):  # three clean ones at a tenth are less than a toxic one
+        toxicity.calibrate(model, np.array([0.0, 1.0, 1.0, 2.0]), np.ones(4, int), np.array([0, 1, 0, 1]), np.array([50, 1, 3, 1]), np.array(costs))
+        assert low < model.thresholds[1] < high
+
+
 def test_samples_hold_one_text_for_each_id(spark):
     docs = documents(spark, ["a", "b", "c", "d"]).unionByName(documents(spark, ["other a"] * 50)).select("doc_id", "text")
     labels = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (2, 1), (2, 0), (3, None), (4, 7), (None, 1)], "doc_id long, toxic int")
